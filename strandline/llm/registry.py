@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe_tree
+from .lm import op4_log_bilinear
+from .minhash import op9_superminhash
 from .packing import op1_packing
+from .quality import op7_quality_trees
+from .sharding import op2_size_tiered_shards
+from .toxicity import op8_toxic_neighbours
+from .warc import OP5_SQL, op5_revisits
 from .winnowing import op10_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_size_tiered_shards": op2_size_tiered_shards,
         "op3_bpe_tree": op3_bpe_tree,
+        "op4_log_bilinear": op4_log_bilinear,
+        "op5_revisits": op5_revisits,
+        "op7_quality_trees": op7_quality_trees,
+        "op8_toxic_neighbours": op8_toxic_neighbours,
+        "op9_superminhash": op9_superminhash,
         "op10_winnowing": op10_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_revisits": OP5_SQL}
