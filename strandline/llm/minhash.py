@@ -208,7 +208,7 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked by 100 * common >= percent * joint k-word shingles.
 
     One row for each input row, other columns are dropped. component_id is the smallest id that a chain of links reaches,
@@ -244,6 +244,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns; null ids stay."""
+    judged = near_duplicates(docs, k, percent, "doc_id", text_col)
+    gone = common.stored(judged.where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(common.bounded_broadcast(gone, 16), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over all documents."""
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents"), k=4)

@@ -12,6 +12,7 @@ from .minhash import op9_superminhash
 from .packing import op1_packing
 from .quality import op7_quality_trees
 from .sharding import op2_size_tiered_shards
+from .suffix import op6_suffix_arrays
 from .toxicity import op8_toxic_neighbours
 from .warc import OP5_SQL, op5_revisits
 from .winnowing import op10_winnowing
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_tree": op3_bpe_tree,
         "op4_log_bilinear": op4_log_bilinear,
         "op5_revisits": op5_revisits,
+        "op6_suffix_arrays": op6_suffix_arrays,
         "op7_quality_trees": op7_quality_trees,
         "op8_toxic_neighbours": op8_toxic_neighbours,
         "op9_superminhash": op9_superminhash,

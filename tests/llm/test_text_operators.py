@@ -68,7 +68,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small_blocks):
     rows = list(enumerate(copies(60, 1) + copies(30, 2) + ["", None, " ", "one two", "ONE two", "one"]))
     random.Random(3).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(with_clashing_columns(df)).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(with_clashing_columns(df), k=4).collect()}
     assert found == brute_components(rows)
 
 
