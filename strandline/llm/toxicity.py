@@ -107,14 +107,20 @@ def _whole_hashes(words: Words) -> np.ndarray:
     return mix(np.add.reduceat(v, np.cumsum(n) - n) ^ np.uint64(0x5EED))
 
 
+def _near_length(n_words: int) -> int:
+    """Lengths within a factor of two are taken as one."""
+    return 2 ** round(np.log2(2 + n_words)) - 2
+
+
 @dataclass
 class Index:
     """Distinct example vectors, by feature and block; see the module's text."""
 
-    chosen: np.ndarray  # sorted hashes of features; one more entry, the last, is the length's
+    chosen: np.ndarray  # sorted hashes of features
     idf: np.ndarray
     votes: np.ndarray  # of each example: weight of label 0 and of label 1, together log2(1 + rows that it stands for)
     witness: np.ndarray  # of each example: the smallest id that has its vector
+    length: np.ndarray  # of each example: its entry for the length
     row: np.ndarray  # postings by (feature, block): where each pair's begin, examples and weights
     example: np.ndarray
     weight: np.ndarray
@@ -122,32 +128,58 @@ class Index:
     share: float
     length_weight: float = 0.5
 
-    def vector(self, features: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """The unit vector of one document: entries and weights."""
-        w = np.append((1 + np.log(counts)) * self.idf[features.astype(np.int64)], self.length_weight * np.log2(2 + n_words))
-        return np.append(features.astype(np.int64), len(self.chosen)), w / np.sqrt((w * w).sum())
-
-    def nearest(self, features: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine, ties by their number; exact."""
-        n = len(self.votes)
-        blocks = self.ceiling.shape[1]
-        bound = weights @ self.ceiling[features]
-        order = np.argsort(-bound, kind="stable")
-        best_s, best_i = np.zeros(0), np.zeros(0, dtype=np.int64)
-        for b in order:
-            if len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            lo = b * BLOCK
-            s = np.zeros(min(BLOCK, n - lo))
-            for f, w in zip(features, weights):
-                at = f * blocks + b
-                i, j = self.row[at], self.row[at + 1]
-                if i < j:
-                    s[self.example[i:j] - lo] += w * self.weight[i:j]
-            s, i = np.append(best_s, s), np.append(best_i, np.arange(lo, lo + len(s)))
-            top = np.lexsort((i, -s))[:k]
-            best_s, best_i = s[top], i[top]
-        return best_s, best_i
+    def __post_init__(self):
+        blocks = -(-len(self.votes) // BLOCK)
+        self.longest = np.array([self.length[i * BLOCK : (i + 1) * BLOCK].max() for i in range(blocks)])
+        #: what is nearest among examples that share no feature with a query
+        self.bare = np.lexsort((np.arange(len(self.length)), -self.length))
+
+    def vector(self, features: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, float]:
+        """The unit vector of one document: weights of its features, and its entry for the length."""
+        w = np.append((1 + np.log(counts)) * self.idf[features], self.length_weight * np.log2(2 + _near_length(n_words)))
+        w /= np.sqrt((w * w).sum())
+        return w[:-1], float(w[-1])
+
+    def nearest(self, features: np.ndarray, weights: np.ndarray, length: float, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine, ties by their number; exact.
+
+        Examples without a common feature differ by their length's entry alone, so the first k by that are enough of them.
+        """
+        i = self.bare[:k]
+        best = i, length * self.length[i]
+        if len(features):
+            bound = weights @ self.ceiling[features]
+            order = np.argsort(-(bound + length * self.longest), kind="stable")
+            order = order[bound[order] > 0]
+            bound += length * self.longest
+            # the first blocks give a k-th best; then all others that may hold a better one are visited at once
+            best = self._better(best, self._visit(features, weights, length, order[:2]), k)
+            rest = order[2:]
+            if len(best[0]) == k:
+                rest = rest[bound[rest] >= best[1][-1] - 1e-12]
+            if len(rest):
+                best = self._better(best, self._visit(features, weights, length, rest), k)
+        return best[1], best[0]
+
+    def _better(self, a: tuple, b: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of two lists of (examples, cosines). An example in both has its true cosine in the second."""
+        fresh = ~np.isin(a[0], b[0])
+        i, s = np.append(a[0][fresh], b[0]), np.append(a[1][fresh], b[1])
+        if len(s) > 4 * k:
+            near = s >= np.partition(s, len(s) - k)[len(s) - k]
+            i, s = i[near], s[near]
+        top = np.lexsort((i, -s))[:k]
+        return i[top], s[top]
+
+    def _visit(self, features: np.ndarray, weights: np.ndarray, length: float, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks that share a feature, with their cosines."""
+        cell = (features[:, None] * self.ceiling.shape[1] + blocks[None, :]).ravel()
+        lo, size = self.row[cell], self.row[cell + 1] - self.row[cell]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+        example = self.example[at]
+        dot = np.bincount(example, np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[at], len(self.votes))
+        i = np.flatnonzero(dot)
+        return i, dot[i] + length * self.length[i]
 
     def score(self, features: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[float, int | None, float]:
         """Share of label 1 among weighted votes, the nearest example's id, and its cosine.
@@ -157,7 +189,7 @@ class Index:
         """
         if not len(self.votes):
             return self.share, None, 0.0
-        s, i = self.nearest(*self.vector(features, counts, n_words))
+        s, i = self.nearest(features, *self.vector(features, counts, n_words))
         pull = np.exp(-8 * (1 - np.minimum(s, 1.0)))[:, None] * self.votes[i]
         zero, one = pull.sum(axis=0)
         return float((one + 0.05 * self.share) / (zero + one + 0.05)), int(self.witness[i[0]]), float(s[0])
@@ -165,36 +197,35 @@ class Index:
 
 def build_index(docs: list[tuple[int, np.ndarray, np.ndarray, int]], label: np.ndarray, row_weight: np.ndarray, chosen: np.ndarray, idf: np.ndarray, share: float) -> Index:
     """An index of examples (id, places of features, counts, words) with their labels and the rows that each stands for."""
-    index = Index(chosen, idf, np.zeros((0, 2)), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((len(chosen) + 1, 0)), share)
+    plain = Index(chosen, idf, np.zeros((0, 2)), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((len(chosen), 0)), share)
     merged: dict[tuple, list] = {}
     for (doc, f, c, n), y, w in zip(docs, label, row_weight):
-        f, v = index.vector(f, c, 2 ** round(np.log2(2 + n)) - 2)  # lengths within a factor of two share a vector
-        own = merged.setdefault((tuple(f), tuple(np.round(v, 6))), [doc, f, v, np.zeros(2)])
+        v, size = plain.vector(f, c, n)
+        own = merged.setdefault((tuple(f), tuple(np.round(v, 6))), [doc, f, v, size, np.zeros(2)])
         own[0] = min(own[0], doc)
-        own[3][int(y)] += w
+        own[4][int(y)] += w
     # neighbours in this order share features, which makes the blocks' bounds tight
     own = [merged[k] for k in sorted(merged)]
     blocks = -(-len(own) // BLOCK)
     if not own:
-        return index
+        return plain
     number = np.repeat(np.arange(len(own)), [len(x[1]) for x in own])
-    feature, weight = np.concatenate([x[1] for x in own]), np.concatenate([x[2] for x in own])
+    feature, weight = np.concatenate([x[1] for x in own]).astype(np.int64), np.concatenate([x[2] for x in own])
     cell = feature * blocks + number // BLOCK
     order = np.argsort(cell, kind="stable")
-    index.row = np.searchsorted(cell[order], np.arange((len(chosen) + 1) * blocks + 1))
-    index.example, index.weight = number[order], weight[order]
-    ceiling = np.zeros((len(chosen) + 1) * blocks)
+    row = np.searchsorted(cell[order], np.arange(len(chosen) * blocks + 1))
+    ceiling = np.zeros(len(chosen) * blocks)
     np.maximum.at(ceiling, cell, weight)
-    index.ceiling = ceiling.reshape(len(chosen) + 1, blocks)
-    rows = np.array([x[3] for x in own])
-    index.votes, index.witness = rows * (np.log2(1 + rows.sum(axis=1)) / rows.sum(axis=1))[:, None], np.array([x[0] for x in own])
-    return index
+    rows = np.array([x[4] for x in own])
+    votes = rows * (np.log2(1 + rows.sum(axis=1)) / rows.sum(axis=1))[:, None]
+    return Index(chosen, idf, votes, np.array([x[0] for x in own]), np.array([x[3] for x in own]), row, number[order], weight[order], ceiling.reshape(len(chosen), blocks), share)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = FEATURES, least_docs: int = 3, least_chi2: float = 12.0) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = FEATURES, least_docs: int = 3, least_share: float = 0.002, least_chi2: float = 12.0, least_ratio: float = 2.0) -> Index:
     """An index from (doc_id, text) and (doc_id, toxic); at most sample labelled rows of each label, weighted to stand for all.
 
-    A feature is chosen if it occurs in least_docs of the sample and goes along with label 1 by least_chi2 (chi-square).
+    A feature is chosen if it occurs in least_docs and in least_share of the sample, is least_ratio times as frequent with
+    label 1 as with 0, and goes along with it by a chi-square of least_chi2 and of a hundredth of the sample's rows.
     """
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     totals = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -228,11 +259,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_feature
     n1 = sum(label.values())
     n0 = len(label) - n1
     df = texts.mapInArrow(count(None), "doc_id long, f long").join(y_of, "doc_id").groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    df = df.where(f"a + b >= {least_docs} and a * {n0} > b * {n1}")
+    df = df.where(f"a + b >= {max(least_docs, round(least_share * len(label)))} and a * {n0} > {least_ratio} * b * {n1}")
     a, b = F.col("a"), F.col("b")
     c, d = F.lit(n1) - a, F.lit(n0) - b
     chi2 = F.lit(float(n0 + n1)) * (a * d - b * c) * (a * d - b * c).cast("double") / ((a + b) * (c + d)).cast("double") / F.lit(float(max(1, n0 * n1)))
-    best = df.withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "f").limit(most_features).collect()  # bounded
+    best = df.withColumn("chi2", chi2).where(F.col("chi2") >= max(least_chi2, 0.01 * len(label))).orderBy(F.desc("chi2"), "f").limit(most_features).collect()  # bounded
     best = sorted(best, key=lambda r: r.f)
     chosen = np.array([r.f for r in best], dtype=np.int64).view(np.uint64)
     weight = {0: totals.get(0, 0) / max(1, n0), 1: totals.get(1, 0) / max(1, n1)}
@@ -243,18 +274,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_feature
     return build_index([(r["doc_id"], np.array(r["f"], dtype=np.int64), np.array(r["c"], dtype=np.float64), r["n"]) for r in rows], np.array([label[r["doc_id"]] for r in rows]), np.array([weight[label[r["doc_id"]]] for r in rows]), chosen, idf, share)
 
 
+#: Scores that a worker remembers: most texts have few features, and the same ones.
+_REMEMBERED = 200_000
+
+
 def _scores(index: Index, data: np.ndarray, off: np.ndarray, memo: dict) -> list[tuple[float, int | None, float]]:
     doc, f, c, n_words = feature_counts(data, off, index.chosen)
     first = np.searchsorted(doc, np.arange(len(n_words) + 1))
+    f = f.astype(np.int64)
     out = []
     for i, n in enumerate(n_words):
         lo, hi = first[i], first[i + 1]
-        if lo == hi:  # such documents differ by their length alone, which leaves their unit vector the same
-            if () not in memo:
-                memo[()] = index.score(f[:0], c[:0].astype(np.float64), 0)
-            out.append(memo[()])
-        else:
-            out.append(index.score(f[lo:hi], c[lo:hi].astype(np.float64), int(n)))
+        # without features, documents differ by their length alone, which leaves their unit vector the same
+        key = (f[lo:hi].tobytes(), c[lo:hi].tobytes(), _near_length(int(n)) if hi > lo else 0)
+        if key not in memo:
+            if len(memo) >= _REMEMBERED:
+                memo.clear()
+            memo[key] = index.score(f[lo:hi], c[lo:hi].astype(np.float64), int(n))
+        out.append(memo[key])
     return out
 
 

@@ -193,15 +193,16 @@ def test_block_max_search_is_exact():
     rows = [(i, np.sort(r.choice(40, r.integers(0, 9), replace=False)), None, int(r.integers(1, 3000))) for i in range(700)]
     rows = [(i, f, r.integers(1, 5, len(f)).astype(float), n) for i, f, _, n in rows]
     index = toxicity.build_index(rows, r.integers(0, 2, 700), np.ones(700), np.arange(40, dtype=np.uint64), r.random(40) * 3, 0.1)
-    dense = np.zeros((len(index.votes), 41))
+    dense = np.zeros((len(index.votes), 40))
     blocks = index.ceiling.shape[1]
-    for cell in range(41 * blocks):
+    for cell in range(40 * blocks):
         for j in range(index.row[cell], index.row[cell + 1]):
             dense[index.example[j], cell // blocks] = index.weight[j]
-    for i, f, c, n in rows[:80]:
-        f, w = index.vector(f, c, n)
-        s, at = index.nearest(f, w, 10)
-        want = dense[:, f] @ w
+    assert np.allclose((dense**2).sum(axis=1) + index.length**2, 1)
+    for i, f, c, n in rows[:120]:
+        w, length = index.vector(f, c, n)
+        s, at = index.nearest(f, w, length, 10)
+        want = dense[:, f] @ w + length * index.length
         assert np.allclose(s, np.sort(want)[::-1][:10]) and np.allclose(want[at], s)
 
 
