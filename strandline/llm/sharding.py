@@ -13,7 +13,7 @@ import uuid
 from dataclasses import asdict, dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,6 +42,15 @@ class Shard:
     size: int
     rows: int
 
+    @property
+    def name(self) -> str:
+        """Its path inside the store; a file's own name may occur in several folders."""
+        return self.path.rsplit("/data/", 1)[1]
+
+
+def shard_name(path: Column) -> Column:
+    return F.substring_index(path, "/data/", -1)
+
 
 @dataclass
 class Manifest:
@@ -116,8 +125,8 @@ class ShardStore:
         files = self._files(folder)
         if not files:
             return []
-        rows = {r.p.rsplit("/", 1)[1]: r.n for r in self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count("*").alias("n")).collect()}
-        return [Shard(p, size, rows[p.rsplit("/", 1)[1]]) for p, size in files if rows.get(p.rsplit("/", 1)[1])]
+        rows = {r.p: r.n for r in self.spark.read.parquet(folder).groupBy(shard_name(F.col("_metadata.file_path")).alias("p")).agg(F.count("*").alias("n")).collect()}
+        return [Shard(p, size, rows[name]) for p, size in files if rows.get(name := Shard(p, size, 0).name)]
 
     def append(self, df: DataFrame, tries: int = 5) -> Manifest:
         """Adds df's rows as new shards, one for each task that has rows."""
@@ -167,9 +176,9 @@ class ShardStore:
             if not runs:
                 return now
             gone = {s.path for run in runs for s in run}
-            place = self.spark.createDataFrame([(s.path.rsplit("/", 1)[1], i) for i, run in enumerate(runs) for s in run], "__file string, __run int")
-            df = self.spark.read.parquet(*sorted(gone)).withColumn("__file", F.col("_metadata.file_name")).join(F.broadcast(place), "__file").drop("__file")
-            new = self._write(df.repartition(len(runs), "__run"), by="__run")
+            place = self.spark.createDataFrame([(s.name, i) for i, run in enumerate(runs) for s in run], "__file string, __run int")
+            df = self.spark.read.parquet(*sorted(gone)).withColumn("__file", shard_name(F.col("_metadata.file_path"))).join(F.broadcast(place), "__file").drop("__file")
+            new = self._write(df.repartitionById(len(runs), F.col("__run")), by="__run")
             if sum(s.rows for s in new) != sum(s.rows for run in runs for s in run):
                 raise RuntimeError("a merge did not keep all rows")
 
@@ -184,11 +193,11 @@ class ShardStore:
                     self._fs.delete(self._path(p), False)
 
     def read(self, manifest: Manifest | None = None) -> DataFrame:
-        """The rows of a version (the newest), with the name of each row's shard in shard."""
+        """The rows of a version (the newest), with the name of each row's shard in shard (instead of a column of that name)."""
         m = manifest or self.manifest()
         if not m.shards:
             raise ValueError("the store has no shard")
-        return self.spark.read.parquet(*(s.path for s in m.shards)).withColumn("shard", F.col("_metadata.file_name"))
+        return self.spark.read.parquet(*(s.path for s in m.shards)).withColumn("shard", shard_name(F.col("_metadata.file_path")))
 
 
 def shard_table(df: DataFrame, root: str, policy: Policy = Policy()) -> ShardStore:
@@ -204,5 +213,5 @@ def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{common.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     store = shard_table(common.table(spark, sf_dir, "documents"), root)
     m = store.manifest()
-    sizes = F.broadcast(spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.size, s.rows, store.policy.tier(s.size)) for s in m.shards], "shard string, shard_bytes long, shard_rows long, tier int"))
+    sizes = F.broadcast(spark.createDataFrame([(s.name, s.size, s.rows, store.policy.tier(s.size)) for s in m.shards], "shard string, shard_bytes long, shard_rows long, tier int"))
     return store.read(m).select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "shard").join(sizes, "shard").withColumn("version", F.lit(m.version))

@@ -26,7 +26,7 @@ def test_append_compact_and_read_back(spark, tmp_path, odd_docs):
 
 def test_tiers_merge_like_with_like(spark, tmp_path):
     s = store(spark, tmp_path, target_bytes=1000, smallest_bytes=10, fanout=4)
-    shard = lambda i, n: sharding.Shard(f"p{i}", n, 1)
+    shard = lambda i, n: sharding.Shard(f"r/data/p{i}", n, 1)
     small, large, full = [shard(i, 10) for i in range(5)], [shard(i, 400) for i in range(5, 8)], [shard(9, 600)]
     runs = s.plan(small + large + full)
     assert [{x.size for x in run} for run in runs] == [{10}, {400}]
@@ -34,6 +34,16 @@ def test_tiers_merge_like_with_like(spark, tmp_path):
     assert s.plan([shard(1, 10), shard(2, 10)]) == [] and len(s.plan([shard(1, 10), shard(2, 200)], final=True)) == 1
 
 
+def test_many_runs_in_one_job_keep_all_rows(spark, tmp_path):
+    s = store(spark, tmp_path, target_bytes=4000, smallest_bytes=500, fanout=2)
+    for i in range(3):
+        s.append(spark.range(i * 1000, i * 1000 + 1000).repartition(9))
+    s.compact(final=False, vacuum=False)
+    again = s.compact()
+    assert sorted(r.id for r in s.read().collect()) == list(range(3000))
+    assert sum(x.rows for x in again.shards) == 3000 and len({x.name for x in again.shards}) == len(again.shards)
+
+
 def test_commit_is_exclusive_and_a_torn_manifest_is_ignored(spark, tmp_path):
     s = store(spark, tmp_path)
     one = s.commit([], 0)
@@ -50,7 +60,7 @@ def test_empty_table_and_unlisted_files(spark, tmp_path, no_docs):
     with pytest.raises(ValueError):
         s.read()
     s.append(spark.range(10).coalesce(1))
-    spark.range(99).write.parquet(f"file://{tmp_path}/store/data/orphan")
+    spark.range(99).write.parquet(f"file://{tmp_path}/store/data/orphan/x")
     assert s.read().count() == 10
 
 
