@@ -31,7 +31,15 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() has written, once nothing reads it any more."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 from .textvec import mix, row_ranges, stream, text_buffer
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 32
 #: Text of one block, of one batch of the index, and segments of one anchor from which they are dealt out further.
 BLOCK_BYTES, BATCH_BYTES, HOT = 16 << 20, 8 << 20, 10_000
 _SLICE_BYTES = 1 << 20
@@ -233,20 +233,20 @@ def _buffer(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return text_buffer(column)
 
 
+#: A segment's place is the name of its row (a 64-bit hash of all of it; equal rows share one, and all their segments occur
+#: as often as they do); its span: first window above 28 bits of windows, then one bit.
 _ASK = "anchor long, name long, place long, span long"
-#: A segment's place: block above 32 bits of its row; its span: first window above 28 bits of windows, then one bit.
 _WINDOW_BITS = 28
 
 
 def _ask(length: int):
-    def run(group: pa.Table) -> pa.Table:
-        block = group.column("block")[0].as_py()
-        data, off = _buffer(_rows(group))
-        out = []
-        for lo, hi in row_ranges(off, _SLICE_BYTES, 1 << 20):
-            s = segments(data, off[lo : hi + 1], length)
-            out.append((s.anchor.view(np.int64), s.name.view(np.int64), (block << 32) + lo + s.doc, (s.start << (_WINDOW_BITS + 1)) | (s.windows << 1) | s.again))
-        return pa.table(dict(zip(("anchor", "name", "place", "span"), (np.concatenate(x) for x in zip(*out)))))
+    def run(batches):
+        for batch in batches:
+            data, off = text_buffer(batch.column("text"))
+            place = batch.column("sort_a").to_numpy()
+            for lo, hi in row_ranges(off, _SLICE_BYTES, 1 << 20):
+                s = segments(data, off[lo : hi + 1], length)
+                yield pa.RecordBatch.from_arrays([pa.array(s.anchor.view(np.int64)), pa.array(s.name.view(np.int64)), pa.array(place[lo:hi][s.doc]), pa.array((s.start << (_WINDOW_BITS + 1)) | (s.windows << 1) | s.again)], names=["anchor", "name", "place", "span"])
 
     return run
 
@@ -255,19 +255,22 @@ def _fetch(length: int):
     """The bytes of the segments that are asked for, hot ones in parts."""
 
     def run(group: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(asked) or not len(group):
-            return pa.table({"anchor": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "windows": pa.array([], pa.int64()), "piece": pa.array([], pa.binary())})
-        data, off = _buffer(_rows(group))
         out = []
-        for anchor, place, span, hot in zip(*(asked.column(c).to_pylist() for c in ("anchor", "place", "span", "hot"))):
-            start, n = span >> (_WINDOW_BITS + 1), (span >> 1) & ((1 << _WINDOW_BITS) - 1)
-            at = int(off[place & 0xFFFFFFFF]) + start
-            b = data[at : at + n + length - 1]
-            if hot:
-                out += [(int(mix(np.array([anchor], dtype=np.int64).view(np.uint64) ^ np.array([name], dtype=np.int64).view(np.uint64)).view(np.int64)[0]), place, start + i, m, b[i : i + m + length - 1].tobytes()) for i, m, name in split_segment(b, n, length)]
-            else:
-                out.append((anchor, place, start, n, b.tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "place", "start", "windows", "piece"])
+        if len(asked) and len(group):
+            group = _rows(group)
+            data, off = _buffer(group)
+            row = np.searchsorted(group.column("sort_a").to_numpy(), asked.column("place").to_numpy())
+            for i, anchor, place, span, hot in zip(row, *(asked.column(c).to_pylist() for c in ("anchor", "place", "span", "hot"))):
+                start, n = span >> (_WINDOW_BITS + 1), (span >> 1) & ((1 << _WINDOW_BITS) - 1)
+                at = int(off[i]) + start
+                b = data[at : at + n + length - 1]
+                if hot:
+                    pair = lambda name, anchor=anchor: int(mix(np.array([anchor], dtype=np.int64).view(np.uint64) ^ np.array([name], dtype=np.int64).view(np.uint64)).view(np.int64)[0])
+                    out += [(pair(name), place, start + j, m, b[j : j + m + length - 1].tobytes()) for j, m, name in split_segment(b, n, length)]
+                else:
+                    out.append((anchor, place, start, n, b.tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["anchor", "place", "start", "windows", "piece"])
 
     return run
 
@@ -318,9 +321,13 @@ def _cut(length: int, texts: bool):
         data, off = _buffer(group)
         cover = np.zeros(int(off[-1] - off[0]) + 1, dtype=np.int32)
         if len(found):
-            at = off[found.column("place").to_numpy() & 0xFFFFFFFF] - off[0] + found.column("first").to_numpy()
+            named, place = group.column("sort_a").to_numpy(), found.column("place").to_numpy()
+            lo, hi = np.searchsorted(named, place, side="left"), np.searchsorted(named, place, side="right")
+            n = hi - lo
+            row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            at = off[row] - off[0] + np.repeat(found.column("first").to_numpy(), n)
             np.add.at(cover, at, 1)
-            np.add.at(cover, at + found.column("windows").to_numpy() + length - 1, -1)
+            np.add.at(cover, at + np.repeat(found.column("windows").to_numpy(), n) + length - 1, -1)
         gone = np.cumsum(cover[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -347,24 +354,27 @@ def _dealt_and_found(d: DataFrame, length: int, block_bytes: int) -> tuple[DataF
     spark = d.sparkSession
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    blocks = common.blocks_for(common.text_bytes(d), block_bytes)
-    parts = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = d.withColumn("block", F.pmod(F.col("sort_a"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(_ask(length), _ASK)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parts, common.blocks_for(common.text_bytes(d), block_bytes))
+    # computed once, since three steps need it; all of it is narrow, and texts are dealt out only once
+    asked = common.stored(d.select("sort_a", "text").mapInArrow(_ask(length), _ASK), "segments")
+    block = lambda place: F.pmod(F.col(place), F.lit(blocks)).cast("int").alias("block")
+    dealt = d.select("*", block("sort_a")).repartition(blocks, "block")
     # anchors with one segment are done, but for one that may repeat in itself
     again = F.col("span").bitwiseAND(F.lit(1))
     keys = asked.groupBy("anchor").agg(F.count("*").alias("n"), F.min("name").alias("a"), F.max("name").alias("b"), F.max(again).alias("again")).where("n > 1 or again = 1")
-    near = asked.join(keys.select("anchor", "n", (F.col("a") != F.col("b")).alias("mixed")), "anchor")
+    near = common.stored(asked.join(keys.select("anchor", "n", (F.col("a") != F.col("b")).alias("mixed")), "anchor"), "shared")
+    common.discard(asked)
     same = near.groupBy("anchor", "name").agg(F.count("*").alias("copies"), F.min(F.struct("place", "span")).alias("one"), F.max("n").alias("n"), F.max("mixed").alias("mixed"))
     # segments that are equal repeat as a whole
     twice = near.select("anchor", "name", "place", "span").join(same.where("copies > 1").select("anchor", "name"), ["anchor", "name"])
     first, windows = F.shiftright("span", _WINDOW_BITS + 1), F.shiftright("span", 1).bitwiseAND(F.lit((1 << _WINDOW_BITS) - 1))
     whole = twice.select("place", first.alias("first"), windows.alias("windows"))
     # one of each different segment takes part in the index
-    wanted = same.where("mixed or copies = 1 and one.span & 1 = 1").select("anchor", "one.place", "one.span", (F.col("n") > HOT).alias("hot"), F.shiftright("one.place", 32).cast("int").alias("block"))
+    wanted = same.where("mixed or copies = 1 and one.span & 1 = 1").select("anchor", "one.place", "one.span", (F.col("n") > HOT).alias("hot")).select("*", block("place"))
     pieces = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch(length), "anchor long, place long, start long, windows long, piece binary")
-    partly = pieces.repartition(parts, "anchor").mapInArrow(_match(length, BATCH_BYTES), "place long, first long, windows long")
-    found = whole.unionByName(partly).withColumn("block", F.shiftright("place", 32).cast("int"))
+    partly = pieces.repartition(max(blocks, parts), "anchor").mapInArrow(_match(length, BATCH_BYTES), "place long, first long, windows long")
+    found = whole.unionByName(partly).select("*", block("place"))
     return dealt, found
 
 
