@@ -82,3 +82,9 @@ def load_database(spark: SparkSession, path: str, metadata_only: bool = False) -
         raise ValueError(f"{path} has another layout")
     names = ["taxa", "targets"] + ([] if metadata_only else ["features"])
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}, SketchParams(**d)
+
+
+def save_bucketed(features: DataFrame, table: str, buckets: int) -> DataFrame:
+    """The index as a bucketed table: probing it many times then shuffles the reads' features alone."""
+    features.repartition(buckets, "feature").write.bucketBy(buckets, "feature").sortBy("feature").mode("overwrite").saveAsTable(table)
+    return features.sparkSession.table(table)

@@ -21,10 +21,14 @@ def window_span(reads: DataFrame, p: SketchParams, insert_size: int = 0) -> Data
 
 
 def _ranges() -> Column:
-    """For each window of a sorted array m: windows of the last span up to it, their hits and the first of them."""
+    """For each window of a sorted array m: windows of the last span up to it, their hits and the first of them.
 
-    def one(e: Column) -> Column:
-        near = F.filter("m", lambda x: (x.win <= e.win) & (x.win > e.win - F.col("span")))
+    At most span entries before an entry can be that near, so the work grows with the array's length alone.
+    """
+
+    def one(e: Column, i: Column) -> Column:
+        before = F.transform(F.sequence(F.greatest(F.lit(0), i - F.col("span") + 1), i), lambda j: F.get("m", j))
+        near = F.filter(before, lambda x: x.win > e.win - F.col("span"))
         return F.struct((-F.aggregate(near, F.lit(0).cast("long"), lambda s, x: s + x.hits)).alias("neg"), e.win.alias("end"), near[0].win.alias("beg"))
 
     return F.transform("m", one)

@@ -62,6 +62,11 @@ def read_fastq(spark: SparkSession, *paths: str, recursive: bool = True) -> Data
     return r.select("file", (F.col("i") + 1).alias("index"), header.alias("header"), F.col("l1").alias("data"), F.col("l3").alias("qualities"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(index, value): the lines of one file in order."""
+    return _numbered(_lines(spark, [path], False)).select("index", "value")
+
+
 def read_headers(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
     """(file, index, header) of lines that begin with ">" or "@"."""
     d = _lines(spark, list(paths), recursive).where(F.col("value").rlike("^[>@]"))

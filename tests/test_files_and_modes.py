@@ -120,7 +120,7 @@ def test_modify_and_info(spark, files, database):
 
 def test_annotate(spark, files):
     d, _ = files
-    lines = sequences._numbered(sequences._lines(spark, [f"{d}/ref/a.fa"], False)).select("index", "value")
+    lines = sequences.read_lines(spark, f"{d}/ref/a.fa")
     m = spark.createDataFrame([("f", 1, "NC_1", "NC_1.1", "5", 77), ("f", 2, "NC_1", "NC_1.1", "5", 78)], "file string, row long, acc string, accver string, gi string, taxid long")
     out = [r.value for r in modes.annotate(lines, m).orderBy("index").collect()]
     assert out[0] == ">NC_1.1 taxid|77 first taxid:8 x" and any(x == ">NC_2.1 taxid|0 second" for x in out)
@@ -133,3 +133,28 @@ def test_streamed_batches_equal_a_table(spark):
     q = entry.queries()
     key = lambda df: sorted(tuple(r) for r in df.select("query_id", F.coalesce("taxid", F.lit(0)), F.coalesce("rank", F.lit(-1))).collect())
     assert key(q["stream_classify"](spark, "/root/testdata/sf0.001")) == key(q["classify_lca"](spark, "/root/testdata/sf0.001"))
+
+
+def test_command_line(spark, files, tmp_path, monkeypatch):
+    from io import StringIO
+
+    from strandline.__main__ import run
+
+    d, _ = files
+    db = f"{tmp_path}/db"
+    run(spark, ["build", db, f"{d}/ref", "--taxonomy", f"{d}/tax", "--pre-mapping", f"{d}/summary.txt", "--kmerlen", "12", "--remove-overpopulated-features"])
+    assert run(spark, ["info", db]).first().k == 12 and run(spark, ["info", db, "rank", "--rank", "genus"]).count() >= 1
+    out = f"{tmp_path}/out"
+    run(spark, ["query", db, f"{d}/r1.fq", f"{d}/r2.fq", "--pairfiles", "--queryids", "--tophits", "--lowest", "species", "--out", out, "--abundances", f"{tmp_path}/ab", "--hits-per-seq", f"{tmp_path}/hits", "--align"])
+    lines = [r.value for r in spark.read.text(out).collect()]
+    assert sum(not x.startswith("#") for x in lines) == 2 and spark.read.parquet(f"{tmp_path}/ab").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/hits").count() >= 2
+    run(spark, ["merge", out, "--taxonomy", f"{d}/tax", "--lowest", "species", "--out", f"{tmp_path}/merged"])
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/merged").collect()) == [f"{i}\t|\tspecies:Species a(8)" for i in (1, 2)]
+    run(spark, ["modify", db, f"{d}/more.fasta", "--out", f"{tmp_path}/db2"])
+    assert run(spark, ["info", f"{tmp_path}/db2", "targets"]).count() == 4
+    run(spark, ["annotate", f"{d}/ref/a.fa", f"{d}/map.accession2taxid", "--out", f"{tmp_path}/an"])
+    assert any("taxid|0" in r.value for r in spark.read.text(f"{tmp_path}/an").collect())
+    monkeypatch.setattr("sys.stdin", StringIO(f"# note\n{d}/r1.fq\n:q\n"))
+    run(spark, ["query", db, "--out", f"{tmp_path}/loop"])
+    assert spark.read.text(f"{tmp_path}/loop-1").count() == 5
