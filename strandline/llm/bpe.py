@@ -173,6 +173,7 @@ def bpe(path: str) -> Bpe:
 
 
 def _leaf_nodes(path: str):
+    @common.thrifty
     def run(batches):
         coder = bpe(path)
         for b in batches:
@@ -190,6 +191,7 @@ def _leaf_nodes(path: str):
 def _joined(path: str, finish):
     """For rows sorted by (row, part): one result for each row, made of its leaves. Holds one document at a time."""
 
+    @common.thrifty
     def run(batches):
         coder = bpe(path)
         unpack = lambda x: np.frombuffer(x, dtype=np.uint32).tolist()
@@ -231,6 +233,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
     leaves, dealt out, encoded in parallel and joined in a tree; those that hold a special token are cut there instead and
     joined in one task, since a leaf must not divide such a token.
     """
+    common.small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     finish, schema = (_finish_digests, _DIGESTS) if digests else (_finish_ids, _IDS)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -240,6 +243,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
         plain = plain & ~F.col("text").contains(s)
     split = (F.length("text") > leaf) & plain
 
+    @common.thrifty
     def direct(batches):
         coder = bpe(path)
         for b in batches:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,30 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most size in this session, so that a worker holds little of a table of long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def release() -> None:
+    """Gives freed memory back: workers wait for further tasks, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run: Callable) -> Callable:
+    """run, a generator over Arrow batches, with release() at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: one scan of one column, one row to the driver."""
     return docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0

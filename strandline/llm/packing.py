@@ -178,9 +178,11 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, limits: Limit
     table gives no pieces; other columns are dropped. A long text gives as many full sequences as it holds. sequence_id
     holds the partition's number above bit 33.
     """
+    common.small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     schema = pa.schema([(c.split()[0], pa.int64()) for c in _PIECES.split(", ")])
 
+    @common.thrifty
     def run(batches):
         coder = bpe(path)
         packer = VectorPacker(limits, TaskContext.get().partitionId() << 33)
@@ -225,9 +227,11 @@ def pack_conversations(turns: DataFrame, vocabulary: str | None = None, limits:
     One row for each turn: conv_id, turn, tokens, loss_tokens, sequence_id, offset. Turns longer than a sequence are cut
     (several rows, start tells where); null text counts as empty, null roles bear no loss, repeated rows are packed each.
     """
+    common.small_batches(turns.sparkSession)
     path = vocabulary or default_vocabulary()
     names = ["conv_id", "turn", "start", "length", "loss_tokens", "sequence_id", "offset"]
 
+    @common.thrifty
     def run(batches):
         coder = bpe(path)
         packer = VectorPacker(limits, TaskContext.get().partitionId() << 33)

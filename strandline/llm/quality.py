@@ -20,7 +20,7 @@ from .textvec import MOST_DOCS, SHINGLE_BITS, SPACE, row_ranges, runs, text_buff
 SYMBOLS = b"#*$%&|<>"
 #: Rows that the trees are trained on: the labelled documents whose hashed ids are smallest.
 SAMPLE = 20_000
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 18
 _WINDOW = 8
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -183,6 +183,7 @@ _STATISTICS = f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, x array<d
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the five counts, and x, the statistics that the trees see; null text has no words."""
 
+    @common.thrifty
     def run(batches):
         for b in batches:
             data, off = text_buffer(b.column("text"))
@@ -191,18 +192,19 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(c) for c in counts.T), lists], names=["doc_id", *COUNTS, "x"])
 
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, _STATISTICS)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from at most sample labelled documents (doc_id, quality 0/1); null labels and ids are left out."""
+    common.small_batches(docs.sparkSession)
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    ids = [r.doc_id for r in chosen.select("doc_id").collect()]  # at most sample numbers
-    if not ids:
+    quality = {r.doc_id: r.quality for r in chosen.collect()}  # at most sample rows
+    if not quality:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0), list(FEATURES.values()))
     spark = docs.sparkSession
-    quality = {r.doc_id: r.quality for r in chosen.collect()}
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in set(ids)], "doc_id long"))
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in quality], "doc_id long"))
     rows = document_statistics(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")).select("doc_id", "x").toArrow()
     known = rows.column("doc_id").to_pylist()
     order = np.argsort(known, kind="stable")
@@ -226,6 +228,7 @@ def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str =
     trees = learn(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
+    @common.thrifty
     def run(batches):
         for b in batches:
             data, off = text_buffer(b.column("text"))
@@ -246,6 +249,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col:
     def good(texts: pa.Array) -> pa.Array:
         data, off = text_buffer(texts)
         kept = [_verdicts(held.value, *statistics(data, off[lo : hi + 1]), least)[2] for lo, hi in row_ranges(off, _SLICE_BYTES, MOST_DOCS)]
+        common.release()
         return pa.array(np.concatenate(kept) if kept else np.zeros(0, dtype=bool))
 
     return docs.where(good(F.coalesce(F.col(text_col), F.lit(""))))

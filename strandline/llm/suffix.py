@@ -27,8 +27,8 @@ from .textvec import mix, row_ranges, stream, text_buffer
 
 LENGTH, GRAM = 200, 32
 #: Text of one block, of one batch of the index, and segments of one anchor from which they are dealt out further.
-BLOCK_BYTES, BATCH_BYTES, HOT = 16 << 20, 8 << 20, 10_000
-_SLICE_BYTES = 1 << 20
+BLOCK_BYTES, BATCH_BYTES, HOT = 8 << 20, 2 << 20, 10_000
+_SLICE_BYTES = 1 << 18
 _BYTE = stream(71, 256)
 _P = int(stream(72, 1)[0]) | 1
 _SPLITS = 3
@@ -123,6 +123,24 @@ def split_segment(b: np.ndarray, windows: int, length: int = LENGTH) -> list[tup
     return [(int(a), int(z - a), int(names[a].view(np.int64))) for a, z in zip(at, np.append(at[1:], windows))]
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones, as uint32; holds little beside key."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.zeros(len(key), dtype=np.uint32)
+    np.cumsum(ordered[1:] != ordered[:-1], dtype=np.uint32, out=new[1:])
+    out = np.empty(len(key), dtype=np.uint32)
+    out[order] = new
+    return out
+
+
+def _pairs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    key = high.astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= low
+    return key
+
+
 def _eight(text: np.ndarray) -> np.ndarray:
     """The eight bytes at each position as a number whose order is that of the bytes; text ends with padding."""
     n = len(text) - 8
@@ -167,13 +185,13 @@ class SuffixFamily:
         """Prefix doubling over all positions of text; then windows by the ranks of two overlapping halves."""
         padded = np.concatenate([text, np.zeros(self.length + 8, dtype=np.uint8)])
         eight = _eight(padded)
-        rank = np.unique(eight, return_inverse=True)[1].astype(np.uint64)
+        rank = _ranks(eight)
         k = 8
         while 2 * k <= self.length:
-            rank = np.unique(rank[:-k] << np.uint64(32) | rank[k:], return_inverse=True)[1].astype(np.uint64)
+            rank = _ranks(_pairs(rank[:-k], rank[k:]))
             k *= 2
         # the first k bytes, then the last k: where the first are equal, the last decide
-        key = rank[position] << np.uint64(32) | rank[position + self.length - k]
+        key = _pairs(rank[position], rank[position + self.length - k])
         at = np.argsort(key, kind="stable")
         key = key[at]
         same = np.flatnonzero(key[1:] == key[:-1])
@@ -240,6 +258,7 @@ _WINDOW_BITS = 28
 
 
 def _ask(length: int):
+    @common.thrifty
     def run(batches):
         for batch in batches:
             data, off = text_buffer(batch.column("text"))
@@ -269,6 +288,7 @@ def _fetch(length: int):
                     out += [(pair(name), place, start + j, m, b[j : j + m + length - 1].tobytes()) for j, m, name in split_segment(b, n, length)]
                 else:
                     out.append((anchor, place, start, n, b.tobytes()))
+        common.release()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["anchor", "place", "start", "windows", "piece"])
 
@@ -278,6 +298,7 @@ def _fetch(length: int):
 def _match(length: int, batch_bytes: int):
     """Over one task's segments: (place, first, windows) of each run of windows that occur twice or more."""
 
+    @common.thrifty
     def run(batches):
         family = SuffixFamily(length)
         owner, held, size = [], [], 0  # of each window number: place and window, in batches
@@ -328,23 +349,33 @@ def _cut(length: int, texts: bool):
             at = off[row] - off[0] + np.repeat(found.column("first").to_numpy(), n)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + np.repeat(found.column("windows").to_numpy(), n) + length - 1, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        at = off - off[0]
-        inner = at[:-1][at[:-1] < len(gone)]
-        begins[inner] = gone[inner]
-        count = lambda x: (lambda c: c[at[1:]] - c[at[:-1]])(np.concatenate([[0], np.cumsum(x)]))
-        removed, spans = count(gone), count(begins)
-        kept = []
-        for i, n in enumerate(removed):
-            b = data[off[i] : off[i + 1]]
-            kept.append((b[~gone[at[i] : at[i + 1]]] if n else b).tobytes())
-        out = {"n_bytes": np.diff(off), "n_removed": removed, "n_spans": spans}
+        removed, spans, kept = [], [], []
+        depth = 0
+        for lo, hi in row_ranges(off, _SLICE_BYTES, 1 << 20):
+            at = off[lo : hi + 1] - off[lo]
+            own = cover[off[lo] - off[0] : off[hi] - off[0]]
+            covered = np.cumsum(own, dtype=np.int32) + depth
+            depth = int(covered[-1]) if len(covered) else depth
+            gone = covered > 0
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            inner = at[:-1][at[:-1] < len(gone)]
+            begins[inner] = gone[inner]
+            count = lambda x, at=at: (lambda c: c[at[1:]] - c[at[:-1]])(np.concatenate([[0], np.cumsum(x)]))
+            n = count(gone)
+            removed.append(n)
+            spans.append(count(begins))
+            for i in range(lo, hi):
+                b = data[off[i] : off[i + 1]]
+                k = (b[~gone[at[i - lo] : at[i - lo + 1]]] if n[i - lo] else b).tobytes()
+                kept.append(k.decode("utf-8", errors="ignore") if texts else hashlib.sha256(k).hexdigest())
+        del cover
+        common.release()
+        out = {"n_bytes": np.diff(off), "n_removed": np.concatenate(removed), "n_spans": np.concatenate(spans)}
         if texts:
             rest = group.column("rest").combine_chunks()
-            return pa.table({"rest": rest.cast(pa.struct([f.with_nullable(True) for f in rest.type])), **out, "kept": pa.array([k.decode("utf-8", errors="ignore") for k in kept], pa.string())})
-        return pa.table({"doc_id": group.column("doc_id"), **out, "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
+            return pa.table({"rest": rest.cast(pa.struct([f.with_nullable(True) for f in rest.type])), **out, "kept": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": group.column("doc_id"), **out, "kept_sha256": pa.array(kept, pa.string())})
 
     return run
 
@@ -352,6 +383,7 @@ def _cut(length: int, texts: bool):
 def _dealt_and_found(d: DataFrame, length: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Rows (text without nulls, more columns) by block, and the runs of repeated windows by block."""
     spark = d.sparkSession
+    common.small_batches(spark)
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -373,7 +405,7 @@ def _dealt_and_found(d: DataFrame, length: int, block_bytes: int) -> tuple[DataF
     # one of each different segment takes part in the index
     wanted = same.where("mixed or copies = 1 and one.span & 1 = 1").select("anchor", "one.place", "one.span", (F.col("n") > HOT).alias("hot")).select("*", block("place"))
     pieces = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch(length), "anchor long, place long, start long, windows long, piece binary")
-    partly = pieces.repartition(max(blocks, parts), "anchor").mapInArrow(_match(length, BATCH_BYTES), "place long, first long, windows long")
+    partly = pieces.repartition(2 * blocks, "anchor").mapInArrow(_match(length, BATCH_BYTES), "place long, first long, windows long")
     found = whole.unionByName(partly).select("*", block("place"))
     return dealt, found
 

@@ -25,7 +25,7 @@ from .textvec import LOWER, MOST_DOCS, SHINGLE_BITS, Words, mix, row_ranges, str
 #: Labelled documents of each label that examples are drawn from (smallest hashed ids), and features kept at most.
 SAMPLE, FEATURES = 4_000, 4_096
 NEAREST, BLOCK = 15, 64
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 18
 _BEGINNINGS = (5, 6, 7, 8)
 _TERM = stream(61, 256)[LOWER]
 _AT = stream(62, 16) | np.uint64(1)
@@ -227,6 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_feature
     A feature is chosen if it occurs in least_docs and in least_share of the sample, is least_ratio times as frequent with
     label 1 as with 0, and goes along with it by a chi-square of least_chi2 and of a hundredth of the sample's rows.
     """
+    common.small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     totals = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     picked = [known.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
@@ -240,6 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_feature
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id", "left_semi")
 
     def count(chosen: np.ndarray | None):
+        @common.thrifty
         def run(batches):
             for b in batches:
                 data, off = text_buffer(b.column("text"))
@@ -302,6 +304,7 @@ def score_documents(docs: DataFrame, index: Index, id_col: str = "doc_id", text_
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
 
+    @common.thrifty
     def run(batches):
         memo: dict = {}
         for b in batches:
@@ -328,7 +331,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = 0.5, text_col
     def clean(texts: pa.Array) -> pa.Array:
         data, off = text_buffer(texts)
         memo: dict = {}
-        return pa.array([s < reject for lo, hi in row_ranges(off, _SLICE_BYTES, MOST_DOCS) for s, _, _ in _scores(held.value, data, off[lo : hi + 1], memo)], pa.bool_())
+        scores = [_scores(held.value, data, off[lo : hi + 1], memo) for lo, hi in row_ranges(off, _SLICE_BYTES, MOST_DOCS)]
+        common.release()
+        return pa.array([s < reject for own in scores for s, _, _ in own], pa.bool_())
 
     return docs.where(clean(F.coalesce(F.col(text_col), F.lit(""))))
 
