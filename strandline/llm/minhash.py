@@ -23,7 +23,7 @@ from .textvec import MOST_DOCS, mix, row_ranges, shingle_sets, stream, text_buff
 #: Slots of a signature, and bands it is cut into: a pair at 0.8 misses all 32 bands of 4 with probability 5e-8.
 SLOTS, BANDS = 128, 32
 _RANK_BITS = np.uint64(24)
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 18
 #: What one task compares at once: classes, and shingles of all of them. Larger clusters are compared in pairs of blocks.
 BLOCK_CLASSES, BLOCK_SHINGLES = 2_000, 400_000
 
@@ -94,6 +94,7 @@ def _sets(batches, k: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarra
 def signatures(docs: DataFrame, k: int = 4) -> DataFrame:
     """doc_id, n_shingles, a 128-bit name of the set, and its band keys, for (doc_id long, text string without nulls)."""
 
+    @common.thrifty
     def run(batches):
         for b, lo, hi, s, doc in _sets(batches, k):
             n = hi - lo
@@ -113,6 +114,7 @@ def signatures(docs: DataFrame, k: int = 4) -> DataFrame:
 def full_sets(docs: DataFrame, k: int = 4) -> DataFrame:
     """doc_id and the sorted hashes of its shingles."""
 
+    @common.thrifty
     def run(batches):
         for b, lo, hi, s, doc in _sets(batches, k):
             off = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32)
@@ -181,6 +183,7 @@ def block_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perce
 def _verify(percent: int):
     """Over rows sorted by (cluster, i, j): edges of each group. Holds one group, at most two blocks, at a time."""
 
+    @common.thrifty
     def run(batches):
         now, held = None, []
 
@@ -216,6 +219,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     repeat an id share a component if any of them is linked; a null id is never linked, and kept.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = common.stored(signatures(d, k), "signatures")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -254,3 +258,23 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "te
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over all documents."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), k=4)
+
+
+#: The same as op9_superminhash, by comparing all documents that share a shingle; for small tables.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.a, l.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.doc_id
+"""

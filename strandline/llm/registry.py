@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe_tree
 from .lm import op4_log_bilinear
-from .minhash import op9_superminhash
+from .minhash import OP9_SQL, op9_superminhash
 from .packing import op1_packing
 from .quality import op7_quality_trees
 from .sharding import op2_size_tiered_shards
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_revisits": OP5_SQL}
+    return {"op5_revisits": OP5_SQL, "op9_superminhash": OP9_SQL}
