@@ -243,6 +243,13 @@ y AS (SELECT rank, count(*) FILTER (cov AND on_)::bigint AS tp, count(*) FILTER
             f"{_classified(**_C4)}, th AS (SELECT query_id, string_agg(taxid || ':' || hits, ',' ORDER BY pos) AS top_hits FROM cand GROUP BY 1)",
             "SELECT query_id, query_id || chr(9) || '|' || chr(9) || split_part(header, ' ', 1) || chr(9) || '|' || chr(9) || coalesce(top_hits, '') || chr(9) || '|' || chr(9) || CASE WHEN c.taxid IS NULL THEN '--' ELSE CASE c.rank " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RANKS)) + " END || ':' || t.name || '(' || c.taxid || ')' END AS line FROM cls c JOIN reads USING (query_id) LEFT JOIN th USING (query_id) LEFT JOIN taxa t ON t.taxid = c.taxid",
         ),
+        "all_hits_report": _with(_hits(), "SELECT query_id, string_agg('doc_' || tgt || '/' || win || ':' || hits, ',' ORDER BY tgt, win) AS all_hits FROM hits GROUP BY 1"),
+        "locations_report": _with(f"{_hits()}, {_ranges()}, {_BEST}, {_TAXA}, {_LIN}, {_cands(4, 4)}", "SELECT query_id, string_agg('[' || beg*119 || ',' || (\"end\"*119+128) || ']', ' ' ORDER BY pos) AS locations FROM cand GROUP BY 1"),
+        "abundance_report": _with(
+            f"{_classified(**_C4)}, ab AS (SELECT taxid, count(*) AS n, round(100.0::double * count(*) / (SELECT count(*) FROM cls), 6) AS percent FROM cls GROUP BY 1)",
+            "SELECT a.taxid, CASE WHEN a.taxid IS NULL THEN 'unclassified' ELSE CASE t.rank " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RANKS)) + " END || ':' || t.name END || chr(9) || '|' || chr(9) || a.n || chr(9) || '|' || chr(9) || a.percent || '%' AS line FROM ab a LEFT JOIN taxa t ON t.taxid = a.taxid",
+        ),
+        "info_targets": _with(f"{_TARGETS}, {_TAXA}, {_LIN}", "SELECT tgt, name, (CASE WHEN length(dna) <= 128 THEN 1 ELSE (length(dna)-128)//119 + 1 + CASE WHEN ((length(dna)-128)//119 + 1)*119 < length(dna) THEN 1 ELSE 0 END END)::bigint AS windows, s.anc AS species, o.anc AS domain FROM targets t LEFT JOIN ranked s ON s.taxid = t.taxid AND s.rank = 4 LEFT JOIN ranked o ON o.taxid = t.taxid AND o.rank = 19"),
         "info_lineages": _with(f"{_TAXA}, {_LIN}", "SELECT taxid, " + ", ".join(f'coalesce(max(anc) FILTER (rank = {i}), 0) AS "{RANKS[i]}"' for i in range(20)) + " FROM ranked WHERE taxid < 0 GROUP BY 1"),
         "stream_classify": _with(_classified(), "SELECT query_id, taxid, rank FROM cls"),
     }

@@ -355,6 +355,30 @@ def mapping_report(s, d):
     return report.mapping_lines(_classified(s, d, C4), fx.reads(s, d), fx.taxa(s, d), f, top_hits=report.top_hits_text(cand))
 
 
+@query
+def all_hits_report(s, d):
+    return report.all_hits_text(_hits(s, d), fx.targets(s, d).select("tgt", "name"))
+
+
+@query
+def locations_report(s, d):
+    cand = matching.top_taxa(_best(s, d), _taxon_of(s, d, fx.SPECIES), 4)
+    return report.locations_text(cand, fx.CLASSIFY)
+
+
+@query
+def abundance_report(s, d):
+    return report.abundance_lines(classify.abundances(_classified(s, d, C4)), fx.taxa(s, d))
+
+
+@query
+def info_targets(s, d):
+    """Windows and letters of each target with its species and domain."""
+    a = taxonomy.ranked_arrays(taxonomy.lineages(fx.taxa(s, d)))
+    t = fx.targets(s, d).join(a, "taxid")
+    return t.select("tgt", "name", dna.window_count(F.length("dna"), fx.CLASSIFY).cast("long").alias("windows"), F.get("ranks", F.lit(fx.SPECIES)).alias("species"), F.get("ranks", F.lit(fx.DOMAIN)).alias("domain"))
+
+
 @query
 def info_lineages(s, d):
     """A row for each target: the taxids of all ranks, 0 where there is none."""
