@@ -30,7 +30,7 @@ SYMBOLS = FREQUENT + CLASSES + 1
 END = SYMBOLS - 1
 #: The hash that stands for the end of a text; no word has it but by chance.
 END_HASH = np.uint64(0x5EED0FE11D)
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 18
 _MERGE = 1 << 22
 
 
@@ -161,6 +161,7 @@ def _merged(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, cls, c): hash, class (-1: the end) and count of every distinct token of (text); counted first inside tasks."""
 
+    @common.thrifty
     def run(batches):
         held, size = [], 0
 
@@ -220,6 +221,7 @@ def fit(docs: DataFrame, counts: DataFrame, params: Training = Training()) -> Mo
     for r in rest:
         class_total[r.cls] += r.n + r.v
 
+    @common.thrifty
     def run(batches):
         cells = np.zeros(COARSE * SYMBOLS * SYMBOLS, dtype=np.int64)
         for b in batches:
@@ -246,12 +248,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and what classes add are those of empty counts, and score comes from an untrained model.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learned = d.where(~held_out(F.col("doc_id")))
     counts = common.stored(word_counts(learned), "counts")
     model = fit(learned, counts, params)
     held = spark.sparkContext.broadcast(model)
-    blocks = common.blocks_for(common.text_bytes(d), block_bytes)
+    blocks = max(common.blocks_for(common.text_bytes(d), block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def ask(group: pa.Table) -> pa.Table:
