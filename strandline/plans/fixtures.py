@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import dna_of
 from ..params import RANKS, SketchParams
+from ..storage import spread
 
 DOMAIN, SPECIES, PHYLUM = (RANKS.index(x) for x in ("domain", "species", "phylum"))
 #: Short k-mers, since reads are prose and share no long ones by chance.
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tgt, name, taxid, lang, source, dna): one target for each document."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return d.select(F.col("doc_id").alias("tgt"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), (-F.col("doc_id") - 1).alias("taxid"), "lang", "source", dna_of(F.col("text")).alias("dna"))
 
 

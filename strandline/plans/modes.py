@@ -11,7 +11,7 @@ from ..functions import headers
 from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
 from ..params import MAX_LOCATIONS, RANKS, ClassifyParams, SketchParams
 from ..sources import sequences, taxa
-from ..storage import stored
+from ..storage import spread, stored
 
 
 @dataclass
@@ -69,7 +69,7 @@ def build(spark: SparkSession, paths: list[str], taxonomy_dir: str | None = None
         targets = targets.join(found, "tgt", "left").withColumn("parent", F.coalesce("found", "parent")).drop("found")
     targets = stored(targets, "targets")
     db = Database(tax, targets, None, params)
-    db.features = index.cap_locations(filtered(index.build_index(targets, params), db, max_locations, remove_overpopulated, ambiguous_rank, max_ambiguous), max_locations)
+    db.features = index.cap_locations(filtered(index.build_index(spread(targets), params), db, max_locations, remove_overpopulated, ambiguous_rank, max_ambiguous), max_locations)
     return db
 
 
@@ -101,7 +101,7 @@ def modify(spark: SparkSession, db: Database, paths: list[str] = (), taxonomy_di
         first = targets.agg(F.coalesce(F.max("tgt") + 1, F.lit(0)).alias("n")).first()["n"]
         new = number_targets(spark, list(paths), mapping, first).join(targets.select("name"), "name", "left_anti").select(*targets.columns)
         new = stored(new, "targets")
-        features = index.cap_locations(features.unionByName(index.build_index(new, db.params)), max_locations)
+        features = index.cap_locations(features.unionByName(index.build_index(spread(new), db.params)), max_locations)
         targets = targets.unionByName(new)
     return Database(tax, targets, features, db.params)
 
