@@ -30,6 +30,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LOOK = 4
 #: Texts of more characters are cut into leaves of so many.
 LEAF = 32_768
+#: Words whose ids a worker remembers, and characters whose ids it holds at once.
+REMEMBERED, HELD = 50_000, 1 << 18
 
 
 def default_vocabulary() -> str:
@@ -81,7 +83,7 @@ class Bpe:
         """A leaf: the encoding of text with its word boundaries. text holds no special token."""
         out = Node(text, [])
         memo = self.memo
-        if len(memo) > 500_000:
+        if len(memo) > REMEMBERED:
             memo.clear()
         for m in self.words.finditer(text):
             w = m.group()
@@ -246,8 +248,18 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
     @common.thrifty
     def direct(batches):
         coder = bpe(path)
+        docs, ids, size = [], [], 0
         for b in batches:
-            yield finish(coder, b.column("doc_id").to_pylist(), [coder.encode(t, leaf).tolist() for t in b.column("text").to_pylist()])
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                own = text.as_py()
+                docs.append(doc_id)
+                ids.append(coder.encode(own, leaf).tolist())
+                size += len(own)
+                if size > HELD:
+                    yield finish(coder, docs, ids)
+                    docs, ids, size = [], [], 0
+        if docs:
+            yield finish(coder, docs, ids)
 
     short = d.where(~split).mapInArrow(direct, schema)
     # a row's name must not depend on where it is read: equal rows share one, and their number is carried along
