@@ -1,9 +1,5 @@
 import pytest
-
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
-#: Nulls, empty, repeated and tied rows, odd white space, several scripts, and a very long word.
-TEXTS = [None, "", " ", "one", "one two", "The quick brown fox jumps over the lazy dog.\nThe quick brown fox.", "a　b\xa0c", "漢字かな交じり文の例です。" * 30, "naïve café – déjà vu\r\n\tx\x0by", "x" * 5000, "  <|endoftext|>  it's we're !!<|endoftext|>", "emoji 👩‍👩‍👧 " * 40, "word " * 3000]
+from odd_tables import DOCS, TEXTS
 
 
 @pytest.fixture
@@ -16,12 +12,3 @@ def odd_docs(spark):
 @pytest.fixture
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
-
-
-def with_clashing_columns(df):
-    """df with more columns under names that operators use inside."""
-    from pyspark.sql import functions as F
-
-    for c in ("n", "a", "b", "row", "part", "component", "key", "score", "kept", "ids", "edited"):
-        df = df.withColumn(c, F.lit("clash"))
-    return df

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import regex
 import xxhash
-from conftest import TEXTS, with_clashing_columns
+from odd_tables import TEXTS, with_clashing_columns
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from strandline.llm import bpe, packing, winnowing

@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from conftest import with_clashing_columns
+from odd_tables import with_clashing_columns
 from pyspark.sql import functions as F
 from test_suffix import brute as brute_cut
 from test_text_operators import brute_components, brute_quality

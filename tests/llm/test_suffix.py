@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import with_clashing_columns
+from odd_tables import with_clashing_columns
 from strandline.llm import suffix
 
 

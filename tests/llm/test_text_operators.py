@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import with_clashing_columns
+from odd_tables import with_clashing_columns
 from strandline.llm import lm, minhash, quality, textvec, toxicity
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
