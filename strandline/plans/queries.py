@@ -31,7 +31,10 @@ def _capped(s, d):
 
 
 def _hits(s, d, reads=None):
-    return matching.probe(sketching.read_features(fx.reads(s, d) if reads is None else reads, fx.CLASSIFY), _capped(s, d))
+    """Caps hold for each feature alone, so features that no read has are dropped before they are sorted for them."""
+    features = sketching.read_features(fx.reads(s, d) if reads is None else reads, fx.CLASSIFY)
+    found = _index(s, d).join(features.select("feature").distinct(), "feature", "left_semi")
+    return matching.probe(features, index.cap_locations(found))
 
 
 def _best(s, d):
