@@ -1,18 +1,21 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, and weighted votes.
 
-Features are words (A-Z lowered, outer punctuation removed) and their beginnings of 5 to 8 bytes. Of these the labelled
-sample selects those that go along with the label. A document is a vector of (1 + log tf) * idf over them, and one more
-entry that every document has and that grows with its length: it keeps a stray match in a long text from looking like a
-text that consists of such words. Equal example vectors are one entry with summed votes.
+Features are words (A-Z lowered, outer punctuation removed) and their beginnings of 5 to 8 bytes: all of the labelled
+sample, however rare. A document is a vector of (1 + log tf) * idf * label weight over them, where the label weight grows
+smoothly with how far and how surely the feature goes along with the label (see label_weight), and one more entry that every
+document has and that grows with its length: it keeps a stray match in a long text from looking like a text that consists of
+such words. Equal example vectors are one entry with summed votes.
 
 The index lists each feature's examples in blocks of neighbours, with the largest weight of each block. A query sums
-these into a bound for each block, visits blocks by falling bound, and stops when no block left can reach its k-th best:
-the result equals that of comparing with all examples.
+the postings of its heaviest features into a bound for each block, visits blocks by falling bound, stops when no block left
+can reach its k-th best, and completes the cosines of what is left: the result equals that of comparing with all examples.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +25,12 @@ from pyspark.sql import functions as F
 from . import common
 from .textvec import LOWER, MOST_DOCS, SHINGLE_BITS, Words, mix, row_ranges, stream, text_buffer, words_of
 
-#: Labelled documents of each label that examples are drawn from (smallest hashed ids), and features kept at most.
-SAMPLE, FEATURES = 4_000, 4_096
-NEAREST, BLOCK = 15, 64
+#: Labelled documents of each label that examples are drawn from (smallest hashed ids).
+SAMPLE = 4_000
+#: Neighbours that vote, and examples in a block: the index has a cell for each feature and block, and features are many.
+NEAREST, BLOCK = 15, 512
+#: Norm of the part of a query's unit vector whose postings are not read.
+_LIGHT = 0.01
 _SLICE_BYTES = 1 << 18
 _BEGINNINGS = (5, 6, 7, 8)
 _TERM = stream(61, 256)[LOWER]
@@ -65,19 +71,16 @@ def feature_counts(data: np.ndarray, off: np.ndarray, chosen: np.ndarray | None
     bare = _bare(words)
     size = bare.end - bare.start
     parts, docs = [], []
-    if chosen is not None and len(chosen):
+    few = chosen is not None and 0 < len(chosen) < 1 << 15
+    if few:
         table = np.zeros(1 << 18, dtype=bool)  # lets nearly all others be passed over
         table[(chosen & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
     def take(h: np.ndarray, own: np.ndarray) -> None:
         h = h & _LOW
-        if chosen is not None:
-            if not len(chosen):
-                return
+        if few:
             near = np.flatnonzero(table[(h & np.uint64((1 << 18) - 1)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(chosen, h[near]), len(chosen) - 1)
-            hit = chosen[place] == h[near]
-            h, own = place[hit].astype(np.uint64), own[near[hit]]
+            h, own = h[near], own[near]
         parts.append(h)
         docs.append(own)
 
@@ -94,7 +97,12 @@ def feature_counts(data: np.ndarray, off: np.ndarray, chosen: np.ndarray | None
     key = np.concatenate(docs) << np.uint64(SHINGLE_BITS) | np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
     key.sort()
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-    return (key[first] >> np.uint64(SHINGLE_BITS)).astype(np.int64), key[first] & _LOW, np.diff(np.append(first, len(key))), n_words
+    doc, f, counts = (key[first] >> np.uint64(SHINGLE_BITS)).astype(np.int64), key[first] & _LOW, np.diff(np.append(first, len(key)))
+    if chosen is not None:
+        place = np.searchsorted(chosen, f)
+        hit = np.append(chosen, _LOW + np.uint64(1))[place] == f
+        doc, f, counts = doc[hit], place[hit].astype(np.uint64), counts[hit]
+    return doc, f, counts, n_words
 
 
 def _whole_hashes(words: Words) -> np.ndarray:
@@ -117,7 +125,7 @@ class Index:
     """Distinct example vectors, by feature and block; see the module's text."""
 
     chosen: np.ndarray  # sorted hashes of features
-    idf: np.ndarray
+    idf: np.ndarray  # of each feature, times its label weight
     votes: np.ndarray  # of each example: weight of label 0 and of label 1, together log2(1 + rows that it stands for)
     witness: np.ndarray  # of each example: the smallest id that has its vector
     length: np.ndarray  # of each example: its entry for the length
@@ -129,10 +137,23 @@ class Index:
     length_weight: float = 0.5
 
     def __post_init__(self):
-        blocks = -(-len(self.votes) // BLOCK)
-        self.longest = np.array([self.length[i * BLOCK : (i + 1) * BLOCK].max() for i in range(blocks)])
+        n, blocks = len(self.votes), -(-len(self.votes) // BLOCK)
         #: what is nearest among examples that share no feature with a query
-        self.bare = np.lexsort((np.arange(len(self.length)), -self.length))
+        self.bare = np.lexsort((np.arange(n), -self.length))
+        #: of each example: the norm of its features' weights
+        self.norm = np.sqrt(np.bincount(self.example, self.weight.astype(np.float64) ** 2, n)) * (1 + 1e-9)
+        self.longest, self.steepest = (np.array([x[i * BLOCK : (i + 1) * BLOCK].max() for i in range(blocks)]) for x in (self.length, self.norm))
+
+    @cached_property
+    def _query(self) -> np.ndarray:
+        return np.zeros(len(self.chosen))
+
+    @cached_property
+    def _own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each example's features begin, these and their weights: made by the workers, which spares sending them."""
+        order = np.argsort(self.example, kind="stable").astype(np.int32)
+        feature = np.repeat(np.repeat(np.arange(len(self.chosen), dtype=np.int32), self.ceiling.shape[1]), np.diff(self.row))
+        return np.append(0, np.cumsum(np.bincount(self.example, minlength=len(self.votes)))), feature[order], self.weight[order]
 
     def vector(self, features: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, float]:
         """The unit vector of one document: weights of its features, and its entry for the length."""
@@ -143,44 +164,56 @@ class Index:
     def nearest(self, features: np.ndarray, weights: np.ndarray, length: float, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine, ties by their number; exact.
 
-        Examples without a common feature differ by their length's entry alone, so the first k by that are enough of them.
+        Postings are read for the heaviest features alone. What all lighter ones can add to an example is at most the product
+        of their norm and the example's own, and is computed for those examples that it may bring among the best.
         """
         i = self.bare[:k]
-        best = i, length * self.length[i]
-        if len(features):
-            bound = weights @ self.ceiling[features]
-            order = np.argsort(-(bound + length * self.longest), kind="stable")
-            order = order[bound[order] > 0]
-            bound += length * self.longest
-            # the first blocks give a k-th best; then all others that may hold a better one are visited at once
-            best = self._better(best, self._visit(features, weights, length, order[:2]), k)
-            rest = order[2:]
-            if len(best[0]) == k:
-                rest = rest[bound[rest] >= best[1][-1] - 1e-12]
-            if len(rest):
-                best = self._better(best, self._visit(features, weights, length, rest), k)
-        return best[1], best[0]
-
-    def _better(self, a: tuple, b: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of two lists of (examples, cosines). An example in both has its true cosine in the second."""
-        fresh = ~np.isin(a[0], b[0])
-        i, s = np.append(a[0][fresh], b[0]), np.append(a[1][fresh], b[1])
-        if len(s) > 4 * k:
-            near = s >= np.partition(s, len(s) - k)[len(s) - k]
+        if not len(features):
+            return length * self.length[i], i
+        order = np.argsort(-weights, kind="stable")
+        features, weights = features[order], weights[order]
+        left = np.sqrt(np.cumsum((weights * weights)[::-1])[::-1])
+        m = int(np.searchsorted(-left, -_LIGHT))
+        rest = float(left[m]) if m < len(left) else 0.0
+        bound = weights[:m] @ self.ceiling[features[:m]] + rest * self.steepest + length * self.longest
+        order = np.argsort(-bound, kind="stable")
+        # the first blocks give a k-th best; then all others that may hold a better one are visited at once
+        i, s = self._visit(features[:m], weights[:m], length, order[:2])
+        more = order[2:]
+        if len(i) >= k:
+            more = more[bound[more] >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12]
+        if len(more):
+            i, s = (np.concatenate(x) for x in zip((i, s), self._visit(features[:m], weights[:m], length, more)))
+        if len(i) > k:
+            near = s + rest * self.norm[i] >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12
             i, s = i[near], s[near]
+        s = s + self._light(features[m:], weights[m:], i)
         top = np.lexsort((i, -s))[:k]
-        return i[top], s[top]
+        return s[top], i[top]
 
     def _visit(self, features: np.ndarray, weights: np.ndarray, length: float, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of some blocks that share a feature, with their cosines."""
+        """All examples of some blocks, with their cosines as far as these features and the length give them."""
         cell = (features[:, None] * self.ceiling.shape[1] + blocks[None, :]).ravel()
-        lo, size = self.row[cell], self.row[cell + 1] - self.row[cell]
+        lo = self.row[cell].astype(np.int64)
+        size = self.row[cell + 1] - lo
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        example = self.example[at]
-        dot = np.bincount(example, np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[at], len(self.votes))
-        i = np.flatnonzero(dot)
+        dot = np.bincount(self.example[at], np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[at], len(self.votes))
+        i = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        i = i[i < len(self.votes)]
         return i, dot[i] + length * self.length[i]
 
+    def _light(self, features: np.ndarray, weights: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """What some features add to the cosines of some examples."""
+        if not len(features):
+            return np.zeros(len(i))
+        first, feature, weight = self._own
+        self._query[features] = weights
+        size = first[i + 1] - first[i]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[i], size)
+        dot = np.bincount(np.repeat(np.arange(len(i)), size), self._query[feature[at]] * weight[at], len(i))
+        self._query[features] = 0
+        return dot
+
     def score(self, features: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[float, int | None, float]:
         """Share of label 1 among weighted votes, the nearest example's id, and its cosine.
 
@@ -201,31 +234,43 @@ def build_index(docs: list[tuple[int, np.ndarray, np.ndarray, int]], label: np.n
     merged: dict[tuple, list] = {}
     for (doc, f, c, n), y, w in zip(docs, label, row_weight):
         v, size = plain.vector(f, c, n)
-        own = merged.setdefault((tuple(f), tuple(np.round(v, 6))), [doc, f, v, size, np.zeros(2)])
+        f, v = f.astype(np.int32, copy=False), v.astype(np.float32)
+        own = merged.setdefault(blake2b(f.tobytes() + np.round(v, 6).tobytes(), digest_size=16).digest(), [doc, f, v, size, np.zeros(2)])
         own[0] = min(own[0], doc)
         own[4][int(y)] += w
-    # neighbours in this order share features, which makes the blocks' bounds tight
-    own = [merged[k] for k in sorted(merged)]
+    # neighbours in this order share their heaviest features, which makes the blocks' bounds tight
+    own = [merged[k] for k in sorted(merged, key=lambda k: (merged[k][1][np.argsort(-merged[k][2], kind="stable")[:8]].tolist(), k))]
     blocks = -(-len(own) // BLOCK)
     if not own:
         return plain
-    number = np.repeat(np.arange(len(own)), [len(x[1]) for x in own])
-    feature, weight = np.concatenate([x[1] for x in own]).astype(np.int64), np.concatenate([x[2] for x in own])
-    cell = feature * blocks + number // BLOCK
+    number = np.repeat(np.arange(len(own), dtype=np.int32), [len(x[1]) for x in own])
+    weight = np.concatenate([x[2] for x in own])
+    cell = np.concatenate([x[1] for x in own]).astype(np.int32 if len(chosen) * blocks < 2**31 else np.int64) * blocks + number // BLOCK
     order = np.argsort(cell, kind="stable")
-    row = np.searchsorted(cell[order], np.arange(len(chosen) * blocks + 1))
-    ceiling = np.zeros(len(chosen) * blocks)
+    row = np.append(0, np.cumsum(np.bincount(cell, minlength=len(chosen) * blocks)))
+    row = row.astype(np.int32) if len(cell) < 2**31 else row
+    ceiling = np.zeros(len(chosen) * blocks, dtype=np.float32)
     np.maximum.at(ceiling, cell, weight)
     rows = np.array([x[4] for x in own])
     votes = rows * (np.log2(1 + rows.sum(axis=1)) / rows.sum(axis=1))[:, None]
     return Index(chosen, idf, votes, np.array([x[0] for x in own]), np.array([x[3] for x in own]), row, number[order], weight[order], ceiling.reshape(len(chosen), blocks), share)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = FEATURES, least_docs: int = 3, least_share: float = 0.002, least_chi2: float = 12.0, least_ratio: float = 2.0) -> Index:
+def label_weight(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Of features that a of n1 texts of label 1 and b of n0 of label 0 have: the square of their log odds between the labels,
+    times c^2 / (c^2 + 4.5^2) with c its chi-square. No feature is left out: the chi-square only tells how far its odds are to be believed.
+    """
+    a, b = np.asarray(a, dtype=np.float64), np.asarray(b, dtype=np.float64)
+    n = n1 + n0
+    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n - a - b) * float(n1 * n0), 1e-9)
+    return odds**2 * chi2**2 / (chi2**2 + 4.5**2)
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     """An index from (doc_id, text) and (doc_id, toxic); at most sample labelled rows of each label, weighted to stand for all.
 
-    A feature is chosen if it occurs in least_docs and in least_share of the sample, is least_ratio times as frequent with
-    label 1 as with 0, and goes along with it by a chi-square of least_chi2 and of a hundredth of the sample's rows.
+    It holds every feature of the sampled texts; its size is theirs.
     """
     common.small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -240,43 +285,41 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_feature
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in label], "doc_id long"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id", "left_semi")
 
-    def count(chosen: np.ndarray | None):
-        @common.thrifty
-        def run(batches):
-            for b in batches:
-                data, off = text_buffer(b.column("text"))
-                ids = b.column("doc_id").to_numpy()
-                for lo, hi in row_ranges(off, _SLICE_BYTES, MOST_DOCS):
-                    doc, f, c, n = feature_counts(data, off[lo : hi + 1], chosen)
-                    if chosen is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(f.view(np.int64))], names=["doc_id", "f"])
-                    else:
-                        at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32)
-                        lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int64))) for x in (f, c)]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), *lists, pa.array(n)], names=["doc_id", "f", "c", "n"])
-
-        return run
-
-    y_of = F.broadcast(spark.createDataFrame(list(label.items()), "doc_id long, y int"))
-    n1 = sum(label.values())
-    n0 = len(label) - n1
-    df = texts.mapInArrow(count(None), "doc_id long, f long").join(y_of, "doc_id").groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    df = df.where(f"a + b >= {max(least_docs, round(least_share * len(label)))} and a * {n0} > {least_ratio} * b * {n1}")
-    a, b = F.col("a"), F.col("b")
-    c, d = F.lit(n1) - a, F.lit(n0) - b
-    chi2 = F.lit(float(n0 + n1)) * (a * d - b * c) * (a * d - b * c).cast("double") / ((a + b) * (c + d)).cast("double") / F.lit(float(max(1, n0 * n1)))
-    best = df.withColumn("chi2", chi2).where(F.col("chi2") >= max(least_chi2, 0.01 * len(label))).orderBy(F.desc("chi2"), "f").limit(most_features).collect()  # bounded
-    best = sorted(best, key=lambda r: r.f)
-    chosen = np.array([r.f for r in best], dtype=np.int64).view(np.uint64)
-    weight = {0: totals.get(0, 0) / max(1, n0), 1: totals.get(1, 0) / max(1, n1)}
+    @common.thrifty
+    def run(batches):
+        for b in batches:
+            data, off = text_buffer(b.column("text"))
+            ids = b.column("doc_id")
+            for lo, hi in row_ranges(off, _SLICE_BYTES, MOST_DOCS):
+                doc, f, c, n = feature_counts(data, off[lo : hi + 1])
+                at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (f.view(np.int64), c.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *lists, pa.array(n)], names=["doc_id", "f", "c", "n"])
+
+    rows = texts.mapInArrow(run, "doc_id long, f array<long>, c array<int>, n long").toArrow()  # at most 2 * sample texts
+    ids, words = (rows.column(x).to_numpy() for x in ("doc_id", "n"))
+    lists = [rows.column(x).combine_chunks() for x in ("f", "c")]
+    if isinstance(lists[0], pa.ChunkedArray):  # no rows
+        lists = [pa.array([], x.type) for x in lists]
+    first = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]).astype(np.int64)
+    hashes, counts = lists[0].flatten().to_numpy().view(np.uint64), lists[1].flatten().to_numpy()
+    y = np.array([label[i] for i in ids.tolist()], dtype=np.int64)
+    chosen, place = np.unique(hashes), np.empty(len(hashes), dtype=np.int32)
+    a, b = np.zeros(len(chosen), dtype=np.int64), np.zeros(len(chosen), dtype=np.int64)
+    for i, own in enumerate(y):  # text by text: nothing else of the size of all postings
+        at = slice(first[i], first[i + 1])
+        place[at] = np.searchsorted(chosen, hashes[at])
+        (a if own else b)[place[at]] += 1
+    del rows, lists, hashes
+    common.release()
+    weight = np.array([totals.get(x, 0) / max(1, sum(v == x for v in label.values())) for x in (0, 1)])
     n = sum(totals.values())
-    idf = np.log((1 + n) / (1 + np.array([r.a * weight[1] + r.b * weight[0] for r in best], dtype=np.float64))) if best else np.zeros(0)
-    rows = texts.mapInArrow(count(chosen), "doc_id long, f array<long>, c array<long>, n long").toArrow().to_pylist()  # at most 2 * sample rows of at most most_features places
-    rows.sort(key=lambda r: (r["doc_id"], r["n"]))
-    return build_index([(r["doc_id"], np.array(r["f"], dtype=np.int64), np.array(r["c"], dtype=np.float64), r["n"]) for r in rows], np.array([label[r["doc_id"]] for r in rows]), np.array([weight[label[r["doc_id"]]] for r in rows]), chosen, idf, share)
+    idf = np.log(np.maximum(1, (1 + n) / (1 + a * weight[1] + b * weight[0]))) * label_weight(a, b, int(y.sum()), int((1 - y).sum()))
+    order = np.lexsort((words, ids))
+    return build_index([(int(ids[i]), place[first[i] : first[i + 1]], counts[first[i] : first[i + 1]], int(words[i])) for i in order], y[order], weight[y[order]], chosen, idf, share)
 
 
-#: Scores that a worker remembers: most texts have few features, and the same ones.
+#: Scores that a worker remembers, by 128 bits of what they are made from: exact copies are scored once.
 _REMEMBERED = 200_000
 
 
@@ -288,7 +331,7 @@ def _scores(index: Index, data: np.ndarray, off: np.ndarray, memo: dict) -> list
     for i, n in enumerate(n_words):
         lo, hi = first[i], first[i + 1]
         # without features, documents differ by their length alone, which leaves their unit vector the same
-        key = (f[lo:hi].tobytes(), c[lo:hi].tobytes(), _near_length(int(n)) if hi > lo else 0)
+        key = blake2b(f[lo:hi].tobytes() + c[lo:hi].tobytes() + bytes([_near_length(int(n)).bit_length() if hi > lo else 0]), digest_size=16).digest()
         if key not in memo:
             if len(memo) >= _REMEMBERED:
                 memo.clear()
@@ -300,7 +343,7 @@ def _scores(index: Index, data: np.ndarray, off: np.ndarray, memo: dict) -> list
 def score_documents(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), nearest (an example's id: the evidence) and cosine: one row for each input row.
 
-    Null and empty texts are scored as texts without any chosen feature; null ids stay null; other columns are dropped.
+    Null and empty texts are scored as texts without any known feature; null ids stay null; other columns are dropped.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
 

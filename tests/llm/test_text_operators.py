@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -179,6 +180,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == with_clashing_columns(docs).columns and 175 <= kept.count() <= 185
 
 
+def test_toxicity_knows_rare_words(spark):
+    """Sixty words that mark the label, each in four of 480 examples: far too rare for any of them to stand out alone."""
+    r, rows, two = random.Random(8), [], ["".join(x) for x in itertools.combinations("abcdefghijkl", 2)]
+    for i in range(960):
+        t = ["w" + two[r.randrange(50)] for _ in range(30)]
+        if i % 2:
+            t[r.randrange(30)] = "z" + two[i // 2 % 60]
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(480)], "doc_id long, quality int, toxic int")
+    index = toxicity.learn(docs, labels)
+    assert len(index.chosen) == 110  # all words of the examples
+    found = toxicity.score_documents(docs, index).where("doc_id >= 480").collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in found) >= 460
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(5, None, 1), (5, 1, None), (None, None, 1), (6, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
