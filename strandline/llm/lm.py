@@ -4,12 +4,15 @@ Output symbols are the most frequent words, the end of a text, and classes of al
 a word of a class is told by its add-one frequency there, so probabilities add up to one over all words, unseen ones
 included. The context is the symbol before and the coarse class of the one before that: each is embedded, multiplied by the
 matrix of its position, and the sum is matched with every symbol's vector (log-bilinear). How often each symbol follows each
-context is counted over all training texts, which gives both terms of the noise-contrastive objective exactly; this table
-has a fixed number of cells, whatever the corpus. For scoring, one batched matrix product over all contexts and a softmax
-give normalised log-probabilities.
+context is counted over all training texts, which gives both terms of the noise-contrastive objective exactly. For scoring,
+one batched matrix product over all contexts and a softmax give normalised log-probabilities.
 
-Counts of all words stay distributed: blocks of texts ask for the counts of their distinct words and get them back.
-Words are told apart by 64-bit hashes.
+That model is what a word's own context backs off to. Contexts themselves are all words of the corpus, and grow with it: how
+often each word follows each other one is counted, and a word's probability is (its count after the word before + t * the
+model's) / (the word before's count + t), t being how many different words follow that one (Witten-Bell). It adds up to one.
+
+Counts of all words and pairs stay distributed: blocks of texts ask for those of their distinct words and pairs and get them
+back. Words and pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ END = SYMBOLS - 1
 END_HASH = np.uint64(0x5EED0FE11D)
 _SLICE_BYTES = 1 << 18
 _MERGE = 1 << 22
+_PAIR_MERGE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -158,6 +162,42 @@ def _merged(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
     return u, c[first], np.bincount(inverse, n, len(u)).astype(np.int64)
 
 
+def pairs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token the hash of what stands before it (the end, at the beginning of a text), and that of the two."""
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[at[:-1]] = END_HASH
+    return before, mix(mix(before ^ np.uint64(0xB16A)) + h)
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(p, h, c): hash of every distinct pair of consecutive tokens of (text), its first token, and its count."""
+
+    @common.thrifty
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for _, _, h, _, at in _texts(b):
+                before, p = pairs(h, at)
+                held.append(_merged(p, before, np.ones(len(p))))
+                size += len(held[-1][0])
+                if size > _PAIR_MERGE:
+                    yield from _pair_batches(held)
+                    held, size = [], 0
+        if held:
+            yield from _pair_batches(held)
+
+    parts = docs.select("text").mapInArrow(run, "p long, h long, c long")
+    return parts.groupBy("p").agg(F.min("h").alias("h"), F.sum("c").alias("c"))
+
+
+def _pair_batches(held):
+    p, h, n = _merged(*(np.concatenate(x) for x in zip(*held)))
+    for i in range(0, len(p), 1 << 16):
+        s = slice(i, i + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(p[s].view(np.int64)), pa.array(h[s].view(np.int64)), pa.array(n[s])], names=["p", "h", "c"])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, cls, c): hash, class (-1: the end) and count of every distinct token of (text); counted first inside tasks."""
 
@@ -194,7 +234,7 @@ def _count_batches(h, c, n):
 
 @dataclass
 class Model:
-    """What scoring needs beside the counts: a bounded object, the same size for any corpus."""
+    """What scoring needs beside the counts of words and pairs: what these back off to, the same size for any corpus."""
 
     vocabulary: Vocabulary
     log10: np.ndarray  # contexts x symbols
@@ -240,6 +280,11 @@ def fit(docs: DataFrame, counts: DataFrame, params: Training = Training()) -> Mo
     return Model(vocabulary, log10, class_total, int(total.n or 0), int(total.v or 0))
 
 
+def witten_bell(pair: np.ndarray, before: np.ndarray, t: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Probabilities by counts of a pair and of its first token, which t different ones follow; the model's after new ones."""
+    return np.where(before > 0, (pair + t * model) / np.maximum(1, before + t), model)
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, params: Training = Training()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each input row.
 
@@ -252,6 +297,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learned = d.where(~held_out(F.col("doc_id")))
     counts = common.stored(word_counts(learned), "counts")
+    followed = common.stored(pair_counts(learned), "pairs")
+    # t: how many different tokens follow a word
+    after = followed.groupBy("h").agg(F.count("*").alias("t"))
+    answers = counts.select("h", "c").join(after, "h", "left").unionByName(followed.select(F.col("p").alias("h"), "c", F.lit(0).cast("long").alias("t")))
     model = fit(learned, counts, params)
     held = spark.sparkContext.broadcast(model)
     blocks = max(common.blocks_for(common.text_bytes(d), block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -259,14 +308,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def ask(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
-        own = np.unique(np.concatenate([np.unique(h) for b in group.to_batches() for _, _, h, _, _ in _texts(b)]))
+        own = np.unique(np.concatenate([np.unique(x) for b in group.to_batches() for _, _, h, _, at in _texts(b) for x in (h, pairs(h, at)[1])]))
         return pa.table({"block": pa.array(np.full(len(own), block, dtype=np.int32)), "h": pa.array(own.view(np.int64))})
 
     def score(group: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = held.value
-        h0, c0 = known.column("h").to_numpy().view(np.uint64), known.column("c").to_numpy()
+        h0, c0, t0 = known.column("h").to_numpy().view(np.uint64), known.column("c").to_numpy(), known.column("t").to_numpy()
         order = np.argsort(h0)
-        h0, c0 = h0[order], c0[order]
+        h0, c0, t0 = h0[order], c0[order], t0[order]
         ids, out = [], []
         for b in group.to_batches():
             for lo, hi, h, c, at in _texts(b):
@@ -275,6 +324,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 lp = m.log10[m.vocabulary.contexts(symbol, at), symbol].astype(np.float64)
                 tail = np.flatnonzero((symbol >= FREQUENT) & (symbol < END))
                 lp[tail] += np.log10((n[tail] + 1) / m.class_total[symbol[tail] - FREQUENT])
+                before, p = pairs(h, at)
+                place = np.searchsorted(h0, before)
+                lp = np.log10(witten_bell(c0[np.searchsorted(h0, p)], c0[place], t0[place], 10**lp))
                 base = np.log10((n + 1) / (m.n + 1 * (m.v + 1)))
                 ids.append(b.column("doc_id").slice(lo, hi - lo))
                 out.append(np.stack([np.diff(at), np.add.reduceat(n > 0, at[:-1], dtype=np.int64), np.add.reduceat(base, at[:-1]), np.add.reduceat(lp, at[:-1])]))
@@ -282,7 +334,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": lp})
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, h long")
-    answered = asked.join(counts.select("h", "c"), "h", "left").select("block", "h", F.coalesce("c", F.lit(0)).alias("c"))
+    answered = asked.join(answers, "h", "left").select("block", "h", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("t", F.lit(0)).alias("t"))
     out = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -251,6 +251,22 @@ def test_lm_learns_order_and_is_normalised(spark, no_docs):
     assert lm.score_documents(no_docs).count() == 0
 
 
+def test_lm_contexts_grow_with_the_corpus(spark):
+    """Two thousand words of equal frequency, each with a follower of its own: the order of nearly all of them is learned."""
+    name = lambda i: "q" + "abcdefghijklmnopqrstuvwxyz"[i // 676 % 26] + "abcdefghijklmnopqrstuvwxyz"[i // 26 % 26] + "abcdefghijklmnopqrstuvwxyz"[i % 26]
+    follow = lambda i: (i * 7 + 3) % 2000
+    r = random.Random(12)
+    starts = [r.randrange(2000) for _ in range(1500)]
+    texts = [" ".join(name(x) for x in itertools.accumulate(range(11), lambda x, _: follow(x), initial=i)) for i in starts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r for r in lm.score_documents(docs, params=lm.Training(steps=5)).collect() if r.held_out]
+    assert len(found) > 100
+    # a uniform guess among the words costs 3.3 for each; a known follower costs far less
+    assert sum(r.score for r in found) / sum(r.n_tokens for r in found) > -1.5
+    pair, before, t = np.array([3, 1, 0, 0]), np.array([4] * 4), np.array([2] * 4)
+    assert np.isclose(lm.witten_bell(pair, before, t, np.array([0.1, 0.2, 0.3, 0.4])).sum(), 1)
+
+
 def test_words_and_hashes():
     texts = ["a b", "", "b  a\x0bX", "x" * 3000, "x" * 3001, "ü ü", " lead", "trail "]
     data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
