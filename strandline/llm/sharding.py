@@ -160,6 +160,8 @@ class ShardStore:
                     run = []
                 run.append(s)
             runs.append(run)
+        # a run that no job could take whole is taken in parts
+        runs = [run[i : i + self.policy.most_shards] for run in runs for i in range(0, len(run), self.policy.most_shards)]
         least = 2 if final else self.policy.fanout
         picked, n = [], 0
         for run in runs:

@@ -44,6 +44,15 @@ def test_many_runs_in_one_job_keep_all_rows(spark, tmp_path):
     assert sum(x.rows for x in again.shards) == 3000 and len({x.name for x in again.shards}) == len(again.shards)
 
 
+def test_a_run_longer_than_a_job_is_merged_in_parts(spark, tmp_path):
+    s = store(spark, tmp_path, fanout=2, most_shards=4)
+    for i in range(3):
+        s.append(spark.range(i * 30, i * 30 + 30).repartition(3))
+    assert len(s.manifest().shards) == 9 and [len(x) for x in s.plan(s.manifest().shards)] == [4]
+    assert len(s.compact().shards) == 1
+    assert sorted(r.id for r in s.read().collect()) == list(range(90))
+
+
 def test_commit_is_exclusive_and_a_torn_manifest_is_ignored(spark, tmp_path):
     s = store(spark, tmp_path)
     one = s.commit([], 0)
