@@ -249,10 +249,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns; null ids stay."""
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns; null ids stay.
+
+    Of rows that repeat both doc_id and text one stays.
+    """
     judged = near_duplicates(docs, k, percent, "doc_id", text_col)
     gone = common.stored(judged.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(common.bounded_broadcast(gone, 16), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = docs.join(common.bounded_broadcast(gone, 16), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    again = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64(F.col(f"`{text_col}`")).alias("h")).count().where("count > 1")
+    again = common.stored(again.select("doc_id").distinct(), "again")
+    if again.isEmpty():
+        return kept
+    again = common.bounded_broadcast(again, 16)  # only texts of these ids are shuffled
+    own, rest = (kept.join(again, "doc_id", how).select(*(F.col(f"`{c}`") for c in docs.columns)) for how in ("left_semi", "left_anti"))
+    return rest.union(own.dropDuplicates(["doc_id", text_col]))
 
 
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

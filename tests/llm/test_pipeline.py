@@ -44,6 +44,17 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in kept["packing"]} == {r.doc_id for r in kept["suffix_dedup"]}
 
 
+def test_repeated_rows_leave_one_whole_text(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(1, text(1)), (1, text(1)), (1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, kept.collect())) == sorted(map(key, rows[2:]))
+    cut = corpus_pipeline.cut_passages(spark, kept, SF)
+    assert sorted(map(key, cut.collect())) == sorted(map(key, rows[2:]))
+
+
 def test_run_equals_its_stages(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() > 0 and "sequence_id" in found.columns
