@@ -1,19 +1,22 @@
 """Byte-level BPE: exact encoding by tree concatenation, and decoding.
 
-A long text is cut into leaves that are encoded in parallel. Two neighbours are then joined: text around the cut is
-encoded anew in a window that grows until a word boundary of the window and one of the right side agree, and on the left
-it starts at a boundary that the left side knows to be final. The result equals the encoding of the whole.
-
-Why the join is exact: the pre-tokenizer matches from left to right and looks at most LOOK characters ahead, so (1) a
-boundary LOOK characters before the end of the left side is one of the joined text too, and (2) from any boundary on, what
-follows depends only on the text to the right. BPE then works inside each word alone.
+A long text is cut into leaves that are encoded in parallel. Most cuts lie where a word of the pre-tokenizer ends for
+certain, whatever stands around them (CERTAIN), so that the ids on both sides are simply put together. Text without such
+a place, one word of any length, is cut anywhere, and its halves are joined in a tree: the last tokens of the left side and
+the first ones of the right side are encoded anew in a window that grows until its first token is the left side's and its
+last token the right side's.
+
+Why the join is exact: ids are the encoding of one word if and only if each two neighbours among them are that of their own
+bytes, since the first merge to cross a border between two tokens would cross it in those two alone as well. Inside the left
+side, the window and the right side neighbours are such pairs, and where they meet the agreeing tokens make them so.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,11 +30,14 @@ from . import common
 
 #: The pre-tokenizer's pattern and the special token of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LOOK = 4
-#: Texts of more characters are cut into leaves of so many.
+#: Borders between two characters that no word of PATTERN crosses. Inside a run of one kind, after white space
+#: and between an apostrophe and a letter a word may go on; everywhere else it ends.
+CERTAIN = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])|(?<=')(?=\p{N})"
+#: Texts of more characters are cut into leaves of at most so many.
 LEAF = 32_768
-#: Words whose ids a worker remembers, and characters whose ids it holds at once.
-REMEMBERED, HELD = 50_000, 1 << 18
+#: Tokens on each side of a join that the first window holds, characters whose ids a worker holds at once, and ids that are
+#: turned into text at once.
+WINDOW, HELD, CHUNK = 16, 1 << 18, 1 << 16
 
 
 def default_vocabulary() -> str:
@@ -47,17 +53,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@dataclass
-class Node:
-    """The exact encoding of one stretch of text: words' ids and where each word starts."""
-
-    text: str
-    ids: list[int]
-    #: for each word: its first character and its first id
-    char_at: list[int] = field(default_factory=list)
-    id_at: list[int] = field(default_factory=list)
-
-
 class Bpe:
     """Encoder and decoder over a tokenizers JSON file with a byte-level BPE model."""
 
@@ -71,87 +66,76 @@ class Bpe:
         for k, v in [*ranks.items(), *((k.encode(), v) for k, v in self.special.items())]:
             self.token[v] = k
         self.decimal = [str(i) for i in range(len(self.token))]
-        self.words = regex.compile(PATTERN)
+        self.words, self.certain = regex.compile(PATTERN), regex.compile(CERTAIN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.memo: dict[str, list[int]] = {}
 
     def whole(self, text: str) -> np.ndarray:
         """Ids of a text, without cutting it."""
         return self.core.encode_to_numpy(text, allowed_special="all")
 
-    def node(self, text: str) -> Node:
-        """A leaf: the encoding of text with its word boundaries. text holds no special token."""
-        out = Node(text, [])
-        memo = self.memo
-        if len(memo) > REMEMBERED:
-            memo.clear()
-        for m in self.words.finditer(text):
-            w = m.group()
-            ids = memo.get(w)
-            if ids is None:
-                ids = self.core.encode_ordinary(w)
-                if len(w) < 64:
-                    memo[w] = ids
-            out.char_at.append(m.start())
-            out.id_at.append(len(out.ids))
-            out.ids += ids
-        return out
-
-    def join(self, left: Node, right: Node, window: int = 64) -> Node:
-        """The encoding of left.text + right.text. The window grows from so many characters on each side."""
-        if not left.text or not right.text:
-            return right if not left.text else left
-        n = len(left.text)
-        if not left.ids or not right.ids:  # pragma: no cover - a text of at least one character has ids
-            return self.node(left.text + right.text)
+    def leaves(self, text: str, leaf: int = LEAF) -> Iterator[tuple[str, bool]]:
+        """Parts of a text, at most leaf characters each, and whether a part goes on in the word that the one before ends in.
+
+        Special tokens are parts of their own.
+        """
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.special:
+                yield part, False
+                continue
+            at = 0
+            while len(part) - at > leaf:
+                found = self.certain.search(part, at + max(1, leaf // 2), at + leaf)
+                if found:
+                    yield part[at : found.start()], False
+                    at = found.start()
+                    continue
+                found = self.certain.search(part, at + leaf)
+                end = found.start() if found else len(part)
+                yield from self._word_parts(part, at, end, leaf)
+                at = end
+            if at < len(part):
+                yield part[at:], False
+
+    def _word_parts(self, text: str, at: int, end: int, leaf: int) -> Iterator[tuple[str, bool]]:
+        """Parts of text[at:end], which holds few words and a long one among them; words of over leaf characters are cut."""
+        begin = at
+        for m in self.words.finditer(text, at, end):
+            if m.end() - begin > leaf and m.start() > begin:
+                yield text[begin : m.start()], False
+                begin = m.start()
+            if m.end() - m.start() > leaf:
+                for i in range(m.start(), m.end(), leaf):
+                    yield text[i : min(i + leaf, m.end())], i > m.start()
+                begin = m.end()
+        if begin < end:
+            yield text[begin:end], False
+
+    def join(self, left: np.ndarray, right: np.ndarray, window: int = WINDOW) -> np.ndarray:
+        """The ids of a word from those of its two halves. The window grows from so many tokens on each side."""
         while True:
-            k = int(np.searchsorted(left.char_at, max(0, n - max(window, LOOK)), side="right")) - 1
-            p = left.char_at[k]
-            seen = right.text[:window]
-            final = window >= len(right.text)
-            mid = self.node(left.text[p:] + seen)
-            starts = {c: i for i, c in enumerate(mid.char_at)}
-            for i, c in enumerate(right.char_at):
-                if c > len(seen) - LOOK and not final:
-                    break
-                at = n - p + c
-                if at in starts:
-                    return self._splice(left, k, mid, starts[at], right, i, n)
-            if final:
-                return self._splice(left, k, mid, len(mid.char_at), right, len(right.char_at), n)
+            i, j = max(0, len(left) - window), min(len(right), window)
+            anew = np.array(self.core._encode_single_piece(self.decode_bytes([*left[i:].tolist(), *right[:j].tolist()])), dtype=np.uint32)
+            if (not i or anew[0] == left[i]) and (j == len(right) or anew[-1] == right[j - 1]):
+                return np.concatenate([left[:i], anew, right[j:]])
             window *= 2
 
-    @staticmethod
-    def _splice(left: Node, k: int, mid: Node, j: int, right: Node, i: int, n: int) -> Node:
-        """Words of left before k, of mid before j, of right from i."""
-        p = left.char_at[k]
-        a, b = left.id_at[k], mid.id_at[j] if j < len(mid.id_at) else len(mid.ids)
-        c = right.id_at[i] if i < len(right.id_at) else len(right.ids)
-        shift = a + b - c
-        return Node(
-            left.text + right.text,
-            left.ids[:a] + mid.ids[:b] + right.ids[c:],
-            left.char_at[:k] + [p + x for x in mid.char_at[:j]] + [n + x for x in right.char_at[i:]],
-            left.id_at[:k] + [a + x for x in mid.id_at[:j]] + [shift + x for x in right.id_at[i:]],
-        )
-
-    def tree(self, leaves: list[Node]) -> Node:
-        """Joins neighbours pairwise, level by level."""
-        while len(leaves) > 1:
-            leaves = [self.join(*leaves[i : i + 2]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
-        return leaves[0] if leaves else Node("", [])
+    def tree(self, parts: list[tuple[np.ndarray, bool]]) -> np.ndarray:
+        """The ids of a text from those of its leaves: halves of one word are joined pairwise, level by level."""
+        out: list[np.ndarray] = []
+        word: list[np.ndarray] = []
+        for ids, goes_on in [*parts, (None, False)]:
+            if not goes_on:
+                while len(word) > 1:
+                    word = [self.join(*word[i : i + 2]) if i + 1 < len(word) else word[i] for i in range(0, len(word), 2)]
+                out, word = out + word, []
+            word.append(ids)
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
     def encode(self, text: str, leaf: int = LEAF) -> np.ndarray:
-        """Ids of a text of any length, by tree concatenation where it is longer than leaf; special tokens are cut out first."""
+        """Ids of a text of any length, by tree concatenation where it is longer than leaf."""
         if len(text) <= leaf:
             return self.whole(text)
-        out: list[int] = []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out += self.tree([self.node(part[i : i + leaf]) for i in range(0, len(part), leaf)]).ids
-        return np.array(out, dtype=np.uint32)
+        return self.tree([(self.whole(part), goes_on) for part, goes_on in self.leaves(text, leaf)])
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         token = self.token
@@ -161,11 +145,14 @@ class Bpe:
         """Special tokens are kept; bytes that are no UTF-8 become the replacement character."""
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
-    def digests(self, ids: list[int]) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of their decimals joined by commas, SHA-256 of the decoded text in UTF-8."""
-        decimal = self.decimal
-        plain = self.decode(ids).encode("utf-8")
-        return len(ids), hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(plain).hexdigest()
+    def digests(self, ids: np.ndarray) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of their decimals joined by commas, SHA-256 of the decoded text in UTF-8; part by part."""
+        decimal, text, plain = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+        for i in range(0, len(ids), CHUNK):
+            own = ids[i : i + CHUNK].tolist()
+            decimal.update(("," * (i > 0) + ",".join([self.decimal[x] for x in own])).encode())
+            text.update(plain.decode(self.decode_bytes(own), i + CHUNK >= len(ids)).encode())
+        return len(ids), decimal.hexdigest(), text.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -174,42 +161,68 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _leaf_nodes(path: str):
+def _cut(path: str, leaf: int):
+    """Rows of (row, doc_id, copies, text) as one row for each leaf."""
+
+    @common.thrifty
+    def run(batches):
+        coder = bpe(path)
+        for b in batches:
+            for row, doc, copies, text in zip(*(b.column(c) for c in ("row", "doc_id", "copies", "text"))):
+                held, size, part = [], 0, 0
+                for piece, goes_on in coder.leaves(text.as_py(), leaf):
+                    held.append((row.as_py(), doc.as_py(), copies.as_py(), part, goes_on, piece))
+                    size, part = size + len(piece), part + 1
+                    if size > HELD:
+                        yield _rows(held, _LEAVES)
+                        held, size = [], 0
+                if held:
+                    yield _rows(held, _LEAVES)
+
+    return run
+
+
+_LEAVES = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("copies", pa.int32()), ("part", pa.int32()), ("goes_on", pa.bool_()), ("piece", pa.string())])
+_ENCODED = pa.schema([*list(_LEAVES)[:-1], ("ids", pa.binary())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _leaf_ids(path: str):
     @common.thrifty
     def run(batches):
         coder = bpe(path)
         for b in batches:
-            ids, chars, at = [], [], []
-            for t in b.column("piece").to_pylist():
-                node = coder.node(t)
-                ids.append(np.array(node.ids, dtype=np.uint32).tobytes())
-                chars.append(np.array(node.char_at, dtype=np.uint32).tobytes())
-                at.append(np.array(node.id_at, dtype=np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "copies", "part", "piece")), pa.array(ids, pa.binary()), pa.array(chars, pa.binary()), pa.array(at, pa.binary())], names=["row", "doc_id", "copies", "part", "piece", "ids", "char_at", "id_at"])
+            ids = [coder.whole(t.as_py()).astype("<u4").tobytes() for t in b.column("piece")]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in list(_LEAVES)[:-1]), pa.array(ids, pa.binary())], schema=_ENCODED)
 
     return run
 
 
 def _joined(path: str, finish):
-    """For rows sorted by (row, part): one result for each row, made of its leaves. Holds one document at a time."""
+    """For rows sorted by (row, part): one result for each row, made of its leaves. Holds the ids of one document at a time."""
 
     @common.thrifty
     def run(batches):
         coder = bpe(path)
-        unpack = lambda x: np.frombuffer(x, dtype=np.uint32).tolist()
-        now, doc, copies, leaves = None, None, 0, []
+        now, doc, copies, parts = None, None, 0, []
+
+        def done():
+            ids = coder.tree(parts)
+            for _ in range(copies):
+                yield finish(coder, [doc], [ids])
+
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if r["row"] != now:
-                    if leaves:
-                        out += [(doc, coder.tree(leaves).ids)] * copies
-                    now, doc, copies, leaves = r["row"], r["doc_id"], r["copies"], []
-                leaves.append(Node(r["piece"], unpack(r["ids"]), unpack(r["char_at"]), unpack(r["id_at"])))
-            if out:
-                yield finish(coder, *zip(*out))
-        if leaves:
-            yield finish(coder, [doc] * copies, [coder.tree(leaves).ids] * copies)
+            for row, i, n, _, goes_on, ids in zip(*(b.column(f.name) for f in _ENCODED)):
+                if row.as_py() != now:
+                    if parts:
+                        yield from done()
+                    now, doc, copies, parts = row.as_py(), i.as_py(), n.as_py(), []
+                parts.append((np.frombuffer(ids.as_py(), dtype="<u4").astype(np.uint32), goes_on.as_py()))
+        if parts:
+            yield from done()
 
     return run
 
@@ -220,7 +233,7 @@ def _finish_digests(coder: Bpe, docs, ids) -> pa.RecordBatch:
 
 
 def _finish_ids(coder: Bpe, docs, ids) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([list(map(int, x)) for x in ids], pa.list_(pa.int32())), pa.array([coder.decode(list(x)) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([coder.decode(x.tolist()) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
 
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -232,18 +245,14 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
 
     Null text counts as empty and has no ids; null ids stay null; repeated rows give repeated results; other columns are
     dropped. Texts of at most leaf characters are encoded where they are read. Longer ones (and only they) are cut into
-    leaves, dealt out, encoded in parallel and joined in a tree; those that hold a special token are cut there instead and
-    joined in one task, since a leaf must not divide such a token.
+    leaves, dealt out, encoded in parallel and joined in a tree. A worker holds one whole text while it is cut, and the ids
+    of one text (4 bytes each) while they are joined.
     """
     common.small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     finish, schema = (_finish_digests, _DIGESTS) if digests else (_finish_ids, _IDS)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    specials = [k for k in bpe(path).special]
-    plain = F.lit(True)
-    for s in specials:
-        plain = plain & ~F.col("text").contains(s)
-    split = (F.length("text") > leaf) & plain
+    split = F.length("text") > leaf
 
     @common.thrifty
     def direct(batches):
@@ -253,7 +262,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 own = text.as_py()
                 docs.append(doc_id)
-                ids.append(coder.encode(own, leaf).tolist())
+                ids.append(coder.whole(own))
                 size += len(own)
                 if size > HELD:
                     yield finish(coder, docs, ids)
@@ -264,10 +273,11 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
     short = d.where(~split).mapInArrow(direct, schema)
     # a row's name must not depend on where it is read: equal rows share one, and their number is carried along
     long = d.where(split).groupBy("doc_id", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count("*").cast("int").alias("copies"))
-    pieces = long.select(F.concat_ws(":", F.col("doc_id").cast("string"), "sha").alias("row"), "doc_id", "copies", F.posexplode(F.expr(f"transform(sequence(0, (length(text) - 1) div {leaf}), i -> substring(text, cast(i * {leaf} + 1 as int), {leaf}))")).alias("part", "piece"))
+    long = long.select(F.concat_ws(":", F.col("doc_id").cast("string"), "sha").alias("row"), "doc_id", "copies", "text")
+    leaves = long.mapInArrow(_cut(path, leaf), "row string, doc_id long, copies int, part int, goes_on boolean, piece string")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = pieces.repartition(n, "row", "part").mapInArrow(_leaf_nodes(path), "row string, doc_id long, copies int, part int, piece string, ids binary, char_at binary, id_at binary")
-    joined = nodes.repartition(n, "row").sortWithinPartitions("row", "part").mapInArrow(_joined(path, finish), schema)
+    encoded = leaves.repartition(n, "row", "part").mapInArrow(_leaf_ids(path), "row string, doc_id long, copies int, part int, goes_on boolean, ids binary")
+    joined = encoded.repartition(n, "row").sortWithinPartitions("row", "part").mapInArrow(_joined(path, finish), schema)
     return short.unionByName(joined)
 
 

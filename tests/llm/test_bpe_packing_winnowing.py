@@ -29,11 +29,67 @@ def test_tree_concatenation_is_exact(text, leaf):
     assert coder.encode(text, leaf).tolist() == ids_of(text)
 
 
-def test_join_windows_grow_over_long_unsplit_words():
-    coder, r = bpe.bpe(PATH), random.Random(1)
-    for text in ["a" * 3001, " " * 900 + "b", "ab" * 2000, "'" * 500 + "re" * 500, "".join(r.choice("ab") for _ in range(4000)), "x" * 700 + " y" * 300]:
-        for leaf in (7, 100, 999):
-            assert coder.encode(text, leaf).tolist() == ids_of(text)
+def unsplit(n, alphabet, seed=1):
+    r = random.Random(seed)
+    return "".join(r.choices(alphabet, k=n))
+
+
+ALPHABETS = ["a", " ", "ab", "eth", "0123456789", "ACGT", "=-", "漢字かな", "éà", "\U0001f600\U0001f601", "abcdefghijklmnopqrstuvwxyz", "\u200d\u0301"]
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_joins_inside_long_words_are_exact(alphabet):
+    coder = bpe.bpe(PATH)
+    for n, leaf in ((1, 1), (400, 1), (3000, 3), (3000, 64), (20_000, 1000)):
+        text = unsplit(n, alphabet, n)
+        for t in (text, "x" + text, text + "x", "it's " + text + "'s"):
+            assert coder.encode(t, leaf).tolist() == ids_of(t)
+
+
+@pytest.mark.parametrize("alphabet", ["ACGT", "a", "漢字かな", " ", "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_long_words_are_encoded_little_more_than_once(alphabet):
+    coder, n = bpe.bpe(PATH), 1_000_000
+    text, seen = unsplit(n, alphabet), []
+    whole, single = coder.whole, coder.core._encode_single_piece
+    coder.whole = lambda t: seen.append(len(t.encode())) or whole(t)
+    coder.core._encode_single_piece = lambda b: seen.append(len(b)) or single(b)
+    try:
+        found = coder.encode(text)
+    finally:
+        del coder.whole, coder.core._encode_single_piece
+    assert found.tolist() == ids_of(text)
+    assert sum(seen) < 1.2 * len(text.encode()) and max(seen) <= 8 * bpe.LEAF
+
+
+def test_certain_borders_are_ends_of_words():
+    """Whatever characters meet: for each pair of kinds, what CERTAIN cuts the pattern's words cut as well."""
+    coder, r = bpe.bpe(PATH), random.Random(5)
+    for _ in range(3000):
+        text = "".join(r.choices("aZ1９é漢 \n\t\u3000\u00a0'!.\u0301sredlvtm", k=12))
+        ends = {m.end() for m in coder.words.finditer(text)}
+        assert {m.start() for m in coder.certain.finditer(text)} <= ends
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=30), st.integers(1, 6))
+def test_any_text(text, leaf):
+    text = text.encode("utf-8", "ignore").decode()
+    assert bpe.bpe(PATH).encode(text, leaf).tolist() == ids_of(text)
+
+
+def test_digests_of_broken_characters():
+    coder = bpe.bpe(PATH)
+    ids = coder.whole("漢字" * 30_000 + "é")[:-1]
+    n, a, b = coder.digests(ids)
+    want = coder.decode(ids.tolist()).encode()
+    assert (n, a, b) == (len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(want).hexdigest())
+
+
+def test_long_words_through_spark(spark):
+    texts = [unsplit(1_200_000, "ACGT"), unsplit(90_000, "漢字") + " end", unsplit(100_000, " \n"), "<|endoftext|>" + "b" * 70_000 + "<|endoftext|>"]
+    found = {r.doc_id: r for r in bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert found[i].ids == ids_of(t) and found[i].decoded == t
 
 
 @pytest.mark.parametrize("leaf", [bpe.LEAF, 16])
