@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, and weighted votes.
 
 Features are words (A-Z lowered, outer punctuation removed) and their beginnings of 5 to 8 bytes: all of the labelled
-sample, however rare. A document is a vector of (1 + log tf) * idf * label weight over them, where the label weight grows
+sample, however rare. A document is a vector of (1 + log tf) * idf * label weight over them; idf comes from counts over all
+documents, and the label weight, a supervised term weight learned from the labelled sample, grows
 smoothly with how far and how surely the feature goes along with the label (see label_weight), and one more entry that every
 document has and that grows with its length: it keeps a stray match in a long text from looking like a text that consists of
 such words. Equal example vectors are one entry with summed votes.
@@ -42,18 +43,10 @@ _LOW = np.uint64((1 << SHINGLE_BITS) - 1)
 
 
 def _bare(words: Words) -> Words:
-    """The words without up to sixteen ASCII signs on either side; words of signs alone become empty."""
-    start, end = words.start.copy(), words.end.copy()
-    for _ in range(16):
-        trim = (start < end) & _PUNCTUATION[words.data[np.minimum(start, len(words.data) - 1)]]
-        if not trim.any():
-            break
-        start += trim
-    for _ in range(16):
-        trim = (start < end) & _PUNCTUATION[words.data[end - 1]]
-        if not trim.any():
-            break
-        end = end - trim
+    """The words without ASCII signs on either side, however many; words of signs alone become empty."""
+    odd, n = _PUNCTUATION[words.data], np.arange(len(words.data))
+    start = np.minimum(np.minimum.accumulate(np.where(odd, len(n), n)[::-1])[::-1][words.start], words.end)
+    end = np.maximum(np.maximum.accumulate(np.where(odd, -1, n))[words.end - 1] + 1, start)
     return Words(words.data, start, end, words.first)
 
 
@@ -111,7 +104,7 @@ def _whole_hashes(words: Words) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     n = words.end - words.start
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    v = _TERM[words.data[at + np.repeat(words.start, n)]] * (mix((at >> 4).astype(np.uint64)) * _AT[at & 15] | np.uint64(1))
+    v = _TERM[words.data[at + np.repeat(words.start, n)]] * (mix((at >> 4).astype(np.uint64) + np.uint64(1)) * _AT[at & 15] | np.uint64(1))
     return mix(np.add.reduceat(v, np.cumsum(n) - n) ^ np.uint64(0x5EED))
 
 
@@ -193,11 +186,15 @@ class Index:
 
     def _visit(self, features: np.ndarray, weights: np.ndarray, length: float, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All examples of some blocks, with their cosines as far as these features and the length give them."""
-        cell = (features[:, None] * self.ceiling.shape[1] + blocks[None, :]).ravel()
-        lo = self.row[cell].astype(np.int64)
-        size = self.row[cell + 1] - lo
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        dot = np.bincount(self.example[at], np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[at], len(self.votes))
+        width = self.ceiling.shape[1]
+        if 2 * len(blocks) > width:  # one run of postings for each feature is read faster than many short ones
+            lo, hi = self.row[features * width], self.row[(features + 1) * width]
+        else:
+            cell = (features[:, None] * width + blocks[None, :]).ravel()
+            lo, hi, weights = self.row[cell], self.row[cell + 1], np.repeat(weights, len(blocks))
+        size = (hi - lo).astype(np.int64)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo, size)
+        dot = np.bincount(self.example[at], np.repeat(weights, size) * self.weight[at], len(self.votes))
         i = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         i = i[i < len(self.votes)]
         return i, dot[i] + length * self.length[i]
@@ -267,10 +264,37 @@ def label_weight(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return odds**2 * chi2**2 / (chi2**2 + 4.5**2)
 
 
+def document_frequencies(docs: DataFrame, chosen: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many have each chosen feature: over all of docs (text), counted inside tasks.
+
+    To the driver comes a row for each chosen feature at most.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    @common.thrifty
+    def run(batches):
+        n = np.zeros(len(held.value) + 1, dtype=np.int64)
+        for b in batches:
+            data, off = text_buffer(b.column("text"))
+            n[-1] += len(off) - 1
+            for lo, hi in row_ranges(off, _SLICE_BYTES, MOST_DOCS):
+                f = feature_counts(data, off[lo : hi + 1], held.value)[1]
+                n[:-1] += np.bincount(f.astype(np.int64), minlength=len(n) - 1)
+        found = np.flatnonzero(n)
+        for i in range(0, len(found), 1 << 16):
+            own = found[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own])], names=["f", "n"])
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(chosen) + 1, dtype=np.int64)
+    out[rows.column("f").to_numpy()] = rows.column("n").to_numpy()
+    return int(out[-1]), out[:-1]
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     """An index from (doc_id, text) and (doc_id, toxic); at most sample labelled rows of each label, weighted to stand for all.
 
-    It holds every feature of the sampled texts; its size is theirs.
+    It holds every feature of the sampled texts; its size is theirs. How many documents have each is counted over all of docs.
     """
     common.small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -313,8 +337,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     del rows, lists, hashes
     common.release()
     weight = np.array([totals.get(x, 0) / max(1, sum(v == x for v in label.values())) for x in (0, 1)])
-    n = sum(totals.values())
-    idf = np.log(np.maximum(1, (1 + n) / (1 + a * weight[1] + b * weight[0]))) * label_weight(a, b, int(y.sum()), int((1 - y).sum()))
+    n, df = document_frequencies(docs, chosen)
+    idf = np.log((1 + n) / (1 + df)) * label_weight(a, b, int(y.sum()), int((1 - y).sum()))
     order = np.lexsort((words, ids))
     return build_index([(int(ids[i]), place[first[i] : first[i + 1]], counts[first[i] : first[i + 1]], int(words[i])) for i in order], y[order], weight[y[order]], chosen, idf, share)
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_tables import with_clashing_columns
 from strandline.llm import lm, minhash, quality, textvec, toxicity
@@ -223,6 +224,89 @@ def test_block_max_search_is_exact():
         assert np.allclose(s, np.sort(want)[::-1][:10]) and np.allclose(want[at], s)
 
 
+def brute_toxicity(docs, labels, nearest=15):
+    """Scores of all docs (doc_id, text) by comparing each with every labelled one; labels: doc_id to 0 or 1."""
+    signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def features(t):
+        c = Counter()
+        for w in WORD.findall(lower(t)):
+            w = w.strip(signs.encode())
+            if w:
+                c["", w] += 1
+            c.update((i, w[:i]) for i in (5, 6, 7, 8) if len(w) > i)
+        return c, len(WORD.findall(lower(t)))
+
+    own = {i: features(t or "") for i, t in docs}
+    df = Counter(f for c, _ in own.values() for f in c)
+    ones = {i for i, y in labels.items() if y and i in own}
+    n1, n0 = len(ones), len([i for i in labels if i in own]) - len(ones)
+    a, b = Counter(f for i in ones for f in own[i][0]), Counter(f for i in labels if i in own and i not in ones for f in own[i][0])
+    weight = {}
+    for f in {*a, *b}:
+        odds = math.log((a[f] + 0.5) / (n1 + 1)) - math.log((b[f] + 0.5) / (n0 + 1))
+        n = n0 + n1
+        chi2 = n * (a[f] * (n0 - b[f]) - b[f] * (n1 - a[f])) ** 2 / max((a[f] + b[f]) * (n - a[f] - b[f]) * n1 * n0, 1e-9)
+        weight[f] = math.log((1 + len(docs)) / (1 + df[f])) * odds**2 * chi2**2 / (chi2**2 + 4.5**2)
+
+    def vector(i):
+        c, n = own[i]
+        v = {f: (1 + math.log(k)) * weight[f] for f, k in c.items() if f in weight}
+        v["length"] = 0.5 * math.log2(2 + 2 ** round(math.log2(2 + n)) - 2)
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / size for f, x in v.items()}
+
+    vectors = {i: vector(i) for i in own}
+    merged = {}
+    for i in labels:
+        if i in own:
+            merged.setdefault(frozenset((f, round(x, 9)) for f, x in vectors[i].items() if f == "length" or f in own[i][0]), [vectors[i], [0, 0]])[1][labels[i]] += 1
+    share, out = sum(labels.values()) / len(labels), {}
+    for i in own:
+        s = sorted(((sum(x * e.get(f, 0) for f, x in vectors[i].items()), v) for e, v in merged.values()), key=lambda x: -x[0])[: nearest + 40]
+        vote = lambda top: np.array([math.exp(-8 * (1 - min(c, 1.0))) * math.log2(1 + sum(v)) / sum(v) * np.array(v) for c, v in top]).sum(axis=0)
+        zero, one = vote(s[:nearest])
+        out[i] = (one + 0.05 * share) / (zero + one + 0.05), s[nearest - 1][0] - s[nearest][0] if len(s) > nearest else 1.0
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    """The query on whole tables: scores agree wherever the last neighbour is told from the next one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    learned = {r.doc_id: int(r.toxic > 0) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    want = brute_toxicity([(r.doc_id, r.text) for r in docs.collect()], learned)
+    found = toxicity.op8_toxic_neighbours(spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(want) and all(r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    clear = [r for r in found if want[r.doc_id][1] > 1e-5]
+    assert len(clear) > 0.8 * len(found) and max(abs(r.score - want[r.doc_id][0]) for r in clear) < 1e-4
+
+
+def test_frequencies_are_those_of_all_documents(spark):
+    docs = spark.createDataFrame([(i, "alpha beta" if i % 3 else "alpha, (gamma)!") for i in range(30)] + [(31, None)], "doc_id long, text string")
+    data, off = textvec.text_buffer(pa.array(["alpha beta gamma"]))
+    f = toxicity.feature_counts(data, off)[1]
+    n, df = toxicity.document_frequencies(docs, np.sort(f))
+    assert n == 31 and sorted(df.tolist()) == [10, 20, 30]
+
+
+def test_words_lose_all_signs_around_them():
+    data, off = textvec.text_buffer(pa.array(["-" * 50 + "word" + "!" * 40 + " ---- a", "..", ""]))
+    w = toxicity._bare(textvec.words_of(data, off))
+    assert [bytes(w.data[a:b]) for a, b in zip(w.start, w.end)] == [b"word", b"", b"a", b""]
+
+
+def test_blocks_without_a_near_example_are_skipped():
+    """Examples of eight vocabularies that share nothing: a query of one of them visits the blocks that hold its own."""
+    n, own = toxicity.BLOCK, np.random.default_rng(7)
+    rows = [(i, np.sort(own.choice(30, 6, replace=False)) + 30 * (i // n), np.ones(6), 40) for i in range(8 * n)]
+    index = toxicity.build_index(rows, np.zeros(8 * n, dtype=int), np.ones(8 * n), np.arange(240, dtype=np.uint64), np.full(240, 3.0), 0.1)
+    seen, visit = [], index._visit
+    index._visit = lambda f, w, length, blocks: seen.append(len(blocks)) or visit(f, w, length, blocks)
+    for _, f, c, n_words in rows[::199]:
+        index.nearest(f, *index.vector(f, c, n_words))
+    assert sum(seen) < 0.5 * len(rows[::199]) * index.ceiling.shape[1]
+
+
 def test_lm_counts_against_brute_force(spark, odd_docs):
     docs = with_clashing_columns(odd_docs)
     rows = odd_docs.collect()
