@@ -9,7 +9,9 @@ decide. What is left are anchors with different segments: one text of each goes
 
 The index. A task adds these in batches to a family of suffix arrays over their windows (in byte order, by prefix doubling
 up to `length` bytes). A new batch gets a suffix array, whose equal neighbours are matches; it is scanned against the levels
-held for matches with these; then levels of similar size merge, so that there are logarithmically many.
+held for matches with these; then levels of similar size merge by putting the smaller one's windows where they stand in the
+larger one's order, so that there are logarithmically many. Anchors of very many segments are dealt out by further anchors, and
+equal parts are counted once more, so that a passage that many different segments share enters an index once.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 from .textvec import mix, row_ranges, stream, text_buffer
 
 LENGTH, GRAM = 200, 32
 #: Text of one block, of one batch of the index, and segments of one anchor from which they are dealt out further.
-BLOCK_BYTES, BATCH_BYTES, HOT = 8 << 20, 2 << 20, 10_000
+BLOCK_BYTES, BATCH_BYTES, HOT = 8 << 20, 2 << 20, 400
 _SLICE_BYTES = 1 << 18
 _BYTE = stream(71, 256)
 _P = int(stream(72, 1)[0]) | 1
@@ -174,10 +177,13 @@ class SuffixFamily:
         if not len(position):
             return number
         new = self._build(text, position, number)
+        places = None
         for level in self.levels:
-            self._scan(new, level)
+            places = self._scan(new, level)
         while self.levels and len(self.levels[-1].order) <= 2 * len(new.order):
-            new = self._merge(self.levels.pop(), new)
+            old = self.levels.pop()
+            new = self._merge(old, new, self._places(new, old)[0] if places is None else places)
+            places = None
         self.levels.append(new)
         return number
 
@@ -212,12 +218,12 @@ class SuffixFamily:
                 break
         return out
 
-    def _scan(self, new: Level, old: Level) -> None:
-        """Marks windows that are in both: for each distinct new one, the place where it would stand in the old array."""
+    def _places(self, new: Level, old: Level) -> tuple[np.ndarray, np.ndarray]:
+        """For each of new's windows in order: its place in old's order, and the end of those with its first eight bytes."""
         head = old.eight[old.order]
         key = new.eight[new.order]
-        lo, hi = np.searchsorted(head, key, side="left"), np.searchsorted(head, key, side="right")
-        ends = hi.copy()
+        lo, ends = np.searchsorted(head, key, side="left"), np.searchsorted(head, key, side="right")
+        hi = ends.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
@@ -225,17 +231,22 @@ class SuffixFamily:
             lo[open_[before]] = mid[before] + 1
             hi[open_[~before]] = mid[~before]
             open_ = open_[lo[open_] < hi[open_]]
+        return lo, ends
+
+    def _scan(self, new: Level, old: Level) -> np.ndarray:
+        """Marks windows that are in both, and gives the places of new's in old's order."""
+        lo, ends = self._places(new, old)
         maybe = np.flatnonzero(lo < ends)
         found = maybe[self._compare(old, old.order[lo[maybe]], new, new.order[maybe]) == 0]
         self.hit[new.owner[found]] = True
         # equal windows of one old array are marked already; one that stood alone is at the place found
         self.hit[old.owner[lo[found]]] = True
+        return lo
 
-    def _merge(self, old: Level, new: Level) -> Level:
-        pad = self.length + 8
-        a = old.text[:-pad]
-        text = np.concatenate([a, new.text[:-pad]])
-        return self._build(text, np.concatenate([old.order, new.order + len(a)]), np.concatenate([old.owner, new.owner]))
+    def _merge(self, old: Level, new: Level, places: np.ndarray) -> Level:
+        """One level of both: the orders are merged, nothing is sorted anew."""
+        order, owner = np.insert(old.order, places, new.order + len(old.text)), np.insert(old.owner, places, new.owner)
+        return Level(np.concatenate([old.text, new.text]), order, owner, np.concatenate([old.eight, np.zeros(8, dtype=np.uint64), new.eight]))
 
 
 def _rows(group: pa.Table) -> pa.Table:
@@ -285,12 +296,14 @@ def _fetch(length: int):
                 b = data[at : at + n + length - 1]
                 if hot:
                     pair = lambda name, anchor=anchor: int(mix(np.array([anchor], dtype=np.int64).view(np.uint64) ^ np.array([name], dtype=np.int64).view(np.uint64)).view(np.int64)[0])
-                    out += [(pair(name), place, start + j, m, b[j : j + m + length - 1].tobytes()) for j, m, name in split_segment(b, n, length)]
+                    for j, m, name in split_segment(b, n, length):
+                        piece = b[j : j + m + length - 1].tobytes()
+                        out.append((pair(name), place, start + j, m, piece, hashlib.blake2b(piece, digest_size=16).digest()))
                 else:
-                    out.append((anchor, place, start, n, b.tobytes()))
+                    out.append((anchor, place, start, n, b.tobytes(), None))
         common.release()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["anchor", "place", "start", "windows", "piece"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["anchor", "place", "start", "windows", "piece", "content"])
 
     return run
 
@@ -373,8 +386,7 @@ def _cut(length: int, texts: bool):
         common.release()
         out = {"n_bytes": np.diff(off), "n_removed": np.concatenate(removed), "n_spans": np.concatenate(spans)}
         if texts:
-            rest = group.column("rest").combine_chunks()
-            return pa.table({"rest": rest.cast(pa.struct([f.with_nullable(True) for f in rest.type])), **out, "kept": pa.array(kept, pa.string())})
+            return pa.table({"rest": group.column("rest"), **out, "kept": pa.array(kept, pa.string())})
         return pa.table({"doc_id": group.column("doc_id"), **out, "kept_sha256": pa.array(kept, pa.string())})
 
     return run
@@ -404,9 +416,17 @@ def _dealt_and_found(d: DataFrame, length: int, block_bytes: int) -> tuple[DataF
     whole = twice.select("place", first.alias("first"), windows.alias("windows"))
     # one of each different segment takes part in the index
     wanted = same.where("mixed or copies = 1 and one.span & 1 = 1").select("anchor", "one.place", "one.span", (F.col("n") > HOT).alias("hot")).select("*", block("place"))
-    pieces = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch(length), "anchor long, place long, start long, windows long, piece binary")
-    partly = pieces.repartition(2 * blocks, "anchor").mapInArrow(_match(length, BATCH_BYTES), "place long, first long, windows long")
-    found = whole.unionByName(partly).select("*", block("place"))
+    pieces = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch(length), "anchor long, place long, start long, windows long, piece binary, content binary")
+    pieces = common.stored(pieces, "pieces")
+    # parts of hot anchors that are equal repeat as a whole as well; one of each takes part in the index
+    parts = pieces.where("content is not null")
+    alike = parts.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("place", "start")).alias("one"))
+    again = parts.select("anchor", "content", "place", "start", "windows").join(alike.where("copies > 1").select("anchor", "content"), ["anchor", "content"])
+    again = again.select("place", F.col("start").alias("first"), "windows")
+    one = parts.join(alike.select("one.place", "one.start"), ["place", "start"], "left_semi")
+    open_ = pieces.where("content is null").unionByName(one).drop("content")
+    partly = open_.repartition(2 * blocks, "anchor").mapInArrow(_match(length, BATCH_BYTES), "place long, first long, windows long")
+    found = whole.unionByName(again).unionByName(partly).select("*", block("place"))
     return dealt, found
 
 
@@ -429,10 +449,10 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, b
     """
     rest = [c for c in docs.columns if c != text_col]
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    d = d.withColumns({"sort_a": F.xxhash64("rest", "text"), "sort_b": F.xxhash64("text")})
+    named = F.to_json("rest") if "map<" in d.schema["rest"].dataType.simpleString() else F.col("rest")  # maps cannot be hashed
+    d = d.withColumns({"sort_a": F.xxhash64(named, "text"), "sort_b": F.xxhash64("text")})
     dealt, found = _dealt_and_found(d, length, block_bytes)
-    kind = d.schema["rest"].dataType.simpleString()
-    out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(length, True), f"rest {kind}, n_bytes long, n_removed long, n_spans long, kept string")
+    out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(length, True), StructType([d.schema["rest"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept string")]))
     return out.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 

@@ -63,6 +63,45 @@ def test_cut_keeps_columns(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "start ", 2: " end", 3: ""}
 
 
+def test_map_and_array_columns(spark):
+    passage = "".join(random.Random(4).choices("abcdef ", k=400))
+    df = spark.sql("select 1 as doc_id, map('a', 1, 'b', 2) as m, array(map(1, 'x')) as n, cast('00' as binary) as z").crossJoin(spark.createDataFrame([(passage + " one",), (passage + " two",), (passage + " two",), (None,)], "text string"))
+    out = suffix.cut_repeats(df)
+    assert out.columns == df.columns and sorted(r.text for r in out.collect()) == ["", "", "", "one"]
+    assert {str(r.m) for r in out.collect()} == {str(df.first().m)}
+
+
+def test_a_passage_that_many_share_is_indexed_once(spark, monkeypatch):
+    """Of a hot anchor's parts equal ones are counted, and one of each goes on to an index."""
+    monkeypatch.setattr(suffix, "HOT", 5)
+    r, seen = random.Random(6), []
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(120))
+    texts = [" ".join(word() for _ in range(40)) + " " + passage + " " + " ".join(word() for _ in range(40)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    match = suffix._match
+
+    def counted(length, batch_bytes):
+        run = match(length, batch_bytes)
+
+        def rows(batches):
+            for b in batches:
+                open(f"{where}/{random.getrandbits(64)}", "w").write(str(b.num_rows))
+                yield from run([b])
+
+        return rows
+
+    import tempfile
+
+    where = tempfile.mkdtemp()
+    monkeypatch.setattr(suffix, "_match", counted)
+    found = {x.doc_id: tuple(x)[1:] for x in suffix.remove_repeats(df).collect()}
+    assert found == dict(enumerate(brute(texts)))
+    import pathlib
+
+    assert 0 < sum(int(x.read_text()) for x in pathlib.Path(where).iterdir()) < 20 * 60
+
+
 def test_family_finds_matches_across_batches():
     r = np.random.default_rng(3)
     for length in (16, 24, 40):
