@@ -27,20 +27,30 @@ class Limits:
     """What one sequence may hold. waiting: how many items are looked at together."""
 
     tokens: int = 1024
-    segments: int = 64
-    loss_tokens: int = 1024
+    segments: int = 8
+    loss_tokens: int = 1023
     waiting: int = 1024
 
 
+#: Limits for instruction data, where answers alone bear loss.
+INSTRUCTIONS = Limits(tokens=2048, segments=16, loss_tokens=1024)
+
+
 @dataclass
 class Item:
-    """tokens and loss: its demand. cut: whether it may be divided; each token of such an item bears loss if any does."""
+    """tokens and loss: its demand. cut: whether it may be divided; each token of a part bears loss then, but for the first
+    lead ones, or none does."""
 
     key: object
     tokens: int
     loss: int
     cut: bool = True
     start: int = 0
+    lead: int = 0
+
+    def part(self, at: int, n: int) -> Item:
+        """n tokens from the token at on."""
+        return Item(self.key, n, max(0, n - self.lead) if self.loss or self.lead else 0, True, self.start + at, self.lead)
 
 
 @dataclass
@@ -77,9 +87,9 @@ class VectorPacker:
     def add(self, x: Item) -> Iterator[Placement]:
         lim = self.limits
         if x.cut:
-            while x.tokens >= lim.tokens and (not x.loss or lim.loss_tokens >= lim.tokens):
+            while x.tokens >= lim.tokens and x.part(0, lim.tokens).loss <= lim.loss_tokens:
                 yield Placement(self._number(), 0, x.key, x.start, lim.tokens)
-                x = Item(x.key, x.tokens - lim.tokens, x.loss and x.tokens - lim.tokens, True, x.start + lim.tokens)
+                x = x.part(lim.tokens, x.tokens - lim.tokens)
             if not x.tokens:
                 return
         elif x.tokens > lim.tokens or x.loss > lim.loss_tokens:
@@ -128,14 +138,14 @@ class VectorPacker:
                 # nothing fits whole, or only one segment is left: cut the longest item to what is left
                 for i in np.argsort(-need[:, 0], kind="stable"):
                     y = self.items[i]
-                    room = int(left[0] if not y.loss else min(left[0], left[2]))
+                    room = int(min(left[0], left[2] + y.lead) if y.loss else left[0])
                     if y.cut and room > 0:
                         n = min(room, y.tokens)
-                        x = Item(y.key, n, n if y.loss else 0, True, y.start)
+                        x = y.part(0, n)
                         if n == y.tokens:
                             self._take(int(i))
                         else:
-                            y.start, y.tokens, y.loss = y.start + n, y.tokens - n, y.loss and y.tokens - n
+                            self.items[i] = y = y.part(n, y.tokens - n)
                             self.need[i] = (y.tokens, 1, y.loss)
                         break
                 if x is None:
@@ -176,7 +186,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, limits: Limit
 
     Null or empty text is the end id alone; a null id stays null; repeated rows are packed as often as they come; an empty
     table gives no pieces; other columns are dropped. A long text gives as many full sequences as it holds. sequence_id
-    holds the partition's number above bit 33.
+    holds the partition's number above bit 33. A piece's first id bears no loss, since nothing stands before it.
     """
     common.small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
@@ -207,7 +217,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, limits: Limit
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = np.append(coder.encode(text), np.uint32(end_id))
                 held[row] = [doc_id, ids, len(ids), 0, len(ids)]
-                out += rows(packer.add(Item(row, len(ids), len(ids))))
+                out += rows(packer.add(Item(row, len(ids), len(ids) - 1, lead=1)))
                 if row in held:  # only what waits is kept
                     done = len(ids) - held[row][2]
                     held[row][1], held[row][3] = ids[done:].copy(), done
@@ -221,11 +231,12 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, limits: Limit
     return d.mapInArrow(run, _PIECES)
 
 
-def pack_conversations(turns: DataFrame, vocabulary: str | None = None, limits: Limits = Limits(), loss_role: str = "assistant", end_id: int = 0) -> DataFrame:
+def pack_conversations(turns: DataFrame, vocabulary: str | None = None, limits: Limits = INSTRUCTIONS, loss_role: str = "assistant", end_id: int = 0) -> DataFrame:
     """Instruction data: whole turns of (conv_id, turn, role, text) placed in sequences; only loss_role's turns bear loss.
 
-    One row for each turn: conv_id, turn, tokens, loss_tokens, sequence_id, offset. Turns longer than a sequence are cut
-    (several rows, start tells where); null text counts as empty, null roles bear no loss, repeated rows are packed each.
+    One row for each turn: conv_id, turn, start, length, loss_tokens, sequence_id, offset. Turns that no sequence holds are cut
+    (several rows, start tells where); null text counts as empty, null roles bear no loss, repeated rows are packed each; null
+    ids and turn numbers stay null; other columns are dropped; an empty table gives no rows.
     """
     common.small_batches(turns.sparkSession)
     path = vocabulary or default_vocabulary()
@@ -260,3 +271,8 @@ def pack_conversations(turns: DataFrame, vocabulary: str | None = None, limits:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 1024 tokens."""
     return pack_documents(common.table(spark, sf_dir, "documents"))
+
+
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all turns of conversations under limits on tokens, segments and tokens that bear loss."""
+    return pack_conversations(common.table(spark, sf_dir, "conversations"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe_tree
 from .lm import op4_log_bilinear
 from .minhash import OP9_SQL, op9_superminhash
-from .packing import op1_packing
+from .packing import instruction_packing, op1_packing
 from .quality import op7_quality_trees
 from .sharding import op2_size_tiered_shards
 from .suffix import op6_suffix_arrays
@@ -21,6 +21,7 @@ from .winnowing import op10_winnowing
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "instruction_packing": instruction_packing,
         "op2_size_tiered_shards": op2_size_tiered_shards,
         "op3_bpe_tree": op3_bpe_tree,
         "op4_log_bilinear": op4_log_bilinear,

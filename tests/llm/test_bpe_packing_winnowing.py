@@ -156,6 +156,79 @@ def test_vector_limits_hold(sizes):
         assert sum(p.length for p in own) <= 40 and len(own) <= 3 and sum(loss[p.key] for p in own) <= 25
 
 
+def plain_packing(demands, limits):
+    """The dot-product rule, one item after the other, for items that may not be cut: demands by sequence."""
+    top = (limits.tokens, limits.segments, limits.loss_tokens)
+    waiting, out = [], []
+
+    def fill():
+        left, own = list(top), []
+        while True:
+            fit = [d for d in waiting if all(x <= y for x, y in zip(d, left))]
+            if not fit:
+                return own
+            d = max(fit, key=lambda d: sum(x * y / z / z for x, y, z in zip(d, left, top)))
+            waiting.remove(d)
+            own.append(d)
+            left = [y - x for x, y in zip(d, left)]
+
+    for d in demands:
+        waiting.append(d)
+        if len(waiting) >= 2 * limits.waiting:
+            while len(waiting) > limits.waiting:
+                out.append(fill())
+    while waiting:
+        out.append(fill())
+    return out
+
+
+def closed_by(sequences, limits):
+    """Which limits leave no room for the smallest demand that there is (one token of one segment, with loss)."""
+    full = [0, 0, 0]
+    for own in sequences:
+        for i, (x, y) in enumerate(zip(map(sum, zip(*own)), (limits.tokens, limits.segments, limits.loss_tokens))):
+            full[i] += x >= 0.95 * y
+    return full
+
+
+def test_items_are_chosen_by_the_dot_product():
+    r, limits = random.Random(8), packing.Limits(tokens=997, segments=7, loss_tokens=401, waiting=20)
+    kinds = [lambda: (r.randrange(300, 900), 0), lambda: (lambda n: (n, n))(r.randrange(20, 390)), lambda: (r.randrange(1, 40), 0)]
+    items = [(n, 1, loss) for n, loss in ((r.choice(kinds))() for _ in range(600))]
+    found, demand = defaultdict(list), dict(enumerate(items))
+    for p in packing.VectorPacker(limits).pack([packing.Item(i, n, loss, False) for i, (n, _, loss) in demand.items()]):
+        found[p.sequence].append(demand[p.key])
+    want = plain_packing(items, limits)
+    assert [found[i] for i in sorted(found)] == want
+    assert all(n > 5 for n in closed_by(want, limits))
+    largest_first = plain_packing(items, packing.Limits(997, 10**6, 10**6, 20))
+    assert [x[0] for x in largest_first] != [x[0] for x in want]  # the other limits change what is taken
+
+
+def test_documents_reach_the_segment_limit_without_padding(spark):
+    rows = [(i, "w " * (3 if i % 6 else 900)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = packing.pack_documents(docs).collect()
+    seen, padding = check_packing(docs.collect(), found)
+    count = defaultdict(int)
+    for x in found:
+        count[x.sequence_id] += 1
+    assert len(seen) == 600 and padding < 0.1 and max(count.values()) == packing.Limits().segments
+    assert sum(n == packing.Limits().segments for n in count.values()) > 20
+
+
+def test_instruction_data_reaches_every_limit(spark):
+    from strandline.llm import registry
+
+    found = registry.queries()["instruction_packing"](spark, "/root/testdata/sf0.1").collect()
+    own, lim = defaultdict(list), packing.INSTRUCTIONS
+    for x in found:
+        own[x.sequence_id].append((x.length, 1, x.loss_tokens))
+    assert all(a <= b for s in own.values() for a, b in zip(map(sum, zip(*s)), (lim.tokens, lim.segments, lim.loss_tokens)))
+    print(len(own), closed_by(own.values(), lim))
+    assert all(n > 0 for n in closed_by(own.values(), lim))
+
+
 def test_pack_conversations(spark):
     rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "general"), (2, 0, None, None), (2, 1, "assistant", "long " * 3000), (None, None, None, "x")]
     found = packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
