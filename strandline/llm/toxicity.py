@@ -139,7 +139,7 @@ class Index:
 
     @cached_property
     def _query(self) -> np.ndarray:
-        return np.zeros(len(self.chosen))
+        return np.zeros(len(self.chosen), dtype=np.float32)
 
     @cached_property
     def _own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,9 +170,9 @@ class Index:
         rest = float(left[m]) if m < len(left) else 0.0
         bound = weights[:m] @ self.ceiling[features[:m]] + rest * self.steepest + length * self.longest
         order = np.argsort(-bound, kind="stable")
-        # the first blocks give a k-th best; then all others that may hold a better one are visited at once
-        i, s = self._visit(features[:m], weights[:m], length, order[:2])
-        more = order[2:]
+        # the first block gives a k-th best; then all others that may hold a better one are visited at once
+        i, s = self._visit(features[:m], weights[:m], length, order[:1])
+        more = order[1:]
         if len(i) >= k:
             more = more[bound[more] >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12]
         if len(more):
@@ -206,8 +206,12 @@ class Index:
         first, feature, weight = self._own
         self._query[features] = weights
         size = first[i + 1] - first[i]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[i], size)
-        dot = np.bincount(np.repeat(np.arange(len(i)), size), self._query[feature[at]] * weight[at], len(i))
+        begin = np.cumsum(size) - size
+        at = np.arange(size.sum()) - np.repeat(begin - first[i], size)
+        dot = np.zeros(len(i))
+        some = size > 0
+        if some.any():
+            dot[some] = np.add.reduceat(self._query[feature[at]] * weight[at], begin[some])
         self._query[features] = 0
         return dot
 
