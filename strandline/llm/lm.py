@@ -8,11 +8,13 @@ context is counted over all training texts, which gives both terms of the noise-
 one batched matrix product over all contexts and a softmax give normalised log-probabilities.
 
 That model is what a word's own context backs off to. Contexts themselves are all words of the corpus, and grow with it: how
-often each word follows each other one is counted, and a word's probability is (its count after the word before + t * the
-model's) / (the word before's count + t), t being how many different words follow that one (Witten-Bell). It adds up to one.
+often each word follows each other one is counted, and a word's probability is (its count after the word before + weight * the
+model's) / (the word before's count c + weight), a prior whose weight is c ** HEAPS, about the number of different words that
+follow (Witten-Bell's weight, by Heaps' law). It adds up to one over all words.
 
-Counts of all words and pairs stay distributed: blocks of texts ask for those of their distinct words and pairs and get them
-back. Words and pairs are told apart by 64-bit hashes.
+Counts of all words and pairs stay distributed. Blocks of texts send the distinct hashes that they hold, in ascending order and
+packed, with their counts to the tasks of the hashes' ranges; these add up, and send back the totals in the same order. A word
+that is everywhere is one entry of each block's message, so no hash is a hot key. Words and pairs are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,8 @@ END = SYMBOLS - 1
 END_HASH = np.uint64(0x5EED0FE11D)
 _SLICE_BYTES = 1 << 18
 _MERGE = 1 << 22
-_PAIR_MERGE = 1 << 21
+#: After a word that is found c times the model weighs as much as c to this power: about as many different words follow it.
+HEAPS = 0.9
 
 
 @dataclass(frozen=True)
@@ -170,32 +174,54 @@ def pairs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, mix(mix(before ^ np.uint64(0xB16A)) + h)
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(p, h, c): hash of every distinct pair of consecutive tokens of (text), its first token, and its count."""
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers as compressed byte planes: leading zeros take no room."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
-    @common.thrifty
-    def run(batches):
-        held, size = [], 0
-        for b in batches:
-            for _, _, h, _, at in _texts(b):
-                before, p = pairs(h, at)
-                held.append(_merged(p, before, np.ones(len(p))))
-                size += len(held[-1][0])
-                if size > _PAIR_MERGE:
-                    yield from _pair_batches(held)
-                    held, size = [], 0
-        if held:
-            yield from _pair_batches(held)
 
-    parts = docs.select("text").mapInArrow(run, "p long, h long, c long")
-    return parts.groupBy("p").agg(F.min("h").alias("h"), F.sum("c").alias("c"))
+def unpack(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
 
-def _pair_batches(held):
-    p, h, n = _merged(*(np.concatenate(x) for x in zip(*held)))
-    for i in range(0, len(p), 1 << 16):
-        s = slice(i, i + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(p[s].view(np.int64)), pa.array(h[s].view(np.int64)), pa.array(n[s])], names=["p", "h", "c"])
+def distinct_hashes(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of words and pairs in a block of texts, ascending, and their counts in those that are learned from."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in group.to_batches():
+        learned = b.column("learned").to_numpy(zero_copy_only=False)
+        for lo, hi, h, _, at in _texts(b):
+            own = np.repeat(learned[lo:hi], np.diff(at))
+            u, inverse = np.unique(np.concatenate([h, pairs(h, at)[1]]), return_inverse=True)
+            held.append((u, np.bincount(inverse, np.concatenate([own, own]), len(u))))
+    u, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    return u, np.bincount(inverse, np.concatenate([x for _, x in held]), len(u)).astype(np.uint64)
+
+
+def _ask(ranges: int):
+    """A block's message to each range of hashes."""
+    floors = (np.arange(ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges) << np.uint64(32)
+
+    def run(group: pa.Table) -> pa.Table:
+        block = group.column("block")[0].as_py()
+        u, n = distinct_hashes(group)
+        at = np.append(np.searchsorted(u, floors), len(u))
+        own = np.flatnonzero(np.diff(at))
+        keys = [pack(np.diff(u[at[r] : at[r + 1]], prepend=floors[r])) for r in own]
+        counts = [pack(n[at[r] : at[r + 1]]) for r in own]
+        common.release()
+        return pa.table({"range": pa.array(own.astype(np.int32)), "block": pa.array(np.full(len(own), block, dtype=np.int32)), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    return run
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """The totals of one range of hashes, for each block in the order of its message."""
+    own = [np.cumsum(unpack(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
+    u, inverse = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([unpack(c) for c in group.column("counts").to_pylist()]), len(u)).astype(np.uint64)
+    at = np.cumsum([0, *map(len, own)])
+    counts = [pack(total[inverse[lo:hi]]) for lo, hi in zip(at[:-1], at[1:])]
+    common.release()
+    return pa.table({"block": group.column("block"), "range": group.column("range"), "counts": pa.array(counts, pa.binary())})
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -234,13 +260,17 @@ def _count_batches(h, c, n):
 
 @dataclass
 class Model:
-    """What scoring needs beside the counts of words and pairs: what these back off to, the same size for any corpus."""
+    """What scoring needs beside the counts of words and pairs: what these back off to, the same size for any corpus.
+
+    cells: the training tokens of the context table, each of which is one of n.
+    """
 
     vocabulary: Vocabulary
     log10: np.ndarray  # contexts x symbols
     class_total: np.ndarray  # of each class: tokens + distinct words + 1
     n: int
     v: int
+    cells: int
 
 
 def fit(docs: DataFrame, counts: DataFrame, params: Training = Training()) -> Model:
@@ -277,45 +307,44 @@ def fit(docs: DataFrame, counts: DataFrame, params: Training = Training()) -> Mo
     cells = np.zeros(COARSE * SYMBOLS * SYMBOLS)
     cells[table.column("cell").to_numpy()] = table.column("n").to_numpy()
     log10 = train(cells.reshape(-1, SYMBOLS), params) / np.float32(np.log(10))
-    return Model(vocabulary, log10, class_total, int(total.n or 0), int(total.v or 0))
+    return Model(vocabulary, log10, class_total, int(total.n or 0), int(total.v or 0), int(cells.sum()))
 
 
-def witten_bell(pair: np.ndarray, before: np.ndarray, t: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """Probabilities by counts of a pair and of its first token, which t different ones follow; the model's after new ones."""
-    return np.where(before > 0, (pair + t * model) / np.maximum(1, before + t), model)
+def with_prior(pair: np.ndarray, before: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Probabilities by counts of a pair and of its first token; the model's after new ones."""
+    weight = np.where(before > 0, np.maximum(before, 1) ** HEAPS, 1.0)
+    return (pair + weight * model) / (before + weight)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, params: Training = Training()) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 2_500_000, params: Training = Training()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each input row.
 
     Learns from all rows that are not held out. Null text counts as empty (one token, the end), null ids as the text of no
     digits; repeated rows are each learned from and scored; other columns are dropped. Without training texts base_score
-    and what classes add are those of empty counts, and score comes from an untrained model.
+    and what classes add are those of empty counts, and score comes from an untrained model. Blocks hold about block_tokens
+    tokens, or one longer text.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    learned = d.where(~held_out(F.col("doc_id")))
+    d = d.withColumn("learned", ~held_out(F.col("doc_id")))
+    learned = d.where("learned")
     counts = common.stored(word_counts(learned), "counts")
-    followed = common.stored(pair_counts(learned), "pairs")
-    # t: how many different tokens follow a word
-    after = followed.groupBy("h").agg(F.count("*").alias("t"))
-    answers = counts.select("h", "c").join(after, "h", "left").unionByName(followed.select(F.col("p").alias("h"), "c", F.lit(0).cast("long").alias("t")))
     model = fit(learned, counts, params)
     held = spark.sparkContext.broadcast(model)
-    blocks = max(common.blocks_for(common.text_bytes(d), block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a seventh of all texts is held out
+    blocks = max(common.blocks_for(model.n * 7 // 6, block_tokens), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
-    def ask(group: pa.Table) -> pa.Table:
-        block = group.column("block")[0].as_py()
-        own = np.unique(np.concatenate([np.unique(x) for b in group.to_batches() for _, _, h, _, at in _texts(b) for x in (h, pairs(h, at)[1])]))
-        return pa.table({"block": pa.array(np.full(len(own), block, dtype=np.int32)), "h": pa.array(own.view(np.int64))})
-
     def score(group: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = held.value
-        h0, c0, t0 = known.column("h").to_numpy().view(np.uint64), known.column("c").to_numpy(), known.column("t").to_numpy()
-        order = np.argsort(h0)
-        h0, c0, t0 = h0[order], c0[order], t0[order]
+        names = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+        if not len(group):
+            return pa.table({k: pa.array([], t) for k, t in names.items()})
+        h0 = distinct_hashes(group)[0]
+        order = np.argsort(known.column("range").to_numpy())
+        answers = known.column("counts").to_pylist()
+        c0 = np.concatenate([unpack(answers[i]) for i in order]).astype(np.int64)
         ids, out = [], []
         for b in group.to_batches():
             for lo, hi, h, c, at in _texts(b):
@@ -325,16 +354,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 tail = np.flatnonzero((symbol >= FREQUENT) & (symbol < END))
                 lp[tail] += np.log10((n[tail] + 1) / m.class_total[symbol[tail] - FREQUENT])
                 before, p = pairs(h, at)
-                place = np.searchsorted(h0, before)
-                lp = np.log10(witten_bell(c0[np.searchsorted(h0, p)], c0[place], t0[place], 10**lp))
+                lp = np.log10(with_prior(c0[np.searchsorted(h0, p)], c0[np.searchsorted(h0, before)], 10**lp))
                 base = np.log10((n + 1) / (m.n + 1 * (m.v + 1)))
                 ids.append(b.column("doc_id").slice(lo, hi - lo))
                 out.append(np.stack([np.diff(at), np.add.reduceat(n > 0, at[:-1], dtype=np.int64), np.add.reduceat(base, at[:-1]), np.add.reduceat(lp, at[:-1])]))
-        n_tokens, n_known, base, lp = np.concatenate(out, axis=1) if out else np.zeros((4, 0))
-        return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": lp})
+        n_tokens, n_known, base, lp = np.concatenate(out, axis=1)
+        common.release()
+        return pa.table([pa.chunked_array(ids, pa.int64()), *(pa.array(x, t) for x, t in zip((n_tokens.astype(np.int64), n_known.astype(np.int64), base, lp), list(names.values())[1:]))], names=list(names))
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, h long")
-    answered = asked.join(answers, "h", "left").select("block", "h", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("t", F.lit(0)).alias("t"))
+    asked = dealt.groupBy("block").applyInArrow(_ask(blocks), "range int, block int, keys binary, counts binary")
+    answered = asked.repartition(blocks, "range").groupBy("range").applyInArrow(_answer, "block int, range int, counts binary")
     out = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
