@@ -50,10 +50,37 @@ def _bare(words: Words) -> Words:
     return Words(words.data, start, end, words.first)
 
 
-def feature_counts(data: np.ndarray, off: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Chosen:
+    """Ascending hashes of 52 bits, looked up by a table of their first bits: they are spread evenly."""
+
+    hashes: np.ndarray
+    bits: int = 19
+
+    @cached_property
+    def _begin(self) -> np.ndarray:
+        return np.searchsorted(self.hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(SHINGLE_BITS - self.bits)).astype(np.int32)
+
+    @cached_property
+    def _closed(self) -> np.ndarray:
+        return np.append(self.hashes, _LOW + np.uint64(1))
+
+    def places(self, f: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out, open_ = np.full(len(f), -1, dtype=np.int32), np.arange(len(f))
+        at = self._begin[(f >> np.uint64(SHINGLE_BITS - self.bits)).astype(np.int64)]
+        while len(open_):
+            there, own = self._closed[at], f[open_]
+            hit, more = there == own, there < own
+            out[open_[hit]] = at[hit]
+            open_, at = open_[more], at[more] + 1
+        return out
+
+
+def feature_counts(data: np.ndarray, off: np.ndarray, chosen: Chosen | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts data[off[i]:off[i + 1]] (at most MOST_DOCS): sorted (text, feature) pairs, their counts, words of each text.
 
-    A feature is a hash of 52 bits. With chosen (sorted hashes) only those are counted, and given by their place in it.
+    A feature is a hash of 52 bits. With chosen only its hashes are counted, and given by their place in it.
     """
     words = words_of(data, off)
     doc = words.doc.astype(np.uint64)
@@ -64,17 +91,8 @@ def feature_counts(data: np.ndarray, off: np.ndarray, chosen: np.ndarray | None
     bare = _bare(words)
     size = bare.end - bare.start
     parts, docs = [], []
-    few = chosen is not None and 0 < len(chosen) < 1 << 15
-    if few:
-        table = np.zeros(1 << 18, dtype=bool)  # lets nearly all others be passed over
-        table[(chosen & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-
     def take(h: np.ndarray, own: np.ndarray) -> None:
-        h = h & _LOW
-        if few:
-            near = np.flatnonzero(table[(h & np.uint64((1 << 18) - 1)).astype(np.int64)])
-            h, own = h[near], own[near]
-        parts.append(h)
+        parts.append(h & _LOW)
         docs.append(own)
 
     longest = len(words.data) - 1
@@ -92,8 +110,8 @@ def feature_counts(data: np.ndarray, off: np.ndarray, chosen: np.ndarray | None
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
     doc, f, counts = (key[first] >> np.uint64(SHINGLE_BITS)).astype(np.int64), key[first] & _LOW, np.diff(np.append(first, len(key)))
     if chosen is not None:
-        place = np.searchsorted(chosen, f)
-        hit = np.append(chosen, _LOW + np.uint64(1))[place] == f
+        place = chosen.places(f)
+        hit = place >= 0
         doc, f, counts = doc[hit], place[hit].astype(np.uint64), counts[hit]
     return doc, f, counts, n_words
 
@@ -137,6 +155,10 @@ class Index:
         self.norm = np.sqrt(np.bincount(self.example, self.weight.astype(np.float64) ** 2, n)) * (1 + 1e-9)
         self.longest, self.steepest = (np.array([x[i * BLOCK : (i + 1) * BLOCK].max() for i in range(blocks)]) for x in (self.length, self.norm))
 
+    @cached_property
+    def known(self) -> Chosen:
+        return Chosen(self.chosen)
+
     @cached_property
     def _query(self) -> np.ndarray:
         return np.zeros(len(self.chosen), dtype=np.float32)
@@ -273,11 +295,11 @@ def document_frequencies(docs: DataFrame, chosen: np.ndarray) -> tuple[int, np.n
 
     To the driver comes a row for each chosen feature at most.
     """
-    held = docs.sparkSession.sparkContext.broadcast(chosen)
+    held = docs.sparkSession.sparkContext.broadcast(Chosen(chosen))
 
     @common.thrifty
     def run(batches):
-        n = np.zeros(len(held.value) + 1, dtype=np.int64)
+        n = np.zeros(len(held.value.hashes) + 1, dtype=np.int64)
         for b in batches:
             data, off = text_buffer(b.column("text"))
             n[-1] += len(off) - 1
@@ -352,7 +374,7 @@ _REMEMBERED = 200_000
 
 
 def _scores(index: Index, data: np.ndarray, off: np.ndarray, memo: dict) -> list[tuple[float, int | None, float]]:
-    doc, f, c, n_words = feature_counts(data, off, index.chosen)
+    doc, f, c, n_words = feature_counts(data, off, index.known)
     first = np.searchsorted(doc, np.arange(len(n_words) + 1))
     f = f.astype(np.int64)
     out = []

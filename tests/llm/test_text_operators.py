@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from odd_tables import with_clashing_columns
+from pyspark.sql import functions as F
 from strandline.llm import lm, minhash, quality, textvec, toxicity
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -318,7 +319,7 @@ def test_lm_counts_against_brute_force(spark, odd_docs):
             count.update(toks(r.text))
     n, v = sum(count.values()), len(count)
     want = sorted((r.doc_id is None, r.doc_id or 0, out(r.doc_id), len(toks(r.text)), sum(count[t] > 0 for t in toks(r.text)), n, round(sum(math.log10((count[t] + 1) / (n + v + 1)) for t in toks(r.text)), 6)) for r in rows)
-    found = lm.score_documents(docs, block_bytes=3000, params=lm.Training(steps=5)).collect()
+    found = lm.score_documents(docs, block_tokens=500, params=lm.Training(steps=5)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == want
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
@@ -347,8 +348,64 @@ def test_lm_contexts_grow_with_the_corpus(spark):
     assert len(found) > 100
     # a uniform guess among the words costs 3.3 for each; a known follower costs far less
     assert sum(r.score for r in found) / sum(r.n_tokens for r in found) > -1.5
-    pair, before, t = np.array([3, 1, 0, 0]), np.array([4] * 4), np.array([2] * 4)
-    assert np.isclose(lm.witten_bell(pair, before, t, np.array([0.1, 0.2, 0.3, 0.4])).sum(), 1)
+    assert np.isclose(lm.with_prior(np.array([3, 1, 0, 0]), np.array([4] * 4), np.array([0.1, 0.2, 0.3, 0.4])).sum(), 1)
+
+
+def test_lm_scores_against_plain_counts(spark, odd_docs):
+    """score from dictionaries of words and pairs, and the context table, whose counts add up to the training tokens."""
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()] + [(i, f"the cat{i % 5} sat on the mat. The dog {i % 3} ran") for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    toks = lambda t: [*WORD.findall(lower(t)), b""]
+    learned = docs.where(~lm.held_out(F.col("doc_id")))
+    params = lm.Training(steps=7)
+    model = lm.fit(learned, lm.word_counts(learned), params)
+    word, pair = Counter(), Counter()
+    for i, t in rows:
+        if not out(i):
+            word.update(toks(t))
+            pair.update(zip([b"", *toks(t)], toks(t)))
+    assert model.cells == model.n == sum(word.values()) and model.v == len(word)
+    want = []
+    for i, t in rows:
+        data, off = textvec.text_buffer(pa.array([t or ""]))
+        h, c, at = lm.tokens(data, off)
+        symbol = model.vocabulary.symbols(h, c)
+        total = 0.0
+        for j, (a, b) in enumerate(zip([b"", *toks(t)], toks(t))):
+            p = 10 ** float(model.log10[model.vocabulary.contexts(symbol, at)[j], symbol[j]])
+            if lm.FREQUENT <= symbol[j] < lm.END:
+                p *= (word[b] + 1) / model.class_total[symbol[j] - lm.FREQUENT]
+            weight = word[a] ** lm.HEAPS if word[a] else 1
+            total += math.log10((pair[a, b] + weight * p) / (word[a] + weight))
+        want.append((i is None, i or 0, round(total, 5)))
+    found = lm.score_documents(docs, block_tokens=300, params=params).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 5)) for r in found) == sorted(want)
+
+
+def test_lm_probabilities_of_a_vocabulary_add_up(spark):
+    """After any word: all known words, the end and one word that no text has, with what is left of each class for unseen ones."""
+    docs = spark.createDataFrame([(i, f"w{i % 9} x{i % 7} y{i % 4}") for i in range(60)], "doc_id long, text string")
+    counts = lm.word_counts(docs)
+    model = lm.fit(docs, counts, lm.Training(steps=9))
+    known = {r.h & (2**64 - 1): (r.cls, r.c) for r in counts.collect()}
+    for context in (0, 5, lm.END, 3 * lm.SYMBOLS + 7):
+        share = 10 ** model.log10[context].astype(np.float64)
+        total = share[lm.END]
+        for h, (cls, n) in known.items():
+            s = int(model.vocabulary.symbols(np.array([h], dtype=np.uint64), np.array([cls]))[0]) if cls >= 0 else None
+            total += 0 if s is None else share[s] if s < lm.FREQUENT else share[s] * (n + 1) / model.class_total[cls]
+        # unseen words have one count in each class, and symbols that no word has are theirs too
+        frequent = len(model.vocabulary.frequent)
+        total += share[frequent : lm.FREQUENT].sum() + sum(share[lm.FREQUENT + c] / model.class_total[c] for c in range(lm.CLASSES))
+        assert np.isclose(total, 1, atol=1e-4)
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(1)
+    for x in (np.zeros(0), np.array([0, 2**64 - 1]), r.integers(0, 2**63, 1000)):
+        x = x.astype(np.uint64)
+        assert (lm.unpack(lm.pack(x)) == x).all()
 
 
 def test_words_and_hashes():
