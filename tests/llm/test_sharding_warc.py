@@ -26,7 +26,7 @@ def test_append_compact_and_read_back(spark, tmp_path, odd_docs):
 
 def test_tiers_merge_like_with_like(spark, tmp_path):
     s = store(spark, tmp_path, target_bytes=1000, smallest_bytes=10, fanout=4)
-    shard = lambda i, n: sharding.Shard(f"r/data/p{i}", n, 1)
+    shard = lambda i, n: sharding.Shard(f"f/p{i}", n, 1)
     small, large, full = [shard(i, 10) for i in range(5)], [shard(i, 400) for i in range(5, 8)], [shard(9, 600)]
     runs = s.plan(small + large + full)
     assert [{x.size for x in run} for run in runs] == [{10}, {400}]
@@ -38,7 +38,7 @@ def test_many_runs_in_one_job_keep_all_rows(spark, tmp_path):
     s = store(spark, tmp_path, target_bytes=4000, smallest_bytes=500, fanout=2)
     for i in range(3):
         s.append(spark.range(i * 1000, i * 1000 + 1000).repartition(9))
-    s.compact(final=False, vacuum=False)
+    s.compact(final=False)
     again = s.compact()
     assert sorted(r.id for r in s.read().collect()) == list(range(3000))
     assert sum(x.rows for x in again.shards) == 3000 and len({x.name for x in again.shards}) == len(again.shards)
@@ -53,24 +53,96 @@ def test_a_run_longer_than_a_job_is_merged_in_parts(spark, tmp_path):
     assert sorted(r.id for r in s.read().collect()) == list(range(90))
 
 
-def test_commit_is_exclusive_and_a_torn_manifest_is_ignored(spark, tmp_path):
+def test_commit_is_exclusive(spark, tmp_path):
     s = store(spark, tmp_path)
-    one = s.commit([], 0)
+    zero = s.manifest()
+    one = s.commit(zero, [sharding.Shard("f/a", 1, 1)])
     with pytest.raises(sharding.CommitConflict):
-        s.commit([], 0)
-    (tmp_path / "store/manifest/000000000002.json").write_text('{"version": 2, "sha')
-    assert s.manifest() == one
+        s.commit(zero)
+    s._versions = lambda: []  # a writer that has not seen version 1
+    with pytest.raises(sharding.CommitConflict):
+        s.commit(zero)
+    del s._versions
+    assert s.manifest().shards == one.shards and not [x for x in (tmp_path / "store/manifest").iterdir() if "json" not in x.name]
+
+
+def test_two_writers_keep_each_others_rows(spark, tmp_path):
+    a, b = store(spark, tmp_path), store(spark, tmp_path)
+    late, write = b._write, b._write
+
+    def between(df):
+        new = write(df)
+        a.append(spark.range(5).coalesce(1))
+        return new
+
+    b._write = between
+    b.append(spark.range(5, 9).coalesce(1))
+    assert late and sorted(r.id for r in a.read().collect()) == list(range(9))
 
 
-def test_empty_table_and_unlisted_files(spark, tmp_path, no_docs):
+@pytest.mark.parametrize("step", ["data", "temporary", "torn"])
+def test_a_writer_that_dies_blocks_nobody(spark, tmp_path, step):
+    """Killed after its data, after the manifest under its temporary name, or with half a version (by other means than commit)."""
     s = store(spark, tmp_path)
-    s.append(no_docs)
+    s.append(spark.range(4).coalesce(1))
+    dead = store(spark, tmp_path)
+    new = dead._write(spark.range(100, 104).coalesce(1))
+    if step == "temporary":
+        dead._publish_file = lambda a, b: (_ for _ in ()).throw(KeyboardInterrupt())
+        with pytest.raises(KeyboardInterrupt):
+            dead.commit(dead.manifest(), new)
+    if step == "torn":
+        (tmp_path / "store/manifest/000000000002.json").write_text('{"version": 2, "sha')
+    assert sorted(r.id for r in s.read().collect()) == list(range(4))
+    for i in range(2):
+        s.append(spark.range(4 + 4 * i, 8 + 4 * i).coalesce(1))
     s.compact()
+    assert sorted(r.id for r in s.read().collect()) == list(range(12))
+    assert s.vacuum(1, 0) >= 4 and sorted(r.id for r in s.read().collect()) == list(range(12))
+    assert len(list((tmp_path / "store/data").rglob("*.parquet"))) == len(s.manifest().shards)
+
+
+def test_old_versions_stay_readable_until_they_are_forgotten(spark, tmp_path):
+    s = store(spark, tmp_path, fanout=2)
+    for i in range(23):
+        s.append(spark.range(i, i + 1).coalesce(1))
+        if i == 12:
+            s.compact()
+    then = {v: sorted(r.id for r in s.read(s.manifest(v)).collect()) for v in (1, 5, 13, 14, 24)}
+    assert then == {1: [0], 5: list(range(5)), 13: list(range(13)), 14: list(range(13)), 24: list(range(23))}
+    assert s.vacuum(keep_versions=3, older_than=3600) == 0  # too young
+    assert s.vacuum(keep_versions=3, older_than=0) == 13
+    assert sorted(r.id for r in s.read(s.manifest(22)).collect()) == list(range(21))
+    with pytest.raises(ValueError):
+        s.manifest(5)
+    with pytest.raises(ValueError):
+        s.manifest(99)
+
+
+def test_empty_tables_clashing_columns_and_unlisted_files(spark, tmp_path, no_docs, odd_docs):
+    from odd_tables import with_clashing_columns
+
+    s = store(spark, tmp_path)
     with pytest.raises(ValueError):
         s.read()
-    s.append(spark.range(10).coalesce(1))
-    spark.range(99).write.parquet(f"file://{tmp_path}/store/data/orphan/x")
-    assert s.read().count() == 10
+    s.append(no_docs)
+    s.compact()
+    assert s.read().drop("shard").schema.names == no_docs.schema.names and s.read().count() == 0
+    with pytest.raises(ValueError):
+        s.append(spark.range(3))
+    clash = with_clashing_columns(odd_docs).withColumn("file", F.lit(1)).withColumn("run", F.lit(2)).withColumn("of", F.lit(None).cast("map<string,int>"))
+    t = sharding.shard_arrivals([clash.coalesce(1), clash.where("false"), clash.coalesce(1)], f"file://{tmp_path}/two", keep_versions=1, older_than=0)
+    assert t.read().drop("shard").columns == clash.columns and t.read().count() == 2 * odd_docs.count() and len(t.manifest().shards) == 1
+    spark.range(99).write.parquet(f"file://{tmp_path}/two/data/orphan/x")
+    assert t.read().count() == 2 * odd_docs.count()
+
+
+def test_a_run_is_repeatable(spark):
+    from strandline.llm import registry
+
+    q = registry.queries()["op2_size_tiered_shards"]
+    one, two = (sorted(map(tuple, q(spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
+    assert one == two and "Python" not in q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
 RECORD = "record_id long, url string, ts long, status int, etag string, last_modified string, headers map<string,string>, digest string"
