@@ -410,8 +410,9 @@ def _dealt_and_found(d: DataFrame, length: int, block_bytes: int) -> tuple[DataF
     near = common.stored(asked.join(keys.select("anchor", "n", (F.col("a") != F.col("b")).alias("mixed")), "anchor"), "shared")
     common.discard(asked)
     same = near.groupBy("anchor", "name").agg(F.count("*").alias("copies"), F.min(F.struct("place", "span")).alias("one"), F.max("n").alias("n"), F.max("mixed").alias("mixed"))
-    # segments that are equal repeat as a whole
-    twice = near.select("anchor", "name", "place", "span").join(same.where("copies > 1").select("anchor", "name"), ["anchor", "name"])
+    # segments that are equal repeat as a whole; what is stored and dealt anew lets a skewed join be split
+    repeated = common.stored(same.where("copies > 1").select("anchor", "name"), "repeated")
+    twice = near.select("anchor", "name", "place", "span").join(repeated, ["anchor", "name"])
     first, windows = F.shiftright("span", _WINDOW_BITS + 1), F.shiftright("span", 1).bitwiseAND(F.lit((1 << _WINDOW_BITS) - 1))
     whole = twice.select("place", first.alias("first"), windows.alias("windows"))
     # one of each different segment takes part in the index
@@ -421,7 +422,8 @@ def _dealt_and_found(d: DataFrame, length: int, block_bytes: int) -> tuple[DataF
     # parts of hot anchors that are equal repeat as a whole as well; one of each takes part in the index
     parts = pieces.where("content is not null")
     alike = parts.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("place", "start")).alias("one"))
-    again = parts.select("anchor", "content", "place", "start", "windows").join(alike.where("copies > 1").select("anchor", "content"), ["anchor", "content"])
+    repeated = common.stored(alike.where("copies > 1").select("anchor", "content"), "repeated-parts")
+    again = parts.select("anchor", "content", "place", "start", "windows").join(repeated, ["anchor", "content"])
     again = again.select("place", F.col("start").alias("first"), "windows")
     one = parts.join(alike.select("one.place", "one.start"), ["place", "start"], "left_semi")
     open_ = pieces.where("content is null").unionByName(one).drop("content")
