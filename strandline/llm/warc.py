@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Header fields of a not-modified answer that must not replace those of the stored response.
-KEPT_FIELDS = ["content-encoding", "content-length", "content-range", "content-type", "transfer-encoding"]
+#: Header fields of a not-modified answer that must not replace those of the stored response: what describes the
+#: stored body, and fields that are meant for one connection alone.
+KEPT_FIELDS = ["content-encoding", "content-length", "content-range", "content-type", "connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "trailers", "transfer-encoding", "upgrade"]
 #: Query parameters that only track where a visitor came from.
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|sessionid|phpsessid)="
 
@@ -37,6 +38,19 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """A map of headers by names in lower case; names that differ in case alone are one, with their values in the order of the
+    spellings, joined by a comma as repeated fields are (nulls are left out of it; all null: null)."""
+    entries = F.array_sort(F.map_entries(headers))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e.key)))
+
+    def value(name: Column) -> Column:
+        own = F.transform(F.filter(entries, lambda e: (F.lower(e.key) == name) & e.value.isNotNull()), lambda e: e.value)
+        return F.when(F.size(own) > 0, F.array_join(own, ", "))
+
+    return F.when(headers.isNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(F.map_from_arrays(names, F.transform(names, value)))
+
+
 def resolve_revisits(records: DataFrame, slot: int = 86_400) -> DataFrame:
     """Resolves (record_id long, url, ts long, status int, etag, last_modified, headers map<string,string>, digest).
 
@@ -45,12 +59,11 @@ def resolve_revisits(records: DataFrame, slot: int = 86_400) -> DataFrame:
     largest smaller ts (ties: the largest record_id): "resolved" if both have the same entity tag (weakly compared), or,
     where either has none, the same last-modified; else "mismatch"; "missing" if there is none before. A resolved one has the
     response's digest and headers, the revisit's own fields replacing those except KEPT_FIELDS (names in lower case).
-    Null url or ts: never resolved ("missing"), nor resolved to. record_id must tell records apart; records that repeat it
+    Header names that differ in case alone are one field (see lower_names). Null url or ts: never resolved ("missing"), nor resolved to. record_id must tell records apart; records that repeat it
     are each resolved, and one that two responses share resolves to the one that is larger by (etag, last_modified, digest).
     Other columns are dropped.
     """
-    lower = F.transform_keys(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: F.lower(k))
-    r = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "ts", F.col("status"), "etag", "last_modified", lower.alias("headers"), "digest")
+    r = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "ts", F.col("status"), "etag", "last_modified", lower_names(F.col("headers")).alias("headers"), "digest")
     r = r.withColumn("slot", F.floor(F.col("ts") / slot))
     full = F.when((F.col("status") == 200) & F.col("url_key").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "record_id"))
     inside = Window.partitionBy("url_key", "slot").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)

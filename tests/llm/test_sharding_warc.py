@@ -187,3 +187,15 @@ def test_headers_merge_and_canonical_urls(spark):
     assert found[2].headers == {"content-type": "text/html", "date": "two", "x": None} and found[2].digest == "body"
     assert found[3].outcome == "mismatch"
     assert warc.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
+
+
+def test_header_names_by_case_and_fields_of_one_connection(spark):
+    rows = [
+        (1, "h/a", 1, 200, '"t"', None, {"Date": "one", "date": "two", "DATE": None, "Connection": "close", "X-A": None, "x-a": None}, "body"),
+        (2, "h/a", 2, 304, '"t"', None, {"date": "new", "Date": "newer", "Keep-Alive": "5", "CONNECTION": "keep-alive", "Proxy-Authenticate": "x", "TE": "y"}, None),
+        (3, "h/a", 3, 304, '"t"', None, {}, None),
+    ]
+    found = {r.record_id: r.headers for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORD)).collect()}
+    assert found[1] == {"date": "one, two", "connection": "close", "x-a": None}
+    assert found[2] == {"date": "newer, new", "connection": "close", "x-a": None}
+    assert found[3] == found[1]
