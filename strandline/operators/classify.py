@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import NUM_RANKS, ClassifyParams, merge_params
+from ..params import ClassifyParams, merge_params
 from . import taxonomy
 
 
 def classify(candidates: DataFrame, rank_arrays: DataFrame, c: ClassifyParams) -> DataFrame:
     """(query_id, taxid, rank) of (query_id, pos, taxid, hits), for reads with candidates; null taxid: unclassified.
 
-    Reads whose best candidate has fewer than hits_min hits are unclassified. Otherwise the result is the lowest common
-    ranked ancestor of the best candidate and all others with more hits than the threshold, (hits - hits_min) * hits_diff
-    of the best; unclassified if that is above the highest rank. In a tree, taxa that share an ancestor share all above it,
-    so the common part of two rank arrays is their ancestor's array.
+    Reads whose best candidate has fewer than hits_min hits are unclassified. Otherwise all others with more hits than the
+    threshold, (hits - hits_min) * hits_diff of the best, are used besides it. A best candidate that is alone is the result
+    itself, whatever it is; of several it is their lowest common ranked ancestor. Above the highest rank, without a rank and
+    with a taxon that the taxonomy does not know (rank_arrays, see taxonomy.ranked_arrays, has a row for each) a read is
+    unclassified. In a tree, taxa that share an ancestor share all above it, so the common part of rank arrays is its array.
     """
     w = Window.partitionBy("query_id")
     top = F.max("hits").over(w)
     threshold = F.when(top > c.hits_min, (top - c.hits_min) * F.lit(c.hits_diff)).otherwise(0.0)
     d = candidates.withColumn("top", top).withColumn("threshold", threshold)
     used = d.where((F.col("top") >= c.hits_min) & ((F.col("pos") == 1) | (F.col("hits") > F.col("threshold"))))
-    lists = used.join(rank_arrays, "taxid").groupBy("query_id").agg(F.collect_list("ranks").alias("all"))
-    same = F.aggregate(F.slice("all", 2, 1_000_000), F.col("all")[0], lambda a, x: F.zip_with(a, x, lambda p, q: F.when(p == q, p)))
-    ranks = lists.select("query_id", F.array_position(F.transform(same, lambda x: x.isNotNull()), F.lit(True)).alias("at"), same.alias("same"))
-    ok = (F.col("at") > 0) & (F.col("at") - 1 <= c.highest)
-    found = ranks.select("query_id", F.when(ok, F.get("same", (F.col("at") - 1).cast("int"))).alias("taxid"), F.when(ok, (F.col("at") - 1).cast("int")).alias("rank"))
+    used = used.join(rank_arrays, "taxid", "left")
+    lists = used.groupBy("query_id").agg(F.collect_list("ranks").alias("all"), F.count("*").alias("n"), F.count("own").alias("known"), F.min_by("taxid", "pos").alias("best"), F.min_by("own", "pos").alias("own"))
+    same = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: F.when(p == q, p)))
+    at = F.array_position(F.transform(same, lambda x: x.isNotNull()), F.lit(True)) - 1
+    lca = lists.select("*", same.alias("same"), F.when((F.col("n") > 1) & (at >= 0), at).otherwise(F.when(F.col("n") == 1, F.col("own"))).cast("int").alias("at"))
+    ok = (F.col("known") == F.col("n")) & (F.col("at") <= c.highest)
+    found = lca.select("query_id", F.when(ok, F.when(F.col("n") == 1, F.col("best")).otherwise(F.get("same", F.col("at")))).alias("taxid"), F.when(ok, F.col("at")).alias("rank"))
     return candidates.select("query_id").distinct().join(found, "query_id", "left")
 
 

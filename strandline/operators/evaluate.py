@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import headers
 from ..params import NONE, RANKS, ROOT
-from . import taxonomy
+from . import naming, taxonomy
 
 
 def exclude_clade(hits: DataFrame, truth: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -22,14 +23,17 @@ def exclude_clade(hits: DataFrame, truth: DataFrame, ancestors: DataFrame) -> Da
     return d.where(keep).select(*hits.columns)
 
 
-def ground_truth(reads: DataFrame, taxa: DataFrame, lin: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, truth_taxid): by the header's accession, else a similar name, else its taxid, else the whole header; then
-    the next ranked ancestor. names is (query_id, acc, similar, taxid) as functions.headers and joins give them."""
+def ground_truth(reads: DataFrame, taxa: DataFrame, lin: DataFrame) -> DataFrame:
+    """(query_id, truth_taxid) of (query_id, header): the taxon named by the header's accession and version, else the one whose
+    name continues its accession, else the one with the taxid in it, else the one named by all of it; of that the next ranked
+    ancestor. Null where there is none."""
+    h = F.col("header")
+    d = reads.select("query_id", "header", headers.accession_version(h).alias("accver"), headers.accession(h).alias("acc"), headers.taxon_id(h).alias("taxid"))
     by_name = taxa.groupBy("name").agg(F.min("taxid").alias("t"))
-    d = reads.select("query_id", "header").join(names, "query_id")
-    d = d.join(by_name.select(F.col("name").alias("acc"), F.col("t").alias("t1")), "acc", "left")
-    d = d.join(by_name.select(F.col("name").alias("similar"), F.col("t").alias("t2")), "similar", "left")
-    d = d.join(taxa.select(F.col("taxid"), F.col("taxid").alias("t3")), "taxid", "left")
+    near = naming.similar_names(d.select("acc"), taxa.select("name"))
+    d = d.join(by_name.select(F.col("name").alias("accver"), F.col("t").alias("t1")), "accver", "left")
+    d = d.join(near, "acc", "left").join(by_name.select(F.col("name").alias("similar"), F.col("t").alias("t2")), "similar", "left")
+    d = d.join(taxa.select("taxid", F.col("taxid").alias("t3")), "taxid", "left")
     d = d.join(by_name.select(F.col("name").alias("header"), F.col("t").alias("t4")), "header", "left")
     d = d.select("query_id", F.coalesce("t1", "t2", "t3", "t4").alias("taxid"))
     return d.join(taxonomy.next_ranked(lin, taxa), "taxid", "left").select("query_id", F.col("anc").alias("truth_taxid"))

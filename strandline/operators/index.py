@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import MAX_LOCATIONS, SketchParams
+from ..storage import stored
 from .sketching import sketch_features
 
 #: Version of the stored layout.
@@ -42,12 +43,20 @@ def _without(index: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def remove_overpopulated(index: DataFrame, most: int = MAX_LOCATIONS) -> DataFrame:
-    """Without features that have more than most - 1 locations: counts are combined before the shuffle."""
+    """Without features that have more than most - 1 locations: counts are combined before the shuffle.
+
+    The index is stored first, since two steps read it and it may be the result of sketching all targets.
+    """
+    index = stored(index, "index")
     return _without(index, feature_counts(index).where(F.col("n") > most - 1))
 
 
 def remove_ambiguous(index: DataFrame, ancestors: DataFrame, most: int = 1) -> DataFrame:
-    """Without features found in more than most taxa; ancestors is (tgt, anc), and a missing one counts as one taxon."""
+    """Without features found in more than most taxa; ancestors is (tgt, anc), and a missing one counts as one taxon.
+
+    The index is stored first, as above.
+    """
+    index = stored(index, "index")
     taxa = index.select("feature", "tgt").distinct().join(ancestors.select("tgt", "anc"), "tgt", "left")
     many = taxa.select("feature", F.coalesce("anc", F.lit(0)).alias("anc")).distinct().groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > most)
     return _without(index, many)

@@ -33,9 +33,10 @@ def ranked(lin: DataFrame) -> DataFrame:
 
 
 def ranked_arrays(lin: DataFrame) -> DataFrame:
-    """(taxid, ranks): an array of NUM_RANKS ancestors, null where there is none."""
-    m = ranked(lin).groupBy("taxid").agg(F.map_from_entries(F.collect_list(F.struct("rank", "anc"))).alias("m"))
-    return m.select("taxid", F.transform(F.sequence(F.lit(0), F.lit(NUM_RANKS - 1)), lambda r: F.col("m")[r.cast("int")]).alias("ranks"))
+    """(taxid, own, ranks) of every taxon: its own rank, and an array of NUM_RANKS ancestors, null where there is none."""
+    own = F.max(F.when(F.col("depth") == 0, F.col("rank"))).alias("own")
+    at = [F.max_by(F.when(F.col("rank") == r, F.col("anc")), F.when(F.col("rank") == r, F.col("depth"))).alias(f"r{r}") for r in range(NUM_RANKS)]
+    return lin.groupBy("taxid").agg(own, *at).select("taxid", "own", F.array(*(f"r{r}" for r in range(NUM_RANKS))).alias("ranks"))
 
 
 def ancestor_at(lin: DataFrame, rank: int) -> DataFrame:

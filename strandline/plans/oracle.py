@@ -91,9 +91,9 @@ cand AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDE
 
 
 def _classify(low: int, diff: float, highest: int = 19, cand: str = "cand") -> str:
-    return f"""used AS (SELECT query_id, taxid FROM (SELECT *, max(hits) OVER (PARTITION BY query_id) AS top FROM {cand}) WHERE top >= {low} AND (pos = 1 OR hits > CASE WHEN top > {low} THEN (top-{low})*{diff} ELSE 0 END)),
-shared AS (SELECT u.query_id, r.rank, min(r.anc) AS anc FROM used u JOIN ranked r USING (taxid) JOIN (SELECT query_id, count(*) AS n FROM used GROUP BY 1) k USING (query_id) GROUP BY u.query_id, r.rank, k.n HAVING count(*) = k.n AND min(r.anc) = max(r.anc)),
-low AS (SELECT query_id, min(rank) AS rank, arg_min(anc, rank) AS taxid FROM shared GROUP BY 1),
+    return f"""used AS (SELECT query_id, pos, taxid, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT *, max(hits) OVER (PARTITION BY query_id) AS top FROM {cand}) WHERE top >= {low} AND (pos = 1 OR hits > CASE WHEN top > {low} THEN (top-{low})*{diff} ELSE 0 END)),
+shared AS (SELECT u.query_id, r.rank, min(r.anc) AS anc FROM used u JOIN ranked r USING (taxid) WHERE u.n > 1 GROUP BY u.query_id, r.rank, u.n HAVING count(*) = u.n AND min(r.anc) = max(r.anc)),
+low AS (SELECT query_id, min(rank) AS rank, arg_min(anc, rank) AS taxid FROM shared GROUP BY 1 UNION ALL SELECT query_id, t.rank, taxid FROM used JOIN taxa t USING (taxid) WHERE n = 1),
 cls_ AS (SELECT query_id, taxid, rank FROM low WHERE rank <= {highest})"""
 
 
@@ -163,7 +163,7 @@ def oracle_sql() -> dict[str, str]:
     n_text = "regexp_replace(translate(lower(text), '" + _FROM + "', '" + _TO + "'), '[^ACGT]', 'N', 'g')"
     rounded = lambda *c: ", ".join(f"round({x}, 6) AS {x}" for x in c)
     murmur = "xor(y3 >> 16, y3)"
-    geo_pairs = "pairs AS (SELECT c_custkey+2000000 AS a, s_suppkey+1000000 AS b FROM customer, supplier WHERE c_custkey % 10 = 1 AND (s_suppkey+1000000) % 10 = 1)"
+    geo_pairs = "pairs AS (SELECT DISTINCT o_custkey+2000000 AS a, l_suppkey+1000000 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
     share = lambda a, b, n: f"round(CASE WHEN {b} > 0 THEN ({a}) / ({b}) END, 6) AS {n}"
     return {
         "seq_windows": _with(f"{_TARGETS}, {_windows('tw', 'SELECT tgt AS id, dna AS seq FROM targets')}", "SELECT id AS tgt, count(*)::bigint AS n_windows, sum(length(s))::bigint AS letters, max(win) AS last_win, arg_max(s, win) AS last_window FROM tw GROUP BY 1"),
@@ -177,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "moments": _moments("l_quantity", "lineitem"),
         "index_capped": _with(_index(8), "SELECT feature, tgt, win FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY tgt, win) AS n FROM idx) WHERE n <= 100"),
         "overpopulated_removed": _with(_index(8), "SELECT feature, tgt, win FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS n FROM idx) WHERE n <= 253"),
-        "ambiguous_removed": _with(_index(), f"SELECT feature, tgt, win FROM idx WHERE feature IN (SELECT feature FROM idx JOIN targets USING (tgt) GROUP BY 1 HAVING count(DISTINCT {_LANG_ID}) <= 1)"),
+        "ambiguous_removed": _with(f"{_index()}, owned AS MATERIALIZED (SELECT feature, tgt, win, lang FROM idx JOIN targets USING (tgt)), few AS (SELECT feature FROM (SELECT DISTINCT feature, {_LANG_ID} AS anc FROM owned) GROUP BY 1 HAVING count(*) <= 1)", "SELECT feature, tgt, win FROM owned JOIN few USING (feature)"),
         "dedup_targets": _with(_TARGETS, "SELECT min(tgt) AS tgt, lang || '/' || source AS name FROM targets WHERE length(dna) > 0 GROUP BY lang, source"),
         "feature_probe": _with(f"{_index()}, {_CAPPED}, {_features(_READS)}", "SELECT query_id, feature, tgt, win, n FROM qf JOIN capped USING (feature)"),
         "hits_per_window": _with(_hits(), "SELECT query_id, tgt, win, hits FROM hits"),
@@ -199,6 +199,12 @@ def oracle_sql() -> dict[str, str]:
         "tax_next_ranked": _with(f"{_GEO}, {_LIN}", "SELECT t.taxid, CASE WHEN t.rank > 0 AND t.rank < 21 THEN t.taxid ELSE u.up END AS anc FROM taxa t LEFT JOIN (SELECT taxid, arg_min(anc, rank) AS up FROM ranked WHERE rank > 0 GROUP BY 1) u USING (taxid)"),
         "tax_lca_full": _with(f"{_GEO}, {_LIN}, {geo_pairs}", "SELECT a, b, arg_min(x.anc, x.depth) AS lca FROM pairs JOIN lin x ON x.taxid = a JOIN lin y ON y.taxid = b AND y.anc = x.anc GROUP BY 1, 2"),
         "tax_lca_ranked": _with(f"{_GEO}, {_LIN}, {geo_pairs}", "SELECT a, b, arg_min(x.anc, x.rank) AS lca, min(x.rank) AS rank FROM pairs JOIN ranked x ON x.taxid = a JOIN ranked y ON y.taxid = b AND y.anc = x.anc AND y.rank = x.rank GROUP BY 1, 2"),
+        "classify_odd_candidates": _with(
+            f"""{_GEO}, {_LIN}, c_ AS (SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 50000000 ELSE o_custkey + 2000000 END AS taxid, CASE WHEN o_orderkey % 13 = 0 THEN 3 ELSE 10 END AS hits FROM orders
+ UNION ALL SELECT l_orderkey, l_suppkey + 1000000, max(l_quantity % 11)::bigint FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1, 2),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, taxid DESC) AS pos FROM c_), {_classify(4, 0.8, cand='c')}""",
+            "SELECT query_id, any_value(x.taxid) AS taxid, any_value(x.rank) AS rank FROM c LEFT JOIN cls_ x USING (query_id) GROUP BY 1",
+        ),
         "rank_distribution": _with(_TAXA, "SELECT parent AS taxid, count(*)::bigint AS n FROM taxa WHERE taxid < 0 GROUP BY 1"),
         "taxon_coverage": _with(f"{_TAXA}, {_LIN}", "SELECT anc AS taxid, count(*)::bigint AS n FROM lin WHERE taxid < 0 GROUP BY 1"),
         "abundance": _with(_classified(**_C4), "SELECT taxid, count(*)::bigint AS n, round(100.0::double * count(*) / (SELECT count(*) FROM cls), 6) AS percent FROM cls GROUP BY 1"),
@@ -228,10 +234,19 @@ t AS (SELECT s_suppkey AS tgt, 'acc' || s_suppkey || CASE WHEN s_suppkey % 2 = 0
 f AS (SELECT acc, coalesce((SELECT taxid FROM m WHERE key = acc), (SELECT arg_min(taxid, key) FROM m WHERE starts_with(key, acc) AND key > acc)) AS taxid FROM (SELECT seq_id AS acc FROM t UNION SELECT file_id FROM t))
 SELECT tgt, coalesce(CASE WHEN a.taxid > 0 THEN a.taxid END, CASE WHEN b.taxid > 0 THEN b.taxid END, CASE WHEN ht > 0 THEN ht END, 0)::bigint AS parent FROM t LEFT JOIN f a ON a.acc = seq_id LEFT JOIN f b ON b.acc = file_id""",
         "post_rank_mapping": """WITH t AS (SELECT p_partkey AS tgt, CASE p_partkey % 3 WHEN 0 THEN 'p' || p_partkey WHEN 1 THEN 'p' || p_partkey || '.1' ELSE p_partkey::varchar END AS name, CASE WHEN p_partkey % 10 = 0 THEN p_partkey ELSE 0 END AS parent FROM part),
-r AS (SELECT l_orderkey % 2 AS file, l_orderkey*8 + l_linenumber AS row_, 'p' || l_partkey AS accver, l_partkey::varchar AS gi, l_suppkey AS taxid FROM lineitem),
-f AS (SELECT r.*, coalesce(a.tgt, c.tgt) AS tgt FROM r LEFT JOIN t a ON a.name = r.accver LEFT JOIN t c ON c.name = r.gi)
+r AS (SELECT l_orderkey % 2 AS file, l_orderkey*8 + l_linenumber AS row_, 'p' || l_partkey || '.' AS acc, 'p' || l_partkey AS accver, l_partkey::varchar AS gi, l_suppkey AS taxid FROM lineitem),
+near AS (SELECT acc, min(name) AS name FROM (SELECT DISTINCT acc FROM r) JOIN t ON starts_with(name, acc) AND name > acc GROUP BY 1),
+f AS (SELECT r.*, coalesce(a.tgt, b.tgt, c.tgt) AS tgt FROM r LEFT JOIN t a ON a.name = r.accver LEFT JOIN near n ON n.acc = r.acc LEFT JOIN t b ON b.name = n.name LEFT JOIN t c ON c.name = r.gi)
 SELECT tgt, arg_min(taxid, file * 1000000000 + row_) AS parent FROM f JOIN t USING (tgt) WHERE parent = 0 GROUP BY 1""",
-        "ground_truth": _with(f"{_TAXA}, {_LIN}, r AS (SELECT item_id+1 AS query_id, CASE item_id % 3 WHEN 0 THEN -item_id-1 WHEN 1 THEN 4110 END AS t FROM benchmark)", "SELECT query_id, CASE WHEN x.rank > 0 THEN x.taxid ELSE u.up END AS truth_taxid FROM r LEFT JOIN taxa x ON x.taxid = r.t LEFT JOIN (SELECT taxid, arg_min(anc, rank) AS up FROM ranked WHERE rank > 0 GROUP BY 1) u ON u.taxid = x.taxid"),
+        "ground_truth": _with(
+            f"""{_TAXA}, {_LIN}, named AS (SELECT taxid, rank, CASE WHEN taxid < 0 THEN 'NC_' || lpad((-taxid-1)::varchar, 6, '0') || '.1' ELSE name END AS name FROM taxa),
+h AS (SELECT item_id+1 AS query_id, 'NC_' || lpad(item_id::varchar, 6, '0') AS a, CASE item_id % 6 WHEN 0 THEN a || '.1 whole' WHEN 1 THEN a || '.7 other version' WHEN 2 THEN 'contig taxid|108000 end' WHEN 3 THEN 'fr' WHEN 4 THEN 'nothing known' ELSE 'gi|5|ref|' || a || '.1| named' END AS header FROM benchmark),
+x AS (SELECT query_id, header, {_accver('header')} AS accver, {_acc('header')} AS acc, {_TAXID} AS id FROM h),
+near AS (SELECT acc, min(name) AS name FROM (SELECT DISTINCT acc FROM x WHERE acc <> '') JOIN named ON starts_with(name, acc) AND name > acc GROUP BY 1),
+by_name AS (SELECT name, min(taxid) AS t FROM named GROUP BY 1),
+r AS (SELECT query_id, coalesce(a.t, b.t, c.taxid, d.t) AS t FROM x LEFT JOIN by_name a ON a.name = accver LEFT JOIN near USING (acc) LEFT JOIN by_name b ON b.name = near.name LEFT JOIN taxa c ON c.taxid = id LEFT JOIN by_name d ON d.name = header)""",
+            "SELECT query_id, CASE WHEN x.rank > 0 AND x.rank < 21 THEN x.taxid ELSE u.up END AS truth_taxid FROM r LEFT JOIN taxa x ON x.taxid = r.t LEFT JOIN (SELECT taxid, arg_min(anc, rank) AS up FROM ranked WHERE rank > 0 GROUP BY 1) u ON u.taxid = x.taxid",
+        ),
         "classification_stats": _with(f"{_classified()}, {_TRUTH}, {_STATS}, tot AS (SELECT sum(assigned) FILTER (rank >= 20) AS total FROM st)", f"SELECT rank, assigned, known, correct, wrong, {share('assigned', 'total', 'classified_rate')}, {share('known', 'total', 'known_rate')}, {share('correct', 'correct+wrong', 'precision')}, {share('correct', 'known', 'sensitivity')} FROM st, tot"),
         "coverage_confusion": _with(
             f"""{_classified()}, {_TRUTH}, cov AS (SELECT anc AS taxid FROM lin WHERE taxid < 0 GROUP BY 1 HAVING count(*) > 20 OR anc % 2 = 0),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, headers
@@ -224,17 +224,35 @@ def tax_next_ranked(s, d):
     return taxonomy.next_ranked(taxonomy.lineages(g), g)
 
 
+def _traded(s, d):
+    """(a, b): each customer with each supplier of any of the customer's orders."""
+    o, i = fx.table(s, d, "orders"), fx.table(s, d, "lineitem")
+    pairs = o.join(i, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    return pairs.select((F.col("o_custkey") + 2_000_000).alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
+
 
 @query
 def tax_lca_full(s, d):
-    sup = fx.table(s, d, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("b"))
-    return taxonomy.lca_full(fx.table(s, d, "customer").where("c_custkey % 10 = 1").select((F.col("c_custkey") + 2_000_000).alias("a")).join(sup.where("b % 10 = 1")), taxonomy.lineages(fx.geography(s, d)))
+    return taxonomy.lca_full(_traded(s, d), taxonomy.lineages(fx.geography(s, d)))
 
 
 @query
 def tax_lca_ranked(s, d):
-    sup = fx.table(s, d, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("b"))
-    return taxonomy.lca_ranked(fx.table(s, d, "customer").where("c_custkey % 10 = 1").select((F.col("c_custkey") + 2_000_000).alias("a")).join(sup.where("b % 10 = 1")), taxonomy.lineages(fx.geography(s, d)))
+    return taxonomy.lca_ranked(_traded(s, d), taxonomy.lineages(fx.geography(s, d)))
+
+
+@query
+def classify_odd_candidates(s, d):
+    """Orders stand for reads, customers and suppliers for their candidates: some have no rank, some are not known at all, many
+    are the only one, and ties and thresholds occur."""
+    o, i = fx.table(s, d, "orders"), fx.table(s, d, "lineitem")
+    key = F.col("o_orderkey")
+    first = o.select(key.alias("query_id"), F.when(key % 11 == 0, key + 50_000_000).otherwise(F.col("o_custkey") + 2_000_000).alias("taxid"), F.when(key % 13 == 0, 3).otherwise(10).cast("long").alias("hits"))
+    more = i.where("l_orderkey % 3 > 0").groupBy(F.col("l_orderkey").alias("query_id"), (F.col("l_suppkey") + 1_000_000).alias("taxid")).agg(F.max(F.col("l_quantity") % 11).cast("long").alias("hits"))
+    cand = first.unionByName(more)
+    cand = cand.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("taxid"))))
+    c = ClassifyParams(hits_min=4, hits_diff=0.8, lowest=fx.SPECIES, highest=fx.DOMAIN).resolved()
+    return classify.classify(cand, taxonomy.ranked_arrays(taxonomy.lineages(fx.geography(s, d))), c)
 
 
 @query
@@ -323,17 +341,19 @@ def post_rank_mapping(s, d):
     i = F.col("p_partkey")
     t = fx.table(s, d, "part").select(i.alias("tgt"), F.when(i % 3 == 0, F.concat(F.lit("p"), i.cast("string"))).when(i % 3 == 1, F.concat(F.lit("p"), i.cast("string"), F.lit(".1"))).otherwise(i.cast("string")).alias("name"), F.when(i % 10 == 0, i).otherwise(0).cast("long").alias("parent"))
     k = F.col("l_partkey").cast("string")
-    rows = fx.table(s, d, "lineitem").select((F.col("l_orderkey") % 2).alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), F.concat(F.lit("q"), k).alias("acc"), F.concat(F.lit("p"), k).alias("accver"), k.alias("gi"), F.col("l_suppkey").alias("taxid"))
+    rows = fx.table(s, d, "lineitem").select((F.col("l_orderkey") % 2).alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), F.concat(F.lit("p"), k, F.lit(".")).alias("acc"), F.concat(F.lit("p"), k).alias("accver"), k.alias("gi"), F.col("l_suppkey").alias("taxid"))
     return naming.rank_unranked(t, rows)
 
 
 @query
 def ground_truth(s, d):
-    r = fx.table(s, d, "benchmark").select((F.col("item_id") + 1).alias("query_id"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("doc_"), F.col("item_id").cast("string"))).when(F.col("item_id") % 3 == 1, F.lit("x taxid|4110 y")).otherwise(F.lit("nothing")).alias("header"))
-    t = fx.taxa(s, d)
-    acc = r.select("query_id", headers.first_word(F.col("header")).alias("acc"), headers.taxon_id(F.col("header")).alias("taxid"))
-    near = naming.similar_names(acc.select("acc"), t)
-    return evaluate.ground_truth(r, t, taxonomy.lineages(t), acc.join(near, "acc", "left"))
+    """Headers that name a document by accession and version, by accession alone, a taxon by its id or its name, or nothing."""
+    i = F.col("item_id")
+    acc = F.concat(F.lit("NC_"), F.lpad(i.cast("string"), 6, "0"))
+    kinds = [F.concat(acc, F.lit(".1 whole")), F.concat(acc, F.lit(".7 other version")), F.concat(F.lit("contig taxid|"), F.lit(108000).cast("string"), F.lit(" end")), F.lit("fr"), F.lit("nothing known"), F.concat(F.lit("gi|5|ref|"), acc, F.lit(".1| named"))]
+    header = F.element_at(F.array(*kinds), (i % 6 + 1).cast("int"))
+    t = fx.taxa(s, d).withColumn("name", F.when(F.col("taxid") < 0, F.concat(F.lit("NC_"), F.lpad((-F.col("taxid") - 1).cast("string"), 6, "0"), F.lit(".1"))).otherwise(F.col("name")))
+    return evaluate.ground_truth(fx.table(s, d, "benchmark").select((i + 1).alias("query_id"), header.alias("header")), t, taxonomy.lineages(t))
 
 
 @query

@@ -9,19 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir; a folder of our own where that is unset and all runs on this machine (tests), else RuntimeError."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="strandline-")
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            where = held.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            where = tempfile.mkdtemp(prefix="strandline-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    """df written to the shared folder and read again, which cuts its lineage."""
+    """df written to the shared folder and read again: cuts its lineage, and survives the loss of any executor."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() has written, once nothing reads it any more."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
