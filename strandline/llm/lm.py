@@ -183,17 +183,45 @@ def unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
 
-def distinct_hashes(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of words and pairs in a block of texts, ascending, and their counts in those that are learned from."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, and how often each is there. Sorts without an order of places, which is faster."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def distinct_hashes(group: pa.Table, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of words and pairs in a block of texts, ascending, and their counts in those that are learned from
+    (zeros if they are not counted)."""
+    held, own = [], [np.zeros(0, dtype=np.uint64)]
     for b in group.to_batches():
         learned = b.column("learned").to_numpy(zero_copy_only=False)
         for lo, hi, h, _, at in _texts(b):
-            own = np.repeat(learned[lo:hi], np.diff(at))
-            u, inverse = np.unique(np.concatenate([h, pairs(h, at)[1]]), return_inverse=True)
-            held.append((u, np.bincount(inverse, np.concatenate([own, own]), len(u))))
-    u, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-    return u, np.bincount(inverse, np.concatenate([x for _, x in held]), len(u)).astype(np.uint64)
+            x = np.stack([h, pairs(h, at)[1]])
+            held.append(x.ravel())
+            if counted:
+                own.append(x[:, np.repeat(learned[lo:hi], np.diff(at))].ravel())
+    u = _distinct(np.concatenate(held))[0]
+    n = np.zeros(len(u), dtype=np.uint64)
+    known, count = _distinct(np.concatenate(own))
+    n[np.searchsorted(u, known)] = count
+    return u, n
+
+
+class Places:
+    """Finds hashes among ascending ones that hold them all, by a table of their first bits: they are spread evenly."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 20):
+        self.hashes, self.shift = hashes, np.uint64(64 - bits)
+        self.begin = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = self.begin[(h >> self.shift).astype(np.int64)]
+        open_ = np.flatnonzero(self.hashes[at] != h)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[self.hashes[at[open_]] != h[open_]]
+        return at
 
 
 def _ask(ranges: int):
@@ -216,10 +244,11 @@ def _ask(ranges: int):
 def _answer(group: pa.Table) -> pa.Table:
     """The totals of one range of hashes, for each block in the order of its message."""
     own = [np.cumsum(unpack(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
-    u, inverse = np.unique(np.concatenate(own), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([unpack(c) for c in group.column("counts").to_pylist()]), len(u)).astype(np.uint64)
-    at = np.cumsum([0, *map(len, own)])
-    counts = [pack(total[inverse[lo:hi]]) for lo, hi in zip(at[:-1], at[1:])]
+    u = _distinct(np.concatenate(own))[0]
+    places, total = [np.searchsorted(u, x).astype(np.int32) for x in own], np.zeros(len(u), dtype=np.uint64)
+    for at, c in zip(places, group.column("counts").to_pylist()):
+        total[at] += unpack(c)
+    counts = [pack(total[at]) for at in places]
     common.release()
     return pa.table({"block": group.column("block"), "range": group.column("range"), "counts": pa.array(counts, pa.binary())})
 
@@ -341,20 +370,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         names = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
         if not len(group):
             return pa.table({k: pa.array([], t) for k, t in names.items()})
-        h0 = distinct_hashes(group)[0]
+        h0 = distinct_hashes(group, counted=False)[0]
+        place = Places(h0)
         order = np.argsort(known.column("range").to_numpy())
         answers = known.column("counts").to_pylist()
         c0 = np.concatenate([unpack(answers[i]) for i in order]).astype(np.int64)
+        end = c0[np.searchsorted(h0, END_HASH)]
         ids, out = [], []
         for b in group.to_batches():
             for lo, hi, h, c, at in _texts(b):
-                n = c0[np.searchsorted(h0, h)]
+                n = c0[place(h)]
                 symbol = m.vocabulary.symbols(h, c)
                 lp = m.log10[m.vocabulary.contexts(symbol, at), symbol].astype(np.float64)
                 tail = np.flatnonzero((symbol >= FREQUENT) & (symbol < END))
                 lp[tail] += np.log10((n[tail] + 1) / m.class_total[symbol[tail] - FREQUENT])
-                before, p = pairs(h, at)
-                lp = np.log10(with_prior(c0[np.searchsorted(h0, p)], c0[np.searchsorted(h0, before)], 10**lp))
+                before = np.append(end, n[:-1])
+                before[at[:-1]] = end
+                lp = np.log10(with_prior(c0[place(pairs(h, at)[1])], before, 10**lp))
                 base = np.log10((n + 1) / (m.n + 1 * (m.v + 1)))
                 ids.append(b.column("doc_id").slice(lo, hi - lo))
                 out.append(np.stack([np.diff(at), np.add.reduceat(n > 0, at[:-1], dtype=np.int64), np.add.reduceat(base, at[:-1]), np.add.reduceat(lp, at[:-1])]))
