@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import dna
 from .operators import report
 from .params import MAX_LOCATIONS, RANKS, ClassifyParams, SketchParams, rank_number
 from .plans import modes
@@ -72,7 +74,11 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--separate-cols", action="store_true")
     q.add_argument("--comment", default="# ")
     q.add_argument("--mapped", choices=["all", "mapped_only", "none"], default="all")
-    for flag in ("queryids", "tophits", "allhits", "locations", "align", "splitout"):
+    q.add_argument("--exclude", type=_rank, help="hide the clade of each read's truth at this rank")
+    q.add_argument("--sketchlen", type=int)
+    q.add_argument("--winlen", type=int)
+    q.add_argument("--winstride", type=int)
+    for flag in ("queryids", "tophits", "allhits", "locations", "align", "splitout", "lineage", "ground-truth", "precision", "taxon-coverage", "no-summary", "no-query-params"):
         q.add_argument(f"--{flag}", action="store_true")
     q.add_argument("--hits-per-seq", help="folder for hits by target")
     q = sub.add_parser("merge", help="classify anew from several results")
@@ -97,20 +103,40 @@ def _params(a: argparse.Namespace) -> ClassifyParams:
     return ClassifyParams(a.hitmin, a.hitdiff, a.max_cand, getattr(a, "insertsize", 0), a.lowest, a.highest)
 
 
+def _window(db: modes.Database, a: argparse.Namespace) -> SketchParams | None:
+    """Sketching of reads other than the database's; a window without a stride is its own stride."""
+    if not (a.sketchlen or a.winlen or a.winstride):
+        return None
+    p = db.params
+    return SketchParams(p.k, a.sketchlen or p.size, a.winlen or p.window, a.winstride or a.winlen or p.stride)
+
+
 def _query(spark: SparkSession, db: modes.Database, a: argparse.Namespace, files: list[str], out: str) -> None:
     reads = modes.read_queries(spark, files, "files" if a.pairfiles else "sequences" if a.pairseq else "none", a.query_limit)
     top = a.tophits or a.allhits
-    fmt = report.Format(column=a.separator, comment=a.comment, taxon=a.taxon_style, mapped=a.mapped if not top else "all" if a.mapped == "none" else a.mapped, query_ids=a.queryids or bool(a.hits_per_seq), top_hits=a.tophits, all_hits=a.allhits, locations=a.locations, lowest=a.lowest, highest=a.highest, separate=a.separate_cols)
-    res = modes.query(db, reads, _params(a), fmt, a.max_locations_per_feature, a.remove_overpopulated_features)
-    modes.write_lines(res, out, _params(a), reads if a.splitout else None)
+    fmt = report.Format(column=a.separator, comment=a.comment, taxon=a.taxon_style, mapped=a.mapped if not top else "all" if a.mapped == "none" else a.mapped, query_ids=a.queryids or bool(a.hits_per_seq), top_hits=a.tophits, all_hits=a.allhits, locations=a.locations, lineage=a.lineage, truth=a.ground_truth, lowest=a.lowest, highest=a.highest, separate=a.separate_cols)
+    began = time.time()
+    c = _params(a).resolved(db.params.size)
+    res = modes.query(db, reads, _params(a), fmt, a.max_locations_per_feature, a.remove_overpopulated_features, a.exclude, None, _window(db, a), a.precision or a.taxon_coverage, a.taxon_coverage)
+    pairing = "files" if a.pairfiles else "sequences" if a.pairseq else "none"
+    head = None if a.no_query_params else report.parameter_lines(fmt, c, pairing, a.exclude, a.align, bool(a.hits_per_seq), a.abundance_per)
+    tail = None
+    if not a.no_summary:
+        n = reads.count()
+        speed = report.speed_lines(n, time.time() - began, pairing, fmt)
+        tail = spark.createDataFrame([(i - len(speed), x) for i, x in enumerate(speed)], "pos int, line string").unionByName(report.summary_lines(res.rates, fmt)).orderBy("pos")
+    modes.write_lines(res, out, c, reads if a.splitout else None, head, tail)
+    if res.coverage is not None:
+        res.coverage.write.mode("overwrite").parquet(f"{out}-coverage")
     if a.align:
         modes.alignments(db, res, reads).write.mode("overwrite").parquet(f"{out}-alignments")
     if a.hits_per_seq:
-        from .operators.matching import hits_per_target
-
-        hits_per_target(res.hits).write.mode("overwrite").parquet(a.hits_per_seq)
+        windows = dna.window_count(F.length("dna"), db.params).alias("windows")
+        lines = report.hits_per_target_lines(res.hits, db.targets.select("tgt", "taxid", windows), res.arrays, db.all_taxa(), fmt)
+        lines.sortWithinPartitions("tgt", "pos").select("line").write.mode("overwrite").text(a.hits_per_seq)
     if a.abundances:
-        modes.abundance_of(res, db, a.abundance_per).write.mode("overwrite").parquet(a.abundances)
+        found = report.abundance_lines(modes.abundance_of(res, db, a.abundance_per), db.all_taxa(), fmt)
+        found.orderBy("pos").select("line").coalesce(1).write.mode("overwrite").text(a.abundances)
 
 
 def run(spark: SparkSession, argv: list[str]) -> DataFrame | None:
@@ -120,6 +146,8 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | None:
         p = SketchParams(a.kmerlen, a.sketchlen, a.winlen, a.winstride)
         modes.build(spark, a.files, a.taxonomy, a.pre_mapping, a.post_mapping, p, a.max_locations_per_feature, a.remove_overpopulated_features, a.remove_ambig_features, a.max_ambig_per_feature).save(a.database)
     elif a.mode == "modify":
+        if a.out.rstrip("/") == a.database.rstrip("/"):
+            raise SystemExit("modify: --out must not be the database that is read")
         modes.modify(spark, modes.Database.load(spark, a.database), a.files, a.taxonomy, a.pre_mapping, a.reset_parents).save(a.out)
     elif a.mode == "query":
         db = modes.Database.load(spark, a.database)

@@ -47,25 +47,24 @@ def align(query: str, subject: str, match: int = MATCH, mismatch: int = MISMATCH
     return score, "".join(reversed(q)), "".join(reversed(t))
 
 
-def align_both(query: str, subject: str) -> tuple[int, str, str]:
+def align_both(query: str, subject: str, *scheme: int) -> tuple[int, str, str]:
     """The better of the query and its reverse complement; the latter if both score the same."""
-    plain, other = align(query, subject), align(query.translate(_COMPLEMENT)[::-1], subject)
+    plain, other = align(query, subject, *scheme), align(query.translate(_COMPLEMENT)[::-1], subject, *scheme)
     return plain if plain[0] > other[0] else other
 
 
-def _aligned(query: pd.Series, subject: pd.Series) -> pd.DataFrame:
-    rows = [align_both(a or "", b or "") for a, b in zip(query, subject)]
-    return pd.DataFrame(rows, columns=["score", "query", "subject"])
-
-
 def subject_slice(dna: Column, beg: Column, end: Column, p: SketchParams) -> Column:
     """The part of a target that a range of windows covers."""
     start = beg * p.stride
     return F.substring(dna, (start + 1).cast("int"), (end * p.stride + p.window - start).cast("int"))
 
 
-def align_candidates(candidates: DataFrame, reads: DataFrame, targets: DataFrame, p: SketchParams) -> DataFrame:
+def align_candidates(candidates: DataFrame, reads: DataFrame, targets: DataFrame, p: SketchParams, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> DataFrame:
     """(query_id, tgt, score, query, subject) for (query_id, tgt, beg, end) rows; the first mate is aligned."""
+
+    def _aligned(query: pd.Series, subject: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([align_both(a or "", b or "", match, mismatch, gap) for a, b in zip(query, subject)], columns=["score", "query", "subject"])
+
     d = candidates.join(reads.select("query_id", "seq1"), "query_id").join(targets.select("tgt", "dna"), "tgt")
     d = d.select("query_id", "tgt", "seq1", subject_slice(F.col("dna"), F.col("beg"), F.col("end"), p).alias("part"))
     aligned = F.pandas_udf(_aligned, "score int, query string, subject string")

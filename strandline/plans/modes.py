@@ -11,7 +11,7 @@ from ..functions import headers
 from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
 from ..params import MAX_LOCATIONS, RANKS, ClassifyParams, SketchParams
 from ..sources import sequences, taxa
-from ..storage import spread, stored
+from ..storage import bounded_broadcast, spread, stored
 
 
 @dataclass
@@ -37,8 +37,16 @@ class Database:
         return self.taxa.select("taxid", "parent", "name", "rank").unionByName(own)
 
 
-def number_targets(spark: SparkSession, paths: list[str], mapping: DataFrame | None, first: int = 0) -> DataFrame:
-    """Targets of sequence files: numbered in the order of files and records, named by accession, with a parent taxon."""
+#: As many targets as numbers of them fit in 32 bits.
+MOST_TARGETS = 2**32 - 1
+
+
+def number_targets(spark: SparkSession, paths: list[str], mapping: DataFrame | None, first: int = 0, most: int = MOST_TARGETS) -> DataFrame:
+    """Targets of sequence files: numbered in the order of files and records, named by accession, with a parent taxon.
+
+    Files named as assembly summaries are no sequences. ValueError if there are more than most targets.
+    """
+    paths = [f for p in paths for f in sequences.list_files(spark, p) if not f.endswith(taxa.SUMMARY_NAME)]
     s = sequences.read_sequences(spark, *paths).withColumn("name", headers.sequence_id(F.col("header")))
     s = stored(index.unique_targets(s.withColumnRenamed("data", "dna"), ["file", "index"]), "targets")
     # numbers by file: files are few, so their sizes are added up on one row each
@@ -46,6 +54,8 @@ def number_targets(spark: SparkSession, paths: list[str], mapping: DataFrame | N
     before, total = {}, first
     for r in size:
         before[r.file], total = total, total + r.n
+    if total > most:
+        raise ValueError(f"{total} targets, of which there may be {most}")
     at = F.broadcast(spark.createDataFrame(list(before.items()) or [("", 0)], "file string, before long"))
     t = s.join(at, "file").withColumn("tgt", F.col("before") + F.col("index") - 1).drop("before")
     if mapping is None:
@@ -57,7 +67,14 @@ def number_targets(spark: SparkSession, paths: list[str], mapping: DataFrame | N
 
 
 def build(spark: SparkSession, paths: list[str], taxonomy_dir: str | None = None, pre_mapping: list[str] = (), post_mapping: list[str] = (), params: SketchParams = SketchParams(), max_locations: int = MAX_LOCATIONS, remove_overpopulated: bool = False, ambiguous_rank: int | None = None, max_ambiguous: int = 1) -> Database:
-    """A database of sequence files (FASTA, FASTQ or folders of them)."""
+    """A database of sequence files (FASTA, FASTQ or folders of them).
+
+    Mappings are those given, then those found: assembly summaries beside the sequence files, and accession mappings in the
+    taxonomy folder, which only rank targets that are still without a taxon.
+    """
+    pre_mapping = [*pre_mapping, *(f for f in taxa.summary_files(spark, paths) if f not in pre_mapping)]
+    if taxonomy_dir:
+        post_mapping = [*post_mapping, *(f for f in taxa.mapping_files(spark, taxonomy_dir) if f not in post_mapping)]
     tax = taxa.read_taxonomy(spark, taxonomy_dir) if taxonomy_dir else spark.createDataFrame([(1, 1, "root", 20)], "taxid long, parent long, name string, rank int")
     mapping = None
     for path in pre_mapping:
@@ -115,6 +132,10 @@ class QueryResult:
     hits: DataFrame
     lines: DataFrame
     layout: str
+    arrays: DataFrame
+    truth: DataFrame | None = None
+    rates: DataFrame | None = None
+    coverage: DataFrame | None = None
 
 
 def read_queries(spark: SparkSession, paths: list[str], pairing: str = "none", limit: int | None = None) -> DataFrame:
@@ -140,28 +161,41 @@ def read_queries(spark: SparkSession, paths: list[str], pairing: str = "none", l
     return out
 
 
-def query(db: Database, reads: DataFrame, c: ClassifyParams = ClassifyParams(), fmt: report.Format = report.Format(), max_locations: int | None = None, remove_overpopulated: bool = False, exclude_rank: int | None = None, truth: DataFrame | None = None, query_params: SketchParams | None = None) -> QueryResult:
-    """Classifies reads. Query-time options shrink the index; exclude_rank hides the clade of the truth (query_id, truth_taxid)."""
+def query(db: Database, reads: DataFrame, c: ClassifyParams = ClassifyParams(), fmt: report.Format = report.Format(), max_locations: int | None = None, remove_overpopulated: bool = False, exclude_rank: int | None = None, truth: DataFrame | None = None, query_params: SketchParams | None = None, precision: bool = False, taxon_coverage: bool = False) -> QueryResult:
+    """Classifies reads. Query-time options shrink the index; exclude_rank hides the clade of the truth (query_id, truth_taxid).
+
+    Truths are taken from headers where they are needed and not given: for fmt.truth, precision (which gives rates by rank),
+    taxon_coverage (the confusion of what the database covers with what was classified) and exclude_rank.
+    """
     p = query_params or db.params
     c = c.resolved(p.size)
-    features = db.features
+    read_features = stored(sketching.read_features(reads, p), "read-features")
+    # caps hold for each feature alone, so features that no read has go before anything else
+    features = db.features.join(bounded_broadcast(read_features.select("feature").distinct(), 16), "feature", "left_semi")
     if remove_overpopulated:
         features = index.remove_overpopulated(features, min(max_locations or MAX_LOCATIONS, MAX_LOCATIONS))
     if max_locations is not None:
         features = index.cap_locations(features, max_locations)
     tax = db.all_taxa()
     lin = stored(taxonomy.lineages(tax), "lineages")
-    hits = matching.probe(sketching.read_features(reads, p), features)
-    if exclude_rank is not None and truth is not None:
+    arrays = stored(taxonomy.ranked_arrays(lin), "arrays")
+    if truth is None and (fmt.truth or precision or taxon_coverage or exclude_rank is not None):
+        truth = stored(evaluate.ground_truth(reads, tax, lin), "truth")
+    hits = matching.probe(read_features, features)
+    if exclude_rank is not None:
         hits = evaluate.exclude_clade(hits, truth, taxonomy.ancestor_at(lin, exclude_rank))
     hits = stored(hits, "hits")
     own = db.targets.select("tgt", "taxid")
     taxon_of = own.join(taxonomy.ancestor_at(lin, c.lowest), "taxid", "left").select("tgt", F.coalesce("anc", "taxid").alias("taxid"))
     best = matching.best_window_range(hits, matching.window_span(reads, db.params, c.insert_size))
     cand = stored(matching.top_taxa(best, taxon_of, c.max_candidates), "candidates")
-    classified = stored(classify.with_all_reads(classify.classify(cand, taxonomy.ranked_arrays(lin), c), reads), "classified")
-    lists = {"top_hits": report.top_hits_text(cand), "all_hits": report.all_hits_text(hits, db.targets.select("tgt", "name")), "locations": report.locations_text(cand, db.params)}
-    return QueryResult(classified, cand, hits, report.mapping_lines(classified, reads, tax, fmt, **lists), report.layout_line(fmt))
+    classified = stored(classify.with_all_reads(classify.classify(cand, arrays, c), reads), "classified")
+    names = db.targets.select("tgt", "name")
+    lists = {"top_hits": report.top_hits_text(cand, names, c.lowest), "all_hits": report.all_hits_text(hits, names), "locations": report.locations_text(cand, db.params)}
+    lines = report.mapping_lines(classified, reads, tax, fmt, arrays, truth, **lists)
+    rates = evaluate.rates(evaluate.statistics(classified, truth if precision else classified.select("query_id", F.lit(None).cast("long").alias("truth_taxid")), lin))
+    coverage = evaluate.confusion_rates(evaluate.coverage_confusion(classified, truth, lin, taxonomy.covered(lin).select("taxid"))) if taxon_coverage else None
+    return QueryResult(classified, cand, hits, lines, report.layout_line(fmt), arrays, truth, rates, coverage)
 
 
 def alignments(db: Database, result: QueryResult, reads: DataFrame) -> DataFrame:
@@ -169,16 +203,24 @@ def alignments(db: Database, result: QueryResult, reads: DataFrame) -> DataFrame
     return align.align_candidates(result.candidates.where("pos = 1"), reads, db.targets, db.params)
 
 
-def write_lines(result: QueryResult, path: str, c: ClassifyParams = ClassifyParams(), split_by: DataFrame | None = None) -> None:
-    """Writes the lines of a query as text, with the lines that merge() looks for. split_by (query_id, file): one folder each."""
+def write_lines(result: QueryResult, path: str, c: ClassifyParams = ClassifyParams(), split_by: DataFrame | None = None, head: list[str] | None = None, tail: DataFrame | None = None) -> None:
+    """Writes the lines of a query as text, with the lines that merge() looks for (head: instead of the first of them).
+
+    split_by (query_id, file): a folder for each file, each with these lines. tail (line): written last, to the whole alone.
+    """
     spark = result.lines.sparkSession
-    head = spark.createDataFrame([(f"# Classification will be constrained to ranks from '{RANKS[c.lowest]}' to '{RANKS[c.highest]}'.",), (result.layout,)], "line string").coalesce(1)
+    first = head or [f"# Classification will be constrained to ranks from '{RANKS[c.lowest]}' to '{RANKS[c.highest]}'."]
+    top = spark.createDataFrame([(x,) for x in [*first, result.layout]], "line string").coalesce(1)
     if split_by is None:
-        head.write.mode("overwrite").text(f"{path}")
-        result.lines.select("line").write.mode("append").text(f"{path}")
+        top.write.mode("overwrite").text(path)
+        result.lines.select("line").write.mode("append").text(path)
+        if tail is not None:
+            tail.select("line").coalesce(1).write.mode("append").text(path)
     else:
-        d = result.lines.join(split_by, "query_id").select("line", headers.file_name(F.col("file")).alias("file"))
-        d.write.mode("overwrite").partitionBy("file").text(path)
+        files = split_by.select("query_id", headers.file_name(F.col("file")).alias("file"))
+        each = files.select("file").distinct().join(F.broadcast(top)).select("line", "file")  # as many heads as files
+        each.write.mode("overwrite").partitionBy("file").text(path)
+        result.lines.join(files, "query_id").select("line", "file").write.mode("append").partitionBy("file").text(path)
 
 
 def merge(spark: SparkSession, paths: list[str], tax: DataFrame, c: ClassifyParams = ClassifyParams()) -> DataFrame:

@@ -84,12 +84,14 @@ def format_of(path: str, first: str = "") -> str:
 
 
 def list_files(spark: SparkSession, path: str) -> list[str]:
-    """Files below a path in the order of their names; a file is itself."""
+    """Files below a path in the order of their names, without hidden ones ("_" and "." in front); a file is itself."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     out, it = [], fs.listFiles(p, True)
     while it.hasNext():
-        out.append(it.next().getPath().toString())
+        f = it.next().getPath()
+        if f.getName()[0] not in "_.":
+            out.append(f.toString())
     return sorted(out)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.naming import first_per_key
 from ..params import NONE, RANK_SYNONYMS, RANKS, ROOT
+from .sequences import list_files
 
 _LINE = F.monotonically_increasing_id
 
@@ -93,12 +94,28 @@ def post_mapping_files(names: list[str], extra: list[str] = ()) -> list[str]:
     return [*extra, *found, *sorted(n for n in names if n.endswith(".accession2taxid") and n not in found)]
 
 
+def mapping_files(spark: SparkSession, folder: str) -> list[str]:
+    """The accession mappings in a taxonomy folder, in the order in which they are tried."""
+    return post_mapping_files([f for f in list_files(spark, folder) if f.endswith(".accession2taxid")])
+
+
+#: Fixed value: the usual name of the summary that lies beside sequence files.
+SUMMARY_NAME = "assembly_summary.txt"
+
+
+def summary_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Assembly summaries in the folders that hold the sequence files."""
+    folders = {f.rsplit("/", 1)[0] for p in paths for f in list_files(spark, p)}
+    return sorted(f for folder in folders for f in list_files(spark, folder) if f == f"{folder}/{SUMMARY_NAME}")
+
+
 def read_results(spark: SparkSession, path: str, separator: str = "\t|\t") -> DataFrame:
     """(file, query_id, header, pos, taxid, hits) of one result file: one row for each top hit.
 
     Raises ValueError if the file has no layout line, was made at sequence level, or lacks query ids or top hits.
     """
-    lead = [r.value for r in spark.read.text(path).where("value like '#%'").limit(50).collect()]
+    # of all comment lines only those of the two kinds, which a result has once for each file that was written
+    lead = [r.value for r in spark.read.text(path).where("value like '#%' and (contains(value, 'Classification') or contains(value, 'TABLE_LAYOUT:'))").distinct().collect()]
     if not any("Classification" in x and "sequence" not in x for x in lead):
         raise ValueError(f"{path} has no classification above sequence level")
     layout = next((x.split("TABLE_LAYOUT:", 1)[1].strip() for x in lead if "TABLE_LAYOUT:" in x), "")

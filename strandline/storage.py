@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,28 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def bounded_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if its counted rows prove that it stays under limit; else unchanged, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def write_file(lines: DataFrame, path: str) -> str:
+    """Writes lines (value) in their order as one text file at path, by one task that holds none of them."""
+    spark = lines.sparkSession
+    folder = f"{path}-{uuid.uuid4().hex}"
+    lines.select("value").coalesce(1).write.text(folder)
+    p = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    fs = p(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(p(path).getParent())
+    part = next((f.getPath() for f in fs.listStatus(p(folder)) if f.getPath().getName().startswith("part-")), None)
+    if part is None:
+        fs.create(p(path)).close()
+    elif not fs.rename(part, p(path)):
+        raise FileExistsError(path)
+    fs.delete(p(folder), True)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt out over all cores if its scan is estimated to give fewer partitions than there are cores.
 

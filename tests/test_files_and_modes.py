@@ -98,7 +98,8 @@ def test_query_report_and_merge(spark, files, database, tmp_path):
     assert modes.abundance_of(res, database).first().percent == 100.0
     assert modes.abundance_of(res, database, 4).first().n == 2.0
     modes.write_lines(res, f"{tmp_path}/split", c, reads)
-    assert spark.read.text(f"{tmp_path}/split").count() == 2
+    assert sorted(r.value.split("\t")[0] for r in spark.read.text(f"{tmp_path}/split").collect())[2:] == ["1", "2"]
+    assert {r.query_id: r.taxid for r in modes.merge(spark, [f"{tmp_path}/split/file=r1.fq"], database.all_taxa(), c).collect()} == {1: 8, 2: 8}
     single = modes.read_queries(spark, [f"{d}/r1.fq", f"{d}/r2.fq"], limit=1)
     assert sorted(r.query_id for r in single.collect()) == [1, 2]
     assert modes.read_queries(spark, [f"{d}/r1.fq"], "sequences").count() == 1
@@ -147,8 +148,10 @@ def test_command_line(spark, files, tmp_path, monkeypatch):
     out = f"{tmp_path}/out"
     run(spark, ["query", db, f"{d}/r1.fq", f"{d}/r2.fq", "--pairfiles", "--queryids", "--tophits", "--lowest", "species", "--out", out, "--abundances", f"{tmp_path}/ab", "--hits-per-seq", f"{tmp_path}/hits", "--align"])
     lines = [r.value for r in spark.read.text(out).collect()]
-    assert sum(not x.startswith("#") for x in lines) == 2 and spark.read.parquet(f"{tmp_path}/ab").count() == 1
-    assert spark.read.parquet(f"{tmp_path}/hits").count() >= 2
+    assert sum(not x.startswith("#") for x in lines) == 2 and [r.value for r in spark.read.text(f"{tmp_path}/ab").collect()] == ["species:Species a\t|\t2\t|\t100.0%"]
+    assert sum(" queries/min" in x for x in lines) == 1 and "# At maximum 2 classification candidates will be considered per query." in lines
+    hits = [r.value for r in spark.read.text(f"{tmp_path}/hits").collect()]
+    assert len(hits) == 2 and all(x.startswith("species:Species a\t|\t8\t|\t") for x in hits)
     run(spark, ["merge", out, "--taxonomy", f"{d}/tax", "--lowest", "species", "--out", f"{tmp_path}/merged"])
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/merged").collect()) == [f"{i}\t|\tspecies:Species a(8)" for i in (1, 2)]
     run(spark, ["modify", db, f"{d}/more.fasta", "--out", f"{tmp_path}/db2"])
@@ -157,4 +160,26 @@ def test_command_line(spark, files, tmp_path, monkeypatch):
     assert any("taxid|0" in r.value for r in spark.read.text(f"{tmp_path}/an").collect())
     monkeypatch.setattr("sys.stdin", StringIO(f"# note\n{d}/r1.fq\n:q\n"))
     run(spark, ["query", db, "--out", f"{tmp_path}/loop"])
-    assert spark.read.text(f"{tmp_path}/loop-1").count() == 5
+    assert sum(not r.value.startswith("#") for r in spark.read.text(f"{tmp_path}/loop-1").collect()) == 3
+    run(spark, ["query", db, f"{d}/r1.fq", "--lowest", "species", "--lineage", "--ground-truth", "--precision", "--taxon-coverage", "--winlen", "64", "--no-query-params", "--out", f"{tmp_path}/truth"])
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/truth").collect()]
+    assert any(x.startswith("# precision") for x in lines) and any("truth_species:truth_taxname,truth_subgenus" in x for x in lines)
+    assert sum(x.endswith("species:Species a,subgenus:--,genus:Genus,subtribe:--,tribe:--,subfamily:--,family:--,suborder:--,order:--,subclass:--,class:--,subphylum:--,phylum:--,subkingdom:--,kingdom:--,domain:Only") for x in lines) == 3
+    run(spark, ["query", db, f"{d}/r1.fq", "--lowest", "species", "--exclude", "species", "--no-summary", "--separate-cols", "--lineage", "--out", f"{tmp_path}/hidden"])
+    with pytest.raises(SystemExit):
+        run(spark, ["modify", db, f"{d}/more.fasta", "--out", f"{db}/"])
+
+
+def test_mappings_are_found_beside_the_files(spark, tmp_path, files):
+    d, seqs = files
+    (tmp_path / "seq").mkdir()
+    (tmp_path / "tax").mkdir()
+    for f in ("nodes", "names", "merged"):
+        (tmp_path / "tax" / f"{f}.dmp").write_text((d / "tax" / f"{f}.dmp").read_text())
+    (tmp_path / "seq" / "a.fa").write_text(f">NC_1.1 x\n{seqs[0]}\n>NC_2.1 y\n{seqs[1]}\n>NC_3.1 z\n{seqs[2]}\n")
+    (tmp_path / "seq" / "assembly_summary.txt").write_text("# assembly_accession\ttaxid\nNC_1.1\t8\n")
+    (tmp_path / "tax" / "nucl_gb.accession2taxid").write_text("a\tb\tc\td\nNC_2\tNC_2.1\t7\t1\nNC_1\tNC_1.1\t2\t1\n")
+    db = modes.build(spark, [f"{tmp_path}/seq"], f"{tmp_path}/tax", params=SketchParams(12))
+    assert {r.name: r.parent for r in db.targets.collect()} == {"NC_1.1": 8, "NC_2.1": 7, "NC_3.1": 0}
+    with pytest.raises(ValueError, match="3 targets"):
+        modes.number_targets(spark, [f"{tmp_path}/seq"], None, most=2)
