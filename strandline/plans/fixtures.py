@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import dna_of
@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def language_id() -> Column:
+    lang = F.col("lang")
+    return (F.ascii(lang) - 97 + 26 * (F.ascii(F.substring(lang, 2, 1)) - 97) + 1).cast("long") * 1000
+
+
+def species_id() -> Column:
+    return language_id() + F.regexp_extract("source", "([0-9]+)", 1).cast("long") + 1
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tgt, name, taxid, lang, source, dna): one target for each document."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
@@ -44,9 +53,7 @@ def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     than the number in a source's name.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    lang_id = (F.ascii("lang") - 97 + 26 * (F.ascii(F.substring("lang", 2, 1)) - 97) + 1).cast("long") * 1000
-    species_id = lang_id + F.regexp_extract("source", "([0-9]+)", 1).cast("long") + 1
-    d = d.withColumn("l", lang_id).withColumn("s", species_id)
+    d = d.withColumn("l", language_id()).withColumn("s", species_id())
     root = spark.range(1).select(F.lit(1).cast("long").alias("taxid"), F.lit(1).cast("long").alias("parent"), F.lit("root").alias("name"), F.lit(20).alias("rank"))
     domains = d.select("l", "lang").distinct().select(F.col("l").alias("taxid"), F.lit(1).cast("long").alias("parent"), F.col("lang").alias("name"), F.lit(DOMAIN).alias("rank"))
     species = d.select("l", "s", "lang", "source").distinct().select(F.col("s").alias("taxid"), F.col("l").alias("parent"), F.concat_ws(" ", "lang", "source").alias("name"), F.lit(SPECIES).alias("rank"))

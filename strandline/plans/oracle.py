@@ -159,6 +159,73 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{body}"
 
 
+_RECORDS = f"""{_TARGETS}, recs AS (SELECT tgt, (tgt // 4096)::int AS f, 'NC_' || tgt || '.1 ' || name || ' taxid:' || {_SPECIES_ID} AS header, dna FROM targets WHERE length(dna) > 0)"""
+_RANK_NAME = "CASE {r} " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RANKS)) + " END"
+_BAR = "chr(9) || '|' || chr(9)"
+#: Windows of a target.
+_N_WINDOWS = "(CASE WHEN length(dna) <= 128 THEN 1 ELSE (length(dna)-128)//119 + 1 + CASE WHEN ((length(dna)-128)//119 + 1)*119 < length(dna) THEN 1 ELSE 0 END END)"
+
+
+def _file_sql() -> dict[str, str]:
+    """Of the queries that go through files."""
+    reads = f"r AS (SELECT item_id AS o, 'read_' || item_id || ' item' AS header, {_DNA.format(x='text')} AS data FROM benchmark)"
+    th = "th AS (SELECT query_id, string_agg(taxid || ':' || hits, ',' ORDER BY pos) AS top_hits FROM cand GROUP BY 1)"
+    lineage = f"""texts AS (SELECT l.taxid, string_agg({_RANK_NAME.format(r='x.rank')} || ':' || coalesce(t.name, '--') || '(' || coalesce(r.anc, 0) || ')', ',' ORDER BY x.rank) AS text
+ FROM (SELECT DISTINCT taxid, rank FROM cls WHERE taxid IS NOT NULL) l JOIN (SELECT unnest(range(4, 20))::int AS rank) x ON x.rank >= l.rank LEFT JOIN ranked r ON r.taxid = l.taxid AND r.rank = x.rank LEFT JOIN taxa t ON t.taxid = r.anc GROUP BY 1)"""
+    pct = lambda a, b: f"round(100 * ({a} / {b}), 6)::varchar || '%'"
+    name = f"rpad({_RANK_NAME.format(r='rank')}, 11, ' ')"
+    shown = "rank IN (0, 3, 4, 6, 10, 12, 14, 16, 18, 19, 20) AND assigned > 0"
+    parts = [
+        f"SELECT 0 AS k, 1 AS o, rank, 'unclassified: ' || {pct('assigned', 'total')} || ' (' || assigned || ')' AS t FROM st, tot WHERE rank = 21 AND assigned > 0",
+        "SELECT 1, 0, -1, 'classified:'",
+        f"SELECT 1, 1, rank, '  ' || {name} || {pct('assigned', 'total')} || ' (' || assigned || ')' FROM st, tot WHERE {shown}",
+        f"SELECT 2, 1, rank, 'ground truth unknown: ' || {pct('known', 'total')} || ' (' || known || ')' FROM st, tot WHERE rank = 21 AND known > 0",
+        "SELECT 3, 0, -1, 'ground truth known:'",
+        f"SELECT 3, 1, rank, '  ' || {name} || {pct('known', 'total')} || ' (' || known || ')' FROM st, tot WHERE {shown}",
+        "SELECT 4, 0, -1, 'correctly classified:'",
+        f"SELECT 4, 1, rank, '  ' || {name} || correct FROM st WHERE {shown}",
+        "SELECT 5, 0, -1, 'precision (correctly classified / classified) if ground truth known:'",
+        f"SELECT 5, 1, rank, '  ' || {name} || coalesce(CASE WHEN correct + wrong > 0 THEN {pct('correct', '(correct + wrong)')} END, '0.0%') FROM st WHERE {shown}",
+        "SELECT 6, 0, -1, 'sensitivity (correctly classified / all) if ground truth known:'",
+        f"SELECT 6, 1, rank, '  ' || {name} || coalesce(CASE WHEN known > 0 THEN {pct('correct', 'known')} END, '0.0%') FROM st WHERE {shown}",
+    ]
+    banner = ["Reporting per-read mappings (non-mapping lines start with '# ').", "The complete lineage will be reported starting with the lowest match.", "Classification will be constrained to ranks from 'species' to 'domain'.", "Classification hit threshold is 4 per query", "At maximum 4 classification candidates will be considered per query.", "Clade Exclusion on Rank: genus", "File based paired-end mode:", "  Reads from two consecutive files will be interleaved.", "  Max insert size considered 0.", "Query sequences will be aligned to best candidate target => SLOW!", "A list of hits per reference sequence will be generated after the read mapping.", "A list of absolute and relative abundances for each 'species' will be generated after the read mapping."]
+    return {
+        "read_fasta_records": _with(_RECORDS, 'SELECT f, row_number() OVER (PARTITION BY f ORDER BY tgt) AS "index", header, dna AS data FROM recs'),
+        "read_headers_only": _with(_RECORDS, 'SELECT f, row_number() OVER (PARTITION BY f ORDER BY tgt) AS "index", header FROM recs'),
+        "read_fastq_records": _with(reads, 'SELECT row_number() OVER (ORDER BY o) AS "index", header, data, length(data) AS n_qualities FROM r'),
+        "read_mixed_files": _with(reads, """SELECT CASE o % 3 WHEN 0 THEN 'x.fna' WHEN 1 THEN 'y.fnq' ELSE 'z' END AS name, row_number() OVER (PARTITION BY o % 3 ORDER BY o) AS "index", header, data FROM r"""),
+        "read_paired_files": _with(reads, "SELECT a.o // 2 + 1 AS query_id, a.header, a.data AS seq1, b.data AS seq2 FROM r a JOIN r b ON b.o = a.o + 1 WHERE a.o % 2 = 0 AND a.o // 2 < 15"),
+        "read_consecutive_mates": _with(reads, "SELECT a.o // 2 + 1 AS query_id, a.header, a.data AS seq1, b.data AS seq2 FROM r a JOIN r b ON b.o = a.o + 1 WHERE a.o % 2 = 0"),
+        "taxonomy_dumps": _with(_GEO, "SELECT taxid, parent, name, rank FROM taxa UNION ALL SELECT s_suppkey + 9000000, s_suppkey + 1000000, '', 21 FROM supplier"),
+        "accession_mapping": _with(_RECORDS, "SELECT 'NC_' || tgt AS acc, 'NC_' || tgt || '.1' AS accver, tgt * 10 + i AS taxid, tgt::varchar AS gi FROM recs, (SELECT unnest([0, 1]) AS i) WHERE tgt % 2 = 0"),
+        "assembly_summary": "SELECT 'GCF_' || p_partkey AS key, p_partkey * 2 AS taxid FROM part",
+        "annotate_file": _with(_RECORDS, """SELECT row_number() OVER (ORDER BY tgt) AS "index", '>NC_' || tgt || '.1 taxid|' || CASE WHEN tgt % 2 = 0 THEN tgt * 10 ELSE 0 END || ' doc_' || tgt AS value FROM recs"""),
+        "build_mode": _with(f"{_RECORDS}, s AS (SELECT doc_id AS tgt, {_SPECIES_ID} AS parent FROM documents)", f"SELECT row_number() OVER (ORDER BY tgt) - 1 AS tgt, 'NC_' || tgt || '.1' AS name, parent, {_N_WINDOWS}::bigint AS windows FROM recs JOIN s USING (tgt)"),
+        "build_mode_features": _with(f"{_index()}, {_CAPPED}, own AS (SELECT tgt, row_number() OVER (ORDER BY tgt) - 1 AS n FROM targets WHERE length(dna) > 0)", "SELECT own.n AS tgt, count(*)::bigint AS n, sum(feature)::bigint AS total FROM capped JOIN own USING (tgt) GROUP BY 1"),
+        "info_mode": _with(f"{_index()}, {_CAPPED}, {_TAXA}, fc AS (SELECT count(*) AS n FROM capped GROUP BY feature), own AS (SELECT count(*) AS n FROM targets WHERE length(dna) > 0)", "SELECT 10 AS k, 16 AS size, 128 AS window, 119 AS stride, 254 AS max_locations, count(*)::bigint AS n, sum(n)::bigint AS total, max(n) AS largest, round(avg(n), 6) AS mean, (SELECT n FROM own) AS targets, (SELECT n FROM own) AS ranked_targets, (SELECT count(*) FROM taxa WHERE rank > 0) AS taxa FROM fc"),
+        "modify_mode": _with(
+            f"{_index()}, s AS (SELECT doc_id AS tgt, {_SPECIES_ID} AS parent FROM documents), numbered AS (SELECT tgt, row_number() OVER (ORDER BY tgt % 2, tgt) AS k FROM targets WHERE length(dna) > 0), kept AS (SELECT feature, tgt FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY k, win) AS n FROM idx JOIN numbered USING (tgt)) WHERE n <= 254)",
+            "SELECT 'NC_' || tgt || '.1' AS name, parent, coalesce(c.n, 0) AS n FROM numbered JOIN s USING (tgt) LEFT JOIN (SELECT tgt, count(*) AS n FROM kept GROUP BY 1) c USING (tgt)",
+        ),
+        "query_mode": _with(_classified(**_C4), "SELECT query_id, taxid, rank FROM cls"),
+        "merge_mode": _with(_classified(**_C4), "SELECT query_id, taxid, rank FROM cls WHERE query_id IN (SELECT query_id FROM cand)"),
+        "result_file": _with(_classified(**_C4), "SELECT query_id, split_part(header, ' ', 1) AS header, pos - 1 AS pos, taxid, hits FROM cand JOIN reads USING (query_id)"),
+        "lineage_report": _with(f"{_classified(**_C4)}, {th}, {lineage}", f"SELECT query_id, query_id || {_BAR} || split_part(header, ' ', 1) || {_BAR} || coalesce(top_hits, '') || {_BAR} || coalesce(text, '--') AS line FROM cls JOIN reads USING (query_id) LEFT JOIN th USING (query_id) LEFT JOIN texts USING (taxid)"),
+        "separate_columns_report": _with(
+            f"{_classified()}, th AS (SELECT query_id, string_agg('NC_' || tgt || '.1:' || hits, ',' ORDER BY pos) AS top_hits FROM cand GROUP BY 1)",
+            f"SELECT query_id, split_part(header, ' ', 1) || {_BAR} || coalesce(top_hits, '') || {_BAR} || CASE WHEN c.taxid IS NULL THEN '--' ELSE CASE WHEN c.taxid < 0 THEN 'NC_' || (-c.taxid-1) || '.1' ELSE t.name END END || {_BAR} || coalesce(c.taxid, 0) AS line FROM cls c JOIN reads USING (query_id) LEFT JOIN th USING (query_id) LEFT JOIN taxa t ON t.taxid = c.taxid",
+        ),
+        "hits_per_target_report": _with(
+            f"{_hits()}, one AS (SELECT tgt, query_id, query_id || '/' || string_agg(win || ':' || hits, '/' ORDER BY win) AS one, min(win) AS a, max(win) AS z FROM hits GROUP BY 1, 2)",
+            f"SELECT tgt, 0 AS pos, 'sequence:NC_' || tgt || '.1' || {_BAR} || any_value({_N_WINDOWS}) || {_BAR} || string_agg(one, ',' ORDER BY a, z, query_id) AS line FROM one JOIN targets USING (tgt) GROUP BY 1",
+        ),
+        "summary_report": _with(f"{_classified(**_C4)}, {_TRUTH}, {_STATS}, tot AS (SELECT sum(assigned) FILTER (rank >= 20) AS total FROM st), l AS ({' UNION ALL '.join(parts)})", "SELECT (row_number() OVER (ORDER BY k, o, rank))::int AS pos, '# ' || t AS line FROM l"),
+        "parameter_banner": "SELECT * FROM (VALUES " + ", ".join("({}, '# {}')".format(i, x.replace("'", "''")) for i, x in enumerate(banner)) + ") t(pos, line)",
+        "taxa_edits": _with(_GEO, "SELECT t.taxid, CASE WHEN n_name IS NOT NULL THEN 1 WHEN s_suppkey IS NOT NULL THEN s_nationkey % 5 + 100 ELSE parent END AS parent, coalesce(upper(n_name), name) AS name, rank FROM taxa t LEFT JOIN nation ON n_nationkey + 100 = t.taxid LEFT JOIN supplier ON s_suppkey + 1000000 = t.taxid WHERE rank <= 16"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     n_text = "regexp_replace(translate(lower(text), '" + _FROM + "', '" + _TO + "'), '[^ACGT]', 'N', 'g')"
     rounded = lambda *c: ", ".join(f"round({x}, 6) AS {x}" for x in c)
@@ -266,5 +333,6 @@ y AS (SELECT rank, count(*) FILTER (cov AND on_)::bigint AS tp, count(*) FILTER
         ),
         "info_targets": _with(f"{_TARGETS}, {_TAXA}, {_LIN}", "SELECT tgt, name, (CASE WHEN length(dna) <= 128 THEN 1 ELSE (length(dna)-128)//119 + 1 + CASE WHEN ((length(dna)-128)//119 + 1)*119 < length(dna) THEN 1 ELSE 0 END END)::bigint AS windows, s.anc AS species, o.anc AS domain FROM targets t LEFT JOIN ranked s ON s.taxid = t.taxid AND s.rank = 4 LEFT JOIN ranked o ON o.taxid = t.taxid AND o.rank = 19"),
         "info_lineages": _with(f"{_TAXA}, {_LIN}", "SELECT taxid, " + ", ".join(f'coalesce(max(anc) FILTER (rank = {i}), 0) AS "{RANKS[i]}"' for i in range(20)) + " FROM ranked WHERE taxid < 0 GROUP BY 1"),
+        **_file_sql(),
         "stream_classify": _with(_classified(), "SELECT query_id, taxid, rank FROM cls"),
     }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dna, headers
 from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
 from ..params import RANKS, ClassifyParams
+from . import file_queries
 from . import fixtures as fx
 
 C = ClassifyParams().resolved()
@@ -422,3 +423,6 @@ def stream_classify(s, d):
 
     arrays = taxonomy.ranked_arrays(taxonomy.lineages(fx.taxa(s, d)))
     return classify_stream_once(s, fx.reads(s, d), _capped(s, d), _taxon_of(s, d, C.lowest), arrays, fx.CLASSIFY, C)
+
+
+QUERIES |= file_queries.QUERIES
