@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import bounded_broadcast, discard, shared_dir, stored
+
+__all__ = ["bounded_broadcast", "discard", "shared_dir", "stored"]
 #: Fixed value: a word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,32 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    """Writes df to the shared folder and rereads it: cuts lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what stored() has written, once nothing reads it any more."""
-    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of at most size in this session, so that a worker holds little of a table of long texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -79,11 +54,6 @@ def blocks_for(n_bytes: int, block_bytes: int) -> int:
     return max(1, -(-n_bytes // block_bytes))
 
 
-def bounded_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
-    """df marked for broadcast if its counted rows prove that it stays under limit; else unchanged, for a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node.
 
@@ -95,6 +65,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = stored(e, "edges")
     before = None
     for _ in range(max_rounds):
+        last = e
         # large star: every larger neighbour of u is linked to the smallest node of u's neighbourhood
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -104,6 +75,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         star = big.join(low, "u")
         e = stored(star.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        discard(last)
         if now == before:
             break
         before = now

@@ -10,6 +10,7 @@ sets are compared block by block, so that every pair of a cluster is decided exa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from .textvec import MOST_DOCS, mix, row_ranges, shingle_sets, stream, text_buff
 SLOTS, BANDS = 128, 32
 _RANK_BITS = np.uint64(24)
 _SLICE_BYTES = 1 << 18
+#: Rounding of logarithms does not part sizes that may be linked.
+SLACK = 1.0001
 #: What one task compares at once: classes, and shingles of all of them. Larger clusters are compared in pairs of blocks.
 BLOCK_CLASSES, BLOCK_SHINGLES = 2_000, 400_000
 
@@ -233,13 +236,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     candidates = keyed.join(shared.select("band", "low"), "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     cluster = common.components(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     member = common.stored(cluster.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id"), "members")
-    size = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    # a large cluster is compared in pairs of blocks; each member goes to the pairs that its own block takes part in
-    member = member.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    wanted = common.stored(member.select("doc_id", "cluster", "blocks", "own"), "wanted")
+    # a large cluster is dealt into classes of similar size, of which only neighbours can hold links, and these into blocks;
+    # each member goes to the pairs of blocks that its own takes part in
+    large = member.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where((F.col("n") > BLOCK_CLASSES) | (F.col("s") > BLOCK_SHINGLES))
+    member = member.join(large.select("cluster", F.lit(True).alias("large")), "cluster", "left")
+    member = member.withColumn("like", F.when(F.col("large"), F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(SLACK * 100 / percent))).otherwise(0).cast("int"))
+    size = common.stored(member.groupBy("cluster", "like").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "blocks")
+    more = size.select("cluster", (F.col("like") - 1).alias("like"), F.col("blocks").alias("above")).unionByName(size.select("cluster", (F.col("like") + 1).alias("like"), F.col("blocks").alias("below")), allowMissingColumns=True)
+    more = more.groupBy("cluster", "like").agg(F.max("above").alias("above"), F.max("below").alias("below"))
+    member = member.join(size.join(more, ["cluster", "like"], "left"), ["cluster", "like"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    wanted = common.stored(member.select("doc_id", "cluster", "like", "blocks", F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("below", F.lit(0)).alias("below"), "own"), "wanted")
     sets = full_sets(d.join(common.bounded_broadcast(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi"), k)
-    placed = sets.join(wanted, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", (F.col("own") > F.col("other")).cast("int").alias("side"), "shingles")
+    # i and j: a class of sizes and a block in it, as one number; the smaller one first
+    name = lambda like, block: F.shiftleft(like.cast("long"), 32) + block
+    others = lambda shift, n: F.transform(F.filter(F.sequence(F.lit(0), n), lambda x: x < n), lambda x: name(F.col("like") + shift, x))
+    placed = sets.join(wanted, "doc_id").withColumn("me", name(F.col("like"), F.col("own")))
+    placed = placed.withColumn("other", F.explode(F.concat(others(-1, F.col("below")), others(0, F.col("blocks")), others(1, F.col("above")))))
+    placed = placed.select("cluster", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), "doc_id", (F.col("me") > F.col("other")).cast("int").alias("side"), "shingles")
     links = placed.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify(percent), "a long, b long")
     found = common.components(links.unionByName(same)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

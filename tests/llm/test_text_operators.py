@@ -75,6 +75,15 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small_blocks):
     assert found == brute_components(rows)
 
 
+def test_a_cluster_of_many_sizes(spark, monkeypatch):
+    """Texts that grow word by word are one candidate cluster; blocks are dealt by size, and no link between sizes is lost."""
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 6)
+    words_ = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words_[: 20 + 3 * i])) for i in range(60)] + [(100 + i, " ".join(words_[i : 60 + i])) for i in range(30)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert found == brute_components(rows)
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     found = minhash.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()
@@ -161,6 +170,25 @@ def test_trees_are_monotonic_and_learn():
     assert quality.train(x, np.ones(3000), [0, 0, 0]).score(x).min() > 0.99
 
 
+def test_trees_equal_a_plain_walk(spark):
+    """The query on whole tables: every verdict by walking each tree node by node over statistics of one text alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    trees = quality.learn(docs, labels)
+    inner = trees.feature.shape[1]
+    found = {r.doc_id: r for r in quality.op7_quality_trees(spark, "/root/testdata/sf0.001").collect()}
+    for row in docs.collect():
+        counts, x = quality.statistics(*textvec.text_buffer(pa.array([row.text or ""])))
+        total = trees.start
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value):
+            node = 0
+            while node < inner:
+                node = 2 * node + (2 if x[0, f[node]] > t[node] else 1)
+            total += v[node - inner]
+        r, failed = found[row.doc_id], counts[0][0] < 20 or 100 * counts[0][4] > 30 * counts[0][0]
+        assert r.base_failed == failed and math.isclose(r.score, 1 / (1 + math.exp(-total)), abs_tol=1e-12)
+        assert r.kept == (not failed and r.score >= 0.5)
+
+
 def toxic_table(spark, n=240):
     r, bad = random.Random(4), ["grumb", "snorf", "blatz"]
     rows, labels = [], []
