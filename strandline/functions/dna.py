@@ -89,3 +89,13 @@ def letter_counts(seq: Column) -> Column:
     """How often each base occurs: struct of a, c, g, t."""
     u = F.upper(seq)
     return F.struct(*((F.length(u) - F.length(F.replace(u, F.lit(x), F.lit("")))).cast("long").alias(x.lower()) for x in "ACGT"))
+
+
+def pair_counts(seq: Column) -> Column:
+    """How often each two bases stand side by side: a map of 16 pairs; pairs with other letters do not count."""
+    pairs = kmers(F.upper(seq), 2)
+
+    def count(name: str) -> Column:
+        return F.size(F.filter(pairs, lambda k: k == name))
+
+    return F.create_map(*(x for a in "ACGT" for b in "ACGT" for x in (F.lit(a + b), count(a + b))))

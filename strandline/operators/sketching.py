@@ -13,8 +13,8 @@ from ..params import SketchParams
 _CODE = np.full(256, 4, dtype=np.uint8)
 for _i, _c in enumerate("ACGT"):
     _CODE[[ord(_c), ord(_c.lower())]] = _i
-#: Windows that are sorted together.
-_ROWS = 4096
+#: Windows that are sorted together, and windows of one sequence that a worker is given at once.
+_ROWS, PART_WINDOWS = 4096, 8192
 
 
 def sequence_windows(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFrame:
@@ -69,18 +69,32 @@ def sketch_numpy(seq: bytes, p: SketchParams) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(wins), np.concatenate(feats)
 
 
+def _parts(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFrame:
+    """(key, seq binary, before int, most int): sequences as runs of at most PART_WINDOWS windows, with how many windows lie
+    before a run and how many are its own; so that no worker holds more than a run of any sequence."""
+    letters, run = F.length(f"`{seq}`"), PART_WINDOWS * p.stride
+    last = F.greatest(F.ceil((letters - p.window) / run).cast("int") - 1, F.lit(0))
+    d = df.where(letters > 0).select(F.col(key).cast("long").alias(key), F.col(seq).cast("binary").alias("__seq"), last.alias("__last"))
+    d = d.select(key, "__seq", "__last", F.explode(F.sequence(F.lit(0), F.col("__last"))).alias("__i"))
+    start = F.col("__i") * run + 1
+    part = F.when(F.col("__last") == 0, F.col("__seq")).when(F.col("__i") < F.col("__last"), F.substring(F.col("__seq"), start, F.lit(run - p.stride + p.window))).otherwise(F.substring(F.col("__seq"), start, F.length("__seq")))
+    return d.select(key, part.alias("__seq"), (F.col("__i") * PART_WINDOWS).alias("__before"), F.when(F.col("__i") < F.col("__last"), PART_WINDOWS).otherwise(2**31 - 1).alias("__most"))
+
+
 def sketch_arrow(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFrame:
     """The same rows as sketch_sql, by numpy on Arrow batches; key must be a long."""
 
     def run(batches):
         for b in batches:
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, s, before, most in zip(*(c.to_pylist() for c in b.columns)):
                 win, feature = sketch_numpy(s, p)
+                if before or most < 2**31 - 1:
+                    own = win < most
+                    win, feature = win[own] + np.int32(before), feature[own]
                 if len(win):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(win), k)), pa.array(win), pa.array(feature)], names=[key, "win", "feature"])
 
-    d = df.where(f"length(`{seq}`) > 0").select(F.col(key).cast("long").alias(key), F.col(seq).cast("binary").alias("__seq"))
-    return _packed(d, run, f"{key} long, win int, feature long")
+    return _packed(_parts(df, key, seq, p), run, f"{key} long, win int, feature long")
 
 
 def _packed(d: DataFrame, run, schema: str) -> DataFrame:

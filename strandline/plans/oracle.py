@@ -238,6 +238,7 @@ def oracle_sql() -> dict[str, str]:
         "kmer_hash": _with(f"{_READS}, km AS (SELECT DISTINCT query_id, least(k, translate(reverse(k), 'ACGT', 'TGCA')) AS kmer FROM (SELECT query_id, substr(seq1, i::int, 10) AS k FROM (SELECT *, unnest(range(1, length(seq1)-8)) AS i FROM reads))), c AS (SELECT *, {_code('kmer', 10)} AS code FROM km), m1 AS (SELECT *, (xor(code, code >> 16) * 2246822507::hugeint % 4294967296)::bigint AS y1 FROM c), m2 AS (SELECT *, (xor(y1, y1 >> 13) * 3266489909::hugeint % 4294967296)::bigint AS y3 FROM m1)", f"SELECT query_id, kmer, code, {_hash('code')} AS hash, {murmur} AS murmur FROM m2"),
         "sketch_features": _with(_index(), "SELECT tgt, win, feature FROM idx"),
         "kmer_letter_stats": _with(_TARGETS, "SELECT tgt, length(dna)::bigint AS n, " + ", ".join(f"(length(dna) - length(replace(dna, '{x}', '')))::bigint AS n_{x.lower()}" for x in "ACGT") + ", greatest(length(dna)-9, 0)::bigint AS n_kmers FROM targets"),
+        "kmer_pair_stats": _with(f"{_TARGETS}, two AS (SELECT tgt, substr(dna, i::int, 2) AS pair FROM (SELECT tgt, dna, unnest(range(1, length(dna))) AS i FROM targets)), names AS (SELECT a || b AS pair FROM (SELECT unnest(['A','C','G','T']) AS a), (SELECT unnest(['A','C','G','T']) AS b))", "SELECT t.tgt, n.pair, coalesce(c.n, 0)::bigint AS n FROM targets t CROSS JOIN names n LEFT JOIN (SELECT tgt, pair, count(*) AS n FROM two GROUP BY 1, 2) c ON c.tgt = t.tgt AND c.pair = n.pair"),
         "kmer_intersection": _with(f"{_READS}, km AS (SELECT query_id AS id, least(k, translate(reverse(k), 'ACGT', 'TGCA')) AS kmer FROM (SELECT query_id, substr(seq1, i::int, 8) AS k FROM (SELECT *, unnest(range(1, length(seq1)-6)) AS i FROM reads)))", "SELECT a.id AS key_a, b.id AS key_b, count(*)::bigint AS shared FROM (SELECT DISTINCT id, kmer FROM km) a JOIN km b USING (kmer) WHERE a.id <> b.id GROUP BY 1, 2"),
         "index_counts": _with(_index(), "SELECT feature, count(*)::bigint AS n FROM idx GROUP BY 1"),
         "index_stats": _with(f"{_index()}, fc AS (SELECT count(*)::bigint AS n FROM idx GROUP BY feature)", f"SELECT n, total::bigint AS total, largest, mean, stddev, skewness FROM ({_moments('n', 'fc')})"),
@@ -329,10 +330,20 @@ y AS (SELECT rank, count(*) FILTER (cov AND on_)::bigint AS tp, count(*) FILTER
         "locations_report": _with(f"{_hits()}, {_ranges()}, {_BEST}, {_TAXA}, {_LIN}, {_cands(4, 4)}", "SELECT query_id, string_agg('[' || beg*119 || ',' || (\"end\"*119+128) || ']', ' ' ORDER BY pos) AS locations FROM cand GROUP BY 1"),
         "abundance_report": _with(
             f"{_classified(**_C4)}, ab AS (SELECT taxid, count(*) AS n, round(100.0::double * count(*) / (SELECT count(*) FROM cls), 6) AS percent FROM cls GROUP BY 1)",
-            "SELECT a.taxid, CASE WHEN a.taxid IS NULL THEN 'unclassified' ELSE CASE t.rank " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RANKS)) + " END || ':' || t.name END || chr(9) || '|' || chr(9) || a.n || chr(9) || '|' || chr(9) || a.percent || '%' AS line FROM ab a LEFT JOIN taxa t ON t.taxid = a.taxid",
+            "SELECT a.taxid, CASE WHEN a.taxid IS NULL THEN 'unclassified' ELSE CASE t.rank " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RANKS)) + " END || ':' || t.name END || chr(9) || '|' || chr(9) || a.n || chr(9) || '|' || chr(9) || a.percent || '%' AS line, (row_number() OVER (ORDER BY t.rank DESC NULLS LAST, a.taxid))::int AS pos FROM ab a LEFT JOIN taxa t ON t.taxid = a.taxid",
         ),
         "info_targets": _with(f"{_TARGETS}, {_TAXA}, {_LIN}", "SELECT tgt, name, (CASE WHEN length(dna) <= 128 THEN 1 ELSE (length(dna)-128)//119 + 1 + CASE WHEN ((length(dna)-128)//119 + 1)*119 < length(dna) THEN 1 ELSE 0 END END)::bigint AS windows, s.anc AS species, o.anc AS domain FROM targets t LEFT JOIN ranked s ON s.taxid = t.taxid AND s.rank = 4 LEFT JOIN ranked o ON o.taxid = t.taxid AND o.rank = 19"),
         "info_lineages": _with(f"{_TAXA}, {_LIN}", "SELECT taxid, " + ", ".join(f'coalesce(max(anc) FILTER (rank = {i}), 0) AS "{RANKS[i]}"' for i in range(20)) + " FROM ranked WHERE taxid < 0 GROUP BY 1"),
         **_file_sql(),
+        "align_scores": _with(
+            f"""{_hits()}, {_ranges()}, {_BEST}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, tgt) AS n FROM best) WHERE n = 1),
+pairs AS MATERIALIZED (SELECT query_id, tgt, seq1, substr(dna, (beg*119+1)::int, (("end"-beg)*119+128)::int) AS part FROM one JOIN reads USING (query_id) JOIN targets USING (tgt)),
+strands AS MATERIALIZED (SELECT query_id, 0 AS rc, seq1 AS q, part FROM pairs UNION ALL SELECT query_id, 1, translate(reverse(seq1), 'ACGT', 'TGCA'), part FROM pairs),
+dp(query_id, rc, i, j, s) AS (SELECT query_id, rc, 0, j, 0 FROM (SELECT *, unnest(range(length(part)+1))::int AS j FROM strands)
+ UNION ALL SELECT query_id, rc, i, j, max(up + j) OVER (PARTITION BY query_id, rc ORDER BY j) - j FROM (
+  SELECT d.query_id, d.rc, d.i+1 AS i, d.j, CASE WHEN d.j = 0 THEN 0 ELSE greatest(lag(d.s) OVER (PARTITION BY d.query_id, d.rc ORDER BY d.j) + CASE WHEN substr(b.q, d.i+1, 1) = substr(b.part, d.j, 1) THEN 2 ELSE -1 END, d.s - 1) END AS up
+  FROM dp d JOIN strands b ON b.query_id = d.query_id AND b.rc = d.rc WHERE d.i < length(b.q)))""",
+            "SELECT query_id, any_value(tgt) AS tgt, max(s)::int AS score FROM dp JOIN strands USING (query_id, rc) JOIN pairs USING (query_id) WHERE i = length(q) OR j = length(strands.part) GROUP BY 1",
+        ),
         "stream_classify": _with(_classified(), "SELECT query_id, taxid, rank FROM cls"),
     }

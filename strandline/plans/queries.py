@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dna, headers
 from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
 from ..params import RANKS, ClassifyParams
+from ..storage import stored
 from . import file_queries
 from . import fixtures as fx
 
@@ -42,19 +43,28 @@ def _best(s, d):
     return matching.best_window_range(_hits(s, d), matching.window_span(fx.reads(s, d), fx.CLASSIFY))
 
 
-def _taxon_of(s, d, rank):
+def _lineages(s, d):
+    """Stored, since a recursive query is made anew in each branch of a plan that reads it."""
+    return stored(taxonomy.lineages(fx.taxa(s, d)), "lineages")
+
+
+def _taxon_of(s, d, rank, lin=None):
     """(tgt, taxid) at a rank."""
     t = fx.targets(s, d).select("tgt", "taxid")
     if rank == 0:
         return t
-    up = taxonomy.ancestor_at(taxonomy.lineages(fx.taxa(s, d)), rank)
+    up = taxonomy.ancestor_at(taxonomy.lineages(fx.taxa(s, d)) if lin is None else lin, rank)
     return t.join(up, "taxid", "left").select("tgt", F.coalesce("anc", "taxid").alias("taxid"))
 
 
-def _classified(s, d, c=C):
-    cand = matching.top_taxa(_best(s, d), _taxon_of(s, d, c.lowest), c.max_candidates)
-    arrays = taxonomy.ranked_arrays(taxonomy.lineages(fx.taxa(s, d)))
-    return classify.with_all_reads(classify.classify(cand, arrays, c), fx.reads(s, d))
+def _candidates(s, d, c, lin):
+    return stored(matching.top_taxa(_best(s, d), _taxon_of(s, d, c.lowest, lin), c.max_candidates), "candidates")
+
+
+def _classified(s, d, c=C, lin=None, cand=None):
+    lin = _lineages(s, d) if lin is None else lin
+    cand = _candidates(s, d, c, lin) if cand is None else cand
+    return classify.with_all_reads(classify.classify(cand, taxonomy.ranked_arrays(lin), c), fx.reads(s, d))
 
 
 @query
@@ -91,6 +101,13 @@ def kmer_letter_stats(s, d):
     return fx.targets(s, d).select("tgt", F.length("dna").cast("long").alias("n"), *(c[x].alias(f"n_{x}") for x in "acgt"), F.greatest(F.length("dna") - 9, F.lit(0)).cast("long").alias("n_kmers"))
 
 
+@query
+def kmer_pair_stats(s, d):
+    """Pairs of bases side by side in each target; one row for each pair."""
+    t = fx.targets(s, d).select("tgt", F.explode(dna.pair_counts(F.col("dna"))).alias("pair", "n"))
+    return t.select("tgt", "pair", F.col("n").cast("long").alias("n"))
+
+
 @query
 def kmer_intersection(s, d):
     r = fx.reads(s, d).select(F.col("query_id").alias("id"), F.col("seq1").alias("seq"))
@@ -200,8 +217,8 @@ def paired_reads(s, d):
 @query
 def merge_results(s, d):
     """Two result files: reads against documents of even and of odd ids; merged and classified again."""
-    lin = taxonomy.lineages(fx.taxa(s, d))
-    one = matching.top_taxa(_best(s, d), _taxon_of(s, d, fx.SPECIES), 6).withColumn("file", (F.col("tgt") % 2).cast("string"))
+    lin = _lineages(s, d)
+    one = matching.top_taxa(_best(s, d), _taxon_of(s, d, fx.SPECIES, lin), 6).withColumn("file", (F.col("tgt") % 2).cast("string"))
     c = ClassifyParams(max_candidates=3)
     cand = classify.merge_candidates(one.select("file", "pos", "query_id", "taxid", "hits"), lin, c)
     out = classify.classify(cand, taxonomy.ranked_arrays(lin), classify.merge_params(c).resolved())
@@ -268,7 +285,7 @@ def taxon_coverage(s, d):
 
 @query
 def abundance(s, d):
-    a = classify.abundances(_classified(s, d, C4))
+    a = classify.abundances(stored(_classified(s, d, C4), "classified"))
     return a.select("taxid", "n", F.round("percent", 6).alias("percent"))
 
 
@@ -359,24 +376,26 @@ def ground_truth(s, d):
 
 @query
 def classification_stats(s, d):
-    st = evaluate.statistics(_classified(s, d), fx.truth(s, d), taxonomy.lineages(fx.taxa(s, d)))
+    lin = _lineages(s, d)
+    st = evaluate.statistics(stored(_classified(s, d, C, lin), "classified"), fx.truth(s, d), lin)
     return evaluate.rates(st).select("rank", "assigned", "known", "correct", "wrong", *(F.round(c, 6).alias(c) for c in ("classified_rate", "known_rate", "precision", "sensitivity")))
 
 
 @query
 def coverage_confusion(s, d):
     """The database is said to cover taxa that more than 20 documents belong to, or even documents."""
-    lin = taxonomy.lineages(fx.taxa(s, d))
+    lin = _lineages(s, d)
     cov = taxonomy.covered(lin).where("n > 20 or taxid % 2 = 0").select("taxid")
-    x = evaluate.confusion_rates(evaluate.coverage_confusion(_classified(s, d), fx.truth(s, d), lin, cov))
+    x = evaluate.confusion_rates(evaluate.coverage_confusion(_classified(s, d, C, lin), fx.truth(s, d), lin, cov))
     return x.select("rank", "tp", "fp", "tn", "fn", *(F.round(c, 6).alias(c) for c in ("accuracy", "sensitivity", "specificity", "precision")))
 
 
 @query
 def mapping_report(s, d):
-    cand = matching.top_taxa(_best(s, d), _taxon_of(s, d, fx.SPECIES), 4)
+    lin = _lineages(s, d)
+    cand = _candidates(s, d, C4, lin)
     f = report.Format(query_ids=True, top_hits=True, taxon="rank_name_id")
-    return report.mapping_lines(_classified(s, d, C4), fx.reads(s, d), fx.taxa(s, d), f, top_hits=report.top_hits_text(cand))
+    return report.mapping_lines(_classified(s, d, C4, lin, cand), fx.reads(s, d), fx.taxa(s, d), f, top_hits=report.top_hits_text(cand))
 
 
 @query
@@ -392,7 +411,7 @@ def locations_report(s, d):
 
 @query
 def abundance_report(s, d):
-    return report.abundance_lines(classify.abundances(_classified(s, d, C4)), fx.taxa(s, d))
+    return report.abundance_lines(classify.abundances(stored(_classified(s, d, C4), "classified")), fx.taxa(s, d))
 
 
 @query
@@ -417,6 +436,13 @@ def semi_global_align(s, d):
     return align.align_candidates(best, fx.reads(s, d), fx.targets(s, d), fx.CLASSIFY)
 
 
+@query
+def align_scores(s, d):
+    """The scores of these alignments alone."""
+    best = matching.top_candidates(_best(s, d), 1)
+    return align.align_candidates(best, fx.reads(s, d), fx.targets(s, d), fx.CLASSIFY).select("query_id", "tgt", "score")
+
+
 @query
 def stream_classify(s, d):
     from ..streaming.classification import classify_stream_once

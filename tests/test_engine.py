@@ -57,6 +57,17 @@ def test_sketches_of_both_engines(spark, p):
     assert sorted((x.tgt, x.win, x.s) for x in windows) == sorted((i, w, x) for i, s in rows if s for w, x in enumerate(model_windows(s, p)))
 
 
+def test_long_sequences_are_sketched_in_parts(spark, monkeypatch):
+    r = random.Random(9)
+    for part in (1, 3):
+        monkeypatch.setattr(sketching, "PART_WINDOWS", part)
+        for p in (SketchParams(10), SketchParams(4, 8, 20, 7), SketchParams(8, 3, 16, 16), SketchParams(4, 4, 10, 25)):
+            rows = [(i, "".join(r.choice("ACGTN") for _ in range(n))) for i, n in enumerate([*LENGTHS, *range(p.window - 1, p.window + 4 * p.stride, 5)])]
+            df = spark.createDataFrame(rows, "tgt long, dna string")
+            want = sorted((i, w, f) for i, s in rows if s for w, x in enumerate(model_windows(s, p)) for f in model_sketch(x, p))
+            assert sorted(map(tuple, sketching.sketch_features(df, "tgt", "dna", p, "arrow").collect())) == want
+
+
 def test_golden_vectors(spark):
     golden = [("AAAAAAAAAAAAAAAA", 0, 0, 0), ("TTTTTTTTTTTTTTTT", 4294967295, 0, 0), ("CCCCCCCCCCCCCCCC", 1431655765, 1431655765, 1070324998), ("ACGTACGTACGTACGT", 454761243, 454761243, 3480792923), ("GATTACAGATTACAGA", 2400336968, 2400336968, 2106225986), ("TTTTTTTTTTTTTTTC", 4294967293, 2147483648, 1029333365)]
     k = F.col("kmer")

@@ -8,7 +8,7 @@ SQL = oracle.oracle_sql()
 SLOW = {"extract_accession", "annotate_headers"}
 
 
-def test_every_query_but_alignment_has_sql():
+def test_every_query_but_whole_alignments_has_sql():
     assert set(QUERIES) - set(SQL) == {"semi_global_align"} and set(SQL) <= set(QUERIES)
 
 
