@@ -12,7 +12,7 @@ from .minhash import OP9_SQL, op9_superminhash
 from .packing import instruction_packing, op1_packing
 from .quality import op7_quality_trees
 from .sharding import OP2_SQL, op2_size_tiered_shards
-from .suffix import op6_suffix_arrays
+from .suffix import OP6_SQL, op6_suffix_arrays
 from .toxicity import op8_toxic_neighbours
 from .warc import OP5_SQL, op5_revisits
 from .winnowing import op10_winnowing
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_size_tiered_shards": OP2_SQL, "op5_revisits": OP5_SQL, "op9_superminhash": OP9_SQL}
+    return {"op2_size_tiered_shards": OP2_SQL, "op5_revisits": OP5_SQL, "op6_suffix_arrays": OP6_SQL, "op9_superminhash": OP9_SQL}

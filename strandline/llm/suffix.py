@@ -461,3 +461,21 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, b
 def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes repeated passages of 200 bytes and more from all documents."""
     return remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+#: The same as op6_suffix_arrays, by counting the hashes of all windows of 200 bytes; for small tables.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), c AS (SELECT doc_id, n, 512 * i AS base, substr(h, 1024 * i + 1, 1424) AS piece FROM (SELECT *, unnest(range((n + 511) // 512)) AS i FROM d)
+), w AS (SELECT doc_id, base + i AS p, hash(substr(piece, 2 * i + 1, 400)) AS k FROM (SELECT *, unnest(range(512)) AS i FROM c) WHERE base + i + 200 <= n
+), t AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), m AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM w JOIN t USING (k)
+), g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM m
+), s AS (SELECT doc_id, min(p) AS lo, max(p) + 200 AS hi FROM g GROUP BY doc_id, span
+), gaps AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS lo, lo AS hi FROM s
+  UNION ALL SELECT d.doc_id, coalesce(max(s.hi), 0), any_value(n) FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+), kept AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo, hi) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), sums AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, n::bigint AS n_bytes, coalesce(gone, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
