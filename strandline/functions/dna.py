@@ -92,10 +92,21 @@ def letter_counts(seq: Column) -> Column:
 
 
 def pair_counts(seq: Column) -> Column:
-    """How often each two bases stand side by side: a map of 16 pairs; pairs with other letters do not count."""
-    pairs = kmers(F.upper(seq), 2)
+    """How often each two bases stand side by side: a map of 16 pairs; pairs with other letters do not count.
 
-    def count(name: str) -> Column:
-        return F.size(F.filter(pairs, lambda k: k == name))
+    Two different letters cannot overlap with themselves, so what their removal shortens tells how many there are. A letter that
+    no different one follows is followed by itself, but for the last of the sequence.
+    """
+    u = F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
 
-    return F.create_map(*(x for a in "ACGT" for b in "ACGT" for x in (F.lit(a + b), count(a + b))))
+    def different(pair: str) -> Column:
+        return (F.length(u) - F.length(F.replace(u, F.lit(pair), F.lit("")))) / 2
+
+    def count(a: str, b: str) -> Column:
+        if a != b:
+            return different(a + b).cast("long")
+        own = F.length(u) - F.length(F.replace(u, F.lit(a), F.lit("")))
+        others = sum((different(a + x) for x in "ACGTN" if x != a), F.lit(0.0))
+        return (own - others - u.endswith(a).cast("int")).cast("long")
+
+    return F.create_map(*(x for a in "ACGT" for b in "ACGT" for x in (F.lit(a + b), count(a, b))))

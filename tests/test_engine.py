@@ -68,6 +68,14 @@ def test_long_sequences_are_sketched_in_parts(spark, monkeypatch):
             assert sorted(map(tuple, sketching.sketch_features(df, "tgt", "dna", p, "arrow").collect())) == want
 
 
+def test_pairs_of_bases(spark):
+    rows = [("",), ("A",), ("AA",), ("AAAA",), ("ACNNGTTTA",), ("".join(random.Random(3).choices("ACGTNa", k=400)),), (None,)]
+    for r in spark.createDataFrame(rows, "s string").select("s", dna.pair_counts(F.col("s")).alias("c")).collect():
+        own = (r.s or "").upper()
+        want = {a + b: sum(own[i : i + 2] == a + b for i in range(len(own))) for a in "ACGT" for b in "ACGT"}
+        assert r.s is None or r.c == want
+
+
 def test_golden_vectors(spark):
     golden = [("AAAAAAAAAAAAAAAA", 0, 0, 0), ("TTTTTTTTTTTTTTTT", 4294967295, 0, 0), ("CCCCCCCCCCCCCCCC", 1431655765, 1431655765, 1070324998), ("ACGTACGTACGTACGT", 454761243, 454761243, 3480792923), ("GATTACAGATTACAGA", 2400336968, 2400336968, 2106225986), ("TTTTTTTTTTTTTTTC", 4294967293, 2147483648, 1029333365)]
     k = F.col("kmer")
