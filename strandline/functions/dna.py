@@ -55,14 +55,17 @@ def code(kmer: Column) -> Column:
 
 
 def hash32(x: Column) -> Column:
-    """A bijection on unsigned 32-bit numbers, held in a long: two rounds of shift, xor and multiplication, one more shift."""
+    """A bijection on unsigned 32-bit numbers, held in a long: two rounds of shift, xor and multiplication, one more shift.
+
+    The factor and the shifts are fixed values."""
     for _ in range(2):
         x = (F.shiftrightunsigned(x, 16).bitwiseXOR(x) * F.lit(0x45D9F3B).cast("long")).bitwiseAND(F.lit(_MASK32))
     return F.shiftrightunsigned(x, 16).bitwiseXOR(x)
 
 
 def hash_murmur32(x: Column) -> Column:
-    """The finaliser of a public 32-bit hash, by 16-bit halves so that no product leaves 63 bits."""
+    """The finaliser of a public 32-bit hash, by 16-bit halves so that no product leaves 63 bits; factors and shifts are fixed values."""
+
     def times(a: Column, m: int) -> Column:
         low = a.bitwiseAND(F.lit(0xFFFF)) * m
         high = (F.shiftrightunsigned(a, 16) * m).bitwiseAND(F.lit(0xFFFF))

@@ -11,8 +11,6 @@ from functools import partial
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rounds of the six-round 32-bit hash: (constant, joined by, joined by, shift; negative: to the right).
-SIX_ROUNDS = [(0x7ED55D16, "+", "+", 12), (0xC761C23C, "^", "^", -19), (0x165667B1, "+", "+", 5), (0xD3A2646C, "+", "^", 9), (0xFD7046C5, "+", "+", 3), (0xB55A4F09, "^", "^", -16)]
 #: Fixed values: (shift to the right and xor, multiply) steps of two 64-bit finalisers, and their last shift.
 MURMUR64 = [(33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)], 33
 SPLITMIX64 = [(30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)], 31
@@ -70,21 +68,20 @@ def splitmix64(x: Column) -> Column:
 
 
 def six_rounds32(x: Column) -> Column:
-    """x from 0 to 2^32 - 1."""
-    for each in SIX_ROUNDS:
-        x = _let(x, partial(_one_round, each))
-    return x
-
-
-def _one_round(each: tuple, v: Column) -> Column:
-    constant, first, second, shift = each
-    moved = _low(F.shiftleft(v, shift), 32) if shift > 0 else F.shiftrightunsigned(v, -shift)
-    left = v + constant if first == "+" else v.bitwiseXOR(F.lit(constant).cast("long"))
-    return _low(left + moved, 32) if second == "+" else _low(left, 32).bitwiseXOR(moved)
+    """x from 0 to 2^32 - 1. The constants and shifts are fixed values of a public 32-bit hash."""
+    left = lambda v, n: _low(F.shiftleft(v, n), 32)
+    right = F.shiftrightunsigned
+    const = lambda c: F.lit(c).cast("long")
+    x = _let(x, lambda v: _low(v + const(0x7ED55D16) + left(v, 12), 32))
+    x = _let(x, lambda v: v.bitwiseXOR(const(0xC761C23C)).bitwiseXOR(right(v, 19)))
+    x = _let(x, lambda v: _low(v + const(0x165667B1) + left(v, 5), 32))
+    x = _let(x, lambda v: _low(v + const(0xD3A2646C), 32).bitwiseXOR(left(v, 9)))
+    x = _let(x, lambda v: _low(v + const(0xFD7046C5) + left(v, 3), 32))
+    return _let(x, lambda v: v.bitwiseXOR(const(0xB55A4F09)).bitwiseXOR(right(v, 16)))
 
 
 def halved(x: Column) -> Column:
-    """64 bits to 32: shifts, sums and one product by 21."""
+    """64 bits to 32: shifts, sums and one product by 21, all of them fixed values of a public hash."""
     x = _let(x, lambda v: plus64(F.bitwise_not(v), F.shiftleft(v, 18)))
     x = _let(x, lambda v: times64(xor_right(v, 31), 21))
     x = _let(x, lambda v: xor_right(v, 11))

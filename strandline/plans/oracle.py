@@ -159,6 +159,29 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{body}"
 
 
+def _hash_sql() -> str:
+    """Layer by layer, so that each value is computed once; products in 128 bits."""
+    wide = lambda x: f"(({x}) % 18446744073709551616::uhugeint)::ubigint"
+    times = lambda x, c: wide(f"{x}::uhugeint * {c}::uhugeint")
+    plus = lambda *a: wide(" + ".join(f"{x}::uhugeint" for x in a))
+    low = lambda x: f"({x}) % 4294967296"
+    shifted = lambda v, n: f"xor({v}, {v} >> {n})"
+    layers = [
+        {"m": "x", "p": "x", "h": plus("(18446744073709551615::ubigint - x)", times("x", 1 << 18)), "y": low("x")},
+        {"m": times(shifted("m", 33), 0xFF51AFD7ED558CCD), "p": times(shifted("p", 30), 0xBF58476D1CE4E5B9), "h": times(shifted("h", 31), 21), "y": low(f"y + {0x7ED55D16} + y * {1 << 12}")},
+        {"m": times(shifted("m", 33), 0xC4CEB9FE1A85EC53), "p": times(shifted("p", 27), 0x94D049BB133111EB), "h": shifted("h", 11), "y": f"xor(xor(y, {0xC761C23C}::ubigint), y >> 19)"},
+        {"m": shifted("m", 33), "p": shifted("p", 31), "h": plus("h", times("h", 1 << 6)), "y": low(f"y + {0x165667B1} + y * {1 << 5}")},
+        {"m": "m", "p": "p", "h": low(shifted("h", 22)), "y": f"xor({low(f'y + {0xD3A2646C}')}, {low(f'y * {1 << 9}')})"},
+        {"m": "m", "p": "p", "h": "h", "y": low(f"y + {0xFD7046C5} + y * {1 << 3}")},
+        {"m": "m", "p": "p", "h": "h", "y": f"xor(xor(y, {0xB55A4F09}::ubigint), y >> 16)"},
+    ]
+    q = "SELECT o_orderkey, (o_orderkey * 1000003000007 + o_custkey)::ubigint AS x FROM orders"
+    for i, own in enumerate(layers):
+        q = f"SELECT o_orderkey, {', '.join(f'({v})::ubigint AS {k}' for k, v in own.items())} FROM ({q}) l{i}"
+    signed = lambda v: f"CASE WHEN {v} >= 9223372036854775808::ubigint THEN ({v}::hugeint - 18446744073709551616::hugeint)::bigint ELSE {v}::bigint END"
+    return f"SELECT o_orderkey, {signed('m')} AS murmur64, {signed('p')} AS splitmix64, h::bigint AS halved, y::bigint AS six_rounds FROM ({q}) z"
+
+
 _RECORDS = f"""{_TARGETS}, recs AS (SELECT tgt, (tgt // 4096)::int AS f, 'NC_' || tgt || '.1 ' || name || ' taxid:' || {_SPECIES_ID} AS header, dna FROM targets WHERE length(dna) > 0)"""
 _RANK_NAME = "CASE {r} " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RANKS)) + " END"
 _BAR = "chr(9) || '|' || chr(9)"
@@ -335,6 +358,7 @@ y AS (SELECT rank, count(*) FILTER (cov AND on_)::bigint AS tp, count(*) FILTER
         "info_targets": _with(f"{_TARGETS}, {_TAXA}, {_LIN}", "SELECT tgt, name, (CASE WHEN length(dna) <= 128 THEN 1 ELSE (length(dna)-128)//119 + 1 + CASE WHEN ((length(dna)-128)//119 + 1)*119 < length(dna) THEN 1 ELSE 0 END END)::bigint AS windows, s.anc AS species, o.anc AS domain FROM targets t LEFT JOIN ranked s ON s.taxid = t.taxid AND s.rank = 4 LEFT JOIN ranked o ON o.taxid = t.taxid AND o.rank = 19"),
         "info_lineages": _with(f"{_TAXA}, {_LIN}", "SELECT taxid, " + ", ".join(f'coalesce(max(anc) FILTER (rank = {i}), 0) AS "{RANKS[i]}"' for i in range(20)) + " FROM ranked WHERE taxid < 0 GROUP BY 1"),
         **_file_sql(),
+        "integer_hashes": _hash_sql(),
         "align_scores": _with(
             f"""{_hits()}, {_ranges()}, {_BEST}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, tgt) AS n FROM best) WHERE n = 1),
 pairs AS MATERIALIZED (SELECT query_id, tgt, seq1, substr(dna, (beg*119+1)::int, (("end"-beg)*119+128)::int) AS part FROM one JOIN reads USING (query_id) JOIN targets USING (tgt)),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dna, headers
+from ..functions import dna, hashes, headers
 from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
 from ..params import RANKS, ClassifyParams
 from ..storage import stored
@@ -90,6 +90,15 @@ def kmer_hash(s, d):
     return k.select("query_id", "kmer", c.alias("code"), dna.hash32(c).alias("hash"), dna.hash_murmur32(c).alias("murmur"))
 
 
+@query
+def integer_hashes(s, d):
+    """The other hashes of numbers made of orders."""
+    o = fx.table(s, d, "orders")
+    x = F.col("o_orderkey") * 1_000_003_000_007 + F.col("o_custkey")
+    low = x.bitwiseAND(F.lit(2**32 - 1).cast("long"))
+    return o.select("o_orderkey", hashes.murmur64(x).alias("murmur64"), hashes.splitmix64(x).alias("splitmix64"), hashes.halved(x).alias("halved"), hashes.six_rounds32(low).alias("six_rounds"))
+
+
 @query
 def sketch_features(s, d):
     return sketching.sketch_features(fx.targets(s, d), "tgt", "dna", fx.CLASSIFY)

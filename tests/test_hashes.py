@@ -13,11 +13,12 @@ def finalised(x, steps):
 
 
 def six(x):
-    for c, a, b, s in hashes.SIX_ROUNDS:
-        moved = x << s & M32 if s > 0 else x >> -s
-        left = (x + c & M32) if a == "+" else x ^ c
-        x = (left + moved & M32) if b == "+" else left ^ moved
-    return x
+    x = x + 0x7ED55D16 + (x << 12) & M32
+    x = x ^ 0xC761C23C ^ x >> 19
+    x = x + 0x165667B1 + (x << 5) & M32
+    x = (x + 0xD3A2646C & M32) ^ (x << 9 & M32)
+    x = x + 0xFD7046C5 + (x << 3) & M32
+    return x ^ 0xB55A4F09 ^ x >> 16
 
 
 def halved(x):
