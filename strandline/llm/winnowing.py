@@ -7,6 +7,8 @@ position. Any passage of at least k + w - 1 tokens that two texts share thus giv
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,29 +56,45 @@ def as_string(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lower(F.hex(F.shiftrightunsigned(x, 32))), F.lit("@"), (F.lit(4294967295) - x.bitwiseAND(F.lit(4294967295))).cast("string"))), " ")
 
 
-def with_next(df: DataFrame, id_col: str, order: list[str], carried: dict[str, str], bucket_bytes: int = 8 << 20, text: str = "text", max_buckets: int = 4096) -> DataFrame:
+def _longs(values: list[int]) -> Column:
+    """A constant array; one literal, however many values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def _bucket(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are not above value; null: 0. First among every step-th of them, then in one step."""
+    step = max(1, math.isqrt(len(bounds)))
+    every, all_ = _longs(bounds[::step]), _longs(bounds)
+    before = F.size(F.filter(every, lambda b: b <= value))
+    inside = F.size(F.filter(F.slice(all_, F.greatest((before - 1) * step + 1, F.lit(1)), F.lit(step)), lambda b: b <= value))
+    return F.coalesce(F.when(before > 0, (before - 1) * step + inside).otherwise(0), F.lit(0)).cast("int")
+
+
+def with_next(df: DataFrame, id_col: str, order: list[str], carried: dict[str, str], bucket_bytes: int = 8 << 20, text: str = "text", max_buckets: int = 1 << 16) -> DataFrame:
     """df with, in new columns (new name -> column), what the next row by order has; the last row gets the first one's.
 
-    Rows are dealt into ranges of id_col that hold about bucket_bytes of text each. The first id's rows of every range are
-    also sent to the range before, so that a window function inside a range sees every successor: one shuffle, no single
-    partition. At most max_buckets bounds come to the driver.
+    Rows are dealt into ranges of id_col that hold about bucket_bytes of text each (more where there would be over max_buckets
+    ranges: from half a terabyte of text on they grow with it). The first id's rows of every range are also sent to the range
+    before, so that a window function inside a range sees every successor: one shuffle, no single partition. Two numbers for
+    each range come to the driver, and a row is compared with twice the root of as many.
     """
     n = min(max_buckets, common.blocks_for(common.text_bytes(df, text), bucket_bytes))
     points = [i / n for i in range(1, n)]
-    bounds = sorted(set(df.agg(F.percentile_approx(id_col, points, 10_000).alias("b")).first()["b"] or [])) if points else []
-    listed = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(listed, lambda b: b <= F.col(id_col))), F.lit(0))
+    bounds = sorted(set(df.agg(F.percentile_approx(id_col, points, max(10_000, 10 * n)).alias("b")).first()["b"] or [])) if points else []
+    bucket = _bucket(F.col(id_col), bounds)
     firsts = {r["b"]: r["first"] for r in df.groupBy(bucket.alias("b")).agg(F.min(F.struct(F.col(id_col).alias("i"))).alias("first")).collect()}
     if not firsts:
         return df.withColumns({k: F.col(v) for k, v in carried.items()})
     there = sorted(firsts)
-    before = {b: there[i - 1] for i, b in enumerate(there)}
     size = there[-1] + 1
-    first_ids = F.array(*(F.lit(firsts[b]["i"] if b in firsts else None).cast("bigint") for b in range(size)))
-    previous = F.array(*(F.lit(before.get(b)).cast("int") for b in range(size)))
+    null_first = [b for b in there if firsts[b]["i"] is None]  # the first range alone, if any
+    first_ids = _longs([firsts[b]["i"] if b in firsts and firsts[b]["i"] is not None else 0 for b in range(size)])
+    before = {b: there[i - 1] for i, b in enumerate(there)}
+    previous = _longs([before.get(b, 0) for b in range(size)])
     df = df.withColumn("__b", bucket)
-    sent = F.col(id_col).eqNullSafe(F.get(first_ids, F.col("__b")))
-    copies = F.when(sent, F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("s")), F.struct(F.get(previous, F.col("__b")).alias("b"), F.lit(1).alias("s")))).otherwise(F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("s"))))
+    own, nulls = F.col(id_col), F.array(*map(F.lit, null_first)).cast("array<int>")
+    sent = F.coalesce(F.when(F.array_contains(nulls, F.col("__b")), own.isNull()).otherwise(own == F.get(first_ids, F.col("__b"))), F.lit(False))
+    copies = F.when(sent, F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("s")), F.struct(F.get(previous, F.col("__b")).cast("int").alias("b"), F.lit(1).alias("s")))).otherwise(F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("s"))))
     df = df.withColumn("__c", F.explode(copies)).withColumn("__b", F.col("__c.b")).withColumn("__s", F.col("__c.s")).drop("__c")
     w = Window.partitionBy("__b").orderBy("__s", *(F.col(c).asc_nulls_first() for c in order))
     return df.withColumns({k: F.lead(v).over(w) for k, v in carried.items()}).where("__s = 0").drop("__b", "__s")

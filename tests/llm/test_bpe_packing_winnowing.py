@@ -9,6 +9,7 @@ import pytest
 import regex
 import xxhash
 from odd_tables import TEXTS, with_clashing_columns
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from strandline.llm import bpe, packing, winnowing
@@ -282,6 +283,15 @@ def test_winnowing_next_over_many_ranges(spark):
     assert {(r.doc_id, r.after) for r in found} == {(i, (i + 1) % 101) for i in range(101)}
 
 
+def test_buckets_by_two_steps(spark):
+    r = random.Random(2)
+    for n in (0, 1, 2, 3, 10, 57, 400):
+        bounds = sorted(r.sample(range(-500, 500), n))
+        values = [None, -600, 600, *bounds, *(r.randrange(-550, 550) for _ in range(50))]
+        found = spark.createDataFrame([(v,) for v in values], "v long").select("v", winnowing._bucket(F.col("v"), bounds).alias("b")).collect()
+        assert [x.b for x in found] == [0 if v is None else sum(b <= v for b in bounds) for v in values]
+
+
 def test_winnowing_nulls_repeats_and_no_rows(odd_docs, no_docs):
     assert winnowing.compare_with_edits(odd_docs).count() == odd_docs.count()
     assert winnowing.compare_with_edits(no_docs).count() == 0
