@@ -25,11 +25,13 @@ _WINDOW = 8
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistics that the trees see, and the direction in which each may move the score (0: either).
-FEATURES = {"log_words": 0, "chars_per_word": 0, "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "pipe_words": -1, "digit_share": 0, "upper_share": 0, "exclaim_share": -1, "stop_share": 0, "distinct_share": 0, "words_per_line": 0, "same_as_before": -1, "other_share": 0}
+FEATURES = {"log_words": 0, "chars_per_word": 0, "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "sign_words": -1, "digit_share": 0, "upper_share": 0, "exclaim_share": -1, "stop_share": 0, "distinct_share": 0, "words_per_line": 0, "same_as_before": -1, "other_share": 0}
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # of each byte: 1 symbol, 2 digit, 3 upper case, 4 exclamation mark, 5 full stop, 6 control or other odd sign
 for _i, _own in enumerate((SYMBOLS, b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!", b".", b"@^_~`\\{}[]=+"), 1):
     _CLASS[list(_own)] = _i
+#: Whether a byte is an ASCII sign: printable, neither letter nor digit.
+_SIGN = np.array([33 <= i < 127 and not chr(i).isalnum() for i in range(256)])
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +85,12 @@ def statistics(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new = np.concatenate([[True], wkey[1:] != wkey[:-1]]) if len(wkey) else np.zeros(0, dtype=bool)
     distinct = np.bincount((wkey[new] >> np.uint64(SHINGLE_BITS)).astype(np.int64), minlength=n)
     same = np.bincount(wdoc[1:][(h[1:] == h[:-1]) & (wdoc[1:] == wdoc[:-1])], minlength=n) if len(h) else np.zeros(n, dtype=np.int64)
-    alone = (words.end - words.start == 1) & (b[words.start] == ord("|")) if len(h) else np.zeros(0, dtype=bool)
-    pipes = np.bincount(wdoc[alone], minlength=n)
+    # words that are one sign alone: what stands between the entries of menus and tables
+    alone = (words.end - words.start == 1) & _SIGN[b[words.start]] if len(h) else np.zeros(0, dtype=bool)
+    signs = np.bincount(wdoc[alone], minlength=n)
     w, c = np.maximum(n_words, 1), np.maximum(word_chars, 1)
     counts = np.stack([n_words, word_chars, per_kind[0], dup, repeat], axis=1)
-    x = np.stack([np.log1p(n_words), word_chars / w, per_kind[0] / c, dup / lines, repeat / w, pipes / w, per_kind[1] / c, per_kind[2] / c, per_kind[3] / c, per_kind[4] / w, distinct / w, n_words / lines, same / w, per_kind[5] / c], axis=1)
+    x = np.stack([np.log1p(n_words), word_chars / w, per_kind[0] / c, dup / lines, repeat / w, signs / w, per_kind[1] / c, per_kind[2] / c, per_kind[3] / c, per_kind[4] / w, distinct / w, n_words / lines, same / w, per_kind[5] / c], axis=1)
     return counts, x.astype(np.float64)
 
 
