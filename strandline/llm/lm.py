@@ -23,12 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textvec import LOWER, Words, mix, row_ranges, text_buffer, words_of
+from .textvec import LOWER, Words, mix, pack, row_ranges, text_buffer, unpack, words_of
 
 #: Frequent words with a symbol of their own, classes of the others, coarse classes of the symbol before last.
 FREQUENT, CLASSES, COARSE = 448, 64, 8
@@ -174,15 +173,6 @@ def pairs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, mix(mix(before ^ np.uint64(0xB16A)) + h)
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers as compressed byte planes: leading zeros take no room."""
-    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
-
-
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values in ascending order, and how often each is there. Sorts without an order of places, which is faster."""
     x = np.sort(x)

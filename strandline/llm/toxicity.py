@@ -14,6 +14,7 @@ can reach its k-th best, and completes the cosines of what is left: the result e
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from hashlib import blake2b
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textvec import LOWER, MOST_DOCS, SHINGLE_BITS, Words, mix, row_ranges, stream, text_buffer, words_of
+from .textvec import LOWER, MOST_DOCS, SHINGLE_BITS, Words, mix, pack, row_ranges, stream, text_buffer, unpack, words_of
 
 #: Labelled documents of each label that examples are drawn from (smallest hashed ids).
 SAMPLE = 4_000
@@ -33,6 +34,8 @@ NEAREST, BLOCK = 15, 512
 #: Norm of the part of a query's unit vector whose postings are not read.
 _LIGHT = 0.01
 _SLICE_BYTES = 1 << 18
+#: Features whose postings are put in order at once.
+_RANGE = 1 << 15
 _BEGINNINGS = (5, 6, 7, 8)
 _TERM = stream(61, 256)[LOWER]
 _AT = stream(62, 16) | np.uint64(1)
@@ -152,7 +155,11 @@ class Index:
         #: what is nearest among examples that share no feature with a query
         self.bare = np.lexsort((np.arange(n), -self.length))
         #: of each example: the norm of its features' weights
-        self.norm = np.sqrt(np.bincount(self.example, self.weight.astype(np.float64) ** 2, n)) * (1 + 1e-9)
+        self.norm = np.zeros(n)
+        for i in range(0, len(self.example), 1 << 18):
+            own = slice(i, i + (1 << 18))
+            self.norm += np.bincount(self.example[own], np.square(self.weight[own], dtype=np.float64), n)
+        self.norm = np.sqrt(self.norm) * (1 + 1e-9)
         self.longest, self.steepest = (np.array([x[i * BLOCK : (i + 1) * BLOCK].max() for i in range(blocks)]) for x in (self.length, self.norm))
 
     @cached_property
@@ -251,10 +258,11 @@ class Index:
         return float((one + 0.05 * self.share) / (zero + one + 0.05)), int(self.witness[i[0]]), float(s[0])
 
 
-def build_index(docs: list[tuple[int, np.ndarray, np.ndarray, int]], label: np.ndarray, row_weight: np.ndarray, chosen: np.ndarray, idf: np.ndarray, share: float) -> Index:
+def build_index(docs: Iterable[tuple[int, np.ndarray, np.ndarray, int]], label: np.ndarray, row_weight: np.ndarray, chosen: np.ndarray, idf: np.ndarray, share: float) -> Index:
     """An index of examples (id, places of features, counts, words) with their labels and the rows that each stands for."""
     plain = Index(chosen, idf, np.zeros((0, 2)), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((len(chosen), 0)), share)
     merged: dict[tuple, list] = {}
+    docs = iter(docs)
     for (doc, f, c, n), y, w in zip(docs, label, row_weight):
         v, size = plain.vector(f, c, n)
         f, v = f.astype(np.int32, copy=False), v.astype(np.float32)
@@ -266,17 +274,28 @@ def build_index(docs: list[tuple[int, np.ndarray, np.ndarray, int]], label: np.n
     blocks = -(-len(own) // BLOCK)
     if not own:
         return plain
-    number = np.repeat(np.arange(len(own), dtype=np.int32), [len(x[1]) for x in own])
-    weight = np.concatenate([x[2] for x in own])
-    cell = np.concatenate([x[1] for x in own]).astype(np.int32 if len(chosen) * blocks < 2**31 else np.int64) * blocks + number // BLOCK
-    order = np.argsort(cell, kind="stable")
-    row = np.append(0, np.cumsum(np.bincount(cell, minlength=len(chosen) * blocks)))
-    row = row.astype(np.int32) if len(cell) < 2**31 else row
-    ceiling = np.zeros(len(chosen) * blocks, dtype=np.float32)
-    np.maximum.at(ceiling, cell, weight)
-    rows = np.array([x[4] for x in own])
+    # little beside the index itself is held at once: what has the size of all postings is given up as soon as it is used
+    first = np.append(0, np.cumsum([len(x[1]) for x in own]))
+    feature, flat = np.concatenate([x[1] for x in own]), np.concatenate([x[2] for x in own])
+    rows, witness, length = np.array([x[4] for x in own]), np.array([x[0] for x in own]), np.array([x[3] for x in own])
+    del docs, merged, own
+    common.release()
+    row = np.zeros(len(chosen) * blocks + 1, dtype=np.int32 if len(flat) < 2**31 else np.int64)
+    ceiling = np.zeros((len(chosen), blocks), dtype=np.float32)
+    example, weight, done = np.empty(len(flat), dtype=np.int32), np.empty(len(flat), dtype=np.float32), 0
+    for lo in range(0, len(chosen), _RANGE):
+        n = min(_RANGE, len(chosen) - lo)
+        at = np.flatnonzero((feature >= lo) & (feature < lo + n))
+        at = at[np.argsort(feature[at], kind="stable")]
+        i, w = np.searchsorted(first, at, "right") - 1, flat[at]
+        cell = (feature[at].astype(np.int64) - lo) * blocks + i // BLOCK
+        row[lo * blocks + 1 : (lo + n) * blocks + 1] = done + np.cumsum(np.bincount(cell, minlength=n * blocks))
+        np.maximum.at(ceiling[lo : lo + n].reshape(-1), cell, w)
+        example[done : done + len(at)], weight[done : done + len(at)] = i, w
+        done += len(at)
+    del feature, flat
     votes = rows * (np.log2(1 + rows.sum(axis=1)) / rows.sum(axis=1))[:, None]
-    return Index(chosen, idf, votes, np.array([x[0] for x in own]), np.array([x[3] for x in own]), row, number[order], weight[order], ceiling.reshape(len(chosen), blocks), share)
+    return Index(chosen, idf, votes, witness, length, row, example, weight, ceiling, share)
 
 
 def label_weight(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -312,6 +331,7 @@ def document_frequencies(docs: DataFrame, chosen: np.ndarray) -> tuple[int, np.n
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own])], names=["f", "n"])
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    held.destroy()
     out = np.zeros(len(chosen) + 1, dtype=np.int64)
     out[rows.column("f").to_numpy()] = rows.column("n").to_numpy()
     return int(out[-1]), out[:-1]
@@ -342,17 +362,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
             ids = b.column("doc_id")
             for lo, hi in row_ranges(off, _SLICE_BYTES, MOST_DOCS):
                 doc, f, c, n = feature_counts(data, off[lo : hi + 1])
-                at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=hi - lo))]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (f.view(np.int64), c.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *lists, pa.array(n)], names=["doc_id", "f", "c", "n"])
-
-    rows = texts.mapInArrow(run, "doc_id long, f array<long>, c array<int>, n long").toArrow()  # at most 2 * sample texts
-    ids, words = (rows.column(x).to_numpy() for x in ("doc_id", "n"))
-    lists = [rows.column(x).combine_chunks() for x in ("f", "c")]
-    if isinstance(lists[0], pa.ChunkedArray):  # no rows
-        lists = [pa.array([], x.type) for x in lists]
-    first = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]).astype(np.int64)
-    hashes, counts = lists[0].flatten().to_numpy().view(np.uint64), lists[1].flatten().to_numpy()
+                size = np.bincount(doc, minlength=hi - lo)
+                lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (ids.slice(lo, hi - lo).to_numpy(zero_copy_only=False), n, size)]
+                yield pa.RecordBatch.from_arrays([*lists, *(pa.array([pack(x)], pa.binary()) for x in (np.diff(f, prepend=np.uint64(0)), c))], names=["doc_id", "n", "size", "f", "c"])
+
+    rows = texts.mapInArrow(run, "doc_id array<long>, n array<long>, size array<long>, f binary, c binary").toArrow()  # at most 2 * sample texts
+    ids, words, size = (np.array([v for x in rows.column(k).to_pylist() for v in x], dtype=np.int64) for k in ("doc_id", "n", "size"))
+    first = np.append(0, np.cumsum(size))
+    hashes, counts, at = np.empty(first[-1], dtype=np.uint64), np.empty(first[-1], dtype=np.int32), 0
+    for f, c in zip(rows.column("f"), rows.column("c")):
+        f, c = np.cumsum(unpack(f.as_py()), dtype=np.uint64), unpack(c.as_py())
+        hashes[at : at + len(f)], counts[at : at + len(f)] = f, c
+        at += len(f)
     y = np.array([label[i] for i in ids.tolist()], dtype=np.int64)
     chosen, place = np.unique(hashes), np.empty(len(hashes), dtype=np.int32)
     a, b = np.zeros(len(chosen), dtype=np.int64), np.zeros(len(chosen), dtype=np.int64)
@@ -360,13 +381,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
         at = slice(first[i], first[i + 1])
         place[at] = np.searchsorted(chosen, hashes[at])
         (a if own else b)[place[at]] += 1
-    del rows, lists, hashes
+    del rows, hashes
     common.release()
     weight = np.array([totals.get(x, 0) / max(1, sum(v == x for v in label.values())) for x in (0, 1)])
     n, df = document_frequencies(docs, chosen)
     idf = np.log((1 + n) / (1 + df)) * label_weight(a, b, int(y.sum()), int((1 - y).sum()))
     order = np.lexsort((words, ids))
-    return build_index([(int(ids[i]), place[first[i] : first[i + 1]], counts[first[i] : first[i + 1]], int(words[i])) for i in order], y[order], weight[y[order]], chosen, idf, share)
+    examples = _examples(order, ids, first, place, counts, words)
+    del place, counts, a, b, df
+    index = build_index(examples, y[order], weight[y[order]], chosen, idf, share)
+    common.release()
+    return index
+
+
+def _examples(order: np.ndarray, ids: np.ndarray, first: np.ndarray, place: np.ndarray, counts: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """Each example's id, places of features, counts and words. Lets go of the arrays at its end."""
+    for i in order:
+        yield int(ids[i]), place[first[i] : first[i + 1]], counts[first[i] : first[i + 1]], int(words[i])
 
 
 #: Scores that a worker remembers, by 128 bits of what they are made from: exact copies are scored once.
