@@ -11,6 +11,7 @@ from .licenses import OP13_SQL, op13_license_rules
 from .lm import op4_log_bilinear
 from .minhash import OP9_SQL, op9_superminhash
 from .packing import instruction_packing, op1_packing
+from .periodic import OP12_SQL, op12_periodic_runs
 from .quality import op7_quality_trees
 from .sharding import OP2_SQL, op2_size_tiered_shards
 from .suffix import OP6_SQL, op6_suffix_arrays
@@ -32,9 +33,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxic_neighbours": op8_toxic_neighbours,
         "op9_superminhash": op9_superminhash,
         "op10_winnowing": op10_winnowing,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_license_rules": op13_license_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_size_tiered_shards": OP2_SQL, "op5_revisits": OP5_SQL, "op6_suffix_arrays": OP6_SQL, "op9_superminhash": OP9_SQL, "op13_license_rules": OP13_SQL}
+    return {"op2_size_tiered_shards": OP2_SQL, "op5_revisits": OP5_SQL, "op6_suffix_arrays": OP6_SQL, "op9_superminhash": OP9_SQL, "op12_periodic_runs": OP12_SQL, "op13_license_rules": OP13_SQL}
