@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textvec import SPACE, Words, row_ranges, text_buffer, words_of
+from .textvec import Words, row_ranges, text_buffer, word_codes, words_of
 
 #: A run has at least so many words, and so many times its period.
 LEAST, TIMES = 24, 3
@@ -182,15 +182,6 @@ def runs(codes: np.ndarray, least: int = LEAST, times: int = TIMES) -> np.ndarra
     return np.array(sorted((s, e, q) for s, own in buckets.items() for e, q in own.items()), dtype=np.int64).reshape(-1, 3)
 
 
-def word_codes(words: Words) -> np.ndarray:
-    """A number for each word, the same for equal words of the slice alone; compared by their bytes."""
-    size = words.end - words.start
-    held = words.data[~SPACE[words.data]] if len(size) else words.data[:0]
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    array = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(held))])
-    return array.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _sequence(codes: np.ndarray, first: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of texts own one after the other, symbols of different texts different, with a symbol found once before,
     between and behind them; and where each text starts in it."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe_tree
+from .collocations import OP11_SQL, op11_collocations
 from .licenses import OP13_SQL, op13_license_rules
 from .lm import op4_log_bilinear
 from .minhash import OP9_SQL, op9_superminhash
@@ -33,10 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxic_neighbours": op8_toxic_neighbours,
         "op9_superminhash": op9_superminhash,
         "op10_winnowing": op10_winnowing,
+        "op11_collocations": op11_collocations,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_license_rules": op13_license_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_size_tiered_shards": OP2_SQL, "op5_revisits": OP5_SQL, "op6_suffix_arrays": OP6_SQL, "op9_superminhash": OP9_SQL, "op12_periodic_runs": OP12_SQL, "op13_license_rules": OP13_SQL}
+    return {"op2_size_tiered_shards": OP2_SQL, "op5_revisits": OP5_SQL, "op6_suffix_arrays": OP6_SQL, "op9_superminhash": OP9_SQL, "op11_collocations": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_license_rules": OP13_SQL}

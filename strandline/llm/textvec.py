@@ -98,11 +98,11 @@ class Words:
         return mix(np.add.reduceat(v, self.start - lo) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def words_of(data: np.ndarray, off: np.ndarray) -> Words:
-    """The words of texts data[off[i]:off[i + 1]]; no word crosses from one text to the next."""
+def words_of(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """The words of texts data[off[i]:off[i + 1]]; no word crosses from one text to the next. space: bytes between words."""
     base = int(off[0])
     b = data[base : int(off[-1])]
-    inside = ~SPACE[b]
+    inside = ~space[b]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -114,6 +114,32 @@ def words_of(data: np.ndarray, off: np.ndarray) -> Words:
     return Words(b, start, end, np.searchsorted(start, off - base))
 
 
+def word_codes(words: Words, space: np.ndarray = SPACE) -> np.ndarray:
+    """A number for each word, the same for equal words of these texts alone; words are compared by their bytes."""
+    size = words.end - words.start
+    held = words.data[~space[words.data]] if len(size) else words.data[:0]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    array = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(held))])
+    return array.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def joined(words: Words, chosen: np.ndarray) -> pa.Array:
+    """For each row of chosen (numbers of words, as many in each row) its words joined by one space."""
+    m, k = chosen.shape
+    flat = chosen.ravel()
+    size = (words.end - words.start)[flat] + 1  # with a space behind each
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(int(ends[-1]), 0x20, dtype=np.uint8)
+    inside = np.ones(len(out), dtype=bool)
+    inside[ends[1:] - 1] = False
+    to = np.flatnonzero(inside)
+    out[to] = words.data[to + np.repeat(words.start[flat] - ends[:-1], size - 1)]
+    last = np.ones(len(out), dtype=bool)
+    last[ends[k::k] - 1] = False  # no space behind a row's last word
+    offsets = ends[::k] - np.arange(m + 1)
+    return pa.Array.from_buffers(pa.large_string(), m, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out[last])])
+
+
 _A = stream(21, 16) | np.uint64(1)
 
 
