@@ -37,7 +37,9 @@ SUBSUMES = 80
 BYTES_A_CELL, FEWEST_CELLS, MOST_CELLS = 16, 1 << 16, 1 << 30
 #: Ranges of cells in a row; a task merges one or more, with counters of about so many bytes.
 RANGES, _COUNTER_BYTES = 128, 32 << 20
-_SLICE_BYTES, _MOST_DOCS, _CHUNK = 1 << 20, 1 << 16, 1 << 22
+_SLICE_BYTES, _MOST_DOCS, _CHUNK = 1 << 19, 1 << 16, 1 << 21
+#: Text whose exact counts one task adds up before the shuffle: a phrase found in every task is sent once for each.
+_COUNTED_BYTES = 128 << 20
 _STEP = stream(31, LONGEST + 1) | np.uint64(1)
 
 
@@ -142,7 +144,7 @@ def sketch(docs: DataFrame, bits: int, least: int) -> np.ndarray:
     tasks = min(2 * RANGES, common.blocks_for(2 * RANGES * width * 4, _COUNTER_BYTES))
     parts = docs.mapInArrow(count, "range int, cells binary, counts binary").repartition(tasks, "range").mapInArrow(merge, "range int, bits binary")
     out = np.zeros((2 * RANGES, width // 8), dtype=np.uint8)
-    for r in parts.toLocalIterator(prefetchPartitions=False):  # at most 2 * RANGES rows; their size is the sketch's own bound
+    for r in parts.collect():  # at most 2 * RANGES rows, whose size is the sketch's own bound
         out[r["range"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out.reshape(2, -1)
 
@@ -198,7 +200,8 @@ def frequent(docs: DataFrame, least: int = LEAST, most_cells: int = MOST_CELLS,
     """
     common.small_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = min(max(common.text_bytes(d) // BYTES_A_CELL, FEWEST_CELLS), most_cells)
+    n_bytes = common.text_bytes(d)
+    size = min(max(n_bytes // BYTES_A_CELL, FEWEST_CELLS), most_cells)
     held = docs.sparkSession.sparkContext.broadcast(sketch(d, (size - 1).bit_length(), least))
 
     @common.thrifty
@@ -215,7 +218,7 @@ def frequent(docs: DataFrame, least: int = LEAST, most_cells: int = MOST_CELLS,
                 for k, (chosen, lang, f) in enumerate(exact_counts(s, survivors(s, seeds, held.value)), 1):
                     yield rows(names, lang, joined(s.words, chosen), k, f)
 
-    f = d.mapInArrow(count, _COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    f = d.coalesce(common.blocks_for(n_bytes, _COUNTED_BYTES)).mapInArrow(count, _COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
     return common.stored(f.where(F.col("k").eqNullSafe(0) | (F.col("f") >= least)), "phrases")
 
 
