@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--max-ambig-per-feature", type=int, default=1)
     q = sub.add_parser("modify", help="add sequences or another taxonomy")
     sources(q)
-    q.add_argument("--out", required=True, help="where the new database is written")
+    q.add_argument("--out", help="where the new database is written; without it, the database gets another layer")
     q.add_argument("--reset-parents", action="store_true")
 
     def classification(q: argparse.ArgumentParser) -> None:
@@ -146,9 +146,10 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | None:
         p = SketchParams(a.kmerlen, a.sketchlen, a.winlen, a.winstride)
         modes.build(spark, a.files, a.taxonomy, a.pre_mapping, a.post_mapping, p, a.max_locations_per_feature, a.remove_overpopulated_features, a.remove_ambig_features, a.max_ambig_per_feature).save(a.database)
     elif a.mode == "modify":
-        if a.out.rstrip("/") == a.database.rstrip("/"):
+        if a.out and a.out.rstrip("/") == a.database.rstrip("/"):
             raise SystemExit("modify: --out must not be the database that is read")
-        modes.modify(spark, modes.Database.load(spark, a.database), a.files, a.taxonomy, a.pre_mapping, a.reset_parents).save(a.out)
+        db = modes.Database.load(spark, a.database)
+        modes.modify(spark, db.save(a.out) if a.out else db, a.files, a.taxonomy, a.pre_mapping, a.post_mapping, a.reset_parents)
     elif a.mode == "query":
         db = modes.Database.load(spark, a.database)
         if a.files:

@@ -1,20 +1,14 @@
-"""The feature index: (feature, tgt, win) rows, their caps and filters, statistics, and storage."""
+"""The feature index: (feature, tgt, win) rows, their caps and filters, and statistics. layers.py stores it."""
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import MAX_LOCATIONS, SketchParams
 from ..storage import stored
 from .sketching import sketch_features
 
-#: Version of the stored layout.
-LAYOUT = 1
-
 
 def unique_targets(targets: DataFrame, order: list[str]) -> DataFrame:
     """Targets without empty sequences; of those that share a name the first by order."""
@@ -72,28 +66,3 @@ def moments(df: DataFrame, value: str) -> DataFrame:
 def index_statistics(index: DataFrame) -> DataFrame:
     """moments() of the locations per feature."""
     return moments(feature_counts(index), "n")
-
-
-def save_database(path: str, tables: dict[str, DataFrame], p: SketchParams) -> None:
-    """Writes the tables taxa, targets and features (dealt by feature and sorted) and the parameters below path."""
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        if name == "features":
-            df = df.repartition("feature").sortWithinPartitions("feature", "tgt", "win")
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(json.dumps({"layout": LAYOUT, **asdict(p)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
-
-
-def load_database(spark: SparkSession, path: str, metadata_only: bool = False) -> tuple[dict[str, DataFrame], SketchParams]:
-    """Tables and parameters of a stored database; ValueError if it has another layout."""
-    d = json.loads(spark.read.text(f"{path}/params").first()["value"])
-    if d.pop("layout", None) != LAYOUT:
-        raise ValueError(f"{path} has another layout")
-    names = ["taxa", "targets"] + ([] if metadata_only else ["features"])
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}, SketchParams(**d)
-
-
-def save_bucketed(features: DataFrame, table: str, buckets: int) -> DataFrame:
-    """The index as a bucketed table: probing it many times then shuffles the reads' features alone."""
-    features.repartition(buckets, "feature").write.bucketBy(buckets, "feature").sortBy("feature").mode("overwrite").saveAsTable(table)
-    return features.sparkSession.table(table)

@@ -261,9 +261,15 @@ def summary_report(s, d):
 
 
 @query
-def parameter_banner(s, d):
-    lines = report.parameter_lines(report.Format(lineage=True), C4.resolved(), "files", RANKS.index("genus"), True, True, fx.SPECIES)
-    return s.createDataFrame(list(enumerate(lines)), "pos int, line string")
+def modify_removed(s, d):
+    """A database without overpopulated features of every other document, then the rest: features by name of target."""
+    base, r = _place(s, "modify"), _records(s, d)
+    _write_fasta(r.where("tgt % 2 = 0"), f"{base}/even")
+    _write_fasta(r.where("tgt % 2 = 1"), f"{base}/odd")
+    modes.build(s, [f"{base}/even"], params=fx.CROWDED, remove_overpopulated=True).save(f"{base}/db")
+    db = modes.modify(s, modes.Database.load(s, f"{base}/db"), [f"{base}/odd"])
+    n = db.features.groupBy("tgt").agg(F.count("*").alias("n"), F.sum("feature").alias("total"))
+    return db.targets.join(n, "tgt").select("name", "n", "total")
 
 
 @query

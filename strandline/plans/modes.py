@@ -2,34 +2,63 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import headers
 from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
+from ..operators.layers import LayeredIndex, Policy, buckets_for
 from ..params import MAX_LOCATIONS, RANKS, ClassifyParams, SketchParams
 from ..sources import sequences, taxa
-from ..storage import bounded_broadcast, spread, stored
+from ..storage import bounded_broadcast, shared_dir, spread, stored
+
+
+#: Version of the stored layout.
+LAYOUT = 2
 
 
 @dataclass
 class Database:
-    """taxa (taxid, parent, name, rank), targets (tgt, name, taxid, parent, dna, file, index), features (feature, tgt, win)."""
+    """taxa (taxid, parent, name, rank), targets (tgt, name, taxid, parent, dna, file, index), features (feature, tgt, win).
+
+    located: all locations, of which policy makes features; a database that is stored has its index in store instead.
+    """
 
     taxa: DataFrame
     targets: DataFrame
     features: DataFrame | None
     params: SketchParams
-
-    def save(self, path: str) -> None:
-        index.save_database(path, {"taxa": self.taxa, "targets": self.targets, "features": self.features}, self.params)
+    policy: Policy = Policy()
+    located: DataFrame | None = None
+    store: LayeredIndex | None = None
+
+    def save(self, path: str) -> Database:
+        """Stores the database at path, as its next version if there is one, and gives the stored one."""
+        spark = self.taxa.sparkSession
+        extra = {"layout": LAYOUT, "params": asdict(self.params), "taxa": _written(self.taxa, f"{path}/taxa"), "targets": [_written(self.targets, f"{path}/targets")]}
+        rows = self.located if self.located is not None else self.store.rows() if self.store else self.features
+        LayeredIndex.create(spark, path, rows, self.policy, index_buckets(self.targets, self.params), extra)
+        return Database.load(spark, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str, metadata_only: bool = False) -> Database:
-        t, p = index.load_database(spark, path, metadata_only)
-        return Database(t["taxa"], t["targets"], t.get("features"), p)
+        """The last version of a stored database; ValueError if it has another layout."""
+        store = LayeredIndex.open(spark, path)
+        d = store.extra
+        if d.get("layout") != LAYOUT:
+            raise ValueError(f"{path} has another layout")
+        tax, targets = spark.read.parquet(f"{path}/taxa/{d['taxa']}"), spark.read.parquet(*(f"{path}/targets/{t}" for t in d["targets"]))
+        features = None if metadata_only else store.rows(tombstones=False)
+        return Database(tax, targets, features, SketchParams(**d["params"]), store.policy, None, store)
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """The index's rows of wanted (feature, distinct). A stored index stays where it lies."""
+        if self.store is not None:
+            return self.store.lookup(wanted)
+        return self.features.join(bounded_broadcast(wanted, 16), "feature", "left_semi")
 
     def all_taxa(self) -> DataFrame:
         """The taxonomy and the targets, which are taxa of rank sequence with ids below 0."""
@@ -37,6 +66,19 @@ class Database:
         return self.taxa.select("taxid", "parent", "name", "rank").unionByName(own)
 
 
+def _written(df: DataFrame, folder: str) -> str:
+    """Writes df below folder under a name of its own, which is given."""
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{folder}/{name}")
+    return name
+
+
+def index_buckets(targets: DataFrame, p: SketchParams) -> int:
+    """Buckets for the index of targets: a window has at most p.size features."""
+    letters = targets.agg(F.sum(F.length("dna")).alias("n")).first()["n"] or 0
+    return buckets_for(letters // p.stride * p.size)
+
+
 #: As many targets as numbers of them fit in 32 bits.
 MOST_TARGETS = 2**32 - 1
 
@@ -81,46 +123,60 @@ def build(spark: SparkSession, paths: list[str], taxonomy_dir: str | None = None
         m = taxa.read_assembly_summary(spark, path)
         mapping = m if mapping is None else mapping.unionByName(m)
     targets = number_targets(spark, paths, mapping)
-    for path in post_mapping:
-        found = naming.rank_unranked(targets, taxa.read_mapping(spark, path)).withColumnRenamed("parent", "found")
-        targets = targets.join(found, "tgt", "left").withColumn("parent", F.coalesce("found", "parent")).drop("found")
-    targets = stored(targets, "targets")
-    db = Database(tax, targets, None, params)
-    db.features = index.cap_locations(filtered(index.build_index(spread(targets), params), db, max_locations, remove_overpopulated, ambiguous_rank, max_ambiguous), max_locations)
+    targets = stored(_ranked_by(spark, targets, post_mapping), "targets")
+    db = Database(tax, targets, None, params, Policy(max_locations, remove_overpopulated))
+    db.located = without_ambiguous(index.build_index(spread(targets), params), db, ambiguous_rank, max_ambiguous)
+    db.features = db.policy.settle(db.located).where("tgt is not null")
     return db
 
 
-def filtered(features: DataFrame, db: Database, max_locations: int, overpopulated: bool, ambiguous_rank: int | None, max_ambiguous: int) -> DataFrame:
-    """Features without the overpopulated and ambiguous ones, where wanted."""
-    if overpopulated:
-        features = index.remove_overpopulated(features, max_locations)
-    if ambiguous_rank is not None:
-        own = db.targets.select("tgt", "taxid")
-        if ambiguous_rank == 0:
-            anc = own.select("tgt", F.col("taxid").alias("anc"))
-        else:
-            anc = own.join(taxonomy.ancestor_at(taxonomy.lineages(db.all_taxa()), ambiguous_rank), "taxid", "left").select("tgt", "anc")
-        features = index.remove_ambiguous(features, anc, max_ambiguous)
-    return features
+def without_ambiguous(features: DataFrame, db: Database, ambiguous_rank: int | None, max_ambiguous: int) -> DataFrame:
+    """Features without those found in several taxa of a rank, where that is wanted."""
+    if ambiguous_rank is None:
+        return features
+    own = db.targets.select("tgt", "taxid")
+    if ambiguous_rank == 0:
+        anc = own.select("tgt", F.col("taxid").alias("anc"))
+    else:
+        anc = own.join(taxonomy.ancestor_at(taxonomy.lineages(db.all_taxa()), ambiguous_rank), "taxid", "left").select("tgt", "anc")
+    return index.remove_ambiguous(features, anc, max_ambiguous)
+
+
+def _ranked_by(spark: SparkSession, targets: DataFrame, mappings: list[str]) -> DataFrame:
+    """Targets that are without a taxon get the one that accession mappings have for them; earlier mappings count first."""
+    for path in mappings:
+        found = naming.rank_unranked(targets, taxa.read_mapping(spark, path)).withColumnRenamed("parent", "found")
+        targets = targets.join(found, "tgt", "left").withColumn("parent", F.coalesce("found", "parent")).drop("found")
+    return targets
 
 
-def modify(spark: SparkSession, db: Database, paths: list[str] = (), taxonomy_dir: str | None = None, pre_mapping: list[str] = (), reset_parents: bool = False, max_locations: int = MAX_LOCATIONS) -> Database:
-    """db with more sequences or another taxonomy; sequences whose names are there already are left out."""
-    tax = taxonomy.insert_or_replace(db.taxa, taxa.read_taxonomy(spark, taxonomy_dir)) if taxonomy_dir else db.taxa
-    targets, features = db.targets, db.features
-    if reset_parents:
-        targets = targets.withColumn("parent", F.lit(0).cast("long"))
+def modify(spark: SparkSession, db: Database, paths: list[str] = (), taxonomy_dir: str | None = None, pre_mapping: list[str] = (), post_mapping: list[str] = (), reset_parents: bool = False) -> Database:
+    """The next version of db, with more sequences or another taxonomy; sequences whose names are there already are left out.
+
+    Only what is new is written: one layer of the index and the new targets (all targets where their parents change). What
+    was removed as overpopulated stays away, so that the result is that of one build of all files. A database that is not
+    stored yet is stored in the shared folder first. reset_parents: all targets lose their taxa, which mappings give anew.
+    """
+    db = db if db.store is not None else db.save(f"{shared_dir(spark)}/database-{uuid.uuid4().hex}")
+    path, extra, store = db.store.path, dict(db.store.extra), db.store
+    if taxonomy_dir:
+        extra["taxa"] = _written(taxonomy.insert_or_replace(db.taxa, taxa.read_taxonomy(spark, taxonomy_dir)), f"{path}/taxa")
     mapping = None
-    for path in pre_mapping:
-        m = taxa.read_assembly_summary(spark, path)
+    for m in (taxa.read_assembly_summary(spark, f) for f in pre_mapping):
         mapping = m if mapping is None else mapping.unionByName(m)
+    if reset_parents or post_mapping:
+        old = db.targets.withColumn("parent", F.lit(0).cast("long")) if reset_parents else db.targets
+        extra["targets"] = [_written(_ranked_by(spark, old, post_mapping), f"{path}/targets")]
     if paths:
-        first = targets.agg(F.coalesce(F.max("tgt") + 1, F.lit(0)).alias("n")).first()["n"]
-        new = number_targets(spark, list(paths), mapping, first).join(targets.select("name"), "name", "left_anti").select(*targets.columns)
-        new = stored(new, "targets")
-        features = index.cap_locations(features.unionByName(index.build_index(spread(new), db.params)), max_locations)
-        targets = targets.unionByName(new)
-    return Database(tax, targets, features, db.params)
+        first = db.targets.agg(F.coalesce(F.max("tgt") + 1, F.lit(0)).alias("n")).first()["n"]
+        new = number_targets(spark, list(paths), mapping, first).join(db.targets.select("name"), "name", "left_anti").select(*db.targets.columns)
+        part = _written(_ranked_by(spark, new, post_mapping), f"{path}/targets")
+        extra["targets"] = [*extra["targets"], part]
+        new = spark.read.parquet(f"{path}/targets/{part}")
+        store.append(index.build_index(spread(new), db.params), index_buckets(new, db.params), extra)
+    else:
+        store.annotate(extra)
+    return Database.load(spark, path)
 
 
 @dataclass
@@ -171,7 +227,7 @@ def query(db: Database, reads: DataFrame, c: ClassifyParams = ClassifyParams(),
     c = c.resolved(p.size)
     read_features = stored(sketching.read_features(reads, p), "read-features")
     # caps hold for each feature alone, so features that no read has go before anything else
-    features = db.features.join(bounded_broadcast(read_features.select("feature").distinct(), 16), "feature", "left_semi")
+    features = db.lookup(read_features.select("feature").distinct())
     if remove_overpopulated:
         features = index.remove_overpopulated(features, min(max_locations or MAX_LOCATIONS, MAX_LOCATIONS))
     if max_locations is not None:

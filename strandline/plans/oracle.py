@@ -202,17 +202,16 @@ def _file_sql() -> dict[str, str]:
         f"SELECT 0 AS k, 1 AS o, rank, 'unclassified: ' || {pct('assigned', 'total')} || ' (' || assigned || ')' AS t FROM st, tot WHERE rank = 21 AND assigned > 0",
         "SELECT 1, 0, -1, 'classified:'",
         f"SELECT 1, 1, rank, '  ' || {name} || {pct('assigned', 'total')} || ' (' || assigned || ')' FROM st, tot WHERE {shown}",
-        f"SELECT 2, 1, rank, 'ground truth unknown: ' || {pct('known', 'total')} || ' (' || known || ')' FROM st, tot WHERE rank = 21 AND known > 0",
-        "SELECT 3, 0, -1, 'ground truth known:'",
+        f"SELECT 2, 1, rank, 'without a known origin: ' || {pct('known', 'total')} || ' (' || known || ')' FROM st, tot WHERE rank = 21 AND known > 0",
+        "SELECT 3, 0, -1, 'with a known origin:'",
         f"SELECT 3, 1, rank, '  ' || {name} || {pct('known', 'total')} || ' (' || known || ')' FROM st, tot WHERE {shown}",
-        "SELECT 4, 0, -1, 'correctly classified:'",
+        "SELECT 4, 0, -1, 'placed as their origin says:'",
         f"SELECT 4, 1, rank, '  ' || {name} || correct FROM st WHERE {shown}",
-        "SELECT 5, 0, -1, 'precision (correctly classified / classified) if ground truth known:'",
+        "SELECT 5, 0, -1, 'right among those placed (origin known):'",
         f"SELECT 5, 1, rank, '  ' || {name} || coalesce(CASE WHEN correct + wrong > 0 THEN {pct('correct', '(correct + wrong)')} END, '0.0%') FROM st WHERE {shown}",
-        "SELECT 6, 0, -1, 'sensitivity (correctly classified / all) if ground truth known:'",
+        "SELECT 6, 0, -1, 'right among all (origin known):'",
         f"SELECT 6, 1, rank, '  ' || {name} || coalesce(CASE WHEN known > 0 THEN {pct('correct', 'known')} END, '0.0%') FROM st WHERE {shown}",
     ]
-    banner = ["Reporting per-read mappings (non-mapping lines start with '# ').", "The complete lineage will be reported starting with the lowest match.", "Classification will be constrained to ranks from 'species' to 'domain'.", "Classification hit threshold is 4 per query", "At maximum 4 classification candidates will be considered per query.", "Clade Exclusion on Rank: genus", "File based paired-end mode:", "  Reads from two consecutive files will be interleaved.", "  Max insert size considered 0.", "Query sequences will be aligned to best candidate target => SLOW!", "A list of hits per reference sequence will be generated after the read mapping.", "A list of absolute and relative abundances for each 'species' will be generated after the read mapping."]
     return {
         "read_fasta_records": _with(_RECORDS, 'SELECT f, row_number() OVER (PARTITION BY f ORDER BY tgt) AS "index", header, dna AS data FROM recs'),
         "read_headers_only": _with(_RECORDS, 'SELECT f, row_number() OVER (PARTITION BY f ORDER BY tgt) AS "index", header FROM recs'),
@@ -244,7 +243,7 @@ def _file_sql() -> dict[str, str]:
             f"SELECT tgt, 0 AS pos, 'sequence:NC_' || tgt || '.1' || {_BAR} || any_value({_N_WINDOWS}) || {_BAR} || string_agg(one, ',' ORDER BY a, z, query_id) AS line FROM one JOIN targets USING (tgt) GROUP BY 1",
         ),
         "summary_report": _with(f"{_classified(**_C4)}, {_TRUTH}, {_STATS}, tot AS (SELECT sum(assigned) FILTER (rank >= 20) AS total FROM st), l AS ({' UNION ALL '.join(parts)})", "SELECT (row_number() OVER (ORDER BY k, o, rank))::int AS pos, '# ' || t AS line FROM l"),
-        "parameter_banner": "SELECT * FROM (VALUES " + ", ".join("({}, '# {}')".format(i, x.replace("'", "''")) for i, x in enumerate(banner)) + ") t(pos, line)",
+        "modify_removed": _with(_index(8), "SELECT 'NC_' || tgt || '.1' AS name, count(*)::bigint AS n, sum(feature)::bigint AS total FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS c FROM idx) WHERE c <= 253 GROUP BY tgt"),
         "taxa_edits": _with(_GEO, "SELECT t.taxid, CASE WHEN n_name IS NOT NULL THEN 1 WHEN s_suppkey IS NOT NULL THEN s_nationkey % 5 + 100 ELSE parent END AS parent, coalesce(upper(n_name), name) AS name, rank FROM taxa t LEFT JOIN nation ON n_nationkey + 100 = t.taxid LEFT JOIN supplier ON s_suppkey + 1000000 = t.taxid WHERE rank <= 16"),
     }
 
@@ -267,6 +266,10 @@ def oracle_sql() -> dict[str, str]:
         "index_stats": _with(f"{_index()}, fc AS (SELECT count(*)::bigint AS n FROM idx GROUP BY feature)", f"SELECT n, total::bigint AS total, largest, mean, stddev, skewness FROM ({_moments('n', 'fc')})"),
         "moments": _moments("l_quantity", "lineitem"),
         "index_capped": _with(_index(8), "SELECT feature, tgt, win FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY tgt, win) AS n FROM idx) WHERE n <= 100"),
+        "layered_removed": _with(_index(8), "SELECT feature, tgt, win FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS n FROM idx) WHERE n <= 253"),
+        "layered_compacted": _with(_index(8), "SELECT feature, tgt, win FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY tgt, win) AS n FROM idx) WHERE n <= 100"),
+        "layered_lookup": _with(_hits(), "SELECT query_id, tgt, win, hits FROM hits"),
+        "stream_abundance": _with(_classified(**_C4), "SELECT taxid, count(*)::bigint AS n, round(100.0::double * count(*) / (SELECT count(*) FROM cls), 6) AS percent FROM cls GROUP BY 1"),
         "overpopulated_removed": _with(_index(8), "SELECT feature, tgt, win FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS n FROM idx) WHERE n <= 253"),
         "ambiguous_removed": _with(f"{_index()}, owned AS MATERIALIZED (SELECT feature, tgt, win, lang FROM idx JOIN targets USING (tgt)), few AS (SELECT feature FROM (SELECT DISTINCT feature, {_LANG_ID} AS anc FROM owned) GROUP BY 1 HAVING count(*) <= 1)", "SELECT feature, tgt, win FROM owned JOIN few USING (feature)"),
         "dedup_targets": _with(_TARGETS, "SELECT min(tgt) AS tgt, lang || '/' || source AS name FROM targets WHERE length(dna) > 0 GROUP BY lang, source"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, hashes, headers
 from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
+from ..operators.layers import LayeredIndex, Policy
 from ..params import RANKS, ClassifyParams
-from ..storage import stored
+from ..storage import shared_dir, stored
 from . import file_queries
 from . import fixtures as fx
 
@@ -24,6 +26,10 @@ def query(f):
     return f
 
 
+def _place(s, label):
+    return f"{shared_dir(s)}/{label}-{uuid.uuid4().hex}"
+
+
 def _index(s, d, p=fx.CLASSIFY):
     return index.build_index(fx.targets(s, d), p)
 
@@ -34,7 +40,7 @@ def _capped(s, d):
 
 def _hits(s, d, reads=None):
     """Caps hold for each feature alone, so features that no read has are dropped before they are sorted for them."""
-    features = sketching.read_features(fx.reads(s, d) if reads is None else reads, fx.CLASSIFY)
+    features = stored(sketching.read_features(fx.reads(s, d) if reads is None else reads, fx.CLASSIFY), "read-features")
     found = _index(s, d).join(features.select("feature").distinct(), "feature", "left_semi")
     return matching.probe(features, index.cap_locations(found))
 
@@ -454,10 +460,57 @@ def align_scores(s, d):
 
 @query
 def stream_classify(s, d):
+    """Micro-batches of reads against an index that is stored once."""
     from ..streaming.classification import classify_stream_once
 
-    arrays = taxonomy.ranked_arrays(taxonomy.lineages(fx.taxa(s, d)))
-    return classify_stream_once(s, fx.reads(s, d), _capped(s, d), _taxon_of(s, d, C.lowest), arrays, fx.CLASSIFY, C)
+    store = LayeredIndex.create(s, _place(s, "stream-index"), _index(s, d))
+    arrays = stored(taxonomy.ranked_arrays(_lineages(s, d)), "arrays")
+    return classify_stream_once(s, fx.reads(s, d), store, _taxon_of(s, d, C.lowest), arrays, fx.CLASSIFY, C)
+
+
+@query
+def stream_abundance(s, d):
+    """Running counts of classified reads that come in three parts; the query is stopped and started again before the last
+    one, and some reads come twice, the second time without a taxon."""
+    from ..streaming import abundance
+
+    base = _place(s, "counts")
+    done = stored(_classified(s, d, C4), "classified")
+    for i in range(3):
+        part = done.where(F.pmod("query_id", F.lit(3)) == i)
+        again = done.where(F.pmod("query_id", F.lit(3)) == i - 1).withColumn("taxid", F.lit(None).cast("long"))
+        part.unionByName(again).write.mode("append").parquet(f"{base}/in")
+        stream = s.readStream.schema(abundance.CLASSIFIED).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        abundance.abundance_stream(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return abundance.latest_counts(s, f"{base}/out").select("taxid", "n", F.round("percent", 6).alias("percent"))
+
+
+def _in_layers(s, d, p, policy):
+    """The index of all targets, in three layers: those whose number divides by three first, then the others."""
+    t = fx.targets(s, d)
+    part = lambda i: index.build_index(t.where(F.pmod("tgt", F.lit(3)) == i), p)
+    store = LayeredIndex.create(s, _place(s, "layers"), part(0), policy, 4)
+    return store.append(part(1), 2).append(part(2), 3)
+
+
+@query
+def layered_removed(s, d):
+    """What is left of an index that grew by layers, its overpopulated features removed with each."""
+    return _in_layers(s, d, fx.CROWDED, Policy(remove_overpopulated=True)).rows(tombstones=False)
+
+
+@query
+def layered_compacted(s, d):
+    """The first hundred locations of each feature over all layers, after these were merged."""
+    return _in_layers(s, d, fx.CROWDED, Policy(100)).compact(everything=True).rows(tombstones=False)
+
+
+@query
+def layered_lookup(s, d):
+    """Matches of all reads with an index in layers."""
+    features = stored(sketching.read_features(fx.reads(s, d), fx.CLASSIFY), "read-features")
+    store = _in_layers(s, d, fx.CLASSIFY, Policy())
+    return matching.probe(features, store.lookup(features.select("feature").distinct()))
 
 
 QUERIES |= file_queries.QUERIES

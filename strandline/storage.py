@@ -39,6 +39,47 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of path, and path as it knows it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; FileExistsError if it is there already, so that of several writers one wins."""
+    fs, p = _file_system(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if fs.exists(p):
+            raise FileExistsError(path) from e
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    fs, p = _file_system(spark, path)
+    with_lines = spark._jvm.org.apache.commons.io.IOUtils
+    stream = fs.open(p)
+    try:
+        return with_lines.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none if there is no such folder."""
+    fs, p = _file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def bounded_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """df marked for broadcast if its counted rows prove that it stays under limit; else unchanged, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -282,20 +282,3 @@ def test_partitions_do_not_matter(spark):
         hits = matching.probe(sketching.read_features(rd, p), ix)
         results.append(sorted(map(tuple, matching.top_candidates(matching.best_window_range(hits, matching.window_span(rd, p)), 3).collect())))
     assert results[0] == results[1] == results[2]
-
-
-def test_bucketed_index_is_not_shuffled(spark):
-    ix = spark.range(1000).select((F.col("id") % 97).alias("feature"), F.col("id").alias("tgt"), F.lit(0).alias("win"))
-    t = index.save_bucketed(ix, "bucketed_index", 4)
-    features = spark.range(97).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("feature"), F.lit(1).cast("long").alias("n"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = features.join(t, "feature")
-        assert joined.count() == 1000
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # the final plan and the initial one both show the reads' exchange, and none above the index's scan
-    scan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
-    assert scan.count("Exchange hashpartitioning") == 1
-    spark.sql("DROP TABLE bucketed_index")

@@ -119,6 +119,35 @@ def test_modify_and_info(spark, files, database):
     assert (row.species, row.genus, row.domain, row.form) == (8, 7, 2, 0)
 
 
+def test_modify_writes_a_layer_and_equals_one_build(spark, files, tmp_path):
+    """With removal on, features that were overpopulated in the first build do not come back; only new files are written."""
+    d, _ = files
+    p = SketchParams(4, 8, 32)
+    build = lambda f: modes.build(spark, f, f"{d}/tax", params=p, max_locations=4, remove_overpopulated=True)
+    db = build([f"{d}/ref"]).save(f"{tmp_path}/db")
+    before = {x["id"] for x in db.store.layers}
+    more = modes.modify(spark, db, [f"{d}/more.fasta", f"{d}/ref"])
+    assert more.store.version == db.store.version + 1 and before < {x["id"] for x in more.store.layers}
+    named = lambda x: sorted(tuple(r) for r in x.features.join(x.targets, "tgt").select("feature", "name", "win").collect())
+    whole = build([f"{d}/ref", f"{d}/more.fasta"])
+    assert named(more) == named(whole) and named(more) != named(db)
+    # the former version can still be read, and cannot be extended any more
+    assert named(db) == named(build([f"{d}/ref"]))
+    with pytest.raises(RuntimeError, match="newer version"):
+        modes.modify(spark, db, [f"{d}/more.fasta"])
+    # a copy is one layer with the same future
+    copy = more.save(f"{tmp_path}/copy")
+    assert len(copy.store.layers) == 1 and named(copy) == named(whole)
+
+
+def test_parents_are_given_anew(spark, files, database, tmp_path):
+    d, _ = files
+    (tmp_path / "m.accession2taxid").write_text("accession\taccession.version\ttaxid\tgi\nNC_1\tNC_1.1\t7\t1\n")
+    db = modes.modify(spark, database, reset_parents=True, post_mapping=[f"{tmp_path}/m.accession2taxid"])
+    assert {r.name: r.parent for r in db.targets.collect()}["NC_1.1"] == 7
+    assert db.targets.where("parent <> 0").count() == 1 and db.features.count() == database.features.count()
+
+
 def test_annotate(spark, files):
     d, _ = files
     lines = sequences.read_lines(spark, f"{d}/ref/a.fa")
@@ -149,7 +178,7 @@ def test_command_line(spark, files, tmp_path, monkeypatch):
     run(spark, ["query", db, f"{d}/r1.fq", f"{d}/r2.fq", "--pairfiles", "--queryids", "--tophits", "--lowest", "species", "--out", out, "--abundances", f"{tmp_path}/ab", "--hits-per-seq", f"{tmp_path}/hits", "--align"])
     lines = [r.value for r in spark.read.text(out).collect()]
     assert sum(not x.startswith("#") for x in lines) == 2 and [r.value for r in spark.read.text(f"{tmp_path}/ab").collect()] == ["species:Species a\t|\t2\t|\t100.0%"]
-    assert sum(" queries/min" in x for x in lines) == 1 and "# At maximum 2 classification candidates will be considered per query." in lines
+    assert sum(" queries/min" in x for x in lines) == 1 and any(x.startswith("# candidates: 2 at most") for x in lines)
     hits = [r.value for r in spark.read.text(f"{tmp_path}/hits").collect()]
     assert len(hits) == 2 and all(x.startswith("species:Species a\t|\t8\t|\t") for x in hits)
     run(spark, ["merge", out, "--taxonomy", f"{d}/tax", "--lowest", "species", "--out", f"{tmp_path}/merged"])
