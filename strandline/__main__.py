@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     q = sub.add_parser("modify", help="add sequences or another taxonomy")
     sources(q)
     q.add_argument("--out", help="where the new database is written; without it, the database gets another layer")
+    q.add_argument("--post-mapping", nargs="*", default=[])
     q.add_argument("--reset-parents", action="store_true")
 
     def classification(q: argparse.ArgumentParser) -> None:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..operators import evaluate, report, taxonomy
 from ..params import RANKS, ClassifyParams
-from ..sources import sequences, taxa
-from ..storage import shared_dir, write_file
+from ..sources import records, sequences, taxa
+from ..storage import shared_dir, stored, write_file
 from . import fixtures as fx
 from . import modes
 
@@ -68,6 +68,14 @@ def read_fasta_records(s, d):
     return sequences.read_fasta(s, path).select(_file_number(), "index", "header", "data")
 
 
+@query
+def read_from_record(s, d):
+    """Each file from its fifth record on: blocks before it are not opened, and numbers are those of the whole file."""
+    path = _write_fasta(_records(s, d), _place(s, "fasta"))
+    index = stored(records.record_index(s, [path], 1 << 18), "record-index")
+    return records.read_records(s, index, first=5).select(_file_number(), "index", "header", "data")
+
+
 @query
 def read_headers_only(s, d):
     path = _write_fasta(_records(s, d), _place(s, "fasta"))

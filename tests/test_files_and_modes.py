@@ -192,7 +192,7 @@ def test_command_line(spark, files, tmp_path, monkeypatch):
     assert sum(not r.value.startswith("#") for r in spark.read.text(f"{tmp_path}/loop-1").collect()) == 3
     run(spark, ["query", db, f"{d}/r1.fq", "--lowest", "species", "--lineage", "--ground-truth", "--precision", "--taxon-coverage", "--winlen", "64", "--no-query-params", "--out", f"{tmp_path}/truth"])
     lines = [r.value for r in spark.read.text(f"{tmp_path}/truth").collect()]
-    assert any(x.startswith("# precision") for x in lines) and any("truth_species:truth_taxname,truth_subgenus" in x for x in lines)
+    assert any(x.startswith("# right among those placed") for x in lines) and any("truth_species:truth_taxname,truth_subgenus" in x for x in lines)
     assert sum(x.endswith("species:Species a,subgenus:--,genus:Genus,subtribe:--,tribe:--,subfamily:--,family:--,suborder:--,order:--,subclass:--,class:--,subphylum:--,phylum:--,subkingdom:--,kingdom:--,domain:Only") for x in lines) == 3
     run(spark, ["query", db, f"{d}/r1.fq", "--lowest", "species", "--exclude", "species", "--no-summary", "--separate-cols", "--lineage", "--out", f"{tmp_path}/hidden"])
     with pytest.raises(SystemExit):
