@@ -50,12 +50,21 @@ def _file_number():
 
 
 def _fastq_lines(reads: DataFrame) -> DataFrame:
-    """(value) of (order, header, data), one record each."""
-    return reads.orderBy("order").select(F.concat(F.lit("@"), F.col("header"), F.lit("\n"), F.col("data"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("data"))).alias("value"))
+    """(order, value) of (order, header, data), one record each."""
+    return reads.select("order", F.concat(F.lit("@"), F.col("header"), F.lit("\n"), F.col("data"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("data"))).alias("value"))
 
 
 def _fasta_lines(reads: DataFrame) -> DataFrame:
-    return reads.orderBy("order").select(F.concat(F.lit(">"), F.col("header"), F.lit("\n"), F.col("data")).alias("value"))
+    return reads.select("order", F.concat(F.lit(">"), F.col("header"), F.lit("\n"), F.col("data")).alias("value"))
+
+
+def _write_parts(records: DataFrame, path: str, *within: str) -> str:
+    """A file for each PER_FILE values of order, in folders whose names are in that order; below each, one for each value of
+    the columns within. Files are written side by side, each by one task that has its own records alone."""
+    f = F.lpad(F.floor(F.col("order") / PER_FILE).cast("string"), 9, "0").alias("f")
+    rows = records.select(f, *within, "order", "value").repartition("f", *within)
+    rows.sortWithinPartitions("f", *within, "order").select("f", *within, "value").write.partitionBy("f", *within).text(path)
+    return path
 
 
 def _reads(s: SparkSession, d: str) -> DataFrame:
@@ -84,44 +93,42 @@ def read_headers_only(s, d):
 
 @query
 def read_fastq_records(s, d):
-    path = _place(s, "fastq")
-    write_file(_fastq_lines(_reads(s, d)), f"{path}/f=1/reads.fq")
-    return sequences.read_fastq(s, path).select("index", "header", "data", F.length("qualities").alias("n_qualities"))
+    path = _write_parts(_fastq_lines(_reads(s, d)), _place(s, "fastq"))
+    return sequences.read_fastq(s, path).select(_file_number(), "index", "header", "data", F.length("qualities").alias("n_qualities"))
 
 
 @query
 def read_mixed_files(s, d):
     """FASTA, FASTQ and a file without a known ending, in folders; files are found below one path."""
     path, r = _place(s, "mixed"), _reads(s, d)
-    write_file(_fasta_lines(r.where("order % 3 = 0")), f"{path}/a/x.fna")
-    write_file(_fastq_lines(r.where("order % 3 = 1")), f"{path}/b/c/y.fnq")
-    write_file(_fasta_lines(r.where("order % 3 = 2")), f"{path}/z")
+    write_file(_fasta_lines(r.where("order % 3 = 0")).orderBy("order"), f"{path}/a/x.fna")
+    write_file(_fastq_lines(r.where("order % 3 = 1")).orderBy("order"), f"{path}/b/c/y.fnq")
+    write_file(_fasta_lines(r.where("order % 3 = 2")).orderBy("order"), f"{path}/z")
     return sequences.read_sequences(s, path).select(F.substring_index("file", "/", -1).alias("name"), "index", "header", "data")
 
 
 @query
 def read_paired_files(s, d):
-    """Even items in one file, odd ones in the other; of all pairs the first fifteen."""
-    path, r = _place(s, "pairs"), _reads(s, d)
-    files = [write_file(_fastq_lines(r.where(f"order % 2 = {i}")), f"{path}/r{i}.fq") for i in (0, 1)]
-    return modes.read_queries(s, files, "files", 15).select("query_id", "header", "seq1", "seq2")
+    """Even items in one file, odd ones in the other; of the pairs of two files the first fifteen."""
+    path = _write_parts(_fastq_lines(_reads(s, d)).withColumn("mate", F.col("order") % 2), _place(s, "pairs"), "mate")
+    return modes.read_queries(s, [path], "files", 15).select("query_id", "header", "seq1", "seq2")
 
 
 @query
 def read_consecutive_mates(s, d):
-    path = write_file(_fasta_lines(_reads(s, d)), f"{_place(s, 'mates')}/r.fa")
+    path = _write_parts(_fasta_lines(_reads(s, d)), _place(s, "mates"))
     return modes.read_queries(s, [path], "sequences").select("query_id", "header", "seq1", "seq2")
 
 
 def _write_taxonomy(t: DataFrame, path: str, merged: DataFrame | None = None) -> str:
-    """Dumps of (taxid, parent, name, rank): each name behind a synonym, ranks by other spellings where there are some."""
+    """Dumps of (taxid, parent, name, rank), each a folder of part files: each name behind a synonym, ranks by other spellings where there are some."""
     line = lambda *c: F.concat_ws("\t|\t", *(x.cast("string") for x in c))
     rank = F.when(F.col("rank") == fx.DOMAIN, "superkingdom").when(F.col("rank") == fx.PHYLUM, "Division").when(F.col("rank") >= 20, "no rank").otherwise(evaluate.rank_name(F.col("rank")))
-    write_file(t.select(F.concat(line(F.col("taxid"), F.col("parent"), rank), F.lit("\t|")).alias("value")), f"{path}/nodes.dmp")
+    t.select(F.concat(line(F.col("taxid"), F.col("parent"), rank), F.lit("\t|")).alias("value")).write.text(f"{path}/nodes.dmp")
     names = t.select(F.explode(F.array(*(F.concat(line(F.col("taxid"), n, F.lit(""), F.lit(kind)), F.lit("\t|")) for n, kind in ((F.concat(F.lit("also "), F.col("name")), "synonym"), (F.col("name"), "scientific name"))))).alias("value"))
-    write_file(names, f"{path}/names.dmp")
+    names.write.text(f"{path}/names.dmp")
     old = t.where("false").select("taxid", "parent") if merged is None else merged
-    write_file(old.select(F.concat(line(*(F.col(c) for c in old.columns)), F.lit("\t|")).alias("value")), f"{path}/merged.dmp")
+    old.select(F.concat(line(*(F.col(c) for c in old.columns)), F.lit("\t|")).alias("value")).write.text(f"{path}/merged.dmp")
     return path
 
 
@@ -139,7 +146,9 @@ def _write_mapping(s: SparkSession, d: str, path: str) -> str:
     acc = F.concat(F.lit("NC_"), F.col("tgt").cast("string"))
     row = lambda i: F.struct(F.lit(i).alias("o"), F.col("tgt"), F.concat_ws("\t", acc, F.concat(acc, F.lit(".1")), (F.col("tgt") * 10 + i).cast("string"), F.col("tgt").cast("string")).alias("value"))
     lines = s.createDataFrame([(-1, -1, "accession\taccession.version\ttaxid\tgi")], "o int, tgt long, value string").unionByName(t.select(F.explode(F.array(row(0), row(1))).alias("r")).select("r.*"))
-    return write_file(lines.orderBy("o", "tgt"), path)
+    # parts by ranges: the first rows of all documents lie in files before those of the second rows
+    lines.repartitionByRange("o", "tgt").sortWithinPartitions("o", "tgt").select("value").write.text(path)
+    return path
 
 
 @query
@@ -183,7 +192,7 @@ def database(s: SparkSession, d: str) -> modes.Database:
 
 
 def _queried(s: SparkSession, d: str, fmt: report.Format, c: ClassifyParams = C4, **kw) -> modes.QueryResult:
-    path = write_file(_fasta_lines(_reads(s, d)), f"{_place(s, 'reads')}/r.fa")
+    path = _write_parts(_fasta_lines(_reads(s, d)), _place(s, "reads"))
     return modes.query(database(s, d), modes.read_queries(s, [path]), c, fmt, **kw)
 
 

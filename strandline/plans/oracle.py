@@ -216,7 +216,7 @@ def _file_sql() -> dict[str, str]:
         "read_fasta_records": _with(_RECORDS, 'SELECT f, row_number() OVER (PARTITION BY f ORDER BY tgt) AS "index", header, dna AS data FROM recs'),
         "read_from_record": _with(_RECORDS, 'SELECT * FROM (SELECT f, row_number() OVER (PARTITION BY f ORDER BY tgt) AS "index", header, dna AS data FROM recs) WHERE "index" >= 5'),
         "read_headers_only": _with(_RECORDS, 'SELECT f, row_number() OVER (PARTITION BY f ORDER BY tgt) AS "index", header FROM recs'),
-        "read_fastq_records": _with(reads, 'SELECT row_number() OVER (ORDER BY o) AS "index", header, data, length(data) AS n_qualities FROM r'),
+        "read_fastq_records": _with(reads, 'SELECT (o // 4096)::int AS f, row_number() OVER (PARTITION BY o // 4096 ORDER BY o) AS "index", header, data, length(data) AS n_qualities FROM r'),
         "read_mixed_files": _with(reads, """SELECT CASE o % 3 WHEN 0 THEN 'x.fna' WHEN 1 THEN 'y.fnq' ELSE 'z' END AS name, row_number() OVER (PARTITION BY o % 3 ORDER BY o) AS "index", header, data FROM r"""),
         "read_paired_files": _with(reads, "SELECT a.o // 2 + 1 AS query_id, a.header, a.data AS seq1, b.data AS seq2 FROM r a JOIN r b ON b.o = a.o + 1 WHERE a.o % 2 = 0 AND a.o // 2 < 15"),
         "read_consecutive_mates": _with(reads, "SELECT a.o // 2 + 1 AS query_id, a.header, a.data AS seq1, b.data AS seq2 FROM r a JOIN r b ON b.o = a.o + 1 WHERE a.o % 2 = 0"),
