@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def similar_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
     """(acc, similar): of the names that continue acc the smallest; null if there is none.
 
-    Names are cut at every length that some acc has, which turns the prefix condition into an equality. The lengths are
-    collected: as many numbers as there are different lengths, which headers bound.
+    Names that continue acc follow it in sorted order without any other between, so the next name decides. Both sides are
+    sorted together in ranges of about equal size; a range's last rows are followed by the first name of a later range,
+    of which there is one for each range. No name is copied, and a short acc that very many continue is one row like others.
     """
     acc = wanted.select("acc").where("acc is not null and acc <> ''").distinct()
-    lengths = F.array_sort(F.collect_set(F.length("acc")))
-    all_lengths = acc.agg(lengths.alias("lengths"))
-    cut = names.select("name").distinct().join(F.broadcast(all_lengths)).select("name", F.explode(F.filter("lengths", lambda n: n < F.length("name"))).alias("n"))
-    cut = cut.select(F.substring(F.col("name"), F.lit(1), F.col("n")).alias("acc"), "name")
-    found = cut.join(acc, "acc").groupBy("acc").agg(F.min("name").alias("similar"))
-    return acc.join(found, "acc", "left")
+    rows = names.select(F.col("name").alias("key"), F.lit(1).alias("named")).where("key is not null").distinct().unionByName(acc.select(F.col("acc").alias("key"), F.lit(0).alias("named")))
+    ranges = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(rows.repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id()), "names")
+    first = rows.groupBy("range").agg(F.min(F.when(F.col("named") == 1, F.col("key"))).alias("first"))  # a row for each range
+    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = first.select("range", F.last("first", ignorenulls=True).over(later).alias("carried"))
+    # from the last key down; an acc comes before a name that equals it, which does not continue it
+    down = Window.partitionBy("range").orderBy(F.desc("key"), "named").rowsBetween(Window.unboundedPreceding, -1)
+    near = F.last(F.when(F.col("named") == 1, F.col("key")), ignorenulls=True).over(down)
+    found = rows.withColumn("near", near).where("named = 0").join(F.broadcast(carried), "range")
+    similar = F.coalesce("near", "carried")
+    return found.select(F.col("key").alias("acc"), F.when(similar.startswith(F.col("key")), similar).alias("similar"))
 
 
 def taxon_of_names(wanted: DataFrame, mapping: DataFrame) -> DataFrame:

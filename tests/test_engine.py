@@ -282,3 +282,19 @@ def test_partitions_do_not_matter(spark):
         hits = matching.probe(sketching.read_features(rd, p), ix)
         results.append(sorted(map(tuple, matching.top_candidates(matching.best_window_range(hits, matching.window_span(rd, p)), 3).collect())))
     assert results[0] == results[1] == results[2]
+
+
+def test_similar_names_against_plain_search(spark):
+    """Few letters, so that many names continue each other; names equal to what is sought; one prefix that most names have."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ab_é") for _ in range(rng.randint(1, n)))
+    names = sorted({word(7) for _ in range(400)} | {f"NC_{i:05d}" for i in range(600)})
+    accs = sorted({word(5) for _ in range(200)} | set(names[::50]) | {"NC_", "NC_0001", "N", "zz", "NC_00599"})
+    found = naming.similar_names(spark.createDataFrame([(a,) for a in [*accs, *accs, None, ""]], "acc string"), spark.createDataFrame([(n,) for n in [*names, *names[:9], None]], "name string"))
+    want = {a: min((n for n in names if n.startswith(a) and n != a), key=str.encode, default=None) for a in accs}
+    assert {r.acc: r.similar for r in found.collect()} == want
+    assert found.count() == len(want)
+    none = spark.createDataFrame([], "name string")
+    assert [tuple(r) for r in naming.similar_names(spark.createDataFrame([("a",)], "acc string"), none).collect()] == [("a", None)]
