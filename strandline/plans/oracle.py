@@ -293,6 +293,9 @@ def oracle_sql() -> dict[str, str]:
         "tax_lineage_ranked": _with(f"{_GEO}, {_LIN}", "SELECT taxid, rank, anc FROM ranked"),
         "tax_next_ranked": _with(f"{_GEO}, {_LIN}", "SELECT t.taxid, CASE WHEN t.rank > 0 AND t.rank < 21 THEN t.taxid ELSE u.up END AS anc FROM taxa t LEFT JOIN (SELECT taxid, arg_min(anc, rank) AS up FROM ranked WHERE rank > 0 GROUP BY 1) u USING (taxid)"),
         "tax_lca_full": _with(f"{_GEO}, {_LIN}, {geo_pairs}", "SELECT a, b, arg_min(x.anc, x.depth) AS lca FROM pairs JOIN lin x ON x.taxid = a JOIN lin y ON y.taxid = b AND y.anc = x.anc GROUP BY 1, 2"),
+        "tax_lca_intervals": _with(f"{_GEO}, {_LIN}, {geo_pairs}", "SELECT a, b, arg_min(x.anc, x.depth) AS lca FROM pairs JOIN lin x ON x.taxid = a JOIN lin y ON y.taxid = b AND y.anc = x.anc GROUP BY 1, 2"),
+        "taxon_coverage_intervals": _with(f"{_TAXA}, {_LIN}", "SELECT anc AS taxid, count(*)::bigint AS n FROM lin WHERE taxid < 0 GROUP BY 1"),
+        "tax_intervals": _with(f"{_GEO}, {_LIN}, paths AS (SELECT taxid, list(anc ORDER BY depth DESC) AS path FROM lin GROUP BY 1), below AS (SELECT anc AS taxid, count(*) AS n FROM lin GROUP BY 1), numbered AS (SELECT taxid, (len(path) - 1)::int AS depth, row_number() OVER (ORDER BY path) - 1 AS enter FROM paths)", "SELECT taxid, depth, enter, enter + n - 1 AS leave FROM numbered JOIN below USING (taxid)"),
         "tax_lca_ranked": _with(f"{_GEO}, {_LIN}, {geo_pairs}", "SELECT a, b, arg_min(x.anc, x.rank) AS lca, min(x.rank) AS rank FROM pairs JOIN ranked x ON x.taxid = a JOIN ranked y ON y.taxid = b AND y.anc = x.anc AND y.rank = x.rank GROUP BY 1, 2"),
         "classify_odd_candidates": _with(
             f"""{_GEO}, {_LIN}, c_ AS (SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 50000000 ELSE o_custkey + 2000000 END AS taxid, CASE WHEN o_orderkey % 13 = 0 THEN 3 ELSE 10 END AS hits FROM orders

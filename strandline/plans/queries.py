@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, hashes, headers
-from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
+from ..operators import align, classify, evaluate, index, intervals, matching, naming, report, sketching, taxonomy
 from ..operators.layers import LayeredIndex, Policy
 from ..params import RANKS, ClassifyParams
 from ..storage import shared_dir, stored
@@ -485,6 +485,25 @@ def stream_abundance(s, d):
     return abundance.latest_counts(s, f"{base}/out").select("taxid", "n", F.round("percent", 6).alias("percent"))
 
 
+@query
+def tax_intervals(s, d):
+    """Numbers of a tour through regions, nations, customers and suppliers."""
+    return intervals.tour(intervals.inner(fx.geography(s, d))).select("taxid", "depth", "enter", "leave")
+
+
+@query
+def tax_lca_intervals(s, d):
+    """The pairs of tax_lca_full by interval labels."""
+    g = stored(fx.geography(s, d), "taxa")
+    labels = intervals.tour(intervals.inner(g))
+    return intervals.lowest_common(_traded(s, d), g, labels, intervals.highest_table(labels))
+
+
+@query
+def taxon_coverage_intervals(s, d):
+    return intervals.coverage(stored(fx.taxa(s, d), "taxa"))
+
+
 def _in_layers(s, d, p, policy):
     """The index of all targets, in three layers: those whose number divides by three first, then the others."""
     t = fx.targets(s, d)
