@@ -155,6 +155,15 @@ def _moments(value: str, source: str) -> str:
     return f"""SELECT count(*)::bigint AS n, sum({value}) AS total, max({value}) AS largest, round(avg({value}), 6) AS mean, round(stddev_samp({value}), 6) AS stddev, round((sum(power({value} - m, 3)) / count(*)) / power(var_samp({value}), 1.5), 6) AS skewness, round({kurt}, 6) AS kurtosis FROM (SELECT {value}, avg({value}) OVER () AS m FROM {source})"""
 
 
+_ALIGNED = f"""{_hits()}, {_ranges()}, {_BEST}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, tgt) AS n FROM best) WHERE n = 1),
+pairs AS MATERIALIZED (SELECT query_id, tgt, seq1, substr(dna, (beg*119+1)::int, (("end"-beg)*119+128)::int) AS part FROM one JOIN reads USING (query_id) JOIN targets USING (tgt)),
+strands AS MATERIALIZED (SELECT query_id, 0 AS rc, seq1 AS q, part FROM pairs UNION ALL SELECT query_id, 1, translate(reverse(seq1), 'ACGT', 'TGCA'), part FROM pairs),
+dp(query_id, rc, i, j, s) AS (SELECT query_id, rc, 0, j, 0 FROM (SELECT *, unnest(range(length(part)+1))::int AS j FROM strands)
+ UNION ALL SELECT query_id, rc, i, j, max(up + j) OVER (PARTITION BY query_id, rc ORDER BY j) - j FROM (
+  SELECT d.query_id, d.rc, d.i+1 AS i, d.j, CASE WHEN d.j = 0 THEN 0 ELSE greatest(lag(d.s) OVER (PARTITION BY d.query_id, d.rc ORDER BY d.j) + CASE WHEN substr(b.q, d.i+1, 1) = substr(b.part, d.j, 1) THEN 2 ELSE -1 END, d.s - 1) END AS up
+  FROM dp d JOIN strands b ON b.query_id = d.query_id AND b.rc = d.rc WHERE d.i < length(b.q)))"""
+
+
 def _with(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{body}"
 
@@ -366,15 +375,17 @@ y AS (SELECT rank, count(*) FILTER (cov AND on_)::bigint AS tp, count(*) FILTER
         "info_lineages": _with(f"{_TAXA}, {_LIN}", "SELECT taxid, " + ", ".join(f'coalesce(max(anc) FILTER (rank = {i}), 0) AS "{RANKS[i]}"' for i in range(20)) + " FROM ranked WHERE taxid < 0 GROUP BY 1"),
         **_file_sql(),
         "integer_hashes": _hash_sql(),
-        "align_scores": _with(
-            f"""{_hits()}, {_ranges()}, {_BEST}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, tgt) AS n FROM best) WHERE n = 1),
-pairs AS MATERIALIZED (SELECT query_id, tgt, seq1, substr(dna, (beg*119+1)::int, (("end"-beg)*119+128)::int) AS part FROM one JOIN reads USING (query_id) JOIN targets USING (tgt)),
-strands AS MATERIALIZED (SELECT query_id, 0 AS rc, seq1 AS q, part FROM pairs UNION ALL SELECT query_id, 1, translate(reverse(seq1), 'ACGT', 'TGCA'), part FROM pairs),
-dp(query_id, rc, i, j, s) AS (SELECT query_id, rc, 0, j, 0 FROM (SELECT *, unnest(range(length(part)+1))::int AS j FROM strands)
- UNION ALL SELECT query_id, rc, i, j, max(up + j) OVER (PARTITION BY query_id, rc ORDER BY j) - j FROM (
-  SELECT d.query_id, d.rc, d.i+1 AS i, d.j, CASE WHEN d.j = 0 THEN 0 ELSE greatest(lag(d.s) OVER (PARTITION BY d.query_id, d.rc ORDER BY d.j) + CASE WHEN substr(b.q, d.i+1, 1) = substr(b.part, d.j, 1) THEN 2 ELSE -1 END, d.s - 1) END AS up
-  FROM dp d JOIN strands b ON b.query_id = d.query_id AND b.rc = d.rc WHERE d.i < length(b.q)))""",
-            "SELECT query_id, any_value(tgt) AS tgt, max(s)::int AS score FROM dp JOIN strands USING (query_id, rc) JOIN pairs USING (query_id) WHERE i = length(q) OR j = length(strands.part) GROUP BY 1",
+        "align_scores": _with(_ALIGNED, "SELECT query_id, any_value(tgt) AS tgt, max(s)::int AS score FROM dp JOIN strands USING (query_id, rc) JOIN pairs USING (query_id) WHERE i = length(q) OR j = length(strands.part) GROUP BY 1"),
+        "semi_global_align": _with(
+            f"""{_ALIGNED}, ends AS (SELECT query_id, rc, i, j, s, i < length(q) AS side, q, part FROM dp JOIN strands USING (query_id, rc) WHERE i = length(q) OR j = length(part)),
+won AS MATERIALIZED (SELECT query_id, rc, i AS ei, j AS ej, s, q, part FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rc DESC, side, i, j) AS n FROM ends) WHERE n = 1),
+own AS (SELECT d.query_id, d.i, d.j, d.s, substr(w.q, d.i, 1) = substr(w.part, d.j, 1) AS same, lag(d.s) OVER line AS l FROM dp d JOIN won w USING (query_id, rc) WINDOW line AS (PARTITION BY d.query_id, d.i ORDER BY d.j)),
+ways AS MATERIALIZED (SELECT a.query_id, a.i, string_agg(CASE WHEN a.s = u.l + CASE WHEN a.same THEN 2 ELSE -1 END THEN 'D' WHEN a.s = u.s - 1 THEN 'U' ELSE 'L' END, '' ORDER BY a.j) AS way
+ FROM own a JOIN own u ON u.query_id = a.query_id AND u.i = a.i-1 AND u.j = a.j WHERE a.i > 0 AND a.j > 0 GROUP BY 1, 2),
+path(query_id, i, j, top, bottom) AS (SELECT query_id, ei, ej, substr(q, ei+1) || repeat('_', length(part)-ej), repeat('_', length(q)-ei) || substr(part, ej+1) FROM won
+ UNION ALL SELECT query_id, i - (m <> 'L')::int, j - (m <> 'U')::int, CASE WHEN m = 'L' THEN '_' ELSE substr(q, i, 1) END || top, CASE WHEN m = 'U' THEN '_' ELSE substr(part, j, 1) END || bottom
+  FROM (SELECT p.*, w.q, w.part, substr(x.way, p.j, 1) AS m FROM path p JOIN won w USING (query_id) JOIN ways x ON x.query_id = p.query_id AND x.i = p.i WHERE p.i > 0 AND p.j > 0))""",
+            "SELECT query_id, tgt, s::int AS score, repeat('_', p.j) || substr(w.q, 1, p.i) || top AS query, substr(w.part, 1, p.j) || repeat('_', p.i) || bottom AS subject FROM path p JOIN won w USING (query_id) JOIN pairs USING (query_id) WHERE p.i = 0 OR p.j = 0",
         ),
         "stream_classify": _with(_classified(), "SELECT query_id, taxid, rank FROM cls"),
     }

@@ -240,26 +240,6 @@ def test_names_and_mappings(spark):
     assert {r.tgt: r.parent for r in found.collect()} == {0: 11, 2: 14}
 
 
-def model_align(q, s):
-    n, m = len(q), len(s)
-    d = np.zeros((n + 1, m + 1), dtype=int)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i, j] = max(d[i - 1, j - 1] + (2 if q[i - 1] == s[j - 1] else -1), d[i - 1, j] - 1, d[i, j - 1] - 1)
-    return max(d[n].max(), d[:, m].max())
-
-
-def test_alignment():
-    r = random.Random(5)
-    for _ in range(60):
-        s = "".join(r.choice("ACGT") for _ in range(r.randrange(40)))
-        q = "".join(r.choice("ACGT") for _ in range(r.randrange(25))) if r.random() < 0.5 else s[3:20].replace("A", "", 1)
-        score, a, b = align.align(q, s)
-        assert score == model_align(q, s) and len(a) == len(b)
-        assert a.replace("_", "") == q and b.replace("_", "") == s
-    assert align.align_both("ACGTT", "AACGT")[0] >= align.align("ACGTT", "AACGT")[0]
-
-
 def test_ranks_and_report(spark, tree):
     assert rank_number("Superkingdom") == 19 and rank_number("species group") == 5 and rank_number("clade") == 21 and rank_number(None) == 21
     reads = spark.createDataFrame([(1, "r1 x"), (2, "r2")], "query_id long, header string")
