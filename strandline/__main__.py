@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dna
+from .functions.features import HASHES, SELECTIONS
 from .operators import report
 from .params import MAX_LOCATIONS, RANKS, ClassifyParams, SketchParams, rank_number
 from .plans import modes
@@ -40,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--sketchlen", type=int, default=16)
     q.add_argument("--winlen", type=int, default=128)
     q.add_argument("--winstride", type=int, default=0)
+    q.add_argument("--sketcher", default="minhash", choices=sorted(SELECTIONS))
+    q.add_argument("--feature-hash", default="", choices=["", *sorted(HASHES)], help="by default one that is wide enough for the k-mers")
     q.add_argument("--max-locations-per-feature", type=int, default=MAX_LOCATIONS)
     q.add_argument("--remove-overpopulated-features", action="store_true")
     q.add_argument("--remove-ambig-features", type=_rank)
@@ -109,7 +113,7 @@ def _window(db: modes.Database, a: argparse.Namespace) -> SketchParams | None:
     if not (a.sketchlen or a.winlen or a.winstride):
         return None
     p = db.params
-    return SketchParams(p.k, a.sketchlen or p.size, a.winlen or p.window, a.winstride or a.winlen or p.stride)
+    return replace(p, size=a.sketchlen or p.size, window=a.winlen or p.window, stride=a.winstride or a.winlen or p.stride)
 
 
 def _query(spark: SparkSession, db: modes.Database, a: argparse.Namespace, files: list[str], out: str) -> None:
@@ -144,7 +148,7 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | None:
     """Does what the arguments say; info gives its table."""
     a = parser().parse_args(argv)
     if a.mode == "build":
-        p = SketchParams(a.kmerlen, a.sketchlen, a.winlen, a.winstride)
+        p = SketchParams(a.kmerlen, a.sketchlen, a.winlen, a.winstride, a.sketcher, a.feature_hash)
         modes.build(spark, a.files, a.taxonomy, a.pre_mapping, a.post_mapping, p, a.max_locations_per_feature, a.remove_overpopulated_features, a.remove_ambig_features, a.max_ambig_per_feature).save(a.database)
     elif a.mode == "modify":
         if a.out and a.out.rstrip("/") == a.database.rstrip("/"):

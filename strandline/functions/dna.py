@@ -1,4 +1,4 @@
-"""Column functions on sequences: windows, k-mers, complements, hashes and sketches."""
+"""Column functions on sequences: windows, k-mers, complements, codes and hashes."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..params import SketchParams
 
-#: A feature with this value is never stored.
-NO_FEATURE = 0xFFFFFFFF
 _MASK32 = 0xFFFFFFFF
 
 
@@ -49,9 +47,13 @@ def unambiguous(kmer: Column) -> Column:
     return F.length(F.translate(kmer, "ACGT", "")) == 0
 
 
-def code(kmer: Column) -> Column:
-    """A 0, C 1, G 2, T 3, two bits each, first letter highest."""
-    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
+def code(kmer: Column, k: int = 16) -> Column:
+    """A 0, C 1, G 2, T 3, two bits each, first letter highest. k-mers of over 16 letters (at most 32) are coded in two lanes of
+    a long, whose bits stand for an unsigned number."""
+    lane = lambda x: F.conv(F.translate(x, "ACGT", "0123"), 4, 10).cast("long")
+    if k <= 16:
+        return lane(kmer)
+    return F.shiftleft(lane(F.substring(kmer, 1, k - 16)), 32).bitwiseOR(lane(F.substring(kmer, k - 15, 16)))
 
 
 def hash32(x: Column) -> Column:
@@ -76,18 +78,6 @@ def hash_murmur32(x: Column) -> Column:
     return x.bitwiseXOR(F.shiftrightunsigned(x, 16))
 
 
-def kmer_hashes(window: Column, k: int) -> Column:
-    """Hashes of the canonical k-mers of a window (any case), without those that hold other letters."""
-    plain = F.filter(kmers(F.upper(window), k), unambiguous)
-    return F.transform(plain, lambda x: hash32(code(canonical(x))))
-
-
-def sketch(window: Column, p: SketchParams) -> Column:
-    """The smallest distinct hashes of a window, ascending, at most p.size."""
-    kept = F.filter(kmer_hashes(window, p.k), lambda h: h != F.lit(NO_FEATURE))
-    return F.slice(F.array_sort(F.array_distinct(kept)), 1, p.size)
-
-
 def letter_counts(seq: Column) -> Column:
     """How often each base occurs: struct of a, c, g, t."""
     u = F.upper(seq)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import dna, features
 from ..params import SketchParams
 
 _CODE = np.full(256, 4, dtype=np.uint8)
@@ -25,16 +25,10 @@ def sequence_windows(df: DataFrame, key: str, seq: str, p: SketchParams) -> Data
 
 def sketch_sql(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFrame:
     """(key, win, feature) by higher-order functions alone."""
-    return sequence_windows(df, key, seq, p).select(key, "win", F.explode(dna.sketch(F.col("s"), p)).alias("feature"))
+    return sequence_windows(df, key, seq, p).select(key, "win", F.explode(features.sketch(F.col("s"), p)).alias("feature"))
 
 
-def _hash32(x: np.ndarray) -> np.ndarray:
-    for _ in range(2):
-        x = ((x >> np.uint64(16)) ^ x) * np.uint64(0x45D9F3B) & np.uint64(0xFFFFFFFF)
-    return (x >> np.uint64(16)) ^ x
-
-
-def sketch_numpy(seq: bytes, p: SketchParams) -> tuple[np.ndarray, np.ndarray]:
+def sketch_numpy(seq: bytes, p: SketchParams, policy: tuple[features.FeatureHash, features.Selection]) -> tuple[np.ndarray, np.ndarray]:
     """Window numbers and features of one sequence."""
     n = len(seq)
     none = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
@@ -42,15 +36,14 @@ def sketch_numpy(seq: bytes, p: SketchParams) -> tuple[np.ndarray, np.ndarray]:
         return none
     c = _CODE[np.frombuffer(seq, dtype=np.uint8)]
     m = n - p.k + 1
-    fwd, rev = np.zeros(m, dtype=np.uint64), np.zeros(m, dtype=np.uint64)
-    base = (c & 3).astype(np.uint64)
-    for j in range(p.k):
-        b = base[j : j + m]
-        fwd = fwd << np.uint64(2) | b
-        rev |= (np.uint64(3) - b) << np.uint64(2 * j)
+    hasher, selection = policy
+    base = c & 3
     bad = np.concatenate([[0], np.cumsum(c == 4)])
-    none_value = np.uint64(dna.NO_FEATURE)
-    h = np.where(bad[p.k :] == bad[:-p.k], _hash32(np.minimum(fwd, rev)), none_value)
+    none_value = np.uint64(hasher.none)
+    plain = bad[p.k :] == bad[: -p.k]
+    if selection.numpy is not None:
+        plain &= selection.numpy(base, p.k)
+    h = np.where(plain, hasher.numpy(features.canonical_codes(base, p.k)), none_value)
     count = 1 if n <= p.window else (n - p.window) // p.stride + 1
     count += n > p.window and count * p.stride < n
     width = max(1, p.window - p.k + 1)
@@ -83,11 +76,12 @@ def _parts(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFrame:
 
 def sketch_arrow(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFrame:
     """The same rows as sketch_sql, by numpy on Arrow batches; key must be a long."""
+    policy = features.policy(p)
 
     def run(batches):
         for b in batches:
             for k, s, before, most in zip(*(c.to_pylist() for c in b.columns)):
-                win, feature = sketch_numpy(s, p)
+                win, feature = sketch_numpy(s, p, policy)
                 if before or most < 2**31 - 1:
                     own = win < most
                     win, feature = win[own] + np.int32(before), feature[own]

@@ -23,15 +23,21 @@ def rank_number(name: str | None) -> int:
 
 @dataclass(frozen=True)
 class SketchParams:
-    """k: letters of a k-mer (1 to 16); size: features of a sketch; window and stride in letters (stride 0: window - k + 1)."""
+    """k: letters of a k-mer (1 to 32); size: features of a sketch; window and stride in letters (stride 0: window - k + 1).
+
+    sketcher and hasher name what functions/features.py has; without one the hash has 32 bits for k up to 16, else 64.
+    """
 
     k: int = 16
     size: int = 16
     window: int = 128
     stride: int = 0
+    sketcher: str = "minhash"
+    hasher: str = ""
 
     def __post_init__(self):
-        object.__setattr__(self, "k", min(16, max(1, self.k)))
+        object.__setattr__(self, "k", min(32, max(1, self.k)))
+        object.__setattr__(self, "hasher", self.hasher or ("mix32" if self.k <= 16 else "murmur64"))
         object.__setattr__(self, "size", max(1, self.size))
         if self.stride <= 0:
             object.__setattr__(self, "stride", max(1, self.window - self.k + 1))

@@ -12,6 +12,7 @@ from ..storage import spread
 DOMAIN, SPECIES, PHYLUM = (RANKS.index(x) for x in ("domain", "species", "phylum"))
 #: Short k-mers, since reads are prose and share no long ones by chance.
 CLASSIFY, CROWDED = SketchParams(10, 16, 128), SketchParams(8, 16, 128)
+WIDE, SYNCMERS = SketchParams(21, 16, 128), SketchParams(10, 16, 128, sketcher="syncmer")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import headers
+from ..functions.features import policy
 from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
 from ..operators.layers import LayeredIndex, Policy, buckets_for
 from ..params import MAX_LOCATIONS, RANKS, ClassifyParams, SketchParams
@@ -45,14 +46,16 @@ class Database:
 
     @staticmethod
     def load(spark: SparkSession, path: str, metadata_only: bool = False) -> Database:
-        """The last version of a stored database; ValueError if it has another layout."""
+        """The last version of a stored database; ValueError if it has another layout or a sketcher or hash that is not known here."""
         store = LayeredIndex.open(spark, path)
         d = store.extra
         if d.get("layout") != LAYOUT:
             raise ValueError(f"{path} has another layout")
         tax, targets = spark.read.parquet(f"{path}/taxa/{d['taxa']}"), spark.read.parquet(*(f"{path}/targets/{t}" for t in d["targets"]))
         features = None if metadata_only else store.rows(tombstones=False)
-        return Database(tax, targets, features, SketchParams(**d["params"]), store.policy, None, store)
+        params = SketchParams(**d["params"])
+        policy(params)
+        return Database(tax, targets, features, params, store.policy, None, store)
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """The index's rows of wanted (feature, distinct). A stored index stays where it lies."""
@@ -224,6 +227,8 @@ def query(db: Database, reads: DataFrame, c: ClassifyParams = ClassifyParams(),
     taxon_coverage (the confusion of what the database covers with what was classified) and exclude_rank.
     """
     p = query_params or db.params
+    if (p.k, p.sketcher, p.hasher) != (db.params.k, db.params.sketcher, db.params.hasher):
+        raise ValueError("reads must have the database's k-mers, sketcher and feature hash")
     c = c.resolved(p.size)
     read_features = stored(sketching.read_features(reads, p), "read-features")
     # caps hold for each feature alone, so features that no read has go before anything else

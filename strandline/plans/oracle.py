@@ -41,6 +41,33 @@ def _sketch(name: str, windows: str, k: int = 10) -> str:
 {name} AS (SELECT id, win, feature FROM (SELECT *, row_number() OVER (PARTITION BY id, win ORDER BY feature) AS n FROM {name}_h WHERE feature <> 4294967295) WHERE n <= 16)"""
 
 
+def _wide_sketch(windows: str, k: int) -> str:
+    """Hashes of 64 bits, unsigned until the features are chosen; products in 128 bits."""
+    times = lambda x, c: f"((({x})::uhugeint * {c}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+    shifted = "xor(x, x >> 33)"
+    return f"""ws_k AS (SELECT DISTINCT id, win, substr(s, i::int, {k}) AS km FROM (SELECT id, win, s, unnest(range(1, length(s)-{k}+2)) AS i FROM {windows} WHERE length(s) >= {k})),
+ws_c AS (SELECT DISTINCT id, win, least(km, translate(reverse(km), 'ACGT', 'TGCA')) AS c FROM ws_k),
+ws_1 AS (SELECT c, ({_code('c', k)})::ubigint AS x FROM (SELECT DISTINCT c FROM ws_c)),
+ws_2 AS (SELECT c, {times(shifted, 0xFF51AFD7ED558CCD)} AS x FROM ws_1),
+ws_3 AS (SELECT c, {times(shifted, 0xC4CEB9FE1A85EC53)} AS x FROM ws_2),
+ws_4 AS (SELECT c, {shifted} AS x FROM ws_3),
+ws AS (SELECT id, win, CASE WHEN x >= 9223372036854775808::ubigint THEN (x::hugeint - 18446744073709551616::hugeint)::bigint ELSE x::bigint END AS feature
+ FROM (SELECT *, row_number() OVER (PARTITION BY id, win ORDER BY x) AS n FROM ws_c JOIN ws_4 USING (c) WHERE x <> 18446744073709551615::ubigint) WHERE n <= 16)"""
+
+
+def _syncmers(windows: str, k: int = 10) -> str:
+    """Distinct k-mers whose first or last inner k-mer has the smallest hash."""
+    s = k // 2
+    inner = f"list_transform(range(1, {k - s + 2}), lambda i: least(substr(c, i::int, {s}), translate(reverse(substr(c, i::int, {s})), 'ACGT', 'TGCA')))"
+    return f"""sy_k AS (SELECT DISTINCT id, win, substr(s, i::int, {k}) AS km FROM (SELECT id, win, s, unnest(range(1, length(s)-{k}+2)) AS i FROM {windows} WHERE length(s) >= {k})),
+sy_c AS (SELECT DISTINCT id, win, least(km, translate(reverse(km), 'ACGT', 'TGCA')) AS c FROM sy_k),
+sy_i AS (SELECT c, generate_subscripts(l, 1) AS i, unnest(l) AS m FROM (SELECT c, {inner} AS l FROM (SELECT DISTINCT c FROM sy_c))),
+sy_m AS (SELECT m, {_hash(_code('m', s))} AS h FROM (SELECT DISTINCT m FROM sy_i)),
+sy_o AS (SELECT c FROM sy_i JOIN sy_m USING (m) GROUP BY 1 HAVING min(h) IN (arg_min(h, i), arg_max(h, i))),
+sy_h AS (SELECT c, {_hash(_code('c', k))} AS feature FROM sy_o),
+sy AS (SELECT id, win, feature FROM (SELECT *, row_number() OVER (PARTITION BY id, win ORDER BY feature) AS n FROM sy_c JOIN sy_h USING (c) WHERE feature <> 4294967295) WHERE n <= 16)"""
+
+
 def _index(k: int = 10) -> str:
     return f"""{_TARGETS}, {_windows('tw', 'SELECT tgt AS id, dna AS seq FROM targets', k)}, {_sketch('ts', 'tw', k)}, idx AS (SELECT feature, id AS tgt, win FROM ts)"""
 
@@ -269,6 +296,8 @@ def oracle_sql() -> dict[str, str]:
         "kmer_canonical": f"SELECT item_id, least(km, translate(reverse(km), 'ACGT', 'TGCA')) AS canon, count(*)::bigint AS n, min(km) AS lowest, max(translate(reverse(km), 'ACGT', 'TGCA')) AS highest_rc FROM (SELECT item_id, substr(s, i::int, 8) AS km FROM (SELECT item_id, s, unnest(range(1, length(s)-6)) AS i FROM (SELECT item_id, {n_text} AS s FROM benchmark))) WHERE strpos(km, 'N') = 0 GROUP BY 1, 2",
         "kmer_hash": _with(f"{_READS}, km AS (SELECT DISTINCT query_id, least(k, translate(reverse(k), 'ACGT', 'TGCA')) AS kmer FROM (SELECT query_id, substr(seq1, i::int, 10) AS k FROM (SELECT *, unnest(range(1, length(seq1)-8)) AS i FROM reads))), c AS (SELECT *, {_code('kmer', 10)} AS code FROM km), m1 AS (SELECT *, (xor(code, code >> 16) * 2246822507::hugeint % 4294967296)::bigint AS y1 FROM c), m2 AS (SELECT *, (xor(y1, y1 >> 13) * 3266489909::hugeint % 4294967296)::bigint AS y3 FROM m1)", f"SELECT query_id, kmer, code, {_hash('code')} AS hash, {murmur} AS murmur FROM m2"),
         "sketch_features": _with(_index(), "SELECT tgt, win, feature FROM idx"),
+        "wide_sketch_features": _with(f"{_TARGETS}, {_windows('tw', 'SELECT tgt AS id, dna AS seq FROM targets', 21)}, {_wide_sketch('tw', 21)}", "SELECT id AS tgt, win, feature FROM ws"),
+        "syncmer_features": _with(f"{_TARGETS}, {_windows('tw', 'SELECT tgt AS id, dna AS seq FROM targets')}, {_syncmers('tw')}", "SELECT id AS tgt, win, feature FROM sy"),
         "kmer_letter_stats": _with(_TARGETS, "SELECT tgt, length(dna)::bigint AS n, " + ", ".join(f"(length(dna) - length(replace(dna, '{x}', '')))::bigint AS n_{x.lower()}" for x in "ACGT") + ", greatest(length(dna)-9, 0)::bigint AS n_kmers FROM targets"),
         "kmer_pair_stats": _with(f"{_TARGETS}, two AS (SELECT tgt, substr(dna, i::int, 2) AS pair FROM (SELECT tgt, dna, unnest(range(1, length(dna))) AS i FROM targets)), names AS (SELECT a || b AS pair FROM (SELECT unnest(['A','C','G','T']) AS a), (SELECT unnest(['A','C','G','T']) AS b))", "SELECT t.tgt, n.pair, coalesce(c.n, 0)::bigint AS n FROM targets t CROSS JOIN names n LEFT JOIN (SELECT tgt, pair, count(*) AS n FROM two GROUP BY 1, 2) c ON c.tgt = t.tgt AND c.pair = n.pair"),
         "kmer_intersection": _with(f"{_READS}, km AS (SELECT query_id AS id, least(k, translate(reverse(k), 'ACGT', 'TGCA')) AS kmer FROM (SELECT query_id, substr(seq1, i::int, 8) AS k FROM (SELECT *, unnest(range(1, length(seq1)-6)) AS i FROM reads)))", "SELECT a.id AS key_a, b.id AS key_b, count(*)::bigint AS shared FROM (SELECT DISTINCT id, kmer FROM km) a JOIN km b USING (kmer) WHERE a.id <> b.id GROUP BY 1, 2"),
@@ -359,7 +388,7 @@ r AS (SELECT query_id, coalesce(a.t, b.t, c.taxid, d.t) AS t FROM x LEFT JOIN by
             f"""{_classified()}, {_TRUTH}, cov AS (SELECT anc AS taxid FROM lin WHERE taxid < 0 GROUP BY 1 HAVING count(*) > 20 OR anc % 2 = 0),
 x AS (SELECT r.rank, r.anc IN (SELECT taxid FROM cov) AS cov, c.rank IS NOT NULL AND r.rank >= c.rank AS on_ FROM cls c JOIN truth t USING (query_id) JOIN ranked r ON r.taxid = t.truth_taxid),
 y AS (SELECT rank, count(*) FILTER (cov AND on_)::bigint AS tp, count(*) FILTER (NOT cov AND on_)::bigint AS fp, count(*) FILTER (NOT cov AND NOT on_)::bigint AS tn, count(*) FILTER (cov AND NOT on_)::bigint AS fn FROM x GROUP BY 1)""",
-            f"SELECT rank, tp, fp, tn, fn, {share('tp+tn', 'tp+fp+tn+fn', 'accuracy')}, {share('tp', 'tp+fn', 'sensitivity')}, {share('tn', 'tn+fp', 'specificity')}, {share('tp', 'tp+fp', 'precision')} FROM y",
+            f"SELECT rank, tp, fp, tn, fn, {share('tp+tn', 'tp+fp+tn+fn', 'accuracy')}, {share('tp', 'tp+fn', 'sensitivity')}, {share('tn', 'tn+fp', 'specificity')}, {share('tp', 'tp+fp', 'precision')}, {share('tn', 'tn+fn', 'negative_value')}, {share('fn', 'tn+fn', 'false_omission')}, {share('fp', 'tn+fp', 'fall_out')}, {share('fp', 'tp+fp', 'false_discovery')}, {share('fn', 'tp+fn', 'miss_rate')} FROM y",
         ),
         "mapping_report": _with(
             f"{_classified(**_C4)}, th AS (SELECT query_id, string_agg(taxid || ':' || hits, ',' ORDER BY pos) AS top_hits FROM cand GROUP BY 1)",

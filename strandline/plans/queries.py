@@ -110,6 +110,18 @@ def sketch_features(s, d):
     return sketching.sketch_features(fx.targets(s, d), "tgt", "dna", fx.CLASSIFY)
 
 
+@query
+def wide_sketch_features(s, d):
+    """k-mers of 21 letters, with hashes of 64 bits."""
+    return sketching.sketch_features(fx.targets(s, d), "tgt", "dna", fx.WIDE)
+
+
+@query
+def syncmer_features(s, d):
+    """Closed syncmers alone."""
+    return sketching.sketch_features(fx.targets(s, d), "tgt", "dna", fx.SYNCMERS)
+
+
 @query
 def kmer_letter_stats(s, d):
     c = dna.letter_counts(F.col("dna"))
@@ -402,7 +414,7 @@ def coverage_confusion(s, d):
     lin = _lineages(s, d)
     cov = taxonomy.covered(lin).where("n > 20 or taxid % 2 = 0").select("taxid")
     x = evaluate.confusion_rates(evaluate.coverage_confusion(_classified(s, d, C, lin), fx.truth(s, d), lin, cov))
-    return x.select("rank", "tp", "fp", "tn", "fn", *(F.round(c, 6).alias(c) for c in ("accuracy", "sensitivity", "specificity", "precision")))
+    return x.select("rank", "tp", "fp", "tn", "fn", *(F.round(c, 6).alias(c) for c in ("accuracy", "sensitivity", "specificity", "precision", "negative_value", "false_omission", "fall_out", "false_discovery", "miss_rate")))
 
 
 @query
