@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import MAX_LOCATIONS, SketchParams
 from ..storage import stored
+from . import moments as states
 from .sketching import sketch_features
 
 
@@ -63,6 +64,14 @@ def moments(df: DataFrame, value: str) -> DataFrame:
     return df.agg(n.alias("n"), F.sum(value).alias("total"), F.max(value).alias("largest"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"), (F.skewness(value) * F.pow((n - 1) / n, F.lit(1.5))).alias("skewness"), F.kurtosis(value).alias("kurtosis"))
 
 
+def stored_statistics(spark: SparkSession, histogram: dict[int, int]) -> DataFrame:
+    """The same as index_statistics() from how many features have how many locations, without the index."""
+    rows = spark.createDataFrame([(f, float(n), 0.0, 0.0, 0.0) for n, f in histogram.items()], "n long, mean double, m2 double, m3 double, m4 double")
+    d = states.described(states.merged(rows))
+    largest = F.lit(max(histogram, default=None)).cast("long")
+    return d.select("n", F.round("total").cast("long").alias("total"), largest.alias("largest"), "mean", "stddev", "skewness", F.col("excess").alias("kurtosis"))
+
+
 def index_statistics(index: DataFrame) -> DataFrame:
     """moments() of the locations per feature."""
     return moments(feature_counts(index), "n")

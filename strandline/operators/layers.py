@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -57,7 +57,8 @@ def buckets_for(rows: int) -> int:
 
 @dataclass(frozen=True)
 class LayeredIndex:
-    """One version of a stored index. extra: what belongs to the version besides, as JSON."""
+    """One version of a stored index. extra: what belongs to the version besides, as JSON. counts: of the first layers, how
+    many features have how many locations; see histogram()."""
 
     spark: SparkSession = field(repr=False)
     path: str
@@ -65,13 +66,15 @@ class LayeredIndex:
     layers: list[dict]
     policy: Policy
     extra: dict
+    counts: dict | None = None
 
     @staticmethod
     def create(spark: SparkSession, path: str, rows: DataFrame, policy: Policy = Policy(), buckets: int | None = None, extra: dict | None = None) -> LayeredIndex:
         """An index of one layer at path. What lies there already stays readable as earlier versions."""
         before = _versions(spark, path)
         new = LayeredIndex(spark, path, before[-1] if before else 0, [], policy, extra or {})
-        return new._commit([new._write(rows, buckets)], new.extra)
+        new = replace(new, layers=[new._write(rows, buckets)])
+        return new._commit(new.layers, new.extra, new._counted())
 
     @staticmethod
     def open(spark: SparkSession, path: str, version: int | None = None) -> LayeredIndex:
@@ -81,16 +84,40 @@ class LayeredIndex:
                 d = json.loads(read_small(spark, f"{path}/_versions/{v:09d}.json"))
             except ValueError:
                 continue
-            return LayeredIndex(spark, path, v, d["layers"], Policy(**d["policy"]), d["extra"])
+            return LayeredIndex(spark, path, v, d["layers"], Policy(**d["policy"]), d["extra"], d.get("counts"))
         raise FileNotFoundError(f"{path} holds no index")
 
-    def _commit(self, layers: list[dict], extra: dict) -> LayeredIndex:
-        version = self.version + 1
+    def _commit(self, layers: list[dict], extra: dict, counts: dict | None = None) -> LayeredIndex:
+        version, counts = self.version + 1, counts or self.counts
         try:
-            create_text(self.spark, f"{self.path}/_versions/{version:09d}.json", json.dumps({"layers": layers, "policy": asdict(self.policy), "extra": extra}))
+            create_text(self.spark, f"{self.path}/_versions/{version:09d}.json", json.dumps({"layers": layers, "policy": asdict(self.policy), "extra": extra, "counts": counts}))
         except FileExistsError:
             raise RuntimeError(f"{self.path} has a newer version than {self.version}: open it again") from None
-        return LayeredIndex(self.spark, self.path, version, layers, self.policy, extra)
+        return LayeredIndex(self.spark, self.path, version, layers, self.policy, extra, counts)
+
+    def _counted(self) -> dict:
+        """histogram() as a version's file has it, with the layers it is of."""
+        return {"layers": [x["id"] for x in self.layers], "features": {str(n): f for n, f in self.histogram().items()}}
+
+    def histogram(self) -> dict[int, int]:
+        """How many features have how many locations that count: at most MAX_LOCATIONS numbers, stored with the versions.
+
+        Right after create() and compact() it is read from the version's file. Layers that came in since change it by their own
+        features alone: what these had before is taken back, what they have now is added.
+        """
+        ids = [x["id"] for x in self.layers]
+        known = self.counts if self.counts and self.counts["layers"] == ids[: len(self.counts["layers"])] else {"layers": [], "features": {}}
+        out = {int(n): f for n, f in known["features"].items()}
+        new = self.layers[len(known["layers"]) :]
+        if not new:
+            return out
+        if not known["layers"]:
+            return _histogram(self.rows(tombstones=False))
+        touched = reduce(DataFrame.unionByName, [self._table(x).select(F.expr("feature | 0L").alias("feature")) for x in new]).distinct()
+        for sign, rows in ((-1, replace(self, layers=self.layers[: len(known["layers"])]).lookup(touched)), (1, self.lookup(touched))):
+            for n, f in _histogram(rows).items():
+                out[n] = out.get(n, 0) + sign * f
+        return {n: f for n, f in sorted(out.items()) if f}
 
     def _table(self, layer: dict) -> DataFrame:
         """A layer as a table of the session's catalog, which is how Spark learns about its buckets."""
@@ -169,7 +196,10 @@ class LayeredIndex:
         if len(chosen) < (2 if everything else fan_out):
             return self
         buckets = max(max(x["buckets"] for x in chosen), buckets_for(sum(x["rows"] for x in chosen)))
-        return self._commit([*self.layers[:tail], self._write(self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/layers/{x['id']}" for x in chosen)), buckets)], self.extra)
+        merged = self._write(self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/layers/{x['id']}" for x in chosen)), buckets)
+        layers = [*self.layers[:tail], merged]
+        # rows that count are the same, and so are their numbers
+        return self._commit(layers, self.extra, replace(self, layers=layers, counts={"layers": [x["id"] for x in layers], "features": self.histogram()})._counted())
 
     def vacuum(self, keep: int = 1) -> None:
         """Deletes all but the last keep versions, and layers that none of those names. No writer may be at work."""
@@ -183,6 +213,12 @@ class LayeredIndex:
                 delete(self.spark, f"{self.path}/layers/{name}")
 
 
+def _histogram(rows: DataFrame) -> dict[int, int]:
+    """At most MAX_LOCATIONS rows come to the driver."""
+    sizes = rows.groupBy("feature").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("features"))
+    return {r["n"]: r["features"] for r in sizes.orderBy("n").collect()}
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     return [int(n.split(".")[0]) for n in names_in(spark, f"{path}/_versions") if n.endswith(".json") and not n.startswith(".")]
 

@@ -310,7 +310,8 @@ def info(db: Database, what: str = "config", rank: int = 4) -> DataFrame:
         return index.feature_counts(db.features)
     if what == "statistics":
         ranked_targets = db.targets.agg(F.count("*").alias("targets"), F.count_if(F.col("parent") > 0).alias("ranked_targets"))
-        return index.index_statistics(db.features).join(ranked_targets).join(db.taxa.agg(F.count("*").alias("taxa")))
+        own = index.index_statistics(db.features) if db.store is None else index.stored_statistics(spark, db.store.histogram())
+        return own.join(ranked_targets).join(db.taxa.agg(F.count("*").alias("taxa")))
     lin = taxonomy.lineages(db.all_taxa())
     if what == "rank":
         return taxonomy.sequences_per_taxon(lin, rank)

@@ -191,6 +191,14 @@ dp(query_id, rc, i, j, s) AS (SELECT query_id, rc, 0, j, 0 FROM (SELECT *, unnes
   FROM dp d JOIN strands b ON b.query_id = d.query_id AND b.rc = d.rc WHERE d.i < length(b.q)))"""
 
 
+def _states(value: str, source: str, key: str = "") -> str:
+    """Moments straight from values: differences from the mean of all, or of those with the same key."""
+    over, own, group = (f"PARTITION BY {key}", f"{key}, ", f" GROUP BY {key}") if key else ("", "", "")
+    return f"""SELECT {own}count(*)::bigint AS n, round(sum(v), 5) AS total, round(avg(v), 5) AS mean, round(var_samp(v), 5) AS variance, round(stddev_samp(v), 5) AS stddev,
+ round(avg(power(v - m, 3)) / power(var_samp(v), 1.5), 5) AS skewness, round(avg(power(v - m, 4)) / power(var_pop(v), 2), 5) AS kurtosis, round(avg(power(v - m, 4)) / power(var_pop(v), 2) - 3, 5) AS excess,
+ round(avg(v*v), 5) AS raw2, round(avg(v*v*v), 5) AS raw3, round(avg(v*v*v*v), 5) AS raw4 FROM (SELECT *, avg(v) OVER ({over}) AS m FROM (SELECT *, ({value})::double AS v FROM {source})){group}"""
+
+
 def _with(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{body}"
 
@@ -304,6 +312,9 @@ def oracle_sql() -> dict[str, str]:
         "index_counts": _with(_index(), "SELECT feature, count(*)::bigint AS n FROM idx GROUP BY 1"),
         "index_stats": _with(f"{_index()}, fc AS (SELECT count(*)::bigint AS n FROM idx GROUP BY feature)", f"SELECT n, total::bigint AS total, largest, mean, stddev, skewness FROM ({_moments('n', 'fc')})"),
         "moments": _moments("l_quantity", "lineitem"),
+        "moments_removed": _states("l_quantity", "(SELECT * FROM lineitem WHERE l_suppkey % 5 <> 0)"),
+        "moments_by_flag": f"SELECT l_returnflag, n, mean, stddev, skewness, kurtosis, excess FROM ({_states('l_extendedprice', 'lineitem', 'l_returnflag')})",
+        "layered_statistics": _with(f"{_index(8)}, fc AS (SELECT n FROM (SELECT count(*)::bigint AS n FROM idx GROUP BY feature) WHERE n <= 253)", f"SELECT n, total::bigint AS total, largest, mean, stddev, skewness, kurtosis FROM ({_moments('n', 'fc')})"),
         "index_capped": _with(_index(8), "SELECT feature, tgt, win FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY tgt, win) AS n FROM idx) WHERE n <= 100"),
         "layered_removed": _with(_index(8), "SELECT feature, tgt, win FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS n FROM idx) WHERE n <= 253"),
         "layered_compacted": _with(_index(8), "SELECT feature, tgt, win FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY tgt, win) AS n FROM idx) WHERE n <= 100"),

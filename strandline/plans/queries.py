@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, hashes, headers
 from ..operators import align, classify, evaluate, index, intervals, matching, naming, report, sketching, taxonomy
+from ..operators import moments as states
 from ..operators.layers import LayeredIndex, Policy
 from ..params import RANKS, ClassifyParams
 from ..storage import shared_dir, stored
@@ -159,6 +160,31 @@ def moments(s, d):
     return m.select("n", F.col("total").cast("double").alias("total"), F.col("largest").cast("double").alias("largest"), *(F.round(c, 6).alias(c) for c in ("mean", "stddev", "skewness", "kurtosis")))
 
 
+@query
+def moments_removed(s, d):
+    """Quantities without those of every fifth supplier, from states that are kept for each supplier: all are merged, and
+    these are merged and taken back."""
+    own = stored(states.state(fx.table(s, d, "lineitem"), "l_quantity", ["l_suppkey"]), "states")
+    rest = states.removed(states.merged(own), states.merged(own.where("l_suppkey % 5 = 0")))
+    x = states.described(rest)
+    return x.select("n", *(F.round(c, 5).alias(c) for c in x.columns if c != "n"))
+
+
+@query
+def moments_by_flag(s, d):
+    """States of suppliers and flags, merged by flag."""
+    own = stored(states.state(fx.table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_suppkey"]), "states")
+    x = states.described(states.merged(own, ["l_returnflag"]), ["l_returnflag"])
+    return x.select("l_returnflag", "n", *(F.round(c, 5).alias(c) for c in ("mean", "stddev", "skewness", "kurtosis", "excess")))
+
+
+@query
+def layered_statistics(s, d):
+    """Statistics of an index that grew by layers, from numbers that are stored with it and changed by what came in."""
+    m = index.stored_statistics(s, _in_layers(s, d, fx.CROWDED, Policy(remove_overpopulated=True)).histogram())
+    return m.select("n", "total", "largest", *(F.round(c, 6).alias(c) for c in ("mean", "stddev", "skewness", "kurtosis")))
+
+
 @query
 def index_capped(s, d):
     return index.cap_locations(_index(s, d, fx.CROWDED), 100)
