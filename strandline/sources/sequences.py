@@ -62,6 +62,13 @@ def read_fastq(spark: SparkSession, *paths: str, recursive: bool = True) -> Data
     return r.select("file", (F.col("i") + 1).alias("index"), header.alias("header"), F.col("l1").alias("data"), F.col("l3").alias("qualities"))
 
 
+def over_files(records: DataFrame) -> DataFrame:
+    """Records of files with indexes that count on from file to file, in the order of names; one row for each file is added up."""
+    size = records.groupBy("file").agg(F.max("index").alias("n"))
+    before = size.select("file", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return records.join(F.broadcast(before), "file").withColumn("index", F.col("index") + F.col("before")).drop("before")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(index, value): the lines of one file in order."""
     return _numbered(_lines(spark, [path], False)).select("index", "value")
