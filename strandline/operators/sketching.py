@@ -15,6 +15,8 @@ for _i, _c in enumerate("ACGT"):
     _CODE[[ord(_c), ord(_c.lower())]] = _i
 #: Windows that are sorted together, and windows of one sequence that a worker is given at once.
 _ROWS, PART_WINDOWS = 4096, 8192
+#: Letters of sequences that are sketched together.
+_LETTERS = 1 << 18
 
 
 def sequence_windows(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFrame:
@@ -28,38 +30,44 @@ def sketch_sql(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFrame:
     return sequence_windows(df, key, seq, p).select(key, "win", F.explode(features.sketch(F.col("s"), p)).alias("feature"))
 
 
-def sketch_numpy(seq: bytes, p: SketchParams, policy: tuple[features.FeatureHash, features.Selection]) -> tuple[np.ndarray, np.ndarray]:
-    """Window numbers and features of one sequence."""
-    n = len(seq)
-    none = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-    if n < p.k:
-        return none
-    c = _CODE[np.frombuffer(seq, dtype=np.uint8)]
-    m = n - p.k + 1
+def sketch_numpy(letters: np.ndarray, starts: np.ndarray, p: SketchParams, policy: tuple[features.FeatureHash, features.Selection]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of sequences, window numbers and features, of sequences that lie side by side in letters: starts has where each
+    begins (and the last ends). Python's work grows with blocks of windows and not with sequences."""
+    size = np.diff(starts)
+    own = np.flatnonzero(size >= p.k)
+    if not len(own):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
     hasher, selection = policy
+    c = _CODE[letters]
     base = c & 3
     bad = np.concatenate([[0], np.cumsum(c == 4)])
-    none_value = np.uint64(hasher.none)
+    kind = np.uint32 if hasher.bits == 32 else np.uint64
+    none_value = kind(hasher.none)
     plain = bad[p.k :] == bad[: -p.k]
     if selection.numpy is not None:
         plain &= selection.numpy(base, p.k)
-    h = np.where(plain, hasher.numpy(features.canonical_codes(base, p.k)), none_value)
-    count = 1 if n <= p.window else (n - p.window) // p.stride + 1
-    count += n > p.window and count * p.stride < n
-    width = max(1, p.window - p.k + 1)
-    wins, feats = [], []
-    for lo in range(0, count, _ROWS):
-        starts = np.arange(lo, min(count, lo + _ROWS)) * p.stride
-        at = starts[:, None] + np.arange(width)
-        rows = np.where(at < m, h[np.minimum(at, m - 1)], none_value)
+    h = np.where(plain, hasher.numpy(features.canonical_codes(base, p.k)).astype(kind), none_value)
+    n = size[own]
+    count = np.where(n <= p.window, 1, (n - p.window) // p.stride + 1)
+    count += (n > p.window) & (count * p.stride < n)
+    # all windows one after another: their sequences, their numbers, and where they and their sequences' k-mers end
+    which = np.repeat(own, count)
+    win = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    begin, end = starts[which] + win * p.stride, starts[which + 1] - p.k
+    at = np.arange(max(1, p.window - p.k + 1))
+    found = []
+    for lo in range(0, len(which), _ROWS):
+        places = begin[lo : lo + _ROWS, None] + at
+        inside = places <= end[lo : lo + _ROWS, None]
+        rows = np.where(inside, h[np.where(inside, places, 0)], none_value)
         rows.sort(axis=1)
         new = rows != none_value
         new[:, 1:] &= rows[:, 1:] != rows[:, :-1]
-        new &= np.cumsum(new, axis=1) <= p.size
+        new &= np.cumsum(new, axis=1, dtype=np.int32) <= p.size
         r, col = np.nonzero(new)
-        wins.append((r + lo).astype(np.int32))
-        feats.append(rows[r, col].astype(np.int64))
-    return np.concatenate(wins), np.concatenate(feats)
+        found.append((r + lo, rows[r, col].astype(np.int64)))
+    r = np.concatenate([x for x, _ in found])
+    return which[r], win[r].astype(np.int32), np.concatenate([x for _, x in found])
 
 
 def _parts(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFrame:
@@ -80,13 +88,18 @@ def sketch_arrow(df: DataFrame, key: str, seq: str, p: SketchParams) -> DataFram
 
     def run(batches):
         for b in batches:
-            for k, s, before, most in zip(*(c.to_pylist() for c in b.columns)):
-                win, feature = sketch_numpy(s, p, policy)
-                if before or most < 2**31 - 1:
-                    own = win < most
-                    win, feature = win[own] + np.int32(before), feature[own]
+            key_of, before, most = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            letters, starts = dna.flat(b.column(1))
+            lo = 0
+            while lo < b.num_rows:  # sequences of some letters together, one at least
+                hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _LETTERS, side="right")) - 1)
+                which, win, feature = sketch_numpy(letters[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], p, policy)
+                which += lo
+                own = win < most[which]
+                which, win, feature = which[own], win[own] + before[which[own]], feature[own]
                 if len(win):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(win), k)), pa.array(win), pa.array(feature)], names=[key, "win", "feature"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key_of[which]), pa.array(win.astype(np.int32)), pa.array(feature)], names=[key, "win", "feature"])
+                lo = hi
 
     return _packed(_parts(df, key, seq, p), run, f"{key} long, win int, feature long")
 
