@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..params import MAX_LOCATIONS
+from ..params import MAX_LOCATIONS, SketchParams
 from ..storage import create_text, delete, names_in, read_small
 
 SCHEMA = "feature bigint, tgt bigint, win int"
@@ -55,6 +55,11 @@ def buckets_for(rows: int) -> int:
     return max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
 
 
+def bucket_number(letters: int, p: SketchParams) -> int:
+    """Buckets for the features of so many letters: a window has at most p.size of them."""
+    return buckets_for((letters or 0) // p.stride * p.size)
+
+
 @dataclass(frozen=True)
 class LayeredIndex:
     """One version of a stored index. extra: what belongs to the version besides, as JSON. counts: of the first layers, how

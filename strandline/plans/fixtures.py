@@ -28,9 +28,9 @@ def species_id() -> Column:
     return language_id() + F.regexp_extract("source", "([0-9]+)", 1).cast("long") + 1
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tgt, name, taxid, lang, source, dna): one target for each document."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+def targets(spark: SparkSession, sf_dir: str, part_bytes: int | None = None, of: str = "true") -> DataFrame:
+    """(tgt, name, taxid, lang, source, dna): one target for each document for which the condition of holds; part_bytes as in spread()."""
+    d = spread(table(spark, sf_dir, "documents").where(of).select("doc_id", "text", "lang", "source"), part_bytes)
     return d.select(F.col("doc_id").alias("tgt"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), (-F.col("doc_id") - 1).alias("taxid"), "lang", "source", dna_of(F.col("text")).alias("dna"))
 
 

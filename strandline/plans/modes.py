@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import headers
 from ..functions.features import policy
 from ..operators import align, classify, evaluate, index, matching, naming, report, sketching, taxonomy
-from ..operators.layers import LayeredIndex, Policy, buckets_for
+from ..operators.layers import LayeredIndex, Policy, bucket_number
 from ..params import MAX_LOCATIONS, RANKS, ClassifyParams, SketchParams
 from ..sources import sequences, taxa
 from ..storage import bounded_broadcast, shared_dir, spread, stored
@@ -78,8 +78,7 @@ def _written(df: DataFrame, folder: str) -> str:
 
 def index_buckets(targets: DataFrame, p: SketchParams) -> int:
     """Buckets for the index of targets: a window has at most p.size features."""
-    letters = targets.agg(F.sum(F.length("dna")).alias("n")).first()["n"] or 0
-    return buckets_for(letters // p.stride * p.size)
+    return bucket_number(targets.agg(F.sum(F.length("dna")).alias("n")).first()["n"], p)
 
 
 #: As many targets as numbers of them fit in 32 bits.

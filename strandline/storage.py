@@ -102,12 +102,16 @@ def write_file(lines: DataFrame, path: str) -> str:
     return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt out over all cores if its scan is estimated to give fewer partitions than there are cores.
+def spread(df: DataFrame, part_bytes: int | None = None) -> DataFrame:
+    """df dealt out over all cores if its scan is estimated to give fewer partitions than there are cores, or, where part_bytes
+    is given, partitions of more bytes of its files than that.
 
-    A file of one row group is one task, however many cores wait; tables beyond that are left as they are scanned.
+    A file of one row group is one task, however many cores wait; tables beyond that are left as they are scanned. A bound
+    is for steps that sort what comes of a partition, so that no task's share grows with the table.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+    scanned = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    parts = max(cores, -(-size // part_bytes) if part_bytes else 0)
+    return df.repartition(parts) if size < parts * scanned else df

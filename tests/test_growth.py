@@ -16,3 +16,52 @@ def test_fastq_records_are_numbered_over_all_files(spark, monkeypatch):
     con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
     assert got == sorted(con.execute(oracle.oracle_sql()["read_fastq_records"]).fetchall())
     assert [r[0] for r in got] == list(range(1, len(got) + 1)) and len(got) > 7
+
+
+def test_buckets_of_layers_grow_with_what_is_indexed(spark, monkeypatch):
+    """So that no task's share of a layer grows with the tables."""
+    from strandline.operators import layers
+    from strandline.operators.layers import Policy
+    from strandline.plans import fixtures as fx
+    from strandline.plans import queries
+
+    monkeypatch.setattr(layers, "BUCKET_ROWS", 1000)
+    store = queries._in_layers(spark, SF, fx.CROWDED, Policy())
+    assert len({x["buckets"] for x in store.layers}) == 3 and all(x["buckets"] > 4 and x["rows"] / x["buckets"] < 1000 for x in store.layers)
+
+
+def test_partitions_that_are_sorted_are_bounded(spark):
+    from strandline.storage import spread
+
+    t = spark.read.parquet(f"{SF}/documents.parquet")
+    assert spread(t, 1 << 12).rdd.getNumPartitions() > 8 > spread(t).rdd.getNumPartitions()
+
+
+def test_letters_are_made_once_and_pairs_counted(spark):
+    from strandline.functions import dna
+    from strandline.plans import fixtures as fx
+
+    plan = fx.targets(spark, SF).where("length(dna) > 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "translate" not in plan
+    rows = [("AbKİ zé\U0001f600d",), ("",), (None,), ("1 2",), ("eE",)]
+    got = spark.createDataFrame(rows, "s string").coalesce(1).select(dna.dna_of(F.col("s")).alias("d")).select("d", dna.pair_counts(F.col("d")).alias("p")).collect()
+    assert [r.d for r in got] == ["ACGACT", "", None, "", "AA"]
+    assert {k: n for k, n in got[0].p.items() if n} == {"AC": 2, "CG": 1, "GA": 1, "CT": 1} and got[2].p is None
+    assert [sum(r.p.values()) for r in got if r.p] == [5, 0, 0, 1]
+
+
+@pytest.mark.parametrize("k,sketcher", [(4, "minhash"), (6, "syncmer"), (21, "minhash")])
+def test_sequences_sketched_side_by_side(spark, k, sketcher):
+    import numpy as np
+    from strandline.functions import features
+    from strandline.operators import sketching
+    from strandline.params import SketchParams
+
+    p, rng = SketchParams(k, 5, 32, sketcher=sketcher), np.random.default_rng(k)
+    seqs = ["".join(rng.choice(list("ACGTacgtN"), n, p=[0.12] * 8 + [0.04])) for n in (0, 3, 4, 200, 31, 32, 33, 5, 64, 1)] + ["ACGT" * 20]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in seqs])])
+    which, win, feature = sketching.sketch_numpy(np.frombuffer("".join(seqs).encode(), dtype=np.uint8), starts, p, features.policy(p))
+    d = spark.createDataFrame(list(enumerate(seqs)), "i long, s string")
+    want = sorted(tuple(r) for r in sketching.sketch_features(d, "i", "s", p, "sql").collect())
+    assert sorted(zip(which.tolist(), win.tolist(), feature.tolist())) == want and len(want) > 10
+    assert sorted(tuple(r) for r in sketching.sketch_features(d, "i", "s", p).collect()) == want
