@@ -52,11 +52,12 @@ def next_ranked(lin: DataFrame, taxa: DataFrame) -> DataFrame:
 
 
 def lca_full(pairs: DataFrame, lin: DataFrame) -> DataFrame:
-    """(a, b, lca): the nearest common ancestor on whole lineages; null if there is none."""
-    la = lin.select(F.col("taxid").alias("a"), "anc", F.col("depth").alias("da"))
-    lb = lin.select(F.col("taxid").alias("b"), "anc", F.col("depth").alias("db"))
-    both = pairs.select("a", "b").join(la, "a").join(lb, ["b", "anc"]).groupBy("a", "b").agg(F.min_by("anc", "da").alias("lca"))
-    return pairs.select("a", "b").join(both, ["a", "b"], "left")
+    """(a, b, lca): the nearest common ancestor on whole lineages; null if there is none. One row for each pair all the way:
+    a lineage is an array, from the taxon up."""
+    up = lin.groupBy("taxid").agg(F.array_sort(F.collect_list(F.struct("depth", "anc"))).alias("up"))
+    own = lambda c: up.select(F.col("taxid").alias(c), F.col("up.anc").alias(f"up_{c}"))
+    d = pairs.select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    return d.select("a", "b", F.get(F.array_intersect("up_a", "up_b"), F.lit(0)).alias("lca"))
 
 
 def lca_ranked(pairs: DataFrame, lin: DataFrame) -> DataFrame:
