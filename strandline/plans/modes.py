@@ -81,6 +81,11 @@ def index_buckets(targets: DataFrame, p: SketchParams) -> int:
     return bucket_number(targets.agg(F.sum(F.length("dna")).alias("n")).first()["n"], p)
 
 
+def _dealt(written: DataFrame) -> DataFrame:
+    """A table that Spark has written in parts of like sizes, dealt out anew only if they are fewer than half of the cores."""
+    return written if 2 * len(written.inputFiles()) >= written.sparkSession.sparkContext.defaultParallelism else spread(written)
+
+
 #: As many targets as numbers of them fit in 32 bits.
 MOST_TARGETS = 2**32 - 1
 
@@ -92,22 +97,26 @@ def number_targets(spark: SparkSession, paths: list[str], mapping: DataFrame | N
     """
     paths = [f for p in paths for f in sequences.list_files(spark, p) if not f.endswith(taxa.SUMMARY_NAME)]
     s = sequences.read_sequences(spark, *paths).withColumn("name", headers.sequence_id(F.col("header")))
-    s = stored(index.unique_targets(s.withColumnRenamed("data", "dna"), ["file", "index"]), "targets")
+    s = stored(s.withColumnRenamed("data", "dna"), "sequences")
+    # names are compared without the sequences, which move once, to their parents
+    own = s.select("file", "index", "header", "name", F.substring("dna", 1, 1).alias("dna"))
+    own = stored(index.unique_targets(own, ["file", "index"]).drop("dna"), "names")
     # numbers by file: files are few, so their sizes are added up on one row each
-    size = s.groupBy("file").agg(F.max("index").alias("n")).orderBy("file").collect()
-    before, total = {}, first
+    size = own.groupBy("file").agg(F.max("index").alias("n")).orderBy("file").collect()
+    before, total = [], first
     for r in size:
-        before[r.file], total = total, total + r.n
+        before.append((r.file, total, r.n))
+        total += r.n
     if total > most:
         raise ValueError(f"{total} targets, of which there may be {most}")
-    at = F.broadcast(spark.createDataFrame(list(before.items()) or [("", 0)], "file string, before long"))
-    t = s.join(at, "file").withColumn("tgt", F.col("before") + F.col("index") - 1).drop("before")
+    at = F.broadcast(spark.createDataFrame(before or [("", 0, 0)], "file string, before long, n long"))
+    numbered = lambda d: d.join(at, "file").where("index <= n").withColumn("tgt", F.col("before") + F.col("index") - 1)
     if mapping is None:
         mapping = spark.createDataFrame([], "key string, taxid long")
     file_id = headers.accession_version(headers.file_name(F.col("file")))
-    ids = t.select("tgt", F.col("name").alias("seq_id"), F.when(file_id != "", file_id).otherwise(headers.file_name(F.col("file"))).alias("file_id"), headers.taxon_id(F.col("header")).alias("header_taxid"))
+    ids = numbered(own).select("tgt", F.col("name").alias("seq_id"), F.when(file_id != "", file_id).otherwise(headers.file_name(F.col("file"))).alias("file_id"), headers.taxon_id(F.col("header")).alias("header_taxid"))
     parents = naming.resolve_parents(ids, mapping)
-    return t.join(parents, "tgt").select("tgt", "name", (-F.col("tgt") - 1).alias("taxid"), "parent", "dna", "file", "index")
+    return numbered(s).join(parents, "tgt").select("tgt", "name", (-F.col("tgt") - 1).alias("taxid"), "parent", "dna", "file", "index")
 
 
 def build(spark: SparkSession, paths: list[str], taxonomy_dir: str | None = None, pre_mapping: list[str] = (), post_mapping: list[str] = (), params: SketchParams = SketchParams(), max_locations: int = MAX_LOCATIONS, remove_overpopulated: bool = False, ambiguous_rank: int | None = None, max_ambiguous: int = 1) -> Database:
@@ -127,7 +136,7 @@ def build(spark: SparkSession, paths: list[str], taxonomy_dir: str | None = None
     targets = number_targets(spark, paths, mapping)
     targets = stored(_ranked_by(spark, targets, post_mapping), "targets")
     db = Database(tax, targets, None, params, Policy(max_locations, remove_overpopulated))
-    db.located = without_ambiguous(index.build_index(spread(targets), params), db, ambiguous_rank, max_ambiguous)
+    db.located = without_ambiguous(index.build_index(_dealt(targets), params), db, ambiguous_rank, max_ambiguous)
     db.features = db.policy.settle(db.located).where("tgt is not null")
     return db
 
@@ -175,7 +184,7 @@ def modify(spark: SparkSession, db: Database, paths: list[str] = (), taxonomy_di
         part = _written(_ranked_by(spark, new, post_mapping), f"{path}/targets")
         extra["targets"] = [*extra["targets"], part]
         new = spark.read.parquet(f"{path}/targets/{part}")
-        store.append(index.build_index(spread(new), db.params), index_buckets(new, db.params), extra)
+        store.append(index.build_index(_dealt(new), db.params), index_buckets(new, db.params), extra)
     else:
         store.annotate(extra)
     return Database.load(spark, path)

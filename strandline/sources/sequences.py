@@ -40,11 +40,13 @@ def read_fasta(spark: SparkSession, *paths: str, recursive: bool = True) -> Data
     """FASTA records: a line ">header", then any number of lines of letters. Records without letters, and files that do not
     begin with ">", raise FormatError when the rows are computed."""
     raw = _located(spark, list(paths), recursive, "\n>")
-    parts = F.split(F.regexp_replace("value", "\r", ""), "\n", 2)
+    parts = F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n", 2)
     first = (F.col("block") == 0) & (F.col("__i0") == 1)
     raw = raw.withColumn("__i0", F.row_number().over(Window.partitionBy("file", "block").orderBy("line")))
     header = F.when(first, F.when(parts[0].startswith(">"), F.substring(parts[0], F.lit(2), F.length(parts[0]))).otherwise(F.raise_error(F.concat(F.lit("no '>' at the start of "), F.col("file"))))).otherwise(parts[0])
-    data = F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), r"\s", "")
+    data = F.coalesce(F.get(parts, 1), F.lit(""))
+    for space in "\n \t\r\v\f":
+        data = F.replace(data, F.lit(space), F.lit(""))
     data = F.when(F.length(data) > 0, data).otherwise(F.raise_error(F.concat(F.lit("a record without letters in "), F.col("file"))))
     d = raw.where("length(trim(value)) > 0").select("file", "block", "line", header.alias("header"), data.alias("data"))
     return _numbered(d).select("file", "index", "header", "data", F.lit("").alias("qualities"))
@@ -102,14 +104,24 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+def first_letter(spark: SparkSession, path: str) -> str:
+    """The first byte of a file as a character, or nothing; no job is run for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(p)
+    try:
+        byte = stream.read()
+    finally:
+        stream.close()
+    return chr(byte) if byte >= 0 else ""
+
+
 def read_sequences(spark: SparkSession, *paths: str) -> DataFrame:
     """FASTA and FASTQ files of any mixture."""
     groups: dict[str, list[str]] = {"fasta": [], "fastq": []}
     for path in paths:
         for f in list_files(spark, path):
             known = f.lower().endswith(FASTA_ENDINGS + FASTQ_ENDINGS)
-            row = None if known else spark.read.text(f).limit(1).first()
-            groups[format_of(f, row.value if row else "")].append(f)
+            groups[format_of(f, "" if known else first_letter(spark, f))].append(f)
     out = spark.createDataFrame([], SCHEMA)
     if groups["fasta"]:
         out = out.unionByName(read_fasta(spark, *groups["fasta"]))

@@ -65,3 +65,41 @@ def test_sequences_sketched_side_by_side(spark, k, sketcher):
     want = sorted(tuple(r) for r in sketching.sketch_features(d, "i", "s", p, "sql").collect())
     assert sorted(zip(which.tolist(), win.tolist(), feature.tolist())) == want and len(want) > 10
     assert sorted(tuple(r) for r in sketching.sketch_features(d, "i", "s", p).collect()) == want
+
+
+def test_common_ancestors_keep_one_row_for_each_pair(spark):
+    """Also where pairs come twice or are not known; no step makes a row for each ancestor or reads the pairs a second time."""
+    from strandline.operators import intervals, taxonomy
+    from strandline.storage import stored
+
+    taxa = spark.createDataFrame([(1, 1, "r", 20), (2, 1, "x", 19), (3, 2, "y", 4), (4, 2, "z", 4), (9, 9, "o", 4)], "taxid long, parent long, name string, rank int")
+    rows = [(3, 4, 2), (3, 4, 2), (3, 3, 3), (3, 2, 2), (3, 9, None), (77, 77, None), (3, 77, None), (1, 4, 1)]
+    pairs = spark.createDataFrame([r[:2] for r in rows], "a long, b long")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    full = taxonomy.lca_full(pairs, stored(taxonomy.lineages(taxa)))
+    labels = intervals.tour(intervals.inner(taxa))
+    short = intervals.lowest_common(pairs, taxa, labels, intervals.highest_table(labels))
+    for d in (full, short):
+        assert sorted(map(key, d.collect())) == sorted(map(key, rows))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(full).count("Join ") == 2 and "Aggregate" not in plan(short)
+
+
+def test_targets_whose_names_come_twice(spark, tmp_path):
+    """Numbers leave none of the first ones out, also where a file's last record is the one that goes."""
+    from strandline.plans import modes
+
+    files = {"a": [("s1.1", "AACC"), ("s2.1", "GG"), ("s1.1", "TT")], "b": [("s3.1", "AC"), ("s2.1", "CA"), ("s4.1", "GT")], "c": [("s1.1", "G")], "d": [("s5.1", "T")]}
+    for f, records in files.items():
+        (tmp_path / f"{f}.part").write_text("".join(f">{h} taxid:{7 + i}\n{s}\n" for i, (h, s) in enumerate(records)))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("names"))
+    spark.sparkContext.setJobGroup("names", "")
+    try:
+        from strandline.sources import sequences
+
+        sequences.read_sequences(spark, str(tmp_path))
+        assert jobs() == 0  # files without a known ending are told apart without a job for each
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    got = {r.name: (r.tgt, r.dna, r.parent) for r in modes.number_targets(spark, [str(tmp_path)], None).collect()}
+    assert got == {"s1.1": (0, "AACC", 7), "s2.1": (1, "GG", 8), "s3.1": (2, "AC", 7), "s4.1": (4, "GT", 9), "s5.1": (5, "T", 7)}
