@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import ClassifyParams, merge_params
+from ..params import NONE, ClassifyParams, merge_params
+from ..storage import stored
 from . import taxonomy
 
 
@@ -45,6 +46,13 @@ def abundances(classified: DataFrame) -> DataFrame:
     return n.join(F.broadcast(total)).select("taxid", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 
+def _with_lineages(counts: DataFrame, lin: DataFrame, how: str) -> DataFrame:
+    """(taxid, n, own, ups) of (taxid, n): its rank, and structs (rank, neg, anc) of the farthest taxon of its lineage at each rank, by rank."""
+    at = F.struct("rank", (-F.col("depth")).alias("neg"), "anc")
+    d = counts.join(lin.hint("merge"), "taxid", how).groupBy("taxid").agg(F.first("n").alias("n"), F.max(F.when(F.col("depth") == 0, F.col("rank"))).alias("own"), F.array_sort(F.collect_list(F.when(F.col("rank") < NONE, at))).alias("all"))
+    return d.select("taxid", "n", "own", F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["rank"] < x["rank"])).alias("ups"))
+
+
 def estimate_abundances(counts: DataFrame, lin: DataFrame, rank: int) -> DataFrame:
     """(taxid, n double): counts of (taxid, n) brought to a rank.
 
@@ -52,28 +60,26 @@ def estimate_abundances(counts: DataFrame, lin: DataFrame, rank: int) -> DataFra
     nearest counted one above it; from the root on, each that has such children gives them its count in proportion to
     theirs and all below, and leaves the table. Every taxon's final factor is the product over its chain, so one pass over
     lineages does it: a leaf with weight t(x) (own and all below) gets own + sum over its counted ancestors p of
-    n(p) * product of shares down to it, which equals multiplying along the chain from the top.
+    n(p) * product of shares down to it, which equals multiplying along the chain from the top. Counts meet lineages by shuffles;
+    only counted taxa that have others below them are looked up.
     """
-    r = taxonomy.ranked(lin)
-    own_rank = lin.where("depth = 0").select("taxid", F.col("rank").alias("own"))
     counts = counts.where("taxid is not null").groupBy("taxid").agg(F.sum("n").cast("double").alias("n"))
     if rank > 0:
-        up = r.where(F.col("rank") >= rank).groupBy("taxid").agg(F.min_by("anc", "rank").alias("up"))
-        moved = counts.join(own_rank, "taxid").join(up, "taxid", "left")
-        counts = moved.groupBy(F.when((F.col("own") < rank) & F.col("up").isNotNull(), F.col("up")).otherwise(F.col("taxid")).alias("taxid")).agg(F.sum("n").alias("n"))
-    # (taxid, anc, rank): counted taxa with their counted ancestors by rank, themselves left out
-    above = r.join(own_rank, "taxid").where("rank > own").select("taxid", "anc", "rank")
-    pairs = counts.select("taxid").join(above, "taxid").join(counts.select(F.col("taxid").alias("anc")), "anc")
-    parent = pairs.groupBy("taxid").agg(F.min_by("anc", "rank").alias("parent"))
-    below = pairs.join(counts, "taxid").groupBy(F.col("anc").alias("taxid")).agg(F.sum("n").alias("weight"))
-    node = counts.join(below, "taxid", "left").join(parent, "taxid", "left").select("taxid", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"), "parent")
+        up = F.get(F.filter("ups", lambda x: x["rank"] >= rank), F.lit(0))["anc"]
+        moved = F.when((F.col("own") < rank) & up.isNotNull(), up).otherwise(F.col("taxid"))
+        counts = _with_lineages(counts, lin, "inner").select(moved.alias("taxid"), "n").groupBy("taxid").agg(F.sum("n").alias("n"))
+    # counted taxa with all ancestors of higher ranks, then those ancestors that are counted themselves
+    above = F.transform(F.filter("ups", lambda x: x["rank"] > F.col("own")), lambda x: F.struct(x["rank"].alias("rank"), x["anc"].alias("anc")))
+    node = stored(_with_lineages(counts, lin, "left").select("taxid", "n", above.alias("above")), "counted")
+    below = stored(node.select("n", F.explode("above.anc").alias("taxid")).groupBy("taxid").agg(F.sum("n").alias("weight")), "weights")
+    inner = taxonomy.looked_up(stored(node.select("taxid", "n").join(taxonomy.looked_up(below), "taxid").select("taxid", "n", "weight"), "counted-inner"))
     # chains from each taxon that is nobody's parent up to the top, as arrays of (count, count and weight below, weight)
-    leaf = node.where("weight = 0").select(F.col("taxid").alias("leaf"), F.col("taxid").alias("anc"), F.lit(-1).alias("rank"))
-    chain = leaf.unionByName(pairs.join(leaf.select(F.col("leaf").alias("taxid")), "taxid").select(F.col("taxid").alias("leaf"), "anc", "rank"))
-    chain = chain.join(node.select(F.col("taxid").alias("anc"), "n", "weight"), "anc").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("o"), "n", "weight"))).alias("c"))
+    leaf = node.join(inner.where("weight > 0"), "taxid", "left_anti").select("taxid", F.col("n").alias("own"), F.explode_outer("above").alias("a")).select("taxid", "own", "a.rank", "a.anc")
+    chain = leaf.join(inner.withColumnRenamed("taxid", "anc"), "anc", "left").groupBy("taxid").agg(F.first("own").alias("own"), F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct((-F.col("rank")).alias("o"), "n", "weight")))).alias("c"))
+    chain = chain.select("taxid", F.concat("c", F.array(F.struct(F.lit(1).alias("o"), F.col("own").alias("n"), F.lit(0.0).alias("weight")))).alias("c"))
     # down the chain: x arrives at a node, which passes (x + n) on by the next one's share
     down = F.aggregate("c", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w")), lambda s, e: F.struct((F.when(s.w > 0, s.x * (e.n + e.weight) / s.w).otherwise(F.lit(0.0)) + e.n).alias("x"), e.weight.alias("w")))
-    return chain.select(F.col("leaf").alias("taxid"), down.x.alias("n"))
+    return chain.select("taxid", down.x.alias("n"))
 
 
 def merge_candidates(results: DataFrame, lin: DataFrame, c: ClassifyParams) -> DataFrame:

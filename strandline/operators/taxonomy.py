@@ -6,25 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import NONE, NUM_RANKS
+from ..storage import bounded_broadcast, stored
+
+
+#: What a row of ids takes in a broadcast table, as measured.
+_ROW_BYTES = 100
+
+
+def looked_up(df: DataFrame) -> DataFrame:
+    """df (stored) for joins by taxon: broadcast if its counted rows prove that it is small, else shuffled, whatever the size of its
+    files makes Spark expect; ids pack so well that a table of many rows looks small."""
+    small = bounded_broadcast(df, _ROW_BYTES)
+    return df.hint("merge") if small is df else small
 
 
 def lineages(taxa: DataFrame) -> DataFrame:
     """(taxid, anc, depth, rank): every taxon with itself (depth 0) and its ancestors, with the ancestor's rank.
 
-    Ends at a taxon that is its own parent or whose parent is missing. The recursion limits of the session are raised.
+    Ends at a taxon that is its own parent or whose parent is missing. The recursion limits of the session are raised. Only taxa
+    that are parents take part in the recursion, whose result is stored; the others, mostly many more, take what their parents have.
     """
     spark = taxa.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
-    return spark.sql(
+    t = taxa.select(F.col("taxid").cast("long").alias("taxid"), F.col("parent").cast("long").alias("parent"), F.col("rank").cast("int").alias("rank"))
+    parents = looked_up(stored(t.select(F.col("parent").alias("taxid")).distinct(), "parents"))
+    inner = stored(t.join(parents, "taxid", "left_semi").select("taxid", "parent", "rank"), "inner-taxa")
+    above = spark.sql(
         """
         WITH RECURSIVE lin(taxid, anc, depth, rank, parent) AS (
           SELECT taxid, taxid, 0, rank, parent FROM {t}
           UNION ALL
-          SELECT l.taxid, t.taxid, l.depth + 1, t.rank, t.parent FROM lin l JOIN {t} t ON t.taxid = l.parent WHERE l.parent <> l.anc
+          SELECT l.taxid, t.taxid, l.depth + 1, t.rank, t.parent FROM lin l JOIN {up} t ON t.taxid = l.parent WHERE l.parent <> l.anc
         ) SELECT taxid, anc, depth, rank FROM lin""",
-        t=taxa.select(F.col("taxid").cast("long").alias("taxid"), F.col("parent").cast("long").alias("parent"), F.col("rank").cast("int").alias("rank")),
+        t=inner,
+        up=looked_up(inner),
     )
+    above = stored(above, "inner-lineages")
+    leaf = t.join(parents, "taxid", "left_anti")
+    own = leaf.select("taxid", F.col("taxid").alias("anc"), F.lit(0).alias("depth"), "rank")
+    up = looked_up(above).select(F.col("taxid").alias("parent"), "anc", (F.col("depth") + 1).alias("depth"), F.col("rank").alias("r"))
+    return above.unionByName(own).unionByName(leaf.join(up, "parent").select("taxid", "anc", "depth", F.col("r").alias("rank")))
 
 
 def ranked(lin: DataFrame) -> DataFrame:

@@ -349,7 +349,7 @@ def abundance(s, d):
 @query
 def abundance_estimate(s, d):
     """Orders stand for reads: nations count those of their customers, a third of them known by region or nation alone."""
-    o = fx.table(s, d, "orders").join(fx.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(fx.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = fx.table(s, d, "orders").join(fx.table(s, d, "customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey")).join(fx.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("o_orderkey") % 6
     taxid = F.when(k == 0, F.col("n_regionkey") + 10).when(k == 1, F.col("n_nationkey") + 100).otherwise(F.col("c_custkey") + 2_000_000)
     counts = o.select(taxid.cast("long").alias("taxid")).groupBy("taxid").agg(F.count("*").alias("n"))

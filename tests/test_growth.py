@@ -103,3 +103,26 @@ def test_targets_whose_names_come_twice(spark, tmp_path):
         spark.sparkContext._jsc.clearJobGroup()
     got = {r.name: (r.tgt, r.dna, r.parent) for r in modes.number_targets(spark, [str(tmp_path)], None).collect()}
     assert got == {"s1.1": (0, "AACC", 7), "s2.1": (1, "GG", 8), "s3.1": (2, "AC", 7), "s4.1": (4, "GT", 9), "s5.1": (5, "T", 7)}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_lineages_and_estimates_broadcast_inner_taxa_alone(spark, monkeypatch, few):
+    """Ids pack so well that a file of all taxa looks small enough to be sent to the driver and from there to all; few: those with
+    others below them are proven to be few."""
+    from strandline.operators import classify, taxonomy
+    from strandline.storage import stored
+
+    if not few:
+        monkeypatch.setattr(taxonomy, "bounded_broadcast", lambda df, row_bytes: df)
+    n = 40_000
+    inner = spark.createDataFrame([(1, 1, 20), (2, 1, 19), (3, 1, 19)], "taxid long, parent long, rank int")
+    taxa = stored(inner.unionByName(spark.range(10, n + 10).select(F.col("id").alias("taxid"), (F.col("id") % 2 + 2).alias("parent"), F.lit(4).alias("rank"))))
+    counts = stored(taxa.where("taxid <> 1").select("taxid", F.when(F.col("taxid") < 10, n // 2).otherwise(1).cast("long").alias("n")))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 2 << 20)  # all taxa take more, the least that a table takes is 1 MB
+    try:
+        lin = taxonomy.lineages(taxa)
+        assert lin.groupBy("depth").count().count() == 3 and lin.count() == 3 * n + 5
+        got = classify.estimate_abundances(counts, lin, 4).groupBy("n").agg(F.count("*"), F.min("taxid"), F.max("taxid")).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert [tuple(r) for r in got] == [(2.0, n, 10, n + 9)]
